@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import decontam, near_dup, packing
 from .common import read
 
 
@@ -16,9 +16,19 @@ def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("row_id", "doc_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), capacity=4096)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item."""
+    return decontam.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {"op4_hyperminhash": op4_hyperminhash}
+    return {f.__name__: f for f in (op4_hyperminhash, op6_best_fit_packing, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

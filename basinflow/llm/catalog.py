@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, near_dup, packing
+from . import decontam, near_dup, packing, pii, toxicity
 from .common import read
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents over two-word shingles."""
     found = near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
@@ -21,6 +28,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; every third of the id hashes is held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), exclude_fold=(3, 1))
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, with the item."""
     return decontam.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -28,7 +44,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {f.__name__: f for f in (op4_hyperminhash, op6_best_fit_packing, op9_decontamination)}
+    return {f.__name__: f for f in (op3_private_data, op4_hyperminhash, op6_best_fit_packing, op8_toxicity, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,12 +7,13 @@ set, the number of leading zeros (6 bits) and the 10 bits that follow the leadin
 one. Rows of ROWS registers, compressed, are the LSH bands.
 
 Candidates come from the buckets that a band shares. To keep a hot bucket linear,
-a member is first compared with the bucket's smallest member only (of its bands'
-smallest members, with the one that shares most bands). Links that full sets confirm
-join components. Buckets whose members are then all in one component are done; in
-the others, members outside of the bucket's largest component meet all members in
-tiles of bounded size, where the collision-corrected Jaccard estimate of the sketches
-drops pairs clearly below the threshold, and full sets decide the rest.
+a member is first compared with one pivot of its buckets only, each bucket's pivot
+being its member that meets most others. Links that full sets confirm join
+components. Buckets whose members are then all in one component are done; in the
+others, members outside of the bucket's largest component meet all members in tiles
+of bounded size, where the collision-corrected Jaccard estimate of the sketches drops
+pairs clearly below the threshold. What is left, a member and another component near
+it, is decided on the full sets of all that component's texts.
 
 At a Jaccard similarity of 0.8, BANDS bands of ROWS registers miss a pair with
 probability (1 - 0.8**5)**40 = 1.3e-7; the estimate drops a pair at the threshold
@@ -135,15 +136,15 @@ def _confirm(n: int, rule: hashing.WordRule, percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Tiles of members to pairs in different components whose estimate reaches the threshold less five deviations."""
+def _near_components(percent: int):
+    """Tiles of members to (member, other component) where an estimate reaches the threshold less five deviations."""
     t = percent / 100
     least = t - 5 * np.sqrt(t * (1 - t) / REGISTERS)
     collisions = collision_rate()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
+            found = [np.zeros((0, 2), np.int64)]
             for members in batch.column(0):
                 m = members.values
                 side = np.asarray(m.field("side"))
@@ -160,13 +161,43 @@ def _tile_pairs(percent: int):
                     continue
                 near = (estimate(regs[a[rows]], regs[b], collisions) >= least) & differ[rows]
                 i, j = np.nonzero(near)
-                p, q = ids[a[rows[i]]], ids[b[j]]
-                us.append(np.maximum(p, q))
-                vs.append(np.minimum(p, q))
-            u = np.concatenate(us) if us else np.zeros(0, np.int64)
-            v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-            yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+                found.append(np.unique(np.stack([ids[a[rows[i]]], comp[b[j]]], 1), axis=0))
+            out = np.unique(np.concatenate(found), axis=0)
+            yield pa.record_batch([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["id", "other"])
+
+    return run
+
+
+def _linked_members(n: int, rule: hashing.WordRule, percent: int):
+    """Groups of texts on two sides to the pairs across that full sets link.
+
+    One lookup counts what a text shares with every text of the other side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for members in batch.column(0):
+                m = members.values
+                side, ids = np.asarray(m.field("side")), np.asarray(m.field("id"))
+                sets = [s for _, s in hashing.shingle_sets(m.field("text"), rule, n)]
+                other = [i for i in range(len(ids)) if side[i] == 0]
+                if not other:
+                    continue
+                size = np.array([len(sets[i]) for i in other])
+                pool = np.concatenate([sets[i] for i in other])
+                owner = np.repeat(np.arange(len(other)), size)
+                order = np.argsort(pool, kind="stable")
+                pool, owner = pool[order], owner[order]
+                for i in np.flatnonzero(side == 1):
+                    first = np.searchsorted(pool, sets[i], side="left")
+                    number = np.searchsorted(pool, sets[i], side="right") - first
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
+                    shared = np.bincount(owner[at], minlength=len(other))
+                    hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * (size + len(sets[i]) - shared)))
+                    us.append(np.full(len(hit), ids[i]))
+                    vs.append(ids[np.array(other)[hit]])
+            yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
@@ -212,30 +243,28 @@ def near_duplicates(
     )
 
     rows = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
-    buckets = scratch.keep(rows.join(shared, ["band", "key"]).select("band", "key", "id", "n", "low"), "buckets")
+    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = scratch.keep(rows.join(shared, ["band", "key"]).select("band", "key", "id", "n", "size"), "buckets")
+    # a bucket's pivot is its member that meets most others over all bands: the text that its copies stem from, mostly
+    hubs = buckets.groupBy("id").agg(F.sum("size").alias("hub"), F.first("n").alias("n"))
+    hubs = scratch.keep(hubs, "hubs")
+    pivots = buckets.select("band", "key", "id").join(hubs, "id").groupBy("band", "key").agg(F.max(F.struct("hub", (-F.col("id")).alias("m"), "n")).alias("best"))
+    pivots = pivots.select("band", "key", (-F.col("best.m")).alias("pivot"), F.col("best.hub").alias("hub"), F.col("best.n").alias("pivot_n"))
 
     def fits(x: Column, y: Column) -> Column:
         return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
-    texts = scratch.keep(source.join(buckets.select("id").distinct(), "id").join(reps.select("id", "n"), "id"), "texts")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        a = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-        b = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-        joined = pairs.join(b, "v").join(a, "u").select("u", "v", "tu", "tv")
-        return scratch.keep(joined.mapInArrow(_confirm(shingle_words, rule, percent), "u long, v long"), name)
-
-    size_of_low = reps.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
+    texts = scratch.keep(source.join(hubs, "id").select("id", "text", "n"), "texts")
     first = (
-        buckets.where("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("bands"), F.first("n").alias("n"))
-        .join(size_of_low, "low").where(fits(F.col("n"), F.col("low_n")))
-        .groupBy("id").agg(F.max(F.struct("bands", (-F.col("low")).alias("m"))).alias("best"))
-        .select(F.col("id").alias("u"), (-F.col("best.m")).alias("v"))
+        buckets.select("band", "key", "id", "n").join(pivots, ["band", "key"]).where(F.col("id") != F.col("pivot")).where(fits(F.col("n"), F.col("pivot_n")))
+        .groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.first("hub").alias("hub"))
+        .groupBy("id").agg(F.max(F.struct("bands", "hub", "pivot")).alias("best"))
+        .select(F.col("id").alias("u"), F.col("best.pivot").alias("v"))
     )
-    tested = scratch.keep(first, "first")
-    links = confirmed(tested, "links").union(several)
-    roots = scratch.keep(components(links, scratch), "roots")
+    a = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
+    b = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
+    links = scratch.keep(first.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle_words, rule, percent), "u long, v long"), "links")
+    roots = scratch.keep(components(links.union(several), scratch), "roots")
 
     label = roots.select(F.col("node").alias("id"), "root")
     marked = scratch.keep(buckets.join(label, "id", "left").select("band", "key", "id", "n", F.coalesce("root", "id").alias("comp")), "marked")
@@ -244,13 +273,33 @@ def near_duplicates(
     mixed = parts.groupBy("band", "key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = mixed.select("band", "key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("across"), F.ceil((F.col("size") - F.col("main.k")) / TILE).cast("int").alias("down"))
     at = marked.join(mixed, ["band", "key"]).join(reps.select("id", "sketch"), "id")
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    fields = lambda side: F.struct(F.lit(side).alias("side"), "id", "comp", "n", "sketch").alias("m")
-    out = at.where("comp <> main").withColumn("i", block("down", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    every = at.withColumn("j", block("across", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
-    tiles = out.select("band", "key", "i", "j", fields(1)).union(every.select("band", "key", "i", "j", fields(0))).groupBy("band", "key", "i", "j").agg(F.collect_list("m").alias("members")).select("members")
-    pairs = tiles.mapInArrow(_tile_pairs(percent), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
-    more = confirmed(scratch.keep(pairs, "pairs"), "more")
+
+    def block(n: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def side(k: int, *fields: str) -> Column:
+        return F.struct(F.lit(k).alias("side"), *fields).alias("m")
+
+    grid = ["band", "key", "i", "j"]
+    outside = at.where("comp <> main").withColumn("i", block("down", 1)).withColumn("j", every("across")).select(*grid, side(1, "id", "comp", "n", "sketch"))
+    inside = at.withColumn("j", block("across", 2)).withColumn("i", every("down")).select(*grid, side(0, "id", "comp", "n", "sketch"))
+    tiles = outside.union(inside).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
+    near = scratch.keep(tiles.mapInArrow(_near_components(percent), "id long, other long").distinct(), "near")
+
+    # those members against all texts of the other component, in blocks of bounded size on either side
+    weight = TILE * 512
+    comp_of = texts.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("root", "id").alias("other"))
+    wide = comp_of.groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("across"))
+    tall = near.join(texts.select("id", "n"), "id").groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("down"))
+    plan = scratch.keep(wide.join(tall, "other"), "plan")
+    grid = ["other", "i", "j"]
+    ask = near.join(plan, "other").withColumn("i", block("down", 3)).withColumn("j", every("across")).join(texts.select("id", "text"), "id").select(*grid, side(1, "id", "text"))
+    have = comp_of.select("id", "other").join(plan, "other").withColumn("j", block("across", 4)).withColumn("i", every("down")).join(texts.select("id", "text"), "id").select(*grid, side(0, "id", "text"))
+    groups = ask.union(have).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
+    more = scratch.keep(groups.mapInArrow(_linked_members(shingle_words, rule, percent), "u long, v long"), "more")
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch)
 
     labelled = member.select("row_id", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row_id", F.coalesce("root", "rep").alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import DEFAULT_VOCABULARY, WordTokenizer, vocabulary_path
+from .tokens import DEFAULT_VOCABULARY, vocabulary_path, worker_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,7 +33,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _tokenise(path: str | None, vocabulary: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path or vocabulary_path(vocabulary))
+        tokenizer = worker_tokenizer(path or vocabulary_path(vocabulary))
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:

@@ -18,6 +18,16 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker; its word cache serves all the worker's tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 

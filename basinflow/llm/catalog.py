@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, packing, pii, toxicity
+from . import decontam, langid, near_dup, packing, pii, toxicity, url_rules
 from .common import read
 
 
@@ -23,11 +23,34 @@ def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("row_id", "doc_id")
 
 
+def op5_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; every fifth of the id hashes is held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, exclude_fold=(5, 0)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), capacity=4096)
 
 
+#: (verdict, host, path) of the rules that op7 applies.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest fitting rule of every page."""
+    return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; every third of the id hashes is held out."""
     docs = read(spark, sf_dir, "documents")
@@ -44,7 +67,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {f.__name__: f for f in (op3_private_data, op4_hyperminhash, op6_best_fit_packing, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

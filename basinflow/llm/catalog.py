@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, near_dup, packing, pii, toxicity, url_rules
+from . import decontam, langid, near_dup, packing, pii, quality, topk, toxicity, url_rules, warc
 from .common import read
 
 
+def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector id."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, query_divisor=20, scale=64.0)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    found = warc.archive_pages(read(spark, sf_dir, "pages"), with_payload=False).where("gap_reason is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = read(spark, sf_dir, "documents")
@@ -65,9 +76,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; every third of the id hashes is held out."""
+    found = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), exclude_fold=(3, 1))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "page_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {f.__name__: f for f in (op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_warc, op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination, op10_co_training)}
 
 
 def oracle_sql() -> dict[str, str]:

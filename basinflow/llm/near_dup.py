@@ -230,34 +230,43 @@ def near_duplicates(
     feats = scratch.keep(source.mapInArrow(_features(shingle_words, rule), _FEATURES), "features")
 
     named = feats.where("row_id is not null and n_shingles > 0")
-    classes = named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = scratch.keep(named.select("row_id", "fp1", "fp2", "n_shingles").join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"]).groupBy("row_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")), "classes")
+    fp = ["fp1", "fp2", "n_shingles"]
+    # written, so that joins with it read plain exchanges and a class of many copies can be split
+    classes = scratch.keep(named.groupBy(*fp).agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*fp, "rep"), "classes")
+    own_rep = F.coalesce("rep", "row_id")
+    classed = scratch.keep(named.select("row_id", *fp).join(classes, fp, "left").select("row_id", own_rep.alias("rep")), "classed")
+    member = scratch.keep(classed.groupBy("row_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("rows")), "members")
+    repeated = not member.where("rows > 1").isEmpty()
     # an id whose rows have different texts links the classes of all its texts
-    several = member.where("rep <> last").select(F.explode("reps").alias("u"), F.col("rep").alias("v")).where("u <> v")
-    reps = scratch.keep(
-        named.join(member.where("row_id = rep or rep <> last").select("row_id"), "row_id", "left_semi")
-        .join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"])
-        .where("row_id = rep")
-        .select(F.col("row_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"),
-        "sketches",
-    )
-
-    rows = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = scratch.keep(rows.join(shared, ["band", "key"]).select("band", "key", "id", "n", "size"), "buckets")
+    several = classed.withColumnRenamed("rep", "u").join(member.where("rep <> last"), "row_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+    reps = named.join(classes, fp, "left").where(own_rep == F.col("row_id"))
+    if repeated:
+        reps = reps.dropDuplicates(["row_id", "fp1", "fp2"])
+    reps = scratch.keep(reps.select(F.col("row_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "sketches")
+
+    # a key's salt tells its band
+    rows = reps.select("id", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = scratch.keep(rows.join(shared, "key"), "buckets")
     # a bucket's pivot is its member that meets most others over all bands: the text that its copies stem from, mostly
-    hubs = buckets.groupBy("id").agg(F.sum("size").alias("hub"), F.first("n").alias("n"))
-    hubs = scratch.keep(hubs, "hubs")
-    pivots = buckets.select("band", "key", "id").join(hubs, "id").groupBy("band", "key").agg(F.max(F.struct("hub", (-F.col("id")).alias("m"), "n")).alias("best"))
-    pivots = pivots.select("band", "key", (-F.col("best.m")).alias("pivot"), F.col("best.hub").alias("hub"), F.col("best.n").alias("pivot_n"))
+    # an id of several texts has no one size: a constant lets every comparison of sizes pass
+    sizes = reps.groupBy("id").agg((F.lit(512).cast("long") if repeated else F.max("n")).alias("n"))
+    hubs = scratch.keep(buckets.groupBy("id").agg(F.sum("size").alias("hub")).join(sizes, "id"), "hubs")
+    found = buckets
+    buckets = scratch.keep(found.select("key", "id").join(hubs, "id"), "members")
+    scratch.drop(found)
+    pivots = buckets.groupBy("key").agg(F.max(F.struct("hub", (-F.col("id")).alias("m"), "n")).alias("best"))
+    pivots = scratch.keep(pivots.select("key", (-F.col("best.m")).alias("pivot"), F.col("best.hub").alias("pivot_hub"), F.col("best.n").alias("pivot_n")), "pivots")
 
     def fits(x: Column, y: Column) -> Column:
         return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
-    texts = scratch.keep(source.join(hubs, "id").select("id", "text", "n"), "texts")
+    # the same join at every size: texts are dealt by id, once
+    texts = source.join(hubs.hint("merge"), "id").select("id", "text", "n")
+    texts = scratch.keep(texts.dropDuplicates(["id", "text"]) if repeated else texts, "texts")
     first = (
-        buckets.select("band", "key", "id", "n").join(pivots, ["band", "key"]).where(F.col("id") != F.col("pivot")).where(fits(F.col("n"), F.col("pivot_n")))
-        .groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.first("hub").alias("hub"))
+        buckets.join(pivots, "key").where(F.col("id") != F.col("pivot")).where(fits(F.col("n"), F.col("pivot_n")))
+        .groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.first("pivot_hub").alias("hub"))
         .groupBy("id").agg(F.max(F.struct("bands", "hub", "pivot")).alias("best"))
         .select(F.col("id").alias("u"), F.col("best.pivot").alias("v"))
     )
@@ -267,12 +276,13 @@ def near_duplicates(
     roots = scratch.keep(components(links.union(several), scratch), "roots")
 
     label = roots.select(F.col("node").alias("id"), "root")
-    marked = scratch.keep(buckets.join(label, "id", "left").select("band", "key", "id", "n", F.coalesce("root", "id").alias("comp")), "marked")
-    scratch.drop(buckets)
-    parts = marked.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = parts.groupBy("band", "key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = mixed.select("band", "key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("across"), F.ceil((F.col("size") - F.col("main.k")) / TILE).cast("int").alias("down"))
-    at = marked.join(mixed, ["band", "key"]).join(reps.select("id", "sketch"), "id")
+    marked = scratch.keep(buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp")), "marked")
+    scratch.drop(buckets, pivots)
+    parts = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("across"), F.ceil((F.col("size") - F.col("main.k")) / TILE).cast("int").alias("down"))
+    mixed = scratch.keep(mixed, "mixed")
+    at = marked.join(mixed, "key").join(reps.select("id", "sketch"), "id")
 
     def block(n: str, seed: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
@@ -283,7 +293,7 @@ def near_duplicates(
     def side(k: int, *fields: str) -> Column:
         return F.struct(F.lit(k).alias("side"), *fields).alias("m")
 
-    grid = ["band", "key", "i", "j"]
+    grid = ["key", "i", "j"]
     outside = at.where("comp <> main").withColumn("i", block("down", 1)).withColumn("j", every("across")).select(*grid, side(1, "id", "comp", "n", "sketch"))
     inside = at.withColumn("j", block("across", 2)).withColumn("i", every("down")).select(*grid, side(0, "id", "comp", "n", "sketch"))
     tiles = outside.union(inside).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
@@ -291,9 +301,9 @@ def near_duplicates(
 
     # those members against all texts of the other component, in blocks of bounded size on either side
     weight = TILE * 512
-    comp_of = texts.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("root", "id").alias("other"))
+    comp_of = texts.select("id", "n").distinct().join(label, "id", "left").select("id", "n", F.coalesce("root", "id").alias("other"))
     wide = comp_of.groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("across"))
-    tall = near.join(texts.select("id", "n"), "id").groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("down"))
+    tall = near.join(hubs.select("id", "n"), "id").groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("down"))
     plan = scratch.keep(wide.join(tall, "other"), "plan")
     grid = ["other", "i", "j"]
     ask = near.join(plan, "other").withColumn("i", block("down", 3)).withColumn("j", every("across")).join(texts.select("id", "text"), "id").select(*grid, side(1, "id", "text"))

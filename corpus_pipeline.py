@@ -28,7 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "dedup-stage")
     found = scratch.keep(near_dup.near_duplicates(docs, shingle_words=5, percent=80), "classes")
     rejected = found.where("not kept").select(F.col("row_id").alias("doc_id")).distinct()
-    kept = docs.join(rejected, "doc_id", "left_anti")
+    # the same join at every size: documents are dealt by id, once
+    kept = docs.join(rejected.hint("merge"), "doc_id", "left_anti")
     repeated = scratch.keep(found.where("row_id is not null").groupBy("row_id").count().where("count > 1").select(F.col("row_id").alias("doc_id")), "repeated")
     if repeated.isEmpty():
         return kept

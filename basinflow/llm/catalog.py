@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, near_dup, packing, pii, quality, topk, toxicity, url_rules, warc
+from . import decontam, langid, near_dup, oracles, packing, pii, quality, topk, toxicity, url_rules, warc
 from .common import read
 
 
@@ -90,4 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where whole tables are within its reach."""
-    return {}
+    return {
+        "op1_block_top_k": oracles.TOP_K,
+        "op2_warc": oracles.WARC,
+        "op4_hyperminhash": oracles.NEAR_DUPLICATES,
+        "op7_url_rules": oracles.URL_RULES,
+        "op9_decontamination": oracles.DECONTAMINATION,
+    }

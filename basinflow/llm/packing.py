@@ -3,10 +3,10 @@
 Documents become pieces of at most CAPACITY tokens. Pieces are dealt by hash to
 partitions of bounded size, each packed best-fit decreasing. Dual-feasible functions
 give each partition a lower bound on its bins; a partition that meets it is certified.
-Partitions with a gap release their emptier bins, and all partitions but the last
-release their emptiest one; released documents meet those of other partitions and are
-packed again, until one partition is left. A repacking that needs more bins than it
-was given is not taken.
+Partitions with a gap release their emptier bins, and all others their emptiest one;
+released documents meet those of other partitions and are packed again, until one
+partition is left or partitions stop getting fewer. A repacking that needs more bins
+than it was given is not taken.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a partition, on average.
 PARTITION_PIECES = 20_000
+#: Rounds of exchange after which partitions that don't get fewer are left as they are.
+STALLED_ROUNDS = 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -125,6 +127,8 @@ def _pack_group(capacity: int, round_no: int, last: bool):
         if not last:
             gap = len(fill) - bound
             released[np.argsort(fill, kind="stable")[: min(len(fill), 4 * gap + 1)]] = True
+            if gap:
+                released |= fill < 0.9 * capacity
             released &= fill < capacity
         seq = bins + (group << 24) + (round_no << 56)
         done = [c for c in table.column_names if c not in ("sequence_id", "offset", "part", "released", "round", "bins", "bound")]
@@ -177,18 +181,20 @@ def pack(
     deal = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
     todo = rest.withColumn("sequence_id", F.lit(-1).cast("long")).withColumn("offset", F.lit(-1).cast("long")).withColumn("part", deal)
     results = [whole]
-    round_no = 0
+    round_no, last, stalled = 0, False, 0
     while n:
-        last = parts == 1
+        last = last or parts == 1
         packed = scratch.keep(todo.groupBy("part").applyInArrow(_pack_group(capacity, round_no, last), types), f"round{round_no}")
         results.append(packed.where("not released") if not last else packed)
         if last:
             break
         again = packed.where("released")
         n = again.count()
-        # several former partitions meet in one, whole bins of each
-        parts = min(math.ceil(n / partition_pieces), parts // 2) if n else 1
-        parts = max(1, parts)
+        # several former partitions meet in one, whole bins of each; partitions that exchange
+        # without getting fewer than half are given a few rounds
+        before, parts = parts, max(1, math.ceil(n / partition_pieces))
+        stalled += parts > before // 2
+        last = stalled > STALLED_ROUNDS
         round_no += 1
         todo = again.select(*columns, "sequence_id", "offset", F.pmod(F.xxhash64("part", F.lit(round_no)), F.lit(parts)).alias("part"))
     out = results[0]

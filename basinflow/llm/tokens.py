@@ -43,7 +43,7 @@ class WordTokenizer:
     _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
     _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, most_cached: int = 300_000, most_pieces: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -53,7 +53,7 @@ class WordTokenizer:
         size = self.tokenizer.get_vocab_size()
         self._ends = np.zeros(size, bool)
         self._ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.most_cached = most_cached
+        self.most_cached, self.most_pieces = most_cached, most_pieces
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,8 +90,8 @@ class WordTokenizer:
             plain.append((i, t.lower().split()))
         for at in range(0, len(plain), 64):
             group = plain[at : at + 64]
-            for cache in (self.cache, self.pieces):
-                if len(cache) > self.most_cached:
+            for cache, most in ((self.cache, self.most_cached), (self.pieces, self.most_pieces)):
+                if len(cache) > most:
                     cache.clear()
             missing = set().union(*(runs for _, runs in group)).difference(self.cache)
             if missing:

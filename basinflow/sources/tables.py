@@ -27,6 +27,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     kind = _suffix(path)
     if kind == ".csv":
         frames = spark.read.option("header", True).csv(path)
+        # CSV can't tell an empty text from none; a frame's comment is never none
+        if "comment_line" in frames.columns:
+            frames = frames.withColumn("comment_line", F.coalesce("comment_line", F.lit("")))
         known = {f.name for f in CORE} | set(OPTIONAL)
         numbers = [c for c in frames.columns if c not in known and not c.startswith("state_")]
         return validated(frames, numbers)

@@ -43,39 +43,46 @@ class WordTokenizer:
     _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
     _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
-    def __init__(self, path: str, most_cached: int = 300_000, most_pieces: int = 150_000):
+    def __init__(self, path: str, most_cached: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        #: Ids of pieces, and of runs of several pieces.
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.most_cached = most_cached
         size = self.tokenizer.get_vocab_size()
-        self._ends = np.zeros(size, bool)
-        self._ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.most_cached, self.most_pieces = most_cached, most_pieces
+        self._raw = [int(i).to_bytes(4, "little") for i in range(size)]
+        # the vocabulary's letters for bytes: printable ones stand for themselves, the rest follow from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self._letters = {b: 256 + i for i, b in enumerate(others)}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Cache the ids of pieces, encoded together: the last id of each marks a word's end."""
-        ids = np.frombuffer(self._encode([" ".join(pieces)])[0], "<u4")
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) == len(pieces):
-            raw, at = ids.tobytes(), (ends * 4).tolist()
-            self.pieces.update(zip(pieces, (raw[a:b] for a, b in zip([0, *at], at))))
-        else:
-            self.pieces.update(zip(pieces, self._encode(pieces)))
-
-    def _learn(self, runs: list[str]) -> None:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece in lower case: merges alone are left to do."""
+        known = self.cache.get(piece)
+        if known is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+            raw = self._raw
+            known = self.cache[piece] = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
+        return known
+
+    def _learn(self, runs: set[str]) -> None:
         """Cache the ids of runs, piece by piece."""
-        parts = [self._PIECE.findall(r) for r in runs]
-        new = list({p for ps in parts for p in ps}.difference(self.pieces))
-        if new:
-            self._learn_pieces(new)
-        get = self.pieces.__getitem__
-        self.cache.update(zip(runs, (get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in parts)))
+        cache, piece = self.cache, self._piece
+        for run in runs:
+            if run.isalpha():
+                piece(run)
+            else:
+                parts = self._PIECE.findall(run)
+                if len(parts) == 1:
+                    piece(run)
+                else:
+                    cache[run] = b"".join([piece(p) for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, exactly those of the tokenizer."""
@@ -90,12 +97,11 @@ class WordTokenizer:
             plain.append((i, t.lower().split()))
         for at in range(0, len(plain), 64):
             group = plain[at : at + 64]
-            for cache, most in ((self.cache, self.most_cached), (self.pieces, self.most_pieces)):
-                if len(cache) > most:
-                    cache.clear()
+            if len(self.cache) > self.most_cached:
+                self.cache.clear()
             missing = set().union(*(runs for _, runs in group)).difference(self.cache)
             if missing:
-                self._learn(list(missing))
+                self._learn(missing)
             get = self.cache.__getitem__
             for i, runs in group:
                 out[i] = b"".join(map(get, runs))

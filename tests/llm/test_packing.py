@@ -15,7 +15,7 @@ TEXTS = ["", " ", "Plain text, don't! 123 £5 ½", "ÉCOLE é Straße ΟΔΟΣ 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return WordTokenizer(vocabulary_path(), most_cached=50, most_pieces=20)
+    return WordTokenizer(vocabulary_path(), most_cached=50)
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -27,7 +27,7 @@ def test_ids_are_the_tokenizers(tokenizer, text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abzAZéÉßÿ019 .,'!<|>/w\n\t\r-_×÷&"), max_size=60), max_size=5))
 def test_random_ids_are_the_tokenizers(texts):
-    t = test_random_ids_are_the_tokenizers.__dict__.setdefault("t", WordTokenizer(vocabulary_path(), 40, 20))
+    t = test_random_ids_are_the_tokenizers.__dict__.setdefault("t", WordTokenizer(vocabulary_path(), 40))
     assert [np.frombuffer(b, "<u4").tolist() for b in t.encode(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 

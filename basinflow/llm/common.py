@@ -45,7 +45,8 @@ class Scratch:
         ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        # the tables themselves are held, so that no other object can take their id
+        self._kept: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -57,12 +58,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         # the schema is known: no job to infer it, and an empty table stays readable
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._kept[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
-            path = self._paths.pop(id(t), None) if t is not None else None
+            _, path = self._kept.pop(id(t), (None, None))
             if path:
                 hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
                 fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -94,7 +94,7 @@ def fit(
     """Dictionaries and curve from about ``most_docs`` documents of each language.
 
     Rows are drawn by a hash of the id, from those with id, text and language; texts
-    beyond ``most_chars`` are not drawn. ``exclude_fold`` (m, r) leaves out documents
+    beyond ``most_chars`` are not drawn, and of an id's rows one is. ``exclude_fold`` (m, r) leaves out documents
     whose crc32(id as text) mod m is r. A fifth of the sample is kept out of the
     dictionaries to fit the curve. Without rows to learn from, the model knows no
     language and calls every text undetermined.
@@ -105,7 +105,7 @@ def fit(
     if exclude_fold:
         rows = rows.where(F.crc32(F.col("id").cast("string")) % exclude_fold[0] != exclude_fold[1])
     rows = rows.where((F.length("text") > 0) & (F.length("text") <= most_chars))
-    sample = sorted(tuple(r) for r in bounded_by_class(rows, "lang", "id", most_docs).collect())
+    sample = sorted(tuple(r) for r in bounded_by_class(rows, "lang", "id", most_docs).dropDuplicates(["id"]).collect())
     by_lang: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     for i, (_, text, lang) in enumerate(sample):

@@ -277,7 +277,7 @@ def near_duplicates(
 
     label = roots.select(F.col("node").alias("id"), "root")
     marked = scratch.keep(buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp")), "marked")
-    scratch.drop(buckets, pivots)
+    scratch.drop(pivots)
     parts = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = mixed.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / TILE).cast("int").alias("across"), F.ceil((F.col("size") - F.col("main.k")) / TILE).cast("int").alias("down"))
@@ -312,6 +312,7 @@ def near_duplicates(
     more = scratch.keep(groups.mapInArrow(_linked_members(shingle_words, rule, percent), "u long, v long"), "more")
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch)
 
+    scratch.drop(classes, classed, reps, hubs, buckets, texts, links, marked, mixed, near, plan, more)
     labelled = member.select("row_id", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row_id", F.coalesce("root", "rep").alias("component_id"))
     named_rows = feats.where("row_id is not null").select("row_id", "n_shingles").join(labelled, "row_id", "left").select("row_id", "n_shingles", F.coalesce("component_id", "row_id").alias("component_id"))
     unnamed = feats.where("row_id is null").select("row_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))

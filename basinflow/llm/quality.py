@@ -194,10 +194,10 @@ def fit(viewed: DataFrame, labels: DataFrame, *, label_id_col: str = "doc_id", l
         marks = marks.where(F.crc32(F.col("id").cast("string")) % exclude_fold[0] != exclude_fold[1])
     sample = bounded_by_class(marks.groupBy("id").agg(F.min("label").alias("label")), "label", "id", most_per_class)
     # the sample's size is bounded by the parameter
-    got = sorted(tuple(r) for r in viewed.join(F.broadcast(sample), "id").select("id", "label", "text_view", "page_view").collect())
+    got = sorted(tuple(r) for r in viewed.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "label", "text_view", "page_view").collect())
     n = viewed.count()
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    pool = sorted(tuple(r) for r in viewed.where(draw < min(1.0, most_pool / max(n, 1))).select("id", "text_view", "page_view").limit(2 * most_pool).collect() if r[0] is not None)
+    pool = sorted(tuple(r) for r in viewed.where(draw < min(1.0, most_pool / max(n, 1))).where("id is not null").dropDuplicates(["id"]).select("id", "text_view", "page_view").collect())
 
     def matrix(rows: list, k: int) -> np.ndarray:
         return np.array([r[k] for r in rows], float).reshape(len(rows), -1)

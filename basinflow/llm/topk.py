@@ -167,19 +167,20 @@ def top_k(
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         tile = Tile(np.asarray(left.column("id")), _matrix(left.column("x"), width))
-        own, ids = np.asarray(right.column("id")), np.asarray(right.column("row"))
+        own, ids = np.asarray(right.column("query")), np.asarray(right.column("row"))
         if not len(tile.ids) or not len(own):
             r, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            r, d, s, _ = tile.search(own, _matrix(right.column("x"), width), k)
+            r, d, s, _ = tile.search(own, _matrix(right.column("q"), width), k)
         return pa.table({"row": ids[r], "query_id": own[r], "vec_id": d, "score": s.astype(np.int64)}, pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    def dealt(parts: int, seed: int):
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
+    def dealt(parts: int, seed: int, key: str = "id"):
+        return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)).cast("int")
 
     docs = rows.select("id", "x", dealt(down, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
-    asked = rows.where(is_query).select("id", "x", "row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"))
-    asked = asked.withColumn("j", dealt(across, 2))
+    # named anew: the two sides of a cogroup must not share columns, or unused ones are pruned wrongly
+    asked = rows.where(is_query).select(F.col("id").alias("query"), F.col("x").alias("q"), F.col("row").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"))
+    asked = asked.withColumn("j", dealt(across, 2, "query"))
     found = docs.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -266,6 +266,8 @@ def fit(
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
     # the sample's size is bounded by the parameter
     found = rows.join(F.broadcast(sample), "id").select("id", "text", "lang", "label").mapInArrow(_words_of(most_words), "id long, words binary, lang string, label int").where("words is not null")
+    # one row of an id, however many there are
+    found = found.dropDuplicates(["id"])
     got = sorted(found.collect(), key=lambda r: (r.id, bytes(r.words)))
     hashes = [np.frombuffer(r.words, np.uint64).reshape(2, -1) for r in got]
     return fit_model(hashes, np.array([r.label for r in got], np.int64), [r.lang for r in got], steps=steps)

@@ -34,6 +34,13 @@ def test_equals_brute_force(spark, rows, tiles):
     assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **tiles) == brute([(i, np.float32(v).tolist()) for i, v in rows])
 
 
+def test_any_columns_of_the_result(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute([(i, np.float32(v).tolist()) for i, v in rows])
+    assert topk.top_k(df).count() == len(want)
+    assert sorted(r.score for r in topk.top_k(df).select("score").collect()) == sorted(w[3] for w in want)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, None), (3, [None, 1.0]), (4, [math.nan, 1.0]), (5, [math.inf, 0.0]), (None, [1.0, 1.0]), (6, []), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (20, [-0.5, 0.01])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, x int, score int")

@@ -1 +1 @@
-
+"""Operators over frames: DataFrame in, DataFrame out."""

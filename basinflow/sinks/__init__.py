@@ -1 +1 @@
-
+"""Pages, pictures and compact blocks."""

@@ -1 +1 @@
-
+"""Readers of structure files and coordinate tables."""

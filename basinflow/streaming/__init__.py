@@ -1 +1 @@
-
+"""Incremental counting of transitions over a stream of frames."""

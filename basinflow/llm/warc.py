@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +97,8 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), pos - len(z.unused_data)) if z.eof else None
 
 
-def parse(raw: bytes | memoryview, at: int) -> tuple[Found | None, int, str]:
+def parse(raw: bytes, at: int) -> tuple[Found | None, int, str]:
     """Record at a position of uncompressed bytes, its end, and what is wrong if it isn't valid."""
-    raw = bytes(raw) if at == 0 and not isinstance(raw, bytes) else raw
     if raw[at : at + 5] != b"WARC/":
         return None, at, "no version line"
     close = raw.find(b"\r\n\r\n", at)
@@ -132,13 +130,12 @@ def parse(raw: bytes | memoryview, at: int) -> tuple[Found | None, int, str]:
     return Found(headers, payload, size, at, end + 4), end + 4, ""
 
 
-def _records(raw: bytes, base: int, scale: bool) -> tuple[list[Found], list[Gap]]:
-    """Records of uncompressed bytes, salvaging at version lines; positions are offset by base."""
+def _records(raw: bytes) -> tuple[list[Found], list[Gap]]:
+    """Records of uncompressed bytes, salvaging at version lines."""
     found, gaps, at, n = [], [], 0, len(raw)
     while at < n:
         got, end, why = parse(raw, at)
         if got:
-            got.start, got.end = base + at, base + end
             found.append(got)
             at = end
             continue
@@ -150,7 +147,7 @@ def _records(raw: bytes, base: int, scale: bool) -> tuple[list[Found], list[Gap]
                 break
             if raw[nxt - 1 : nxt] == b"\n" and parse(raw, nxt)[0]:
                 break
-        gaps.append(Gap(base + start, base + nxt, why))
+        gaps.append(Gap(start, nxt, why))
         at = nxt
     return found, gaps
 
@@ -160,14 +157,14 @@ def salvage(data: bytes) -> tuple[list[Found], list[Gap]]:
     found: list[Found] = []
     gaps: list[Gap] = []
     if data[:2] != b"\x1f\x8b" and b"\x1f\x8b\x08" not in data[:4096]:
-        return _records(data, 0, False)
+        return _records(data)
     view, at, n = memoryview(data), 0, len(data)
 
     def whole(p: int) -> tuple[list[Found], list[Gap], int] | None:
         got = _inflate(view, p) if data[p : p + 3] == b"\x1f\x8b\x08" else None
         if got is None:
             return None
-        records, inner = _records(got[0], 0, True)
+        records, inner = _records(got[0])
         for r in records:
             r.start, r.end = p, got[1]
         return records, inner, got[1]

@@ -336,3 +336,19 @@ def test_row_numbers_union_and_sample(spark):
     assert table.sample_exact(df, 5000, ["id"]).count() == 1000
     rec = table.records(spark.createDataFrame([(1, float("nan"), None)], "a long, b double, c string"), "r").first().r
     assert json.loads(rec) == {"a": 1, "b": None, "c": None}
+
+
+def test_npz_converter(spark, tmp_path):
+    from basinflow.sources.convert import npz_to_xyz
+
+    rng = np.random.default_rng(0)
+    r = rng.normal(size=(5, 3, 3))
+    source, target = str(tmp_path / "a.npz"), str(tmp_path / "a.xyz")
+    np.savez(source, z=np.array([6, 8, 1], np.uint8), R=r, E=np.arange(5.0).reshape(5, 1))
+    assert npz_to_xyz(source, target, stride=2) == 3
+    got = xyz.read_frames(xyz.index_files(spark, [target])).orderBy("frame_number").collect()
+    assert got[0].elements == ["C", "O", "H"] and np.allclose([g.coords for g in got], r[::2].reshape(3, -1), atol=1e-5)
+    assert xyz.metadata(xyz.index_files(spark, [target])).orderBy("frame_number").collect()[1].step_number == 2
+    for bad in ({"stride": 0}, {"sha256": "0"}):
+        with pytest.raises(ValueError):
+            npz_to_xyz(source, target, **bad)

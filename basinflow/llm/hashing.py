@@ -68,10 +68,10 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def _slice_words(data: np.ndarray, rule: WordRule, starts_at: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(data: np.ndarray, rule: WordRule, starts_at: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of the words of data; a word never crosses a position of starts_at.
 
-    With a prefix length, hashes has a second row, of the words' first bytes.
+    With prefix lengths, hashes has a row for each, of the words' first bytes, below that of the words.
     """
     n = len(data)
     word = rule.word[data]
@@ -89,13 +89,13 @@ def _slice_words(data: np.ndarray, rule: WordRule, starts_at: np.ndarray, prefix
     value = (total[last] - head) * inverse[first]
     length = last - first + 1
     value = mix(value + length.astype(np.uint64))
-    if prefix:
-        start = (total[np.minimum(last, first + prefix - 1)] - head) * inverse[first]
-        value = np.stack([value, mix(start + np.uint64(prefix))])
+    if prefixes:
+        starts = [(total[np.minimum(last, first + n - 1)] - head) * inverse[first] for n in prefixes]
+        value = np.stack([value, *(mix(s + np.uint64(n)) for s, n in zip(starts, prefixes))])
     return value, first
 
 
-def _long_words(data: np.ndarray, rule: WordRule, prefix: int) -> np.ndarray:
+def _long_words(data: np.ndarray, rule: WordRule, prefixes: tuple[int, ...]) -> np.ndarray:
     """Word hashes of one text of any length."""
     out, at, n, zero = [], 0, len(data), np.zeros(1, np.int64)
     while at < n:
@@ -109,9 +109,9 @@ def _long_words(data: np.ndarray, rule: WordRule, prefix: int) -> np.ndarray:
             else:
                 step *= 2
                 end = min(at + step, n)
-        out.append(_slice_words(data[at:end], rule, zero, prefix)[0])
+        out.append(_slice_words(data[at:end], rule, zero, prefixes)[0])
         at = end
-    return np.concatenate(out, axis=-1) if out else np.zeros((2, 0) if prefix else 0, np.uint64)
+    return np.concatenate(out, axis=-1) if out else np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
 
 
 def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -133,10 +133,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(off[-1] - off[0]), int(off[0])), off - off[0]
 
 
-def words(column: pa.Array, rule: WordRule, prefix: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, rule: WordRule, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of rows: (first row, word hashes, number of words of each row).
 
-    With a prefix length, the hashes are two rows: of whole words, and of prefixes.
+    With prefix lengths, the hashes are rows: of whole words, and of the prefixes of each length.
     """
     data, off = text_bytes(column)
     n, at = len(off) - 1, 0
@@ -145,10 +145,10 @@ def words(column: pa.Array, rule: WordRule, prefix: int = 0) -> Iterator[tuple[i
         to = min(to, n)
         part = data[off[at] : off[to]]
         if len(part) > 2 * GROUP_BYTES:
-            hashes = _long_words(part, rule, prefix)
+            hashes = _long_words(part, rule, prefixes)
             yield at, hashes, np.array([hashes.shape[-1]])
         else:
-            hashes, first = _slice_words(part, rule, off[at : to + 1] - off[at], prefix)
+            hashes, first = _slice_words(part, rule, off[at : to + 1] - off[at], prefixes)
             edges = np.searchsorted(first, off[at : to + 1] - off[at])
             yield at, hashes, np.diff(edges)
         at = to

@@ -1,7 +1,8 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed into two embedding tables, one of whole words and one of word
-beginnings, so variants of a word share weights. Filters of several widths slide over
+Words are hashed into embedding tables, of whole words and of word beginnings of some
+lengths, so variants of a word share weights. An embedding starts from how much more
+common its bucket is in toxic training texts. Filters of several widths slide over
 the sequence, each filter's largest response over the whole text is kept, and a
 logistic layer reads those. Response thresholds are calibrated by language, which is
 guessed from the text; a score of 0.7 is the threshold of the text's language.
@@ -23,11 +24,15 @@ from .common import Scratch
 from .sampling import bounded_by_class
 
 BUCKETS = 1 << 16
-PREFIX = 4
+#: Bytes of the word beginnings that have tables of their own.
+PREFIXES = (4, 7)
+TABLES = 1 + len(PREFIXES)
 WIDTH = 8
 FILTER_WIDTHS = (1, 2, 3)
 FILTERS = 12
 DECISION = 0.7
+#: Training texts a bucket must occur in to have an embedding.
+LEAST_TEXTS = 3
 _LANG_BUCKETS = 1 << 13
 
 
@@ -35,8 +40,7 @@ _LANG_BUCKETS = 1 << 13
 class Network:
     """Weights: embeddings, a kernel and bias for each filter width, the output layer."""
 
-    words: np.ndarray
-    starts: np.ndarray
+    tables: list[np.ndarray]
     kernels: list[np.ndarray]
     biases: list[np.ndarray]
     out: np.ndarray
@@ -46,15 +50,18 @@ class Network:
     def initial(cls, seed: int) -> Network:
         rng = np.random.default_rng(seed)
         # the last row of an embedding is the padding and stays zero
-        tables = [rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32) for _ in range(2)]
+        tables = [rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32) for _ in range(TABLES)]
         for t in tables:
             t[-1] = 0
         kernels = [rng.normal(0, 0.4 / np.sqrt(k), (k * WIDTH, FILTERS)).astype(np.float32) for k in FILTER_WIDTHS]
         n = FILTERS * len(FILTER_WIDTHS)
-        return cls(*tables, kernels, [np.zeros(FILTERS, np.float32) for _ in FILTER_WIDTHS], rng.normal(0, 0.1, n).astype(np.float32), 0.0)
+        return cls(tables, kernels, [np.zeros(FILTERS, np.float32) for _ in FILTER_WIDTHS], rng.normal(0, 0.1, n).astype(np.float32), 0.0)
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
-        return self.words[ids[0]] + self.starts[ids[1]]
+        out = self.tables[0][ids[0]]
+        for t, row in zip(self.tables[1:], ids[1:]):
+            out = out + t[row]
+        return out
 
     def windows(self, x: np.ndarray, k: int) -> np.ndarray:
         return x if k == 1 else np.concatenate([x[j : len(x) - k + 1 + j] for j in range(k)], axis=1)
@@ -81,18 +88,46 @@ def padded(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Bucket ids with padding after every text, and where texts begin."""
     pad = max(FILTER_WIDTHS)
     begin = np.concatenate([[0], np.cumsum(counts + pad)])
-    ids = np.full((2, begin[-1]), BUCKETS, np.int64)
+    ids = np.full((TABLES, begin[-1]), BUCKETS, np.int64)
     at = np.arange(hashes.shape[1]) + pad * np.repeat(np.arange(len(counts)), counts)
     ids[:, at] = (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
     return ids, begin[:-1]
 
 
+def bucket_evidence(texts: list[np.ndarray], labels: np.ndarray, least: int = LEAST_TEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each table, whether a bucket occurs in so many texts, and its log odds of toxic texts in deviations."""
+    out = []
+    number = [(labels == c).sum() for c in (0, 1)]
+    for t in range(TABLES):
+        seen = np.zeros((2, BUCKETS + 1))
+        for ids, y in zip(texts, labels):
+            seen[y, np.unique(ids[t])] += 1
+        seen[:, BUCKETS] = 0
+        odds = np.log((seen[1] + 0.5) / (number[1] + 1)) - np.log((seen[0] + 0.5) / (number[0] + 1))
+        out.append((seen.sum(axis=0) >= least, odds / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))))
+    return out
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int = 1200, batch: int = 32, rate: float = 0.02) -> Network:
-    """Fits a network to padded id sequences by Adam, classes balanced."""
+    """Fits a network to padded id sequences by Adam, classes balanced.
+
+    Only buckets common among the texts have an embedding; all others stay zero, so
+    neither a training text's own rare words nor words never seen can be a response.
+    """
     net, rng = Network.initial(seed), np.random.default_rng(seed)
+    evidence = bucket_evidence(texts, labels)
+    texts = [np.stack([np.where(k[row], row, BUCKETS) for (k, _), row in zip(evidence, ids)]) for ids in texts]
+    for (k, odds), table in zip(evidence, net.tables):
+        table[:, 0] = odds / 4
+        table[~k] = 0
+    # the first filter of each width starts by reading the evidence
+    for width, kernel in zip(FILTER_WIDTHS, net.kernels):
+        kernel[:, 0] = 0
+        kernel[::WIDTH, 0] = 1 / width
+    net.out[::FILTERS] = 1.0
     dense = [*net.kernels, *net.biases, net.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
-    square = [np.full(BUCKETS + 1, 1e-4, np.float32) for _ in range(2)]
+    square = [np.full(BUCKETS + 1, 1e-4, np.float32) for _ in range(TABLES)]
     groups = [np.flatnonzero(labels == c) for c in (0, 1)]
     n = FILTERS
     for step in range(1, steps + 1):
@@ -132,7 +167,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int
             p -= rate * 0.5 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         net.out_bias -= rate * g_bias
         at, g = np.concatenate(rows, axis=1), np.concatenate(row_grads)
-        for t, (table, sq) in enumerate(zip((net.words, net.starts), square)):
+        for t, (table, sq) in enumerate(zip(net.tables, square)):
             where, back_to = np.unique(at[t], return_inverse=True)
             total = np.zeros((len(where), WIDTH), np.float32)
             np.add.at(total, back_to.reshape(-1), g)
@@ -219,7 +254,7 @@ def _words_of(n_most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list = [None] * len(batch)
-            for at, hashes, counts in hashing.words(_lower(batch.column(1)), hashing.ALNUM, PREFIX):
+            for at, hashes, counts in hashing.words(_lower(batch.column(1)), hashing.ALNUM, PREFIXES):
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 for r in range(len(counts)):
                     if 0 < counts[r] <= n_most:
@@ -269,7 +304,7 @@ def fit(
     # one row of an id, however many there are
     found = found.dropDuplicates(["id"])
     got = sorted(found.collect(), key=lambda r: (r.id, bytes(r.words)))
-    hashes = [np.frombuffer(r.words, np.uint64).reshape(2, -1) for r in got]
+    hashes = [np.frombuffer(r.words, np.uint64).reshape(TABLES, -1) for r in got]
     return fit_model(hashes, np.array([r.label for r in got], np.int64), [r.lang for r in got], steps=steps)
 
 
@@ -277,7 +312,7 @@ def _score_batch(batch: pa.RecordBatch, text: int, model: Model | None) -> np.nd
     out = np.zeros(len(batch))
     if model is None:
         return out
-    for at, hashes, counts in hashing.words(_lower(batch.column(text)), hashing.ALNUM, PREFIX):
+    for at, hashes, counts in hashing.words(_lower(batch.column(text)), hashing.ALNUM, PREFIXES):
         out[at : at + len(counts)] = model.scores(hashes, counts)
     return out
 

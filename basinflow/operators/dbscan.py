@@ -8,7 +8,6 @@ side. Clusters are components of core points; labels propagate in written rounds
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -17,18 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import binning
 from ..functions.labels import NOISE
+from ..session import work_dir
 from .grouping import same_group
 
 #: Tasks that the points of one bucket are dealt to.
 SALTS = 8
 
 
-def _work_dir(frames: DataFrame) -> str:
-    spark = frames.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/dbscan-{uuid.uuid4().hex}"
-
-
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,7 +54,7 @@ def dbscan_states(
     """
     if not eps > 0 or (periodic and eps >= 180):
         raise ValueError(f"eps must be positive, below 180 degrees on periodic axes; got {eps}")
-    base = _work_dir(frames)
+    base = f"{work_dir(frames.sparkSession)}/dbscan-{uuid.uuid4().hex}"
     vx, vy = F.col(x).try_cast("double"), F.col(y).try_cast("double")
     every = frames.select(*group, F.col(key).alias("_k"), vx.alias("_x"), vy.alias("_y"))
     valid = every.where(binning.finite(F.col("_x")) & binning.finite(F.col("_y")))

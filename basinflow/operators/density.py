@@ -40,15 +40,14 @@ def log_scale(cells_: DataFrame) -> DataFrame:
 def free_energy(cells_: DataFrame, unit: str = "kT", temperature: float | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Cells with their free energy above the most populated one of the group.
 
-    The largest count is an aggregate joined back, not a window, so no task gathers all
-    cells of an ungrouped map.
+    The largest count is an aggregate joined back, or a scalar of the whole map, not a
+    window, so no task gathers all cells of an ungrouped map.
     """
     if group:
         top = cells_.groupBy(*group).agg(F.max("count").alias("largest"))
         joined = join_groups(cells_, top, group)
     else:
-        # a single row
-        joined = cells_.join(F.broadcast(cells_.agg(F.max("count").alias("largest"))))
+        joined = cells_.withColumn("largest", cells_.agg(F.max("count")).scalar())
     return joined.withColumn("free_energy", energy.free_energy(F.col("count"), F.col("largest"), unit, temperature)).drop("largest")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+
 #: Columns every coordinate table starts with, in order.
 CORE = T.StructType(
     [
@@ -64,14 +67,9 @@ def number_rows(frames: DataFrame, order: Sequence[str], name: str) -> DataFrame
 
 
 def _stable(df: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def concatenated(tables: Sequence[DataFrame]) -> DataFrame:

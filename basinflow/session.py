@@ -37,6 +37,27 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_WORK_DIRS: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """Folder for written intermediate tables that the driver and every executor see.
+
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session on
+    one machine gets a temporary folder; on a cluster it is an error.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _WORK_DIRS:
+        _WORK_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="basinflow-")
+        spark.sparkContext.setCheckpointDir(_WORK_DIRS[app])
+    return _WORK_DIRS[app]
+
+
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("basinflow")

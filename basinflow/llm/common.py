@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinflow.session import ship_package
-
-_OWN_DIRS: dict[str, str] = {}
+from basinflow.session import ship_package, work_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,22 +14,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (local
-    tests), one folder of this process is made and set as checkpoint folder.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="basinflow-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-    return _OWN_DIRS[app]
-
-
 class Scratch:
     """Written tables of one operator call, in the shared folder.
 
@@ -44,7 +25,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         # the tables themselves are held, so that no other object can take their id
         self._kept: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0

@@ -8,7 +8,6 @@ side. Clusters are components of core points; labels propagate in written rounds
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,18 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import binning
 from ..functions.labels import NOISE
-from ..session import work_dir
+from ..session import written
 from .grouping import same_group
 
 #: Tasks that the points of one bucket are dealt to.
 SALTS = 8
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _buckets(v: Column, eps: float, periodic: bool) -> tuple[Column, Column]:
     """A value's own bucket, and the buckets its neighbours can be in."""
     if not periodic:
@@ -54,12 +48,11 @@ def dbscan_states(
     """
     if not eps > 0 or (periodic and eps >= 180):
         raise ValueError(f"eps must be positive, below 180 degrees on periodic axes; got {eps}")
-    base = f"{work_dir(frames.sparkSession)}/dbscan-{uuid.uuid4().hex}"
     vx, vy = F.col(x).try_cast("double"), F.col(y).try_cast("double")
     every = frames.select(*group, F.col(key).alias("_k"), vx.alias("_x"), vy.alias("_y"))
     valid = every.where(binning.finite(F.col("_x")) & binning.finite(F.col("_y")))
     sizes = valid.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
-    points = _written(valid.join(sizes, same_group(valid, sizes, group), "left_semi"), f"{base}/points")
+    points = written(valid.join(sizes, same_group(valid, sizes, group), "left_semi"), "dbscan-points")
     if max_points is not None and points.count() > max_points:
         raise ValueError(f"density clustering of more than {max_points} points; use grid states")
     bx, nx = _buckets(F.col("_x"), eps, periodic)
@@ -78,18 +71,16 @@ def dbscan_states(
     else:
         limit = eps * eps
         d2 = (F.col("ax") - F.col("cx")) ** 2 + (F.col("ay") - F.col("cy")) ** 2
-    near = _written(left.join(right, cond).where(d2 <= F.lit(limit)).select("a", "b"), f"{base}/near")
-    cores = _written(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("a"), f"{base}/cores")
-    links = _written(near.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").select("a", "b"), f"{base}/links")
-    labels = _written(cores.select("a", F.col("a").alias("low")), f"{base}/labels0")
-    step = 0
+    near = written(left.join(right, cond).where(d2 <= F.lit(limit)).select("a", "b"), "dbscan-near")
+    cores = written(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("a"), "dbscan-cores")
+    links = written(near.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").select("a", "b"), "dbscan-links")
+    labels = written(cores.select("a", F.col("a").alias("low")), "dbscan-labels")
     while True:
         # the smallest label among neighbours, then that label's own label: paths halve every round
         spread = links.join(labels.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("new"))
         nxt = labels.join(spread, "a").select("a", F.least("low", "new").alias("low"))
         jump = nxt.join(nxt.select(F.col("a").alias("low"), F.col("low").alias("far")), "low").select("a", F.least("low", "far").alias("low"))
-        step += 1
-        jumped = _written(jump, f"{base}/labels{step}")
+        jumped = written(jump, "dbscan-labels")
         changed = jumped.join(labels.withColumnRenamed("low", "old"), "a").where("low <> old").limit(1).count()
         labels = jumped
         if not changed:

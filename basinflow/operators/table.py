@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
+from ..session import written
 
 #: Columns every coordinate table starts with, in order.
 CORE = T.StructType(
@@ -58,7 +57,7 @@ def number_rows(frames: DataFrame, order: Sequence[str], name: str) -> DataFrame
     ranged = frames.repartitionByRange(n, *order)
     # the range bounds come from samples: the assignment is written once, then both steps read it
     placed = ranged.withColumn("_p", F.spark_partition_id())
-    placed = _stable(placed)
+    placed = written(placed, "rows")
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     local = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
@@ -66,12 +65,6 @@ def number_rows(frames: DataFrame, order: Sequence[str], name: str) -> DataFrame
     return local.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_p", "_i", "_start")
 
 
-def _stable(df: DataFrame) -> DataFrame:
-    path = f"{work_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def concatenated(tables: Sequence[DataFrame]) -> DataFrame:
     """All rows of the tables, matched by name; a column that a table lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import energy
 from ..functions.labels import is_state
+from ..session import written
 from .grouping import join_groups
 
 #: Frames of a group that one task orders at most.
@@ -92,8 +93,13 @@ def barriers(matrix: DataFrame, temperature: float, model: str = "eyring", *, tr
 
 
 def analyse(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, dt: float | None = None, temperature: float | None = None, model: str = "eyring", **barrier_options) -> DataFrame:
-    """Counts, probabilities and, with a time step and a temperature, rates and barriers of every group."""
-    out = probabilities(dense_counts(counts(frames, state, order, group, lag=lag, bridge_noise=bridge_noise), group), group)
+    """Counts, probabilities and, with a time step and a temperature, rates and barriers of every group.
+
+    The frames are read once: their counts, a few rows for each group, are written before
+    the joins that make matrices of them.
+    """
+    found = written(counts(frames, state, order, group, lag=lag, bridge_noise=bridge_noise), "counts")
+    out = probabilities(dense_counts(found, group), group)
     if dt is not None:
         out = rates(out, dt, lag)
         if temperature is not None:
@@ -110,6 +116,7 @@ def averages(frames: DataFrame, matrix: DataFrame, group: Sequence[str], member:
     it has, states it lacks are 0. Barriers come from the mean rates.
     """
     parent = [g for g in group if g != member]
+    matrix = written(matrix, "matrix")
     members = frames.select(*group).distinct().groupBy(*parent).agg(F.count(F.lit(1)).alias("members"))
     own = matrix_labels(matrix, group)
     union = own.select(*parent, "label").distinct()

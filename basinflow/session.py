@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -58,6 +59,17 @@ def work_dir(spark: SparkSession) -> str:
     return _WORK_DIRS[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared work folder and read again.
+
+    For small tables that several joins read, and to cut a long lineage: the files
+    outlive any executor.
+    """
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("basinflow")

@@ -84,14 +84,18 @@ class Network:
         return self.responses(ids, begin, number) @ self.out + self.out_bias
 
 
-def padded(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids with padding after every text, and where texts begin."""
+def bucket_ids(hashes: np.ndarray) -> np.ndarray:
+    """Bucket of each hash, in the fewest bytes."""
+    return ((hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.uint16)
+
+
+def padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets with padding after every text, and where texts begin."""
     pad = max(FILTER_WIDTHS)
     begin = np.concatenate([[0], np.cumsum(counts + pad)])
-    ids = np.full((TABLES, begin[-1]), BUCKETS, np.int64)
-    at = np.arange(hashes.shape[1]) + pad * np.repeat(np.arange(len(counts)), counts)
-    ids[:, at] = (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
-    return ids, begin[:-1]
+    out = np.full((TABLES, begin[-1]), BUCKETS, np.int32)
+    out[:, np.arange(ids.shape[1]) + pad * np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, begin[:-1]
 
 
 def bucket_evidence(texts: list[np.ndarray], labels: np.ndarray, least: int = LEAST_TEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,14 +113,15 @@ def bucket_evidence(texts: list[np.ndarray], labels: np.ndarray, least: int = LE
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int = 1200, batch: int = 32, rate: float = 0.02) -> Network:
-    """Fits a network to padded id sequences by Adam, classes balanced.
+    """Fits a network to texts' buckets by Adam, classes balanced.
 
     Only buckets common among the texts have an embedding; all others stay zero, so
     neither a training text's own rare words nor words never seen can be a response.
     """
     net, rng = Network.initial(seed), np.random.default_rng(seed)
     evidence = bucket_evidence(texts, labels)
-    texts = [np.stack([np.where(k[row], row, BUCKETS) for (k, _), row in zip(evidence, ids)]) for ids in texts]
+    shown = [np.where(k, np.arange(BUCKETS + 1), BUCKETS).astype(np.int32) for k, _ in evidence]
+    tail = np.full((TABLES, max(FILTER_WIDTHS)), BUCKETS, np.int32)
     for (k, odds), table in zip(evidence, net.tables):
         table[:, 0] = odds / 4
         table[~k] = 0
@@ -137,8 +142,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5, steps: int
         rows: list[np.ndarray] = []
         row_grads: list[np.ndarray] = []
         for i in chosen:
-            ids = texts[i]
-            m = ids.shape[1] - max(FILTER_WIDTHS)
+            m = texts[i].shape[1]
+            ids = np.concatenate([np.stack([s[row] for s, row in zip(shown, texts[i])]), tail], axis=1)
             x = net.embed(ids)
             top, best = [], []
             for k, w, b in zip(FILTER_WIDTHS, net.kernels, net.biases):
@@ -186,25 +191,21 @@ class Model:
     thresholds: np.ndarray
     slopes: np.ndarray
 
-    def language(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Most likely language of each text, by its words."""
+    def language(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Most likely language of each text, by its words' buckets."""
         edge = np.concatenate([[0], np.cumsum(counts)])
-        h = (hashes[0] >> np.uint64(20)).astype(np.int64) % _LANG_BUCKETS
-        total = np.concatenate([np.zeros((1, len(self.thresholds))), np.cumsum(self.languages[h], axis=0)])
+        total = np.concatenate([np.zeros((1, len(self.thresholds))), np.cumsum(self.languages[ids[0] % _LANG_BUCKETS], axis=0)])
         return (total[edge[1:]] - total[edge[:-1]]).argmax(axis=1)
 
-    def scores(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        z = self.net.logits(*_with_counts(hashes, counts))
-        g = self.language(hashes, counts)
+    def logits(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self.net.logits(*padded(ids, counts), counts)
+
+    def scores(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        z, g = self.logits(ids, counts), self.language(ids, counts)
         shifted = (z - self.thresholds[g]) * self.slopes[g] + np.log(DECISION / (1 - DECISION))
         return 1 / (1 + np.exp(-np.clip(shifted, -40, 40)))
 
 
-def _with_counts(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, begin = padded(hashes, counts)
-    return ids, begin, counts
-
-
 def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     """Between two responses, the cut with the fewest errors, classes weighted to prefer clean texts 3 to 1."""
     order = np.argsort(z)
@@ -218,7 +219,7 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((edge[i] + edge[i + 1]) / 2)
 
 
-def fit_model(hashes: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 5, steps: int = 1200) -> Model | None:
+def fit_model(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 5, steps: int = 1200) -> Model | None:
     """Network on four fifths of the sample, thresholds by language on the rest."""
     if len(set(labels.tolist())) < 2:
         return None
@@ -227,18 +228,17 @@ def fit_model(hashes: list[np.ndarray], labels: np.ndarray, langs: list[str | No
     for c in (0, 1):  # each class has rows to learn from
         of = np.flatnonzero(labels == c)
         held[rng.permutation(of)[: len(of) // 5]] = True
-    seqs = [padded(h, np.array([h.shape[1]]))[0] for h in hashes]
-    net = train([s for s, x in zip(seqs, held) if not x], labels[~held], seed, steps)
+    net = train([t for t, x in zip(texts, held) if not x], labels[~held], seed, steps)
     names = sorted({x for x in langs if x is not None}) or ["any"]
     freq = np.full((_LANG_BUCKETS, len(names)), 0.1)
-    for h, x in zip(hashes, langs):
+    for t, x in zip(texts, langs):
         if x is not None:
-            np.add.at(freq[:, names.index(x)], (h[0] >> np.uint64(20)).astype(np.int64) % _LANG_BUCKETS, 1)
+            np.add.at(freq[:, names.index(x)], t[0] % _LANG_BUCKETS, 1)
     model = Model(net, np.log(freq / freq.sum(axis=0)), np.zeros(len(names)), np.ones(len(names)))
-    z, g = np.zeros(len(seqs)), np.zeros(len(seqs), np.int64)
-    for i, h in enumerate(hashes):
-        z[i] = net.logits(*_with_counts(h, np.array([h.shape[1]])))[0]
-        g[i] = model.language(h, np.array([h.shape[1]]))[0]
+    z, g = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        count = np.array([t.shape[1]])
+        z[i], g[i] = model.logits(t, count)[0], model.language(t, count)[0]
     used = held if len(set(labels[held].tolist())) == 2 else np.ones(len(labels), bool)
     common = _best_threshold(z[used], labels[used])
     for k in range(len(names)):
@@ -258,7 +258,7 @@ def _words_of(n_most: int):
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 for r in range(len(counts)):
                     if 0 < counts[r] <= n_most:
-                        out[at + r] = hashes[:, edge[r] : edge[r + 1]].tobytes()
+                        out[at + r] = bucket_ids(hashes[:, edge[r] : edge[r + 1]]).tobytes()
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), batch.column(2), batch.column(3)], names=["id", "words", "lang", "label"])
 
     return run
@@ -304,8 +304,8 @@ def fit(
     # one row of an id, however many there are
     found = found.dropDuplicates(["id"])
     got = sorted(found.collect(), key=lambda r: (r.id, bytes(r.words)))
-    hashes = [np.frombuffer(r.words, np.uint64).reshape(TABLES, -1) for r in got]
-    return fit_model(hashes, np.array([r.label for r in got], np.int64), [r.lang for r in got], steps=steps)
+    texts = [np.frombuffer(r.words, np.uint16).reshape(TABLES, -1) for r in got]
+    return fit_model(texts, np.array([r.label for r in got], np.int64), [r.lang for r in got], steps=steps)
 
 
 def _score_batch(batch: pa.RecordBatch, text: int, model: Model | None) -> np.ndarray:
@@ -313,7 +313,7 @@ def _score_batch(batch: pa.RecordBatch, text: int, model: Model | None) -> np.nd
     if model is None:
         return out
     for at, hashes, counts in hashing.words(_lower(batch.column(text)), hashing.ALNUM, PREFIXES):
-        out[at : at + len(counts)] = model.scores(hashes, counts)
+        out[at : at + len(counts)] = model.scores(bucket_ids(hashes), counts)
     return out
 
 

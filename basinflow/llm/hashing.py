@@ -161,14 +161,15 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray
     """
     c = constants(n, 17)
     total = len(hashes)
-    row = np.repeat(np.arange(len(counts)), counts)
     begin = np.concatenate([[0], np.cumsum(counts)])
     if total >= n:
         full = hashes[: total - n + 1] * c[0]
         for j in range(1, n):
             full = full + hashes[j : total - n + 1 + j] * c[j]
-        inside = row[: total - n + 1] == row[n - 1 :]
-        value = mix(full)[inside]
+        value = mix(full)
+        if len(counts) > 1:
+            row = np.repeat(np.arange(len(counts)), counts)
+            value = value[row[: total - n + 1] == row[n - 1 :]]
     else:
         value = np.zeros(0, np.uint64)
     number = np.maximum(counts - n + 1, 0)

@@ -34,6 +34,8 @@ DECISION = 0.7
 #: Training texts a bucket must occur in to have an embedding.
 LEAST_TEXTS = 3
 _LANG_BUCKETS = 1 << 13
+#: Words of one text that are embedded at once.
+SLICE_WORDS = 100_000
 
 
 @dataclass
@@ -193,12 +195,24 @@ class Model:
 
     def language(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Most likely language of each text, by its words' buckets."""
+        if len(counts) == 1:
+            seen = np.bincount(ids[0] % _LANG_BUCKETS, minlength=_LANG_BUCKETS)
+            return (seen @ self.languages).argmax(keepdims=True)
         edge = np.concatenate([[0], np.cumsum(counts)])
         total = np.concatenate([np.zeros((1, len(self.thresholds))), np.cumsum(self.languages[ids[0] % _LANG_BUCKETS], axis=0)])
         return (total[edge[1:]] - total[edge[:-1]]).argmax(axis=1)
 
     def logits(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.net.logits(*padded(ids, counts), counts)
+        """Responses of a long text are the largest of its slices', which share the words that a filter spans."""
+        n, span = int(counts[0]) if len(counts) else 0, max(FILTER_WIDTHS) - 1
+        if len(counts) != 1 or n <= SLICE_WORDS:
+            return self.net.logits(*padded(ids, counts), counts)
+        top = np.zeros((1, FILTERS * len(FILTER_WIDTHS)), np.float32)
+        for a in range(0, n, SLICE_WORDS):
+            b = min(a + SLICE_WORDS, n)
+            part, begin = padded(ids[:, a : b + span], np.array([min(b + span, n) - a]))
+            np.maximum(top, self.net.responses(part, begin, np.array([b - a])), out=top)
+        return top @ self.net.out + self.net.out_bias
 
     def scores(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         z, g = self.logits(ids, counts), self.language(ids, counts)

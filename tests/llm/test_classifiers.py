@@ -86,6 +86,20 @@ def test_toxicity_finds_one_word_in_a_very_long_text(spark, corpus):
     assert all(r.score >= toxicity.DECISION for r in toxicity.score(df, model).collect())
 
 
+def test_slices_of_a_long_text_change_nothing(monkeypatch):
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.initial(1)
+    model = toxicity.Model(net, rng.normal(size=(toxicity._LANG_BUCKETS, 3)), np.zeros(3), np.ones(3))
+    ids = rng.integers(0, toxicity.BUCKETS, (toxicity.TABLES, 1000)).astype(np.uint16)
+    whole = model.scores(ids, np.array([1000]))
+    for size in (1, 3, 7, 999):
+        monkeypatch.setattr(toxicity, "SLICE_WORDS", size)
+        assert np.allclose(model.scores(ids, np.array([1000])), whole, atol=1e-6)
+    monkeypatch.undo()
+    both = model.scores(np.concatenate([ids, ids[:, :400]], axis=1), np.array([1000, 400]))
+    assert np.allclose(both, [whole[0], model.scores(ids[:, :400], np.array([400]))[0]], atol=1e-6)
+
+
 def test_toxicity_without_labels(spark, corpus):
     docs, labels = corpus
     assert toxicity.fit(docs, labels.limit(0)) is None

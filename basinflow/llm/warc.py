@@ -4,7 +4,7 @@ The writer stores one record per page, each its own gzip member, in archives of
 size under the shared folder. A task's archives count only once its manifest rows are
 committed, so a lost or repeated task leaves no record twice. The reader checks every
 record (member, version line, lengths, digests). After a failed check it searches for the
-next valid member or version line, goes on from there, and logs the bytes between as a
+nearest valid member or version line, goes on from there, and logs the bytes between as a
 quarantined gap.
 """
 
@@ -131,7 +131,7 @@ def parse(raw: bytes, at: int) -> tuple[Found | None, int, str]:
 
 
 def _records(raw: bytes) -> tuple[list[Found], list[Gap]]:
-    """Records of uncompressed bytes, salvaging at version lines."""
+    """Records of a member's content, salvaging at version lines."""
     found, gaps, at, n = [], [], 0, len(raw)
     while at < n:
         got, end, why = parse(raw, at)
@@ -152,43 +152,52 @@ def _records(raw: bytes) -> tuple[list[Found], list[Gap]]:
     return found, gaps
 
 
+_MEMBER, _LINE = b"\x1f\x8b\x08", b"WARC/"
+
+
 def salvage(data: bytes) -> tuple[list[Found], list[Gap]]:
-    """All valid records of an archive, compressed by record or not, and the gaps between."""
+    """All valid records of an archive and the gaps between.
+
+    Every position is read by the bytes found there: a gzip member or a version line,
+    also mixed. After a failed check the nearest valid one of either kind goes on.
+    """
     found: list[Found] = []
     gaps: list[Gap] = []
-    if data[:2] != b"\x1f\x8b" and b"\x1f\x8b\x08" not in data[:4096]:
-        return _records(data)
     view, at, n = memoryview(data), 0, len(data)
-
-    def whole(p: int) -> tuple[list[Found], list[Gap], int] | None:
-        got = _inflate(view, p) if data[p : p + 3] == b"\x1f\x8b\x08" else None
+    ahead = {_MEMBER: -1, _LINE: -1}
+
+    def whole(p: int) -> tuple[list[Found], list[Gap], int, str]:
+        """Records at a position, gaps among them and their end: the position itself if nothing there is valid."""
+        if data[p : p + 2] != _MEMBER[:2]:
+            one, end, why = parse(data, p)
+            return [one] if one else [], [], end, why
+        got = _inflate(view, p)
         if got is None:
-            return None
+            return [], [], p, "member fails its check"
         records, inner = _records(got[0])
         for r in records:
             r.start, r.end = p, got[1]
-        return records, inner, got[1]
+        # positions inside a member have no byte of the archive: its bytes are the gap
+        return records, [Gap(p, got[1], inner[0].reason)] if inner else [], got[1], ""
+
+    def following(p: int) -> int:
+        """Nearest place behind a position that looks like a member or a version line."""
+        for sign, place in ahead.items():
+            if place <= p:
+                place = data.find(sign, p + 1)
+                ahead[sign] = place if place >= 0 else n
+        return min(ahead.values())
 
     while at < n:
-        got = whole(at)
-        if got:
-            found += got[0]
-            if got[1]:  # positions inside a member have no byte of the archive: its bytes are the gap
-                gaps.append(Gap(at, got[2], got[1][0].reason))
-            at = got[2]
-            continue
-        reason = "member fails its check" if data[at : at + 2] == b"\x1f\x8b" else "no member"
-        nxt = at
-        while True:
-            nxt = data.find(b"\x1f\x8b\x08", nxt + 1)
-            if nxt < 0:
-                nxt = n
-                break
-            got = whole(nxt)
-            if got and got[0]:
-                break
-        gaps.append(Gap(at, nxt, reason))
-        at = nxt
+        records, inner, end, why = whole(at)
+        if end == at:
+            end = following(at)
+            while end < n and not whole(end)[0]:
+                end = following(end)
+            inner = [Gap(at, end, why)]
+        found += records
+        gaps += inner
+        at = end
     return found, gaps
 
 

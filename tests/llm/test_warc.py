@@ -68,6 +68,41 @@ def test_wrong_content_length(archive):
     assert ids(found) == [2, 4] and len(gaps) == 1
 
 
+def big_record(i, body):
+    return warc.record(i, f"http://x/{i}", body, hashlib.sha256(body).hexdigest(), None)
+
+
+def test_damaged_first_member_over_4_kb(archive):
+    _, members, at = archive
+    rng = random.Random(4)
+    first = warc.member(big_record(99, bytes(rng.randrange(97, 123) for _ in range(20_000))))
+    assert len(first) > 8192
+    data = bytearray(first + b"".join(members))
+    data[0] ^= 255
+    found, gaps = warc.salvage(bytes(data))
+    assert ids(found) == list(range(30)) and [(g.start, g.end) for g in gaps] == [(0, len(first))]
+    found, gaps = warc.salvage(b"\0" * 5000 + b"".join(members))
+    assert ids(found) == list(range(30)) and [(g.start, g.end) for g in gaps] == [(0, 5000)]
+
+
+def test_plain_archive_of_gzip_bodies():
+    raw = [big_record(i, gzip.compress(b"<p>page</p>" * (i + 1))) for i in range(5)]
+    assert warc.salvage(b"".join(raw))[1] == [] and ids(warc.salvage(b"".join(raw))[0]) == [0, 1, 2, 3, 4]
+    data = bytearray(b"".join(raw))
+    data[len(raw[0]) + 1] ^= 1
+    found, gaps = warc.salvage(bytes(data))
+    assert ids(found) == [0, 2, 3, 4] and [(g.start, g.end) for g in gaps] == [(len(raw[0]), len(raw[0]) + len(raw[1]))]
+
+
+def test_members_and_plain_records_mixed(archive):
+    raw, members, _ = archive
+    found, gaps = warc.salvage(b"".join(m if i % 2 else r for i, (m, r) in enumerate(zip(members, raw))))
+    assert ids(found) == list(range(30)) and gaps == []
+    broken = bytes([members[1][0] ^ 1]) + members[1][1:]
+    found, gaps = warc.salvage(broken + raw[2] + members[3])
+    assert ids(found) == [2, 3] and [(g.start, g.end) for g in gaps] == [(0, len(broken))]
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big, small = "<p>" + "é" * 100 + "</p>", "<p>x</p>"

@@ -17,8 +17,8 @@ def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back."""
-    found = warc.archive_pages(read(spark, sf_dir, "pages"), with_payload=False).where("gap_reason is null")
+    """Every page written to WARC archives and read back; a record that isn't read is an error."""
+    found = warc.archive_pages(read(spark, sf_dir, "pages"), with_payload=False, complete=True).where("gap_reason is null")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -245,26 +245,29 @@ def write_archives(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTE
 _READ = "path string, start long, end long, gap_reason string, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, *, with_payload: bool = True, complete: bool = False) -> DataFrame:
     """Records and gaps of the archives whose paths ``manifest`` lists.
 
     A record has its place, type, page_id, url, payload (null without
     ``with_payload``), payload_bytes, payload_digest and refers_to; a gap has its place
-    and gap_reason, all else null.
+    and gap_reason, all else null. With ``complete`` an archive that doesn't give as many
+    records as ``manifest`` says is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(*(c.to_pylist() for c in batch.columns)):
                 system, name = _filesystem(path)
                 with system.open_input_stream(name, compression=None) as f:
                     found, gaps = salvage(f.read())
+                if complete and len(found) != records:
+                    raise ValueError(f"{path}: {len(found)} of {records} records read, {len(gaps)} gaps" + (f", first: {gaps[0].reason}" if gaps else ""))
                 for at in range(0, len(found), 500):
                     yield _rows(path, found[at : at + 500], [], with_payload)
                 if gaps:
                     yield _rows(path, [], gaps, with_payload)
 
-    return manifest.select("path").mapInArrow(run, _READ)
+    return manifest.select("path", F.col("records") if complete else F.lit(None).cast("long").alias("records")).mapInArrow(run, _READ)
 
 
 def _number(text: str | None) -> int | None:
@@ -319,6 +322,7 @@ def archive_pages(
     folder: str | None = None,
     roll_bytes: int = ROLL_BYTES,
     with_payload: bool = True,
+    complete: bool = False,
 ) -> DataFrame:
     """Writes pages as WARC archives and reads them back; see ``read_archives`` for the rows.
 
@@ -332,4 +336,4 @@ def archive_pages(
     manifest = scratch.keep(write_archives(rows, folder or scratch.path("archives"), roll_bytes=roll_bytes), "manifest")
     # archives are of one size: each may be a task
     spread = manifest.repartition(max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col("path"))
-    return read_archives(spread, with_payload=with_payload)
+    return read_archives(spread, with_payload=with_payload, complete=complete)

@@ -144,5 +144,26 @@ def test_reader_logs_gaps_and_recovers(spark, pages, tmp_path):
     assert sum(r.end - r.start for r in got) == len(data)
 
 
+def test_query_fails_if_a_record_is_lost(spark, pages, tmp_path, monkeypatch):
+    from basinflow.llm import catalog
+
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalog.op2_warc(spark, str(tmp_path)).count() == pages.count()
+    keep = warc.Scratch.keep
+
+    def damaging(self, df, name):
+        out = keep(self, df, name)
+        if name == "manifest":
+            path = out.first().path.removeprefix("file://").removeprefix("file:")
+            data = bytearray(open(path, "rb").read())
+            data[len(data) // 2] ^= 255
+            open(path, "wb").write(bytes(data))
+        return out
+
+    monkeypatch.setattr(warc.Scratch, "keep", damaging)
+    with pytest.raises(Exception, match="records read"):
+        catalog.op2_warc(spark, str(tmp_path)).collect()
+
+
 def test_empty_table(pages):
     assert warc.archive_pages(pages.limit(0)).collect() == []

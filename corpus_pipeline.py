@@ -7,7 +7,7 @@ every stage's result as Parquet in the shared folder and reads it again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinflow.llm import decontam, near_dup, packing, pii, toxicity
@@ -21,21 +21,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8.
+    """One row of each group of near-duplicate or equal rows: five-word shingles, similarity 0.8.
 
-    Rows without an id stay. Of rows that share an id one stays.
+    Every row is judged by its own text, also where rows share an id; of a group the
+    smallest id stays, then the smallest digest of the text. Texts without shingles are
+    equal only to the same text under the same id. Rows without an id stay.
     """
     scratch = Scratch(spark, "dedup-stage")
-    found = scratch.keep(near_dup.near_duplicates(docs, shingle_words=5, percent=80), "classes")
-    rejected = found.where("not kept").select(F.col("row_id").alias("doc_id")).distinct()
-    # the same join at every size: documents are dealt by id, once
-    kept = docs.join(rejected.hint("merge"), "doc_id", "left_anti")
-    repeated = scratch.keep(found.where("row_id is not null").groupBy("row_id").count().where("count > 1").select(F.col("row_id").alias("doc_id")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.sha2("text", 256).asc_nulls_last())
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    # written, so that a row keeps its number whenever it is read
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = F.col("doc_id").isNotNull()
+    found = near_dup.near_duplicates(rows.withColumn("_named", F.when(named, F.col("_row"))), "_named", shingle_words=5, percent=80)
+    found = scratch.keep(found.where("row_id is not null").select(F.col("row_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_class")), "classes")
+    narrow = rows.where(named).select("_row", F.col("doc_id").alias("_id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("_digest"))
+    best = F.min(F.struct("_id", F.col("_digest").isNull().alias("_none"), "_digest", "_row"))
+    # a class is one group whatever its ids; without one the id and the text are the group
+    alone = F.col("_class").isNull()
+    group = ["_class", F.when(alone, F.col("_id")).alias("_k1"), F.when(alone, F.col("_digest")).alias("_k2")]
+    stay = narrow.join(found.hint("merge"), "_row").groupBy(*group).agg(best.alias("_best")).select("_best._row")
+    stay = scratch.keep(stay.unionByName(rows.where(~named).select("_row")), "stay")
+    # the same join at every size: documents are dealt by row, once
+    return rows.join(stay.hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

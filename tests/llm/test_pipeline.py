@@ -71,6 +71,24 @@ def test_dedup_stage_equals_brute_force(spark, corpus):
     assert sorted(r for r in rows if r is not None) == sorted(i for i in keep if i is not None) and rows.count(None) == 2
 
 
+def test_dedup_stage_judges_each_text_of_an_id(spark, tmp_path):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(40)]
+    near = lambda t: t + " end"
+    rows = [(7, t) for t in text[:20]]  # one id, clean texts
+    rows += [(7, text[0]), (7, near(text[1]))]  # an equal and a near row
+    rows += [(3, text[20]), (9, near(text[20])), (9, text[21]), (9, text[22])]  # one text of 9 is near a smaller id's
+    rows += [(5, None), (5, None), (5, ""), (5, " "), (5, text[23]), (6, ""), (6, ""), (None, text[0]), (None, text[0])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(5)
+    got = corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    one = [(i, t) for i, t in kept if t in (text[1], near(text[1]))]
+    assert len(one) == 1
+    want = [(7, text[0]), *one, *[(7, t) for t in text[2:20]], (3, text[20]), (9, text[21]), (9, text[22]), (5, None), (5, ""), (5, " "), (5, text[23]), (6, ""), (None, text[0]), (None, text[0])]
+    assert kept == sorted(want, key=str)
+
+
 def test_run(spark, corpus):
     folder, docs = corpus
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "private_data", "packing"]

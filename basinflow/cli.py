@@ -44,6 +44,7 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
     frames = frames.persist()
     say(f"coordinate table: {frames.count()} frames, built {len(built)} trajectories, {time.perf_counter() - began:.1f} s")
     every = command == "run-all"
+    dots: list = []
     try:
         if every or command == "extract-coordinates":
             for key, suffix in (("save_csv", "csv"), ("save_parquet", "parquet")):
@@ -55,7 +56,7 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
             dots = [build.overlay_table(spark, run, e) for e in run.overlays]
             for pair in run.pairs:
                 path = os.path.join(plots, f"density_{pair.name}.png")
-                outputs.write_density_picture(frames, pair, path, points=dots[0] if dots else None)
+                outputs.write_density_picture(frames, pair, path, points=dots)
                 say(f"wrote {path}")
         if command in ("plot-densities", "extract-coordinates"):
             return
@@ -67,7 +68,7 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
             for pair in run.pairs:
                 say(f"{pair.name}: {grid_states.state_totals(frames, pair.state).first().asDict()}")
                 if every:
-                    outputs.write_density_picture(frames, pair, os.path.join(plots, f"states_{pair.name}.png"), _group(run, pair))
+                    outputs.write_density_picture(frames, pair, os.path.join(plots, f"states_{pair.name}.png"), _group(run, pair), points=dots)
         if (every and not skip_transitions) or command == "compute-transitions":
             for pair in run.pairs:
                 group = build.transition_group(frames)

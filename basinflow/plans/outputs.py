@@ -50,14 +50,25 @@ def overlay_block(frames: DataFrame, pair: Pair, group: Sequence[str]) -> dict |
     return {"labels": names, "groups": list(groups.values())}
 
 
-def write_density_picture(frames: DataFrame, pair: Pair, path: str, group: Sequence[str] = (), points: DataFrame | None = None) -> None:
-    """PNG of a pair's map, with the first group's state centres and a sample of overlay points."""
+def overlay_dots(points: DataFrame, pair: Pair) -> list[tuple[float, float]]:
+    """Every pixel of a pair's picture that holds overlay points, in fractions of the map: no more than the picture has."""
+    (x0, x1), (y0, y1) = pair.x_range, pair.y_range
+    w, h = png.picture_size(pair.bins, pair.bins)
+    on = density.binned(points, pair.x_feature, pair.y_feature, *edges_of(pair))
+    x, y = (F.col(c).cast("double") for c in (pair.x_feature, pair.y_feature))
+    # the picture's rows run downwards
+    px, py = F.floor((x - x0) / (x1 - x0) * (w - 1)), F.floor((1 - (y - y0) / (y1 - y0)) * (h - 1))
+    return [((r[0] + 0.5) / (w - 1), 1 - (r[1] + 0.5) / (h - 1)) for r in on.select(px.alias("px"), py.alias("py")).distinct().collect()]
+
+
+def write_density_picture(frames: DataFrame, pair: Pair, path: str, group: Sequence[str] = (), points: Sequence[DataFrame] = ()) -> None:
+    """PNG of a pair's map, with the first group's state centres and all points of all overlays that have the pair's columns."""
     xe, ye = edges_of(pair)
     counts = grid_of(density.cells(frames, pair.x_feature, pair.y_feature, xe, ye), pair.bins, pair.bins)
     (x0, x1), (y0, y1) = pair.x_range, pair.y_range
     block = overlay_block(frames, pair, group)
     centres = [((c["x"] - x0) / (x1 - x0), (c["y"] - y0) / (y1 - y0), c["state"]) for c in (block["groups"][0]["centres"] if block and block["groups"] else [])]
-    dots = [] if points is None else [((r[0] - x0) / (x1 - x0), (r[1] - y0) / (y1 - y0)) for r in density.binned(points, pair.x_feature, pair.y_feature, xe, ye).select(F.col(pair.x_feature).cast("double"), F.col(pair.y_feature).cast("double")).limit(20_000).collect()]
+    dots = [(*d, i) for i, p in enumerate(points) if {pair.x_feature, pair.y_feature} <= set(p.columns) for d in overlay_dots(p, pair)]
     png.write_png(path, png.density_picture(counts, pair.log_scale, centres, dots))
 
 

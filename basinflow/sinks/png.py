@@ -10,6 +10,7 @@ import numpy as np
 
 #: Anchors of the colour scale, dark to light.
 _ANCHORS = np.array([[38, 20, 72], [43, 79, 129], [31, 140, 140], [96, 194, 98], [248, 230, 60]], float)
+_OVERLAY_COLOURS = np.array([[20, 20, 20], [227, 119, 194], [23, 190, 207], [255, 127, 14]])
 _STATE_COLOURS = np.array([[214, 39, 40], [31, 119, 180], [255, 127, 14], [148, 103, 189], [23, 190, 207], [227, 119, 194], [140, 86, 75], [188, 189, 34]])
 
 
@@ -41,10 +42,16 @@ def _scaled(rgb: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(np.repeat(rgb, k, axis=0), k, axis=1)
 
 
-def density_picture(counts: np.ndarray, log_scale: bool = True, centres: Sequence[tuple[float, float, int]] = (), points: Sequence[tuple[float, float]] = (), size: int = 600) -> np.ndarray:
+def picture_size(nx: int, ny: int, size: int = 600) -> tuple[int, int]:
+    """Width and height of the picture of a map."""
+    k = max(1, -(-size // max(nx, ny)))
+    return nx * k, ny * k
+
+
+def density_picture(counts: np.ndarray, log_scale: bool = True, centres: Sequence[tuple[float, float, int]] = (), points: Sequence[tuple[float, ...]] = (), size: int = 600) -> np.ndarray:
     """Picture of counts[x, y]: y upwards, unsampled bins white, state centres and overlay points marked.
 
-    Marks are (x, y, state) and (x, y) in fractions of the map.
+    Marks are (x, y, state) and (x, y) or (x, y, overlay) in fractions of the map.
     """
     values = np.where(counts > 0, np.log10(counts + 1) if log_scale else counts, np.nan).astype(float)
     rgb = _scaled(coloured(values.T[::-1]), size).copy()
@@ -54,8 +61,8 @@ def density_picture(counts: np.ndarray, log_scale: bool = True, centres: Sequenc
         cx, cy = int(x * (w - 1)), int((1 - y) * (h - 1))
         rgb[max(0, cy - r) : cy + r + 1, max(0, cx - r) : cx + r + 1] = colour
 
-    for x, y in points:
-        mark(x, y, np.array([20, 20, 20]), 1)
+    for x, y, *overlay in points:
+        mark(x, y, _OVERLAY_COLOURS[overlay[0] % len(_OVERLAY_COLOURS) if overlay else 0], 1)
     for x, y, state in centres:
         mark(x, y, np.array([255, 255, 255]), 6)
         mark(x, y, _STATE_COLOURS[state % len(_STATE_COLOURS)], 4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basinflow import cli
 from basinflow.functions import labels
 from basinflow.operators import bonds, table
-from basinflow.plans import build, config, manifest
+from basinflow.plans import build, config, manifest, outputs
 from basinflow.sinks import page, payload, png
 from basinflow.sources import h5, tables, xyz
 from basinflow.sources.files import discover
@@ -240,6 +240,27 @@ def test_command_line(spark, tmp_path, scheme):
     assert [p["current"] for p in data["pages"]] == [True, False]
 
 
+def test_every_overlay_point_is_drawn(spark, tmp_path, monkeypatch):
+    write_xyz(tmp_path / "a.xyz", helix(3))
+    run = config.parse(full(tmp_path, str(tmp_path / "*.xyz")))
+    pair = run.pairs[0]
+    (x0, x1), (y0, y1) = pair.x_range, pair.y_range
+    at = lambda x, y: (F.lit(x0 + x * (x1 - x0)).alias(pair.x_feature), F.lit(y0 + y * (y1 - y0)).alias(pair.y_feature))
+    main = spark.range(1).select(*at(0.5, 0.5))
+    many = spark.range(0, 30_000, 1, 1).select(*at(0.1, 0.2)).union(spark.range(1).select(*at(0.9, 0.8)))
+    other, lacking = spark.range(1).select(*at(0.3, 0.4)), spark.range(1)
+    seen = []
+    monkeypatch.setattr(png, "write_png", lambda path, rgb: seen.append(rgb))
+    outputs.write_density_picture(main, pair, "", points=[many, other, lacking])
+    outputs.write_density_picture(main, pair, "")
+    h, w, _ = seen[0].shape
+    assert png.picture_size(pair.bins, pair.bins) == (w, h)
+    for x, y, k in ((0.1, 0.2, 0), (0.9, 0.8, 0), (0.3, 0.4, 1)):
+        cx, cy = int(x * (w - 1)), int((1 - y) * (h - 1))
+        assert any((seen[0][b, a] == png._OVERLAY_COLOURS[k]).all() for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1))
+    assert 20 <= (seen[0] != seen[1]).any(axis=2).sum() <= 27
+
+
 def test_command_line_arguments(tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["run-all"])

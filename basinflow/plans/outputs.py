@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import binning
 from ..operators import density, overlay
 from ..sinks import page, payload, png
-from ..sources import xyz
+from ..sources import h5, xyz
 from .config import Pair, Run, clustering_of
 
 
@@ -103,7 +103,7 @@ def write_page(frames: DataFrame, pair: Pair, run: Run, path: str, pages: Sequen
     """Page of a pair's map: a representative frame and its structure for each occupied bin, and the states."""
     xe, ye = edges_of(pair)
     cells = density.cells(frames, pair.x_feature, pair.y_feature, xe, ye)
-    meta = ["source_file", "trajectory_id", "bead_id", "frame_number", "byte_offset"]
+    meta = ["source_file", "trajectory_id", "bead_id", "frame_number", "byte_offset", "atom_count"]
     chosen = density.representatives(frames, pair.x_feature, pair.y_feature, xe, ye, ["frame_id"], keep=meta).persist()
     try:
         rows = chosen.orderBy("xi", "yi").collect()
@@ -113,7 +113,15 @@ def write_page(frames: DataFrame, pair: Pair, run: Run, path: str, pages: Sequen
             seekable = chosen.where("source_file is not null and byte_offset >= 0")
             read = xyz.read_frames(seekable.select("source_file", "frame_number", "byte_offset"), uniform=False)
             joined = seekable.select("xi", "yi", "source_file", "byte_offset").join(read, ["source_file", "byte_offset"]).select("xi", "yi", "comment_line", "elements", "coords").orderBy("xi", "yi").collect()
-            structures = {f"{r[0]}_{r[1]}": payload.xyz_text(r[2], r[3], np.array(r[4]).reshape(-1, 3)) for r in joined}
+            # frames of HDF5 runs are named by their number and bead, and have no comment
+            numbered = chosen.where((F.col("byte_offset") == h5.NO_OFFSET) & F.col("source_file").isNotNull())
+            if any(r["byte_offset"] == h5.NO_OFFSET and r["source_file"] is not None for r in rows):
+                got = {(r[0], r[1], r[2]): r for r in h5.read_frames(numbered).collect()}
+                for r in rows:
+                    if r["byte_offset"] == h5.NO_OFFSET and r["source_file"] is not None:
+                        *_, elements, coords = got[r["source_file"], r["frame_number"], r["bead_id"]]
+                        joined.append((r["xi"], r["yi"], "", elements, coords))
+            structures = {f"{r[0]}_{r[1]}": payload.xyz_text(r[2], r[3], np.array(r[4]).reshape(-1, 3)) for r in sorted(joined, key=lambda r: (r[0], r[1]))}
     finally:
         chosen.unpersist()
     _, _, group = clustering_of(run.clustering, pair) if run.clustering else ("", {}, [])

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .xyz import frame_at
@@ -93,6 +94,35 @@ def read_runs(spark: SparkSession, files: Sequence[str], source: str = "bead", s
     return plan.mapInArrow(run, SCHEMA)
 
 
+FRAMES = "source_file string, frame_number long, bead_id string, elements array<string>, coords array<double>"
+
+
+def read_frames(rows: DataFrame) -> DataFrame:
+    """Structures of (source_file, frame_number, bead_id, atom_count) rows in double precision, a file's rows in one task.
+
+    A null bead is the centroid. A frame that can't be read, or with another number of
+    atoms than its row says, is an error that names it.
+    """
+    ship_package(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, elements, coords = batch.select(["source_file", "frame_number", "bead_id"]), [], []
+            for path, number, bead, atoms in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    e, x = frame(path, number, bead)
+                except (OSError, KeyError, IndexError, ValueError) as why:
+                    raise ValueError(f"{path}, frame {number}, {bead or 'centroid'}: {why}") from why
+                if atoms is not None and len(x) != atoms or len(e) != len(x):
+                    raise ValueError(f"{path}, frame {number}, {bead or 'centroid'}: {len(x)} atoms, {atoms} in the table, {len(e)} elements")
+                elements.append(e)
+                coords.append(x.reshape(-1))
+            yield pa.record_batch([*keys.columns, pa.array(elements, pa.list_(pa.string())), pa.array(coords, pa.list_(pa.float64()))], names=[c.split()[0] for c in FRAMES.split(", ")])
+
+    asked = rows.select("source_file", F.col("frame_number").cast("long").alias("frame_number"), "bead_id", F.col("atom_count").cast("long").alias("atom_count"))
+    return asked.repartition("source_file").sortWithinPartitions("source_file", "frame_number").mapInArrow(run, FRAMES)
+
+
 def frame(path: str, number: int, bead: str | None) -> tuple[list[str], np.ndarray]:
     """Elements and double-precision positions of one frame, of a bead or the centroid."""
     with _h5py().File(path, "r") as f:

@@ -1,3 +1,4 @@
+import importlib.util
 import json
 import os
 
@@ -261,6 +262,76 @@ def test_every_overlay_point_is_drawn(spark, tmp_path, monkeypatch):
     assert 20 <= (seen[0] != seen[1]).any(axis=2).sum() <= 27
 
 
+ARRAY_FILES = """
+import numpy as np
+
+
+class File(dict):
+    def __init__(self, path, mode):
+        with np.load(path) as f:
+            super().__init__({k: f[k] for k in f.files})
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+"""
+
+
+@pytest.fixture(scope="module")
+def write_h5(spark, tmp_path_factory):
+    """Writes arrays as an HDF5 file; without h5py, an archive of arrays that a stand-in for it reads, in workers too."""
+    if importlib.util.find_spec("h5py"):
+        import h5py
+
+        def write(path, **arrays):
+            with h5py.File(path, "w") as f:
+                for k, v in arrays.items():
+                    f.create_dataset(k, data=v)
+
+        return write
+    module = tmp_path_factory.mktemp("stand-in") / "h5py.py"
+    module.write_text(ARRAY_FILES)
+    spark.sparkContext.addPyFile(str(module))
+
+    def write(path, **arrays):
+        with open(path, "wb") as f:
+            np.savez(f, **arrays)
+
+    return write
+
+
+def test_page_of_hdf5_frames_holds_structures(spark, tmp_path, write_h5, monkeypatch):
+    (tmp_path / "sim" / "hdf5").mkdir(parents=True)
+    beads = np.random.default_rng(0).normal(size=(5, 2, 3, 3))
+    path = str(tmp_path / "sim" / "hdf5" / "t.hdf5")
+    write_h5(path, bead_positions=beads, positions=beads.mean(axis=1))
+    write_xyz(tmp_path / "sim" / "input.xyz", beads[0, :1], elements=["C", "O", "H"])
+    write_xyz(tmp_path / "a.xyz", helix(3))
+    run = config.parse(full(tmp_path, str(tmp_path / "*.xyz")))
+    pair = run.pairs[0]
+    (x0, x1), (y0, y1) = pair.x_range, pair.y_range
+    places = [(3, "bead_01", 3), (0, "bead_00", 3), (4, None, 3)]
+    rows = [(i, path, "sim", b, n, -1, a, x0 + (i + 0.5) * (x1 - x0) / pair.bins, y0 + 0.5 * (y1 - y0) / pair.bins) for i, (n, b, a) in enumerate(places)]
+    frames = spark.createDataFrame(rows, f"frame_id long, source_file string, trajectory_id string, bead_id string, frame_number long, byte_offset long, atom_count long, {pair.x_feature} double, {pair.y_feature} double")
+    seen = []
+    monkeypatch.setattr(page, "write", lambda path, data: seen.append(data))
+    made = page.page_data
+    monkeypatch.setattr(page, "page_data", lambda *a, **k: seen.append(k["xyz"]) or made(*a, **k))
+    outputs.write_page(frames, pair, run, "")
+    want = [beads[3, 1], beads[0, 0], beads[4].mean(axis=0)]
+    assert list(seen[0]) == ["0_0", "1_0", "2_0"]
+    for text, x in zip(seen[0].values(), want):
+        lines = text.splitlines()
+        assert lines[:2] == ["3", ""] and [v.split()[0] for v in lines[2:]] == ["C", "O", "H"]
+        assert np.allclose([[float(c) for c in v.split()[1:]] for v in lines[2:]], x, atol=1e-4)
+    with pytest.raises(Exception, match="frame 9, bead_01"):
+        h5.read_frames(frames.limit(1).withColumn("frame_number", F.lit(9))).collect()
+    with pytest.raises(Exception, match="3 atoms, 4 in the table"):
+        h5.read_frames(frames.limit(1).withColumn("atom_count", F.lit(4))).collect()
+
+
 def test_command_line_arguments(tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["run-all"])

@@ -2,9 +2,14 @@
 
 A document is the set of its word shingles. Documents of equal sets are one class,
 represented by its smallest id, so copies cost one aggregation. A class has a
-sketch of REGISTERS buckets; a bucket keeps, of the smallest of its hashes over the
-set, the number of leading zeros (6 bits) and the 10 bits that follow the leading
-one. Rows of ROWS registers, compressed, are the LSH bands.
+sketch of REGISTERS buckets: a shingle's hash is drawn once, its leading part chooses
+the bucket, the rest is its value there, and a bucket keeps of its smallest value the
+number of leading zeros (6 bits) and the 10 bits that follow the leading one. A small
+set leaves buckets empty. It is hashed anew, for those alone, in up to ROUNDS rounds;
+what is then still empty takes the smallest of a hash of its own over the whole set. A
+round counts for more than any value, so the register of two sets' union is always the
+smaller one of theirs, and registers agree with the sets' Jaccard similarity whatever
+their sizes. Rows of ROWS registers, compressed, are the LSH bands.
 
 Candidates come from the buckets that a band shares. To keep a hot bucket linear,
 a member is first compared with one pivot of its buckets only, each bucket's pivot
@@ -36,20 +41,40 @@ from .components import components
 ROWS, BANDS = 5, 40
 REGISTERS = ROWS * BANDS
 MANTISSA_BITS = 10
+#: Rounds in which hashes choose their bucket.
+ROUNDS = 8
 #: Members of one side of a tile, on average.
 TILE = 128
 
 _MULTIPLIERS = hashing.constants(REGISTERS, 0x1234567)
 _BAND_MULTIPLIERS = hashing.constants(ROWS, 0x7654321)
 _SALTS = hashing.constants(BANDS, 0xABCDEF)
+_ROUND_MULTIPLIERS = hashing.constants(ROUNDS, 0x13579BD)
+#: First hash of each bucket.
+_EDGES = np.array([-(-(k << 64) // REGISTERS) for k in range(REGISTERS)], np.uint64)
 
 
 def registers(shingle_set: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a nonempty set: leading-zero count and mantissa bits."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingle_set), 512):
-        part = shingle_set[at : at + 512]
-        np.minimum(low, np.multiply.outer(part, _MULTIPLIERS).min(axis=0), out=low)
+    """HyperMinHash registers of a nonempty sorted set: leading-zero count and mantissa bits."""
+    low, rounds = np.zeros(REGISTERS, np.uint64), np.full(REGISTERS, ROUNDS)
+    values = shingle_set
+    for r in range(ROUNDS):
+        if r:
+            values = np.sort(hashing.mix(shingle_set * _ROUND_MULTIPLIERS[r]))
+        # sorted hashes lie bucket by bucket, the smallest first
+        first = np.searchsorted(values, _EDGES)
+        new = np.flatnonzero((first < np.append(first[1:], len(values))) & (rounds == ROUNDS))
+        # the place in the bucket is the fraction of hash x buckets
+        low[new] = values[first[new]] * np.uint64(REGISTERS)
+        rounds[new] = r
+        if (rounds < ROUNDS).all():
+            break
+    empty = np.flatnonzero(rounds == ROUNDS)
+    if len(empty):
+        low[empty] = np.iinfo(np.uint64).max
+        for at in range(0, len(shingle_set), 512):
+            part = hashing.mix(np.multiply.outer(shingle_set[at : at + 512], _MULTIPLIERS[empty]))
+            low[empty] = np.minimum(low[empty], part.min(axis=0))
     low = np.maximum(low, np.uint64(1))
     zeros = np.zeros(REGISTERS, np.uint64)
     rest = low.copy()
@@ -58,6 +83,8 @@ def registers(shingle_set: np.ndarray) -> np.ndarray:
         zeros[small] += np.uint64(step)
         rest[small] <<= np.uint64(step)
     mantissa = (rest >> np.uint64(63 - MANTISSA_BITS)) & np.uint64((1 << MANTISSA_BITS) - 1)
+    # registers of different rounds agree by chance alone
+    mantissa ^= rounds.astype(np.uint64) * np.uint64(0x95) & np.uint64((1 << MANTISSA_BITS) - 1)
     return ((zeros << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint16)
 
 
@@ -250,10 +277,10 @@ def near_duplicates(
     buckets = scratch.keep(rows.join(shared, "key"), "buckets")
     # a bucket's pivot is its member that meets most others over all bands: the text that its copies stem from, mostly
     # an id of several texts has no one size: a constant lets every comparison of sizes pass
-    sizes = reps.groupBy("id").agg((F.lit(512).cast("long") if repeated else F.max("n")).alias("n"))
+    sizes = reps.groupBy("id").agg((F.lit(512).cast("long") if repeated else F.max("n")).alias("n"), F.sum("n").alias("mass"))
     hubs = scratch.keep(buckets.groupBy("id").agg(F.sum("size").alias("hub")).join(sizes, "id"), "hubs")
     found = buckets
-    buckets = scratch.keep(found.select("key", "id").join(hubs, "id"), "members")
+    buckets = scratch.keep(found.select("key", "id").join(hubs.drop("mass"), "id"), "members")
     scratch.drop(found)
     pivots = buckets.groupBy("key").agg(F.max(F.struct("hub", (-F.col("id")).alias("m"), "n")).alias("best"))
     pivots = scratch.keep(pivots.select("key", (-F.col("best.m")).alias("pivot"), F.col("best.hub").alias("pivot_hub"), F.col("best.n").alias("pivot_n")), "pivots")
@@ -301,9 +328,9 @@ def near_duplicates(
 
     # those members against all texts of the other component, in blocks of bounded size on either side
     weight = TILE * 512
-    comp_of = texts.select("id", "n").distinct().join(label, "id", "left").select("id", "n", F.coalesce("root", "id").alias("other"))
-    wide = comp_of.groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("across"))
-    tall = near.join(hubs.select("id", "n"), "id").groupBy("other").agg(F.ceil(F.sum("n") / weight).cast("int").alias("down"))
+    comp_of = hubs.select("id", "mass").join(label, "id", "left").select("id", "mass", F.coalesce("root", "id").alias("other"))
+    wide = comp_of.groupBy("other").agg(F.ceil(F.sum("mass") / weight).cast("int").alias("across"))
+    tall = near.join(hubs.select("id", "mass"), "id").groupBy("other").agg(F.ceil(F.sum("mass") / weight).cast("int").alias("down"))
     plan = scratch.keep(wide.join(tall, "other"), "plan")
     grid = ["other", "i", "j"]
     ask = near.join(plan, "other").withColumn("i", block("down", 3)).withColumn("j", every("across")).join(texts.select("id", "text"), "id").select(*grid, side(1, "id", "text"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from shingle_brute import brute
 
-from basinflow.llm import near_dup
+from basinflow.llm import hashing, near_dup
 from basinflow.llm.common import Scratch
 from basinflow.llm.components import components
 
@@ -111,3 +111,31 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "u long, v long")
     assert {r.node: r.root for r in components(df, Scratch(spark, "test")).collect()} == want
     assert components(df.limit(0), Scratch(spark, "test")).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 4, 12, 60, 200, 700, 20_000])
+def test_registers_agree_with_similarity_at_every_size(size):
+    rng = np.random.default_rng(size)
+    rate, missed, tries = [], 0, 400 if size < 5000 else 40
+    for _ in range(tries):
+        every = hashing.distinct(hashing.mix(rng.integers(1, 1 << 63, size + size // 4, dtype=np.uint64)))
+        cut = max(1, size // 8)
+        a, b = (every, every) if size < 4 else (every[np.sort(rng.permutation(len(every))[cut:])], every[np.sort(rng.permutation(len(every))[cut:])])
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        ra, rb = near_dup.registers(a), near_dup.registers(b)
+        assert len(ra) == near_dup.REGISTERS
+        got = near_dup.estimate(ra[None], rb[None], near_dup.collision_rate())[0, 0]
+        rate.append(got - j)
+        missed += j >= 0.8 and not (near_dup.band_keys(ra) == near_dup.band_keys(rb)).any()
+    assert abs(np.mean(rate)) < 4 * 0.4 / np.sqrt(near_dup.REGISTERS * tries) + 0.004 and np.std(rate) < 0.045
+    assert missed == 0
+
+
+def test_registers_of_disjoint_sets_agree_by_chance_alone():
+    rng = np.random.default_rng(1)
+    for n in (2, 30, 150, 3000):
+        agree = []
+        for _ in range(200):
+            a, b = (hashing.distinct(hashing.mix(rng.integers(1, 1 << 63, n, dtype=np.uint64))) for _ in range(2))
+            agree.append((near_dup.registers(a) == near_dup.registers(b)).mean())
+        assert np.mean(agree) < 3 * near_dup.collision_rate() + 1e-4

@@ -167,9 +167,11 @@ def pack(
     scratch = Scratch(spark, "packing")
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    pieces = scratch.keep(source.mapInArrow(_tokenise(vocabulary_file, vocabulary, capacity, with_ids), schema), "pieces")
+    whole_pieces = scratch.keep(source.mapInArrow(_tokenise(vocabulary_file, vocabulary, capacity, with_ids), schema).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # lengths alone are packed; tokens join their places in the end
+    pieces = whole_pieces.drop("ids")
     columns = pieces.columns
-    types = schema + ", sequence_id long, offset long, part long, released boolean, round int, bins long, bound long"
+    types = _PIECES + ", _row long, sequence_id long, offset long, part long, released boolean, round int, bins long, bound long"
 
     whole = pieces.where(F.col("length") == capacity).select(
         "*", F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
@@ -178,7 +180,7 @@ def pack(
     rest = pieces.where(F.col("length") < capacity)
     n = rest.count()
     parts = max(1, math.ceil(n / partition_pieces))
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "_row"), F.lit(parts))
     todo = rest.withColumn("sequence_id", F.lit(-1).cast("long")).withColumn("offset", F.lit(-1).cast("long")).withColumn("part", deal)
     results = [whole]
     round_no, last, stalled = 0, False, 0
@@ -200,4 +202,6 @@ def pack(
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out.drop("released")
+    if with_ids:
+        out = out.join(whole_pieces.select("_row", "ids"), "_row")
+    return out.drop("released", "_row")

@@ -1,7 +1,8 @@
-"""Exact token ids of a word-level BPE vocabulary file, with a word cache."""
+"""Exact token ids of a BPE vocabulary file, with a word cache where its rules allow one."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,6 +19,25 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# The rules of the vocabulary whose pieces ``WordTokenizer`` knows.
+_KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_KNOWN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def has_known_rules(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits texts by the known rules, and its added tokens are marked by <|."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = spec.get("added_tokens") or []
+    return spec.get("normalizer") == _KNOWN_NORMALIZER and spec.get("pre_tokenizer") == _KNOWN_SPLIT and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and all("<|" in t["content"] for t in added)
+
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -36,7 +56,8 @@ class WordTokenizer:
     only. So in a text of plain characters (see ``_PLAIN``: signs that no
     normalisation changes and whose lower case is one sign) the ids of a run
     between spaces depend on that run alone, and runs are looked up in a cache.
-    Any other text, and any that may hold an added token, goes to the tokenizer.
+    Any other text, and any that may hold an added token, goes to the tokenizer, as do
+    all texts of a vocabulary with other rules.
     """
 
     #: The vocabulary's own pieces, for plain characters in lower case.
@@ -52,6 +73,7 @@ class WordTokenizer:
         #: Ids of pieces, and of runs of several pieces.
         self.cache: dict[str, bytes] = {}
         self.most_cached = most_cached
+        self.cached_words = has_known_rules(path)
         size = self.tokenizer.get_vocab_size()
         self._raw = [int(i).to_bytes(4, "little") for i in range(size)]
         # the vocabulary's letters for bytes: printable ones stand for themselves, the rest follow from 256 on
@@ -87,7 +109,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, exactly those of the tokenizer."""
         out: list[bytes] = [b""] * len(texts)
-        slow = [i for i, t in enumerate(texts) if "<|" in t or not self._PLAIN.fullmatch(t)]
+        slow = [i for i, t in enumerate(texts) if not self.cached_words or "<|" in t or not self._PLAIN.fullmatch(t)]
         for i, ids in zip(slow, self._encode([texts[i] for i in slow]) if slow else ()):
             out[i] = ids
         other, plain = set(slow), []

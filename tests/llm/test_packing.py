@@ -24,6 +24,27 @@ def test_ids_are_the_tokenizers(tokenizer, text):
     assert np.frombuffer(tokenizer.encode([text])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_installed_vocabulary(name):
+    own = WordTokenizer(vocabulary_path(name))
+    assert own.cached_words == (name == "word_bpe_49k.json")
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(TEXTS)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_a_vocabulary_of_other_rules_goes_to_the_tokenizer(tmp_path):
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].pop()  # no lower case
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    own = WordTokenizer(path)
+    assert not own.cached_words
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(TEXTS)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abzAZéÉßÿ019 .,'!<|>/w\n\t\r-_×÷&"), max_size=60), max_size=5))
 def test_random_ids_are_the_tokenizers(texts):

@@ -5,7 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from basinflow.llm import decontam, near_dup, toxicity
+from basinflow.llm import decontam, toxicity
+from shingle_brute import brute
 
 
 @pytest.fixture(scope="module")
@@ -64,11 +65,31 @@ def test_stages(spark, corpus):
 def test_dedup_stage_equals_brute_force(spark, corpus):
     folder, docs = corpus
     df = spark.read.parquet(f"{folder}/documents.parquet")
-    got = corpus_pipeline.drop_near_duplicates(spark, df, folder)
-    classes = {r.row_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
-    keep = {i for i, c in classes.items() if i == c}
-    rows = [r.doc_id for r in got.collect()]
-    assert sorted(r for r in rows if r is not None) == sorted(i for i in keep if i is not None) and rows.count(None) == 2
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    # near variants, so that classes hold more than equal rows
+    extra = [(400 + i, rows[i][1] + " tail") for i in range(20) if rows[i][0] is not None and rows[i][1]]
+    df = df.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], df.schema))
+    rows += extra
+    sets = [brute(t, 5) if i is not None else set() for i, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            same = rows[a] == rows[b] and rows[a][0] is not None
+            if same or (sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
+                root[find(a)] = find(b)
+    classes = {}
+    for k, row in enumerate(rows):
+        classes.setdefault(find(k), []).append(row)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, folder).collect()]
+    assert len(got) == len(classes)
+    assert sorted((r[0] for r in got), key=str) == sorted((min((r[0] for r in c if r[0] is not None), default=None) for c in classes.values()), key=str)
+    assert len(classes) < len(rows) - 10
 
 
 def test_dedup_stage_judges_each_text_of_an_id(spark, tmp_path):

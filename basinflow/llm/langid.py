@@ -28,9 +28,18 @@ CHUNK = 4096
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _words(text: str) -> Iterator[str]:
+    """Runs of letters (the Unicode categories L*) in lower case."""
+    for w in _WORD.findall(text.lower()):
+        if w.isalpha():
+            yield w
+        else:  # signs that count as word characters but are numbers, such as fractions
+            yield from "".join(c if c.isalpha() else " " for c in w).split()
+
+
 def normalised(text: str) -> bytes:
     """Lower-case words, single-spaced: capitals, signs and a word's repeats in a row don't tell languages apart."""
-    return " ".join(w for w, _ in groupby(_WORD.findall(text.lower()))).encode("utf-8", "surrogatepass")
+    return " ".join(w for w, _ in groupby(_words(text))).encode("utf-8", "surrogatepass")
 
 
 @dataclass
@@ -94,7 +103,8 @@ def fit(
     """Dictionaries and curve from about ``most_docs`` documents of each language.
 
     Rows are drawn by a hash of the id, from those with id, text and language; texts
-    beyond ``most_chars`` are not drawn, and of an id's rows one is. ``exclude_fold`` (m, r) leaves out documents
+    beyond ``most_chars`` are not drawn, and of an id's rows that with the smallest text
+    is, so a run on the same rows learns the same. ``exclude_fold`` (m, r) leaves out documents
     whose crc32(id as text) mod m is r. A fifth of the sample is kept out of the
     dictionaries to fit the curve. Without rows to learn from, the model knows no
     language and calls every text undetermined.
@@ -105,7 +115,8 @@ def fit(
     if exclude_fold:
         rows = rows.where(F.crc32(F.col("id").cast("string")) % exclude_fold[0] != exclude_fold[1])
     rows = rows.where((F.length("text") > 0) & (F.length("text") <= most_chars))
-    sample = sorted(tuple(r) for r in bounded_by_class(rows, "lang", "id", most_docs).dropDuplicates(["id"]).collect())
+    drawn = bounded_by_class(rows, "lang", "id", most_docs).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))
+    sample = sorted(tuple(r) for r in drawn.select("id", "r.text", "r.lang").collect())
     by_lang: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     for i, (_, text, lang) in enumerate(sample):
@@ -126,7 +137,7 @@ def fit(
     found = [(model.predict(t), lang) for t, lang in held]
     margins = np.array([p[2] for p, _ in found])
     right = np.array([p[0] == lang for p, lang in found], float)
-    if len(found) >= 20:
+    if found:
         model.slope, model.offset = _logistic(margins, right)
         order = np.argsort(-margins)
         good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= accuracy)

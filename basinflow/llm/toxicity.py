@@ -293,19 +293,22 @@ def fit(
     label_col: str = "toxic",
     most_per_class: int = 4000,
     most_words: int = 20_000,
+    most_bytes: int = 96 << 20,
     steps: int = 1200,
     exclude_fold: tuple[int, int] | None = (3, 1),
 ) -> Model | None:
     """Fits the classifier on a bounded sample of labelled documents.
 
     Of each class about ``most_per_class`` labelled ids are drawn by hash, and of those
-    the documents of at most ``most_words`` words; that bounds what the driver holds.
+    the documents of at most ``most_words`` words; where those hold more than
+    ``most_bytes`` of word buckets, a second hash draws as many as fit; that bounds what
+    the driver holds. Of an id's rows that with the smallest words is taken, so a run on
+    the same rows learns the same.
     ``exclude_fold`` (m, r) leaves out documents whose crc32(id as text) mod m is r.
     An id with several labels counts as toxic if one of them says so. None if the sample
     lacks a class.
     """
     spark = docs.sparkSession
-    Scratch(spark, "toxicity")
     marks = labels.select(labels[label_id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if exclude_fold:
         marks = marks.where(F.crc32(F.col("id").cast("string")) % exclude_fold[0] != exclude_fold[1])
@@ -314,10 +317,16 @@ def fit(
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
     # the sample's size is bounded by the parameter
-    found = rows.join(F.broadcast(sample), "id").select("id", "text", "lang", "label").mapInArrow(_words_of(most_words), "id long, words binary, lang string, label int").where("words is not null")
+    drawn = rows.join(F.broadcast(sample), "id").select("id", "text", "lang", "label")
+    words = drawn.mapInArrow(_words_of(most_words), "id long, words binary, lang string, label int").where("words is not null")
     # one row of an id, however many there are
-    found = found.dropDuplicates(["id"])
-    got = sorted(found.collect(), key=lambda r: (r.id, bytes(r.words)))
+    one = words.groupBy("id").agg(F.min(F.struct("words", "lang", "label")).alias("r")).select("id", "r.*")
+    scratch = Scratch(spark, "toxicity")
+    one = scratch.keep(one, "words")
+    size = one.agg(F.sum(F.length("words"))).first()[0] or 0
+    share = F.pmod(F.xxhash64("id", F.lit(19)), F.lit(1 << 30)) / float(1 << 30)
+    got = sorted(one.where(share < min(1.0, most_bytes / max(size, 1))).collect(), key=lambda r: r.id)
+    scratch.drop(one)
     texts = [np.frombuffer(r.words, np.uint16).reshape(TABLES, -1) for r in got]
     return fit_model(texts, np.array([r.label for r in got], np.int64), [r.lang for r in got], steps=steps)
 

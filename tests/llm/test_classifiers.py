@@ -58,6 +58,62 @@ def test_language_sees_the_whole_text(spark, corpus):
     assert model.predict(mixed)[0] == "yy" and model.predict("12 !? 34")[0] == "und" and model.predict("7 ka 7")[0] != "und"
 
 
+def test_only_letters_make_words(spark, corpus):
+    docs, _ = corpus
+    model = langid.fit(docs, most_docs=100)
+    for sign in ("½ ² ①", "Ⅷ ⅷ", "12 34", "_ __", "!?", " ", "\u0301", "٣"):
+        assert model.predict(sign)[0] == "und", sign
+    for letter in ("ª", "ʰ", "中", "ǅ", "ka½lo", "é"):
+        assert model.predict(letter)[0] != "und", letter
+    assert langid.normalised("Ka½lo_mi 7tu²") == b"ka lo mi tu"
+
+
+def brute_language(model, text):
+    """Fewest bytes over the dictionaries, each chunk compressed on its own, by the plain library."""
+    import re
+
+    import zstandard
+
+    words = re.sub("[^x]", lambda m: m[0] if m[0].isalpha() else " ", text.lower()).split()
+    data = " ".join(w for i, w in enumerate(words) if i == 0 or w != words[i - 1]).encode()
+    sizes = []
+    for raw in model.dictionaries:
+        c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(data[a : a + langid.CHUNK])) for a in range(0, len(data), langid.CHUNK)))
+    return model.languages[sizes.index(min(sizes))] if data else "und"
+
+
+def test_language_equals_brute_force(spark, corpus, odd_documents):
+    docs, _ = corpus
+    model = langid.fit(docs, most_docs=60)
+    texts = {r.doc_id: r.text for r in docs.limit(120).collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.limit(120), model).collect()}
+    assert got == {i: brute_language(model, t) for i, t in texts.items()}
+    for r in odd_documents.collect():
+        assert model.predict(r.text)[0] == brute_language(model, r.text or "")
+
+
+def test_fits_are_repeatable(spark, corpus):
+    docs, labels = corpus
+    clash = docs.limit(300).withColumn("text", docs.text.substr(3, 50)).withColumn("lang", docs.source)
+    rows = docs.union(clash)
+    a, b = (langid.fit(d, most_docs=60) for d in (rows, rows.repartition(7)))
+    assert a.dictionaries == b.dictionaries and a.slope == b.slope
+    a, b = (toxicity.fit(d, labels, steps=20) for d in (rows, rows.repartition(7)))
+    assert all((x == y).all() for x, y in zip(a.net.tables, b.net.tables))
+    a, b = (quality.fit(quality.views(d, None), labels) for d in (rows, rows.repartition(7)))
+    assert (a.calibration == b.calibration).all()
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_model", lambda texts, *a, **k: seen.append(sum(t.nbytes for t in texts)))
+    toxicity.fit(docs, labels, exclude_fold=None)
+    toxicity.fit(docs, labels, exclude_fold=None, most_bytes=seen[0] // 4)
+    assert 0 < seen[1] < seen[0] // 3
+
+
 def test_language_is_not_learnt_from_the_held_fold(spark, corpus):
     docs, _ = corpus
     ids = [i for i in range(5000) if held(i, 5, 0)][:200]
@@ -100,6 +156,30 @@ def test_slices_of_a_long_text_change_nothing(monkeypatch):
     assert np.allclose(both, [whole[0], model.scores(ids[:, :400], np.array([400]))[0]], atol=1e-6)
 
 
+def test_toxicity_equals_plain_convolution(spark, corpus):
+    """The network's answer, word by word in plain loops."""
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels, steps=30)
+    import pyarrow as pa
+
+    from basinflow.llm import hashing
+
+    rows = docs.limit(15).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), model).collect()}
+    for r in rows:
+        ((_, hashes, counts),) = hashing.words(toxicity._lower(pa.array([r.text])), hashing.ALNUM, toxicity.PREFIXES)
+        ids = toxicity.bucket_ids(hashes)
+        e = [sum(t[i] for t, i in zip(model.net.tables, ids[:, w])) for w in range(counts[0])] + [np.zeros(toxicity.WIDTH)] * 2
+        z = model.net.out_bias
+        for j, k in enumerate(toxicity.FILTER_WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(float(np.concatenate(e[w : w + k]) @ model.net.kernels[j][:, f]) for w in range(counts[0])) + model.net.biases[j][f]
+                z += max(best, 0.0) * model.net.out[j * toxicity.FILTERS + f]
+        g = int(np.argmax([sum(model.languages[i % toxicity._LANG_BUCKETS, n] for i in ids[0]) for n in range(len(model.thresholds))]))
+        want = 1 / (1 + np.exp(-((z - model.thresholds[g]) * model.slopes[g] + np.log(toxicity.DECISION / (1 - toxicity.DECISION)))))
+        assert abs(got[r.doc_id] - want) < 1e-4
+
+
 def test_toxicity_without_labels(spark, corpus):
     docs, labels = corpus
     assert toxicity.fit(docs, labels.limit(0)) is None
@@ -125,8 +205,11 @@ def test_quality(spark, corpus, odd_documents):
     test = [r for r in got if held(r.doc_id, 3, 1)]
     assert np.mean([(r.score >= 0.5) == good[r.doc_id] for r in test]) > 0.95
     assert np.mean([(r.text_score >= 0.5) == good[r.doc_id] for r in test]) > 0.9
+    assert all((r.page_score is None) == (r.doc_id % 2 == 1) for r in got) and all(r.score == r.text_score for r in got if r.page_score is None)
     odd = quality.score(odd_documents, None, labels).collect()
-    assert len(odd) == odd_documents.count() and all(0 <= r.score <= 1 for r in odd)
+    assert len(odd) == odd_documents.count() and all(0 <= r.score <= 1 and r.page_score is None for r in odd)
+    clash = labels.union(labels.withColumn("quality", 1 - labels.quality)).selectExpr("*", "'x' page_view", "quality text")
+    assert quality.score(docs.withColumn("id", docs.source), pages.withColumn("doc_id", pages.url), clash).count() == docs.count()
     assert {r.score for r in quality.score(docs, pages.limit(0), labels.limit(0)).collect()} == {0.5}
     assert quality.score(docs.limit(0), pages, labels).collect() == []
 
@@ -134,7 +217,49 @@ def test_quality(spark, corpus, odd_documents):
 def test_page_features(spark):
     pages = spark.createDataFrame([(1, "http://h/en/7", "<a >"), (2, "http://h/en/7?x", "<a ><a >"), (3, None, None), (4, "http://h/x", ""), (5, "http://h/99999999999999999999", "")], "page_id long, url string, html string")
     got = quality.page_features(pages).collect()
-    assert [r.id for r in got] == [7]
+    assert [r.id for r in got] == [7] and len(got[0].page) == quality.PAGE_VALUES
+    more = spark.createDataFrame([(1, "https://h/9/", ""), (2, "u://h/8.html?q", None), (3, "x/6", "")], "page_id long, url string, html string")
+    assert sorted(r.id for r in quality.page_features(more).collect()) == [8, 9]
+
+
+def test_the_views_share_no_feature(spark, corpus):
+    """The page view changes with the page alone, the text view with the text alone."""
+    docs, _ = corpus
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>a&b</p>") for i in range(900)], "page_id long, url string, html string")
+    a = {r.id: r for r in quality.views(docs, pages).collect()}
+    b = {r.id: r for r in quality.views(docs.selectExpr("doc_id", "reverse(text) || 'x y' text", "'q' lang", "'z' source"), pages).collect()}
+    c = {r.id: r for r in quality.views(docs, pages.limit(0)).collect()}
+    assert all(a[i].page_view == b[i].page_view and a[i].text_view != b[i].text_view and a[i].text_view == c[i].text_view and c[i].page_view is None for i in a)
+
+
+def test_exchange_helps_the_weak_view():
+    rng = np.random.default_rng(4)
+    y = (rng.random(4000) < 0.5).astype(int)
+    x = rng.normal(size=(4000, quality.TEXT_VALUES)) + 2.5 * y[:, None] * (np.arange(quality.TEXT_VALUES) == 3)
+    p = rng.normal(size=(4000, quality.PAGE_VALUES)) + 0.8 * y[:, None] * (np.arange(quality.PAGE_VALUES) < 4)
+    scores = []
+    for rounds in (1, 4):
+        m = quality.co_train(x[:300], p[:300], y[:300], x[300:3000], p[300:3000], rounds=rounds)
+        scores.append([((s >= 0.5) == y[3000:]).mean() for s in m.scores(x[3000:], p[3000:])])
+    assert scores[1][1] > scores[0][1] + 0.01 and scores[1][2] >= max(scores[1][:2]) - 0.01 and scores[1][0] >= scores[0][0] - 0.02
+
+
+def test_text_features_equal_brute_force():
+    import re
+
+    import pyarrow as pa
+
+    texts = ["One two, two three! 7|$", "a b a b a b a b", "É ß\n\n#", "x"]
+    got = quality.text_features(pa.array(texts))
+    for row, t in zip(got, texts):
+        raw = t.encode()
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw.lower())
+        triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)] or [tuple(words)]
+        share = lambda chars: sum(b in chars for b in raw) / len(raw)
+        assert np.isclose(row[0], np.log1p(len(raw))) and np.isclose(row[1], np.log1p(len(words)))
+        assert np.isclose(row[2 + 1], share(b" \t")) and np.isclose(row[2 + 4], share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) and np.isclose(row[2 + 10], share(bytes(range(128, 256))))
+        runs = [words.count(w) for w in words]
+        assert np.allclose(row[-4:], [len(raw) / len(words), len(set(words)) / len(words), max(runs) / len(words), len(set(triples)) / len(triples)])
 
 
 def test_text_features_of_a_row_do_not_depend_on_its_group(spark, monkeypatch):

@@ -5,16 +5,19 @@ size under the shared folder. A task's archives count only once its manifest row
 committed, so a lost or repeated task leaves no record twice. The reader checks every
 record (member, version line, lengths, digests). After a failed check it searches for the
 nearest valid member or version line, goes on from there, and logs the bytes between as a
-quarantined gap.
+quarantined gap. Archives are read in blocks: memory follows the largest payload that is
+asked for, not an archive or what a member inflates to.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,8 @@ from .common import Scratch
 
 ROLL_BYTES = 64 << 20
 LEAST_REVISIT_BYTES = 100
+#: Payload bytes of a batch of rows that the reader gives, about.
+BATCH_BYTES = 16 << 20
 _VERSION = b"WARC/1.1\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -66,10 +71,10 @@ def member(raw: bytes, level: int = 6) -> bytes:
 
 @dataclass
 class Found:
-    """A valid record."""
+    """A valid record; its payload is None where it wasn't asked for."""
 
     headers: dict[str, str]
-    payload: bytes
+    payload: bytes | None
     payload_bytes: int
     start: int
     end: int
@@ -84,121 +89,293 @@ class Gap:
     reason: str
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Content and end of the gzip member at a position, None if it isn't whole and valid."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while pos < len(data) and not z.eof:
-            chunk = data[pos : pos + (1 << 16)]
-            out.append(z.decompress(chunk))
-            pos += len(chunk)
-    except zlib.error:
-        return None
-    return (b"".join(out), pos - len(z.unused_data)) if z.eof else None
-
-
-def parse(raw: bytes, at: int) -> tuple[Found | None, int, str]:
-    """Record at a position of uncompressed bytes, its end, and what is wrong if it isn't valid."""
-    if raw[at : at + 5] != b"WARC/":
-        return None, at, "no version line"
-    close = raw.find(b"\r\n\r\n", at)
-    if close < 0:
-        return None, at, "header not closed"
-    headers: dict[str, str] = {}
-    for line in raw[at:close].split(b"\r\n")[1:]:
+_MEMBER, _LINE, _BREAK = b"\x1f\x8b\x08", b"WARC/", b"\r\n\r\n"
+#: Bytes that are read, inflated or kept for a search at once, and that a forward reader takes.
+BLOCK, STEP = 1 << 18, 1 << 14
+#: Bytes of a header; a longer one isn't valid.
+MOST_HEADER = 64 << 20
+#: Bytes of the head inside a block whose lines are looked at.
+MOST_HEAD = 1 << 20
+
+
+class Archive:
+    """A seekable file's bytes by position, of which one block is held."""
+
+    def __init__(self, file: BinaryIO, size: int):
+        self.file, self.size = file, size
+        self._at, self._block = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a position on, less only at the end of the held block or the file."""
+        if not self._at <= at < self._at + len(self._block):
+            self.file.seek(at)
+            self._at, self._block = at, self.file.read(BLOCK)
+        return self._block[at - self._at : at - self._at + n]
+
+    def exactly(self, at: int, n: int) -> bytes:
+        """n bytes, less only at the end of the file."""
+        out = b""
+        while len(out) < n and (more := self.read(at + len(out), n - len(out))):
+            out += more
+        return out
+
+    def find(self, sign: bytes, at: int) -> int:
+        """First position from ``at`` on where a sign stands, the file's size if there is none."""
+        tail = b""
+        while part := self.read(at, BLOCK):
+            place = (tail + part).find(sign)
+            if place >= 0:
+                return at - len(tail) + place
+            at += len(part)
+            tail = (tail + part)[1 - len(sign) :]
+        return self.size
+
+
+class _Plain:
+    """Forward bytes of the archive itself, from a position on."""
+
+    def __init__(self, archive: Archive, at: int):
+        self.archive, self.at = archive, at
+
+    def more(self) -> bytes:
+        out = self.archive.read(self.at, STEP)
+        self.at += len(out)
+        return out
+
+
+class _Inflated:
+    """Forward content of the gzip member at a position; ``end`` is the member's end once all is read."""
+
+    def __init__(self, archive: Archive, at: int):
+        self.archive, self.at, self.end = archive, at, -1
+        self._z, self._held = zlib.decompressobj(31), b""
+
+    def more(self) -> bytes:
+        """Next bytes, empty at the member's end; an error if it isn't valid."""
+        while self.end < 0:
+            raw = self._held or self.archive.read(self.at, STEP)
+            if not self._held:
+                self.at += len(raw)
+            if not raw:
+                raise zlib.error("the archive ends inside a member")
+            out = self._z.decompress(raw, BLOCK)
+            self._held = self._z.unconsumed_tail
+            if self._z.eof:
+                self.end = self.at - len(self._z.unused_data)
+            if out:
+                return out
+        return b""
+
+
+class _Cursor:
+    """Reads a source forwards, holding little of it."""
+
+    def __init__(self, source: _Plain | _Inflated):
+        self.source, self.held, self.at, self.done = source, b"", 0, False
+
+    def fill(self, n: int) -> int:
+        """Holds n bytes, less only at the end."""
+        parts, size = [self.held], len(self.held)
+        while size < n and not self.done:
+            parts.append(self.source.more())
+            size += len(parts[-1])
+            self.done = not parts[-1]
+        self.held = b"".join(parts)
+        return len(self.held)
+
+    def take(self, n: int) -> bytes:
+        """Up to n bytes, none at the end."""
+        if not self.held:
+            self.fill(1)
+        out, self.held = self.held[:n], self.held[n:]
+        self.at += len(out)
+        return out
+
+    def skip_to(self, at: int) -> None:
+        while self.at < at and self.take(at - self.at):
+            pass
+
+    def until(self, sign: bytes, most: int) -> bytes | None:
+        """Bytes before a sign, which are taken with it; None if it isn't among the next ones."""
+        looked = 0
+        while True:
+            place = self.held.find(sign, max(0, looked - len(sign)))
+            if place >= 0:
+                out = self.held[:place]
+                self.held = self.held[place + len(sign) :]
+                self.at += place + len(sign)
+                return out
+            looked = len(self.held)
+            if looked > most or self.done or self.fill(looked + max(STEP, looked)) == looked:
+                return None
+
+    def next_line(self, at: int) -> int:
+        """Position, from one on, of what looks like a version line; -1 if there is none."""
+        self.skip_to(at)
+        tail = b""
+        while part := self.take(BLOCK):
+            text = tail + part
+            place = text.find(_LINE)
+            if place >= 0:
+                return self.at - len(text) + place
+            tail = text[1 - len(_LINE) :]
+        return -1
+
+
+def _headers(raw: bytes) -> dict[str, str] | str:
+    """Header lines behind the version line, or what is wrong with them."""
+    out: dict[str, str] = {}
+    for line in raw.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
-            return None, at, "bad header line"
-        headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isdigit():
-        return None, at, "bad length"
-    begin = close + 4
-    end = begin + int(headers["content-length"])
-    if end + 4 > len(raw) or raw[end : end + 4] != b"\r\n\r\n":
-        return None, at, "block doesn't end where its length says"
-    block = raw[begin:end]
+            return "bad header line"
+        out[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    return out if out.get("content-length", "").isdigit() else "bad length"
+
+
+def parse(cursor: _Cursor, with_payload: bool = True, left: Callable[[int], str] | None = None) -> Found | str:
+    """The record at a cursor, or what is wrong there; ``left`` tells by its length whether the block can be whole.
+
+    The block is hashed as it is read; only a payload that is asked for is held.
+    """
+    start = cursor.at
+    if cursor.fill(len(_LINE)) < len(_LINE) or not cursor.held.startswith(_LINE):
+        return "no version line"
+    raw = cursor.until(_BREAK, MOST_HEADER)
+    if raw is None:
+        return "header not closed"
+    headers = _headers(raw)
+    if isinstance(headers, str):
+        return headers
+    size = int(headers["content-length"])
+    if left and (why := left(cursor.at + size)):
+        return why
+    block, payload = hashlib.sha256(), hashlib.sha256()
+    head, tail, kept, inside, n = b"", b"", [], False, 0
+    rest = size
+    while rest and (part := cursor.take(min(rest, BLOCK))):
+        rest -= len(part)
+        block.update(part)
+        if not inside:
+            text = tail + part
+            place = text.find(_BREAK)
+            if place < 0:
+                if len(head) < MOST_HEAD:
+                    head += part
+                tail = text[1 - len(_BREAK) :]
+                continue
+            inside = True
+            head = (head + part)[: len(head) - len(tail) + place]
+            part = text[place + len(_BREAK) :]
+        payload.update(part)
+        n += len(part)
+        if with_payload:
+            kept.append(part)
+    if rest or cursor.fill(len(_BREAK)) < len(_BREAK) or not cursor.held.startswith(_BREAK):
+        return "block doesn't end where its length says"
+    cursor.take(len(_BREAK))
     want = headers.get("warc-block-digest", "")
-    if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
-        return None, at, "block digest differs"
-    head, _, payload = block.partition(b"\r\n\r\n")
-    size = len(payload)
+    if want.startswith("sha256:") and block.hexdigest() != want[7:]:
+        return "block digest differs"
     if headers.get("warc-type") == "revisit":
         found = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        size = int(found[0]) if found and found[0].isdigit() else 0
-    elif headers.get("warc-payload-digest", "").startswith("sha256:") and hashlib.sha256(payload).hexdigest() != headers["warc-payload-digest"][7:]:
-        return None, at, "payload digest differs"
-    return Found(headers, payload, size, at, end + 4), end + 4, ""
-
-
-def _records(raw: bytes) -> tuple[list[Found], list[Gap]]:
-    """Records of a member's content, salvaging at version lines."""
-    found, gaps, at, n = [], [], 0, len(raw)
-    while at < n:
-        got, end, why = parse(raw, at)
-        if got:
-            found.append(got)
-            at = end
-            continue
-        nxt, start = at, at
-        while True:
-            nxt = raw.find(b"WARC/", nxt + 1)
-            if nxt < 0:
-                nxt = n
-                break
-            if raw[nxt - 1 : nxt] == b"\n" and parse(raw, nxt)[0]:
-                break
-        gaps.append(Gap(start, nxt, why))
-        at = nxt
-    return found, gaps
+        n = int(found[0]) if found and found[0].isdigit() else 0
+    elif headers.get("warc-payload-digest", "").startswith("sha256:") and payload.hexdigest() != headers["warc-payload-digest"][7:]:
+        return "payload digest differs"
+    return Found(headers, b"".join(kept) if with_payload else None, n, start, cursor.at)
 
 
-_MEMBER, _LINE = b"\x1f\x8b\x08", b"WARC/"
+def _member_end(archive: Archive, at: int) -> int:
+    """End of the gzip member at a position, -1 if it isn't whole and valid."""
+    source = _Inflated(archive, at)
+    try:
+        while source.more():
+            pass
+    except zlib.error:
+        return -1
+    return source.end
+
 
+def _inside(archive: Archive, at: int, end: int, with_payload: bool) -> Iterator[Found | Gap]:
+    """Records of a valid member, salvaged at its version lines; a gap for all that is wrong inside.
+
+    Positions inside a member have no byte of the archive: its bytes are the places of its
+    records and its gap. After a failed check the content is inflated anew.
+    """
+    place, why, any_bytes = 0, "", False
+    while place >= 0:
+        cursor = _Cursor(_Inflated(archive, at))
+        cursor.skip_to(place)
+        while cursor.fill(1):
+            any_bytes = True
+            place = cursor.at
+            got = parse(cursor, with_payload)
+            if isinstance(got, str):
+                why = why or got
+                place = _Cursor(_Inflated(archive, at)).next_line(place + 1)
+                break
+            got.start, got.end = at, end
+            yield got
+        else:
+            break
+    if why or not any_bytes:
+        yield Gap(at, end, why or "member without content")
 
-def salvage(data: bytes) -> tuple[list[Found], list[Gap]]:
-    """All valid records of an archive and the gaps between.
+
+def scan(archive: Archive, with_payload: bool = True) -> Iterator[Found | Gap]:
+    """All valid records of an archive and the gaps between, in order.
 
     Every position is read by the bytes found there: a gzip member or a version line,
-    also mixed. After a failed check the nearest valid one of either kind goes on.
+    also mixed. After a failed check the nearest valid one of either kind goes on. A
+    member is inflated once to check it and once to read it, so of either no more than a
+    block is held, besides the header and payload of one record.
     """
-    found: list[Found] = []
-    gaps: list[Gap] = []
-    view, at, n = memoryview(data), 0, len(data)
     ahead = {_MEMBER: -1, _LINE: -1}
 
-    def whole(p: int) -> tuple[list[Found], list[Gap], int, str]:
-        """Records at a position, gaps among them and their end: the position itself if nothing there is valid."""
-        if data[p : p + 2] != _MEMBER[:2]:
-            one, end, why = parse(data, p)
-            return [one] if one else [], [], end, why
-        got = _inflate(view, p)
-        if got is None:
-            return [], [], p, "member fails its check"
-        records, inner = _records(got[0])
-        for r in records:
-            r.start, r.end = p, got[1]
-        # positions inside a member have no byte of the archive: its bytes are the gap
-        return records, [Gap(p, got[1], inner[0].reason)] if inner else [], got[1], ""
+    def whole(p: int) -> tuple[Iterator[Found | Gap], int, str]:
+        """Records at a position and their end, -1 if nothing there is valid."""
+        if archive.exactly(p, 2) == _MEMBER[:2]:
+            end = _member_end(archive, p)
+            return (_inside(archive, p, end, with_payload), end, "") if end >= 0 else (iter(()), -1, "member fails its check")
+        cursor = _Cursor(_Plain(archive, p))
+
+        def left(to: int) -> str:
+            return "" if archive.exactly(p + to, len(_BREAK)) == _BREAK else "block doesn't end where its length says"
+
+        got = parse(cursor, with_payload, left)
+        if isinstance(got, str):
+            return iter(()), -1, got
+        got.start, got.end = p, p + cursor.at
+        return iter((got,)), got.end, ""
 
     def following(p: int) -> int:
         """Nearest place behind a position that looks like a member or a version line."""
         for sign, place in ahead.items():
             if place <= p:
-                place = data.find(sign, p + 1)
-                ahead[sign] = place if place >= 0 else n
+                ahead[sign] = archive.find(sign, p + 1)
         return min(ahead.values())
 
-    while at < n:
-        records, inner, end, why = whole(at)
-        if end == at:
-            end = following(at)
-            while end < n and not whole(end)[0]:
-                end = following(end)
-            inner = [Gap(at, end, why)]
-        found += records
-        gaps += inner
+    at = 0
+    while at < archive.size:
+        records, end, why = whole(at)
+        if end < 0:
+            place, found = at, None
+            while found is None and (place := following(place)) < archive.size:
+                records, end, _ = whole(place)
+                found = next((r for r in records if isinstance(r, Found)), None) if end >= 0 else None
+            yield Gap(at, place, why)
+            at = place
+            if found is None:
+                continue
+            yield found
+        yield from records
         at = end
-    return found, gaps
+
+
+def salvage(data: bytes, with_payload: bool = True) -> tuple[list[Found], list[Gap]]:
+    """Records and gaps of an archive in memory."""
+    got = list(scan(Archive(io.BytesIO(data), len(data)), with_payload))
+    return [r for r in got if isinstance(r, Found)], [g for g in got if isinstance(g, Gap)]
 
 
 _MANIFEST = "path string, records long, bytes long"
@@ -258,14 +435,24 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True, complete: b
         for batch in batches:
             for path, records in zip(*(c.to_pylist() for c in batch.columns)):
                 system, name = _filesystem(path)
-                with system.open_input_stream(name, compression=None) as f:
-                    found, gaps = salvage(f.read())
-                if complete and len(found) != records:
-                    raise ValueError(f"{path}: {len(found)} of {records} records read, {len(gaps)} gaps" + (f", first: {gaps[0].reason}" if gaps else ""))
-                for at in range(0, len(found), 500):
-                    yield _rows(path, found[at : at + 500], [], with_payload)
-                if gaps:
-                    yield _rows(path, [], gaps, with_payload)
+                found: list[Found] = []
+                gaps: list[Gap] = []
+                number, held, lost = 0, 0, ""
+                with system.open_input_file(name) as f:
+                    for r in scan(Archive(f, f.size()), with_payload):
+                        if isinstance(r, Gap):
+                            gaps.append(r)
+                            lost = lost or r.reason
+                        else:
+                            found.append(r)
+                            number += 1
+                            held += len(r.payload or b"")
+                        if len(found) + len(gaps) >= 500 or held >= BATCH_BYTES:
+                            yield _rows(path, found, gaps, with_payload)
+                            found, gaps, held = [], [], 0
+                if complete and number != records:
+                    raise ValueError(f"{path}: {number} of {records} records read" + (f", a gap: {lost}" if lost else ""))
+                yield _rows(path, found, gaps, with_payload)
 
     return manifest.select("path", F.col("records") if complete else F.lit(None).cast("long").alias("records")).mapInArrow(run, _READ)
 

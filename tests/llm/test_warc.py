@@ -1,6 +1,8 @@
 import gzip
 import hashlib
+import io
 import random
+import tracemalloc
 
 import pytest
 
@@ -103,6 +105,73 @@ def test_members_and_plain_records_mixed(archive):
     assert ids(found) == [2, 3] and [(g.start, g.end) for g in gaps] == [(0, len(broken))]
 
 
+@pytest.mark.parametrize("form", ["members", "plain", "one member", "mixed"])
+def test_damage_at_every_byte_loses_one_record_at_most(form):
+    raw = [big_record(i, b"<p>%d page</p>" % i * (3 * i) if i % 2 else gzip.compress(b"%d" % i * 50)) for i in range(4)]
+    parts = {"members": [warc.member(r) for r in raw], "plain": raw, "one member": [warc.member(b"".join(raw))], "mixed": [warc.member(r) if i % 2 else r for i, r in enumerate(raw)]}[form]
+    data = b"".join(parts)
+    owner = [k for k, p in enumerate(parts) for _ in p]
+    for at in range(len(data)):
+        for flip in (0xFF, 0x01):
+            broken = bytearray(data)
+            broken[at] ^= flip
+            records = list(warc.scan(warc.Archive(io.BytesIO(bytes(broken)), len(broken)), False))
+            found = {warc._number(f.headers.get("x-page-id")) for f in records if isinstance(f, warc.Found)}
+            if form != "one member":
+                assert set(range(4)) - {owner[at]} <= found, at
+            covered = sorted({(r.start, r.end) for r in records})
+            assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:])), at
+
+
+def test_damage_inside_a_member_of_many_records():
+    raw = [big_record(i, b"page %d " % i * 40) for i in range(6)]
+    inner = raw[0] + raw[1][:50] + raw[2] + b"WARC/1.1 no\r\nWARC/1.1\r\n" + raw[3] + raw[4][:-7] + raw[5]
+    found, gaps = warc.salvage(warc.member(inner) + warc.member(raw[1]) + warc.member(b""))
+    assert ids(found) == [0, 1, 2, 3, 5]
+    first = len(warc.member(inner))
+    assert [(g.start, g.end) for g in gaps] == [(0, first), (first + len(warc.member(raw[1])), first + len(warc.member(raw[1])) + len(warc.member(b"")))]
+
+
+def test_blocks_without_an_http_head(monkeypatch):
+    block = b"software: x\r\nformat: WARC" * 40_000
+    raw = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for data in (raw, warc.member(raw)):
+        ((one,), gaps) = warc.salvage(data + data)[0][:1], warc.salvage(data + data)[1]
+        assert one.payload == b"" and one.payload_bytes == 0 and gaps == [] and len(warc.salvage(data + data)[0]) == 2
+
+
+def test_heads_and_signs_across_block_borders(archive, monkeypatch):
+    raw, members, _ = archive
+    data = b"junk" + b"".join(members[:9]) + b"junk" + b"".join(raw[9:15])
+    want = warc.salvage(data)
+    for block, step in ((7, 5), (64, 1), (1000, 1000), (4096, 17)):
+        monkeypatch.setattr(warc, "BLOCK", block)
+        monkeypatch.setattr(warc, "STEP", step)
+        assert warc.salvage(data) == want
+    assert [bytes(f.payload) for f in want[0]] == [r.split(b"\r\n\r\n", 2)[2][:-4] for r in raw[:15]]
+
+
+def test_memory_follows_no_member():
+    body = b"\0" * (48 << 20)
+    data = warc.member(big_record(1, body)) + warc.member(big_record(2, b"x"))
+    bad = bytearray(data)
+    bad[len(bad) // 2] ^= 255
+    del body
+    tracemalloc.start()
+    assert ids(warc.salvage(data, with_payload=False)[0]) == [1, 2] and ids(warc.salvage(bytes(bad), with_payload=False)[0]) == [2]
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_long_payloads_and_extra_columns(spark, tmp_path):
+    long = "é<p>" * 700_000
+    rows = [(1, "u" * 100_000, long, "x", 1), (2, "u", long, None, 2), (3, "u", "short", "y", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, start long")
+    got = {r.page_id: r for r in warc.archive_pages(pages, folder=f"file://{tmp_path}/w", complete=True).collect()}
+    assert bytes(got[1].payload).decode() == long and got[1].url == "u" * 100_000 and got[1].payload_bytes == len(long.encode())
+    assert (got[2].record_type, got[2].refers_to, got[2].payload, got[2].payload_bytes) == ("revisit", 1, None, len(long.encode())) and bytes(got[3].payload) == b"short"
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big, small = "<p>" + "é" * 100 + "</p>", "<p>x</p>"

@@ -5,8 +5,9 @@ dealt to tiles of bounded size; in a tile they are ordered so that neighbours ar
 and cut into ranges, the blocks. A block knows each term's largest and smallest weight,
 which bound the score any query can have in it. Per query the blocks are visited in the
 order of that bound; visited blocks are scored in full through their forward index (the
-block's matrix), until the bounds fall below the query's k-th score. Tiles' results are
-merged, at most k of each tile for each query.
+block's matrix), until the bounds fall below the query's k-th score. The first tile is
+searched before the others, which start from its k-th scores. Tiles' results are merged,
+at most k of each tile for each query.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -24,6 +25,8 @@ from .common import Scratch
 BLOCK = 64
 TILE_DOCUMENTS = 32_768
 TILE_QUERIES = 4_096
+#: Bytes of the vectors of a tile's documents or queries at most, whatever their width.
+TILE_BYTES = 64 << 20
 
 
 def ordered(x: np.ndarray, size: int = BLOCK) -> np.ndarray:
@@ -67,10 +70,14 @@ class Tile:
         """Largest score each query (row of q) can have in each block."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, first: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(query row, document id, score) of each query's k best documents but itself, and how many blocks were scored."""
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, first: int = 4, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query row, document id, score) of each query's k best documents but itself, and how many blocks were scored.
+
+        With ``least``, documents below a query's least score may be missing.
+        """
         n = len(query_ids)
         bound = self.bounds(q)
+        floor = np.full(n, -np.inf) if least is None else least
         order = np.argsort(-bound, axis=1, kind="stable")
         best = np.full((n, k), -np.inf)
         best_ids = np.full((n, k), np.iinfo(np.int64).max)
@@ -79,7 +86,7 @@ class Tile:
         while at < blocks:
             turn = order[:, at : at + step]
             # a block that can only tie the k-th score may still hold a smaller id
-            live = np.take_along_axis(bound, turn, 1) >= best[:, -1:]
+            live = np.take_along_axis(bound, turn, 1) >= np.maximum(best[:, -1], floor)[:, None]
             if not live.any():
                 break
             rows, cols = np.nonzero(live)
@@ -163,7 +170,8 @@ def top_k(
     rows = scratch.keep(source.mapInArrow(_integers(scale), "id long, x binary").withColumn("row", F.monotonically_increasing_id()), "integers")
     is_query = F.pmod(F.col("id"), F.lit(query_divisor)) == 0
     n, queries, width = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max(F.length("x"))).first()
-    down, across, width = max(1, math.ceil(n / tile_documents)), max(1, math.ceil(queries / tile_queries)), (width or 0) // 8
+    most = max(1, TILE_BYTES // max(width or 8, 8))
+    down, across, width = max(1, math.ceil(n / min(tile_documents, most))), max(1, math.ceil(queries / min(tile_queries, most))), (width or 0) // 8
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         tile = Tile(np.asarray(left.column("id")), _matrix(left.column("x"), width))
@@ -171,16 +179,30 @@ def top_k(
         if not len(tile.ids) or not len(own):
             r, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            r, d, s, _ = tile.search(own, _matrix(right.column("q"), width), k)
+            least = np.asarray(right.column("least").fill_null(-np.inf))
+            r, d, s, _ = tile.search(own, _matrix(right.column("q"), width), k, least=least)
         return pa.table({"row": ids[r], "query_id": own[r], "vec_id": d, "score": s.astype(np.int64)}, pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    def dealt(parts: int, seed: int, key: str = "id"):
-        return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)).cast("int")
+    def dealt(parts: int, seed: int):
+        # by row: an id that many rows share is dealt to many tiles
+        return F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts)).cast("int")
 
     docs = rows.select("id", "x", dealt(down, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"))
     # named anew: the two sides of a cogroup must not share columns, or unused ones are pruned wrongly
-    asked = rows.where(is_query).select(F.col("id").alias("query"), F.col("x").alias("q"), F.col("row").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"))
-    asked = asked.withColumn("j", dealt(across, 2, "query"))
-    found = docs.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
+    asked = rows.where(is_query).select(F.col("id").alias("query"), F.col("x").alias("q"), F.col("row").alias("row"), dealt(across, 2).alias("j"))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+
+    def searched(which: Column, least: DataFrame | None) -> DataFrame:
+        """Results of the tiles that a condition on i selects."""
+        tiles = F.array(F.lit(0)) if least is None else F.sequence(F.lit(1), F.lit(down - 1))
+        some = asked.withColumn("least", F.lit(None).cast("double")) if least is None else asked.join(least, "row", "left")
+        some = some.withColumn("i", F.explode(tiles))
+        return docs.where(which).groupBy("i", "j").cogroup(some.groupBy("i", "j")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
+
+    found = searched(F.col("i") == 0, None)
+    if down > 1:
+        found = scratch.keep(found, "first-tile")
+        # a k-th score of one tile is a lower bound of that of all
+        least = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k).drop("n")
+        found = found.union(searched(F.col("i") > 0, least))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

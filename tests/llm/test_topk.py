@@ -72,3 +72,20 @@ def test_pruning_skips_blocks_of_separated_clusters():
     bound = tile.bounds(x[:5])
     for b, (s, e) in enumerate(zip(tile.starts, tile.ends)):
         assert ((x[:5] @ tile.x[s:e].T).max(axis=1) <= bound[:, b] + 1e-9).all()
+
+
+def test_known_least_scores_skip_blocks_and_change_nothing():
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * np.concatenate([rng.normal(0, 0.02, (320, 16)) + 3 * np.eye(16)[k] for k in range(10)]))
+    ids = np.arange(len(x))
+    tile, q = topk.Tile(ids, x), ids % 20 == 0
+    rows, found, scores, scored = tile.search(ids[q], x[q], 20)
+    least = np.array([scores[rows == r].min() for r in range(q.sum())])
+    again = tile.search(ids[q], x[q], 20, least=least)
+    assert all((a == b).all() for a, b in zip((rows, found, scores), again[:3])) and again[3] < scored
+
+
+def test_one_id_of_many_rows(spark):
+    df = spark.createDataFrame([(0, [float(i % 7), 1.0]) for i in range(300)] + [(1, [3.0, 3.0]), (2, [1.0, 9.0])], "vec_id long, embedding array<double>")
+    got = run(df, tile_documents=20, tile_queries=30)
+    assert len(got) == 600 and {g[2] for g in got} == {1, 2}

@@ -42,7 +42,7 @@ ROWS, BANDS = 5, 40
 REGISTERS = ROWS * BANDS
 MANTISSA_BITS = 10
 #: Rounds in which hashes choose their bucket.
-ROUNDS = 8
+ROUNDS = 2
 #: Members of one side of a tile, on average.
 TILE = 128
 
@@ -50,48 +50,54 @@ _MULTIPLIERS = hashing.constants(REGISTERS, 0x1234567)
 _BAND_MULTIPLIERS = hashing.constants(ROWS, 0x7654321)
 _SALTS = hashing.constants(BANDS, 0xABCDEF)
 _ROUND_MULTIPLIERS = hashing.constants(ROUNDS, 0x13579BD)
-#: First hash of each bucket.
-_EDGES = np.array([-(-(k << 64) // REGISTERS) for k in range(REGISTERS)], np.uint64)
+#: First hash of each bucket, and the last hash of all, which counts as none.
+_EDGES = np.array([min(-(-(k << 64) // REGISTERS), (1 << 64) - 1) for k in range(REGISTERS + 1)], np.uint64)
 
 
-def registers(shingle_set: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a nonempty sorted set: leading-zero count and mantissa bits."""
-    low, rounds = np.zeros(REGISTERS, np.uint64), np.full(REGISTERS, ROUNDS)
-    values = shingle_set
+def smallest(shingle_set: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest value of each register of a nonempty sorted set, and the round it is of."""
+    low, rounds = np.zeros(REGISTERS, np.uint64), np.full(REGISTERS, ROUNDS, np.uint64)
+    values, empty = shingle_set, np.arange(REGISTERS)
     for r in range(ROUNDS):
         if r:
             values = np.sort(hashing.mix(shingle_set * _ROUND_MULTIPLIERS[r]))
         # sorted hashes lie bucket by bucket, the smallest first
         first = np.searchsorted(values, _EDGES)
-        new = np.flatnonzero((first < np.append(first[1:], len(values))) & (rounds == ROUNDS))
+        new = empty[first[empty] < first[empty + 1]]
         # the place in the bucket is the fraction of hash x buckets
         low[new] = values[first[new]] * np.uint64(REGISTERS)
         rounds[new] = r
-        if (rounds < ROUNDS).all():
-            break
-    empty = np.flatnonzero(rounds == ROUNDS)
-    if len(empty):
-        low[empty] = np.iinfo(np.uint64).max
-        for at in range(0, len(shingle_set), 512):
-            part = hashing.mix(np.multiply.outer(shingle_set[at : at + 512], _MULTIPLIERS[empty]))
-            low[empty] = np.minimum(low[empty], part.min(axis=0))
+        empty = np.flatnonzero(rounds == ROUNDS)
+        if not len(empty):
+            return low, rounds
+    low[empty] = np.iinfo(np.uint64).max
+    for at in range(0, len(shingle_set), 512):
+        part = hashing.mix(np.multiply.outer(shingle_set[at : at + 512], _MULTIPLIERS[empty]))
+        low[empty] = np.minimum(low[empty], part.min(axis=0))
+    return low, rounds
+
+
+def codes(low: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """Leading-zero counts and mantissa bits of registers' smallest values."""
     low = np.maximum(low, np.uint64(1))
-    zeros = np.zeros(REGISTERS, np.uint64)
-    rest = low.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        small = rest < (np.uint64(1) << np.uint64(64 - step))
-        zeros[small] += np.uint64(step)
-        rest[small] <<= np.uint64(step)
-    mantissa = (rest >> np.uint64(63 - MANTISSA_BITS)) & np.uint64((1 << MANTISSA_BITS) - 1)
+    # without its last bits a long value is a float exactly
+    exact = np.where(low >> np.uint64(53) > 0, low & ~np.uint64(0x7FF), low).astype(np.float64)
+    part, exponent = np.frexp(exact)
+    mantissa = ((2 * part - 1) * (1 << MANTISSA_BITS)).astype(np.uint64)
     # registers of different rounds agree by chance alone
-    mantissa ^= rounds.astype(np.uint64) * np.uint64(0x95) & np.uint64((1 << MANTISSA_BITS) - 1)
-    return ((zeros << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint16)
+    mantissa ^= rounds * np.uint64(0x95) & np.uint64((1 << MANTISSA_BITS) - 1)
+    return (((64 - exponent).astype(np.uint64) << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint16)
+
+
+def registers(shingle_set: np.ndarray) -> np.ndarray:
+    """HyperMinHash registers of a nonempty sorted set: leading-zero count and mantissa bits."""
+    return codes(*smallest(shingle_set))
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    rows = regs.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)
-    return hashing.mix((rows * _BAND_MULTIPLIERS).sum(axis=1, dtype=np.uint64) ^ _SALTS)
+    """One 64-bit key for each band of the registers along the last axis."""
+    rows = regs.reshape(*regs.shape[:-1], BANDS, ROWS).astype(np.uint64) + np.uint64(1)
+    return hashing.mix((rows * _BAND_MULTIPLIERS).sum(axis=-1, dtype=np.uint64) ^ _SALTS)
 
 
 def collision_rate(bits: int = MANTISSA_BITS) -> float:
@@ -129,13 +135,18 @@ def _features(n: int, rule: hashing.WordRule):
             fp = np.zeros((size, 2), np.uint64)
             keys: list = [None] * size
             sketch: list = [None] * size
+            low, rounds = np.ones((size, REGISTERS), np.uint64), np.zeros((size, REGISTERS), np.uint64)
             for r, s in hashing.shingle_sets(batch.column(1), rule, n):
                 number[r] = len(s)
                 if len(s):
                     fp[r] = hashing.mix(s * c1).sum(dtype=np.uint64), hashing.mix(s ^ c2).sum(dtype=np.uint64)
-                    regs = registers(s)
-                    keys[r] = band_keys(regs).view(np.int64)
-                    sketch[r] = regs.tobytes()
+                    low[r], rounds[r] = smallest(s)
+            for at in range(0, size, 256):
+                regs = codes(low[at : at + 256], rounds[at : at + 256])
+                bands = band_keys(regs).view(np.int64)
+                for r in range(at, min(at + 256, size)):
+                    if number[r]:
+                        keys[r], sketch[r] = bands[r - at], regs[r - at].tobytes()
             signed = fp.view(np.int64)
             yield pa.record_batch([ids.cast(pa.int64()), pa.array(number), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["row_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 

@@ -7,6 +7,7 @@ state sequences of beads in trajectories.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from .functions import binning, energy, geometry, labels
 from .operators import bonds, coordinates, dbscan, density, grid_states, overlay, structures, table, transitions
 from .plans import sqltext as S
+from .session import work_dir
+from .sources import tables, xyz
+from .sources.files import discover
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,9 +215,13 @@ def plane_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _structures(spark, sf_dir).select("frame_number", n.alias("n")).select("frame_number", *[F.round(F.get("n", F.lit(k)), 6).alias(a) for k, a in enumerate(("nx", "ny", "nz"))])
 
 
-@query()
+_PLANE = (0, 3, 5, 8, 9)
+
+
+@query(f"SELECT frame_number, round(x, 5) AS nx, round(y, 5) AS ny, round(z, 5) AS nz FROM ({S.best_plane(f'SELECT vec_id AS frame_number, e FROM ({_STRUCTURE})', 'frame_number', 'e', _PLANE)})")
 def best_fit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structures.plane_normals(_structures(spark, sf_dir), "coords", (0, 3, 5, 8, 9), "normal").select("frame_number", "normal")
+    frames = structures.plane_normals(_structures(spark, sf_dir), "coords", _PLANE, "normal")
+    return frames.select("frame_number", *[F.round(F.get("normal", F.lit(k)), 5).alias(a) for k, a in enumerate(("nx", "ny", "nz"))])
 
 
 @query()
@@ -223,6 +231,12 @@ def kabsch_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.align(frames, "coords", reference).select("frame_number", "aligned", "rmsd")
 
 
+@query(f"SELECT frame_number, round(rmsd, 5) AS rmsd FROM ({S.least_rmsd(f'SELECT vec_id AS frame_number, e FROM ({_STRUCTURE})', 'frame_number', 'e', 21)})")
+def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = kabsch_align(spark, sf_dir)
+    return aligned.select("frame_number", F.round("rmsd", 5).alias("rmsd"))
+
+
 # exact angles: whole degrees derived from keys
 _AX, _AY = "((l_partkey * 37) % 360 - 180)", "((l_suppkey * 53) % 360 - 180)"
 
@@ -406,28 +420,30 @@ def state_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_states.state_totals(_sequence(spark, sf_dir), "state")
 
 
-def _dbscan_oracle(periodic: bool, eps: float, least: int) -> str:
+def _dbscan_oracle(periodic: bool, eps: float, least: int, group: str = "0") -> str:
     x, y = "((c_custkey * c_custkey) % 360 - 180)", "((c_custkey * 37) % 360 - 180)"
     if periodic:
         chord = lambda p, q: f"((cos(radians({p})) - cos(radians({q}))) ** 2 + (sin(radians({p})) - sin(radians({q}))) ** 2)"
         near = f"{chord('a.x', 'b.x')} + {chord('a.y', 'b.y')} <= 2.0 - 2.0 * cos(radians({eps}))"
     else:
         near = f"(a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {eps * eps}"
-    return f"""WITH RECURSIVE p AS (SELECT c_custkey AS k, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM customer),
-near AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON {near}),
+    return f"""WITH RECURSIVE p AS (SELECT c_custkey AS k, {group} AS g, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM customer),
+near AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON {near} AND a.g IS NOT DISTINCT FROM b.g),
 core AS MATERIALIZED (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= {least}),
 links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
 reach AS (SELECT k, k AS seen FROM core UNION SELECT r.k, l.b FROM reach r JOIN links l ON l.a = r.seen),
 root AS (SELECT k, min(seen) AS root FROM reach GROUP BY k),
-numbered AS (SELECT k, dense_rank() OVER (ORDER BY root) - 1 AS c FROM root),
+numbered AS (SELECT k, dense_rank() OVER (PARTITION BY g ORDER BY root) - 1 AS c FROM root JOIN p USING (k)),
 found AS (SELECT k, c FROM numbered UNION ALL SELECT n.a, min(m.c) FROM near n JOIN numbered m ON m.k = n.b WHERE n.a NOT IN (FROM core) GROUP BY n.a)
 SELECT p.k AS c_custkey, coalesce(c::VARCHAR, 'noise') AS state FROM p LEFT JOIN found USING (k)"""
 
 
-def _dbscan(spark: SparkSession, sf_dir: str, periodic: bool, eps: float, least: int) -> DataFrame:
+def _dbscan(spark: SparkSession, sf_dir: str, periodic: bool, eps: float, least: int, group: Column | None = None) -> DataFrame:
     k = F.col("c_custkey")
     frames = _read(spark, sf_dir, "customer").select(k, ((k * k) % 360 - 180).cast("double").alias("x"), ((k * 37) % 360 - 180).cast("double").alias("y"))
-    return dbscan.dbscan_states(frames, "x", "y", "c_custkey", "state", eps=eps, min_samples=least, periodic=periodic)
+    if group is not None:
+        frames = frames.withColumn("g", group)
+    return dbscan.dbscan_states(frames, "x", "y", "c_custkey", "state", eps=eps, min_samples=least, periodic=periodic, group=[] if group is None else ["g"])
 
 
 @query(_dbscan_oracle(False, 7.5, 5))
@@ -440,6 +456,12 @@ def dbscan_states_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dbscan(spark, sf_dir, True, 7.5, 5)
 
 
+@query(_dbscan_oracle(True, 15.0, 5, "nullif(c_custkey % 3, 0)"))
+def dbscan_states_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null group is a group of its own."""
+    return _dbscan(spark, sf_dir, True, 15.0, 5, F.nullif(F.col("c_custkey") % 3, F.lit(0)))
+
+
 # ---------------------------------------------------------------- states over the map
 
 _OX = binning.linear_edges(0.0, 50.0, 5)
@@ -509,6 +531,13 @@ def transition_counts_lag2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.counts(_sequence(spark, sf_dir), "state", "event_id", _BEADS, lag=2, chunk_frames=500)
 
 
+@query(f"SELECT trajectory_id, nullif(bead_id, 0) AS bead_id, src, dst, count FROM ({_counts_sql()})")
+def transition_counts_null_bead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames without a bead are a group of their own."""
+    frames = _sequence(spark, sf_dir).withColumn("bead_id", F.nullif("bead_id", F.lit(0)))
+    return transitions.counts(frames, "state", "event_id", _BEADS)
+
+
 @query(_counts_sql(bridge=False))
 def transition_counts_unbridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.counts(_sequence(spark, sf_dir), "state", "event_id", _BEADS, bridge_noise=False)
@@ -642,7 +671,7 @@ def trajectory_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT event_id, event_type, value FROM events ORDER BY md5('42/' || event_id::VARCHAR), event_id LIMIT 250")
 def overlay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.sample_exact(_read(spark, sf_dir, "events").select("event_id", "event_type", "value"), 250, ["event_id"])
 
@@ -650,3 +679,40 @@ def overlay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, trajectory_id, bead_id, to_json({'event_id': event_id, 'trajectory_id': trajectory_id, 'bead_id': bead_id})::VARCHAR AS record FROM (SELECT event_id, user_id // 5 AS trajectory_id, user_id % 5 AS bead_id FROM events)")
 def frame_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.records(_sequence(spark, sf_dir).select("event_id", "trajectory_id", "bead_id"), "record")
+
+
+# ---------------------------------------------------------------- files
+
+
+@query(f"""SELECT 'label=' || label AS trajectory_id, vec_id AS step_number, 21 AS atom_count, round({_sqlnorm(_minus(4, 2))}, 5) AS d, round({S.dihedral('e', _PHI)}, 3) AS phi,
+row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_number FROM ({_STRUCTURE})""")
+def xyz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures written as xyz files, a folder for each trajectory; found, indexed, read by offset and measured."""
+    frames = _read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    number = lambda i: F.format_string("%.12f", F.get("embedding", F.lit(i)).cast("double"))
+    lines = [F.concat_ws(" ", F.lit("C"), *[number(3 * i + k) for k in range(3)]) for i in range(21)]
+    text = F.concat_ws("\n", F.lit("21"), F.concat(F.lit("# Step:  "), F.col("vec_id").cast("string")), *lines)
+    folder = f"{work_dir(spark)}/xyz-{uuid.uuid4().hex}"
+    one_file = frames.repartition("label").sortWithinPartitions("label", "vec_id")
+    one_file.select("label", text.alias("value")).write.partitionBy("label").text(folder)
+    index = xyz.index_files(spark, discover(f"{folder}/*/part-*"))
+    read = xyz.read_frames(index, run_frames=64, with_elements=False)
+    c = F.col("coords")
+    return read.select(
+        labels.trajectory_id(F.col("source_file")).alias("trajectory_id"), labels.comment_step(F.col("comment_line")).alias("step_number"), "atom_count",
+        F.round(geometry.distance(c, (2, 4)), 5).alias("d"), F.round(geometry.dihedral(c, _PHI), 3).alias("phi"), "frame_number",
+    )
+
+
+@query("""SELECT event_id AS frame_id, 'f' || user_id AS source_file, nullif(lpad((user_id % 3)::VARCHAR, 2, '0'), '00') AS bead_id, event_id AS frame_number, round(value::FLOAT::DOUBLE, 4) AS phi FROM events""")
+def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coordinate table written as CSV and read back, types and null beads kept."""
+    events = _read(spark, sf_dir, "events")
+    columns = {
+        "frame_id": F.col("event_id"), "source_file": F.concat(F.lit("f"), F.col("user_id")), "trajectory_id": F.lit("t"), "bead_id": F.nullif(F.lpad((F.col("user_id") % 3).cast("string"), 2, "0"), F.lit("00")),
+        "frame_number": F.col("event_id"), "byte_offset": F.lit(0), "atom_count": F.lit(21), "comment_line": F.lit(""), "local_frame_index": F.col("event_id"), "global_frame_index": F.col("event_id"), "phi": F.col("value"),
+    }
+    path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}.csv"
+    tables.write_table(events.select(*[v.alias(k) for k, v in columns.items()]), path)
+    out = tables.read_table(spark, path)
+    return out.select("frame_id", "source_file", "bead_id", "frame_number", F.round(F.col("phi").cast("double"), 4).alias("phi"))

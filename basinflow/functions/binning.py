@@ -40,16 +40,26 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def bin_index(value: Column, edges: Sequence[float]) -> Column:
-    """0-based bin of a double value; -1 off the edges' range or missing."""
+def on_range(value: Column, edges: Sequence[float]) -> Column:
+    """Whether a double value is within the edges' range: neither null nor NaN, which sorts above all."""
+    return (value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1])))
+
+
+def inner_index(value: Column, edges: Sequence[float]) -> Column:
+    """0-based bin of a double value that is known to be within the edges' range."""
     n = len(edges) - 1
     low, high, width = edges[0], edges[-1], (edges[-1] - edges[0]) / n
     table = F.array(*[F.lit(float(e)) for e in edges])
-    v = value.cast("double")
+    v = value
     guess = F.least(F.greatest(F.floor((v - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0)), F.lit(n - 1))
     at = lambda i: F.get(table, i)
-    exact = F.when(v < at(guess), guess - 1).when((guess < n - 1) & (v >= at(guess + 1)), guess + 1).otherwise(guess)
-    return F.when(missing(v) | (v < F.lit(low)) | (v > F.lit(high)), F.lit(-1)).otherwise(exact)
+    return F.when(v < at(guess), guess - 1).when((guess < n - 1) & (v >= at(guess + 1)), guess + 1).otherwise(guess)
+
+
+def bin_index(value: Column, edges: Sequence[float]) -> Column:
+    """0-based bin of a double value; -1 off the edges' range or missing."""
+    v = value.cast("double")
+    return F.when(on_range(v, edges), inner_index(v, edges)).otherwise(F.lit(-1))
 
 
 def clipped_index(value: Column, edges: Sequence[float]) -> Column:

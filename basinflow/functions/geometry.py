@@ -86,10 +86,9 @@ def dihedral(coords: Column, atoms: tuple[int, int, int, int], on_degenerate: st
     b1, b2, b3 = minus(b, a), minus(c, b), minus(d, c)
     n1, n2 = cross(b1, b2), cross(b2, b3)
     l1, l2, lb = norm(n1), norm(n2), norm(b2)
-    n1, n2 = over(n1, l1), over(n2, l2)
-    m = cross(n1, over(b2, lb))
+    # lengths other than the axis' cancel out; unit vectors would make the expression many times as long.
     # the sign convention: looking along the axis, clockwise is negative
-    angle = F.degrees(F.atan2(dot(m, n2), dot(n1, n2)))
+    angle = F.lit(0.0) - F.degrees(F.atan2(lb * dot(b1, n2), dot(n1, n2)))
     value = F.when(angle >= 180.0, angle - 360.0).otherwise(angle)
     bad = (lb < SHORTEST) | (l1 < SHORTEST) | (l2 < SHORTEST)
     return _guarded(bad, value, "dihedral: atoms are collinear or coincide", on_degenerate)

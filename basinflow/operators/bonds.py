@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry
+from ..session import ship_package
 from .grouping import join_groups
 
 # Published covalent radii in angstrom by element, and the radius of any other.
@@ -58,6 +61,31 @@ def broken(coords: str, bonds: Sequence[tuple[int, int]], cutoff: float) -> Colu
     return F.greatest(*longest, F.lit(0.0).cast("float"), F.lit(0.0).cast("float")) > F.lit(cutoff).cast("float") if bonds else F.lit(False)
 
 
+def broken_by(coords: str, pairs: str, cutoff: float) -> Column:
+    """Whether a bond of an array of atom pairs (i, j) is longer than the cutoff; without pairs none is."""
+    at = lambda i, k: F.get(F.col(coords), 3 * i + k).cast("double")
+    far = lambda p: F.sqrt(sum(((at(p["i"], k) - at(p["j"], k)) ** 2 for k in range(1, 3)), (at(p["i"], 0) - at(p["j"], 0)) ** 2))
+    return F.coalesce(F.exists(F.col(pairs), lambda p: far(p).cast("float") > F.lit(cutoff).cast("float")), F.lit(False))
+
+
+def reference_bonds(structures: DataFrame, keys: Sequence[str], elements: str, coords: str) -> DataFrame:
+    """(keys..., bonds array<struct<i, j>>) of structures, a row each: by covalent radii."""
+    ship_package(structures.sparkSession)
+    rows = structures.select(*keys, F.col(elements).alias("_e"), F.col(coords).cast("array<double>").alias("_x"))
+    schema = T.StructType([*rows.schema.fields[: len(keys)], T.StructField("bonds", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for e, x in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
+                pairs = bond_pairs(e, [x[k : k + 3] for k in range(0, len(x), 3)])
+                found.append([{"i": i, "j": j} for i, j in pairs])
+            kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+            yield pa.record_batch([*batch.columns[: len(keys)], pa.array(found, kind)], names=[*keys, "bonds"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def first_broken_frame(frames: DataFrame, coords: str, bonds: Sequence[tuple[int, int]], cutoff: float, frame: str, group: Sequence[str]) -> DataFrame:
     """(group..., first_broken): null where no bond breaks."""
     return frames.groupBy(*group).agg(F.min(F.when(broken(coords, bonds, cutoff), F.col(frame))).alias("first_broken"))

@@ -68,6 +68,24 @@ def superpose(moving: np.ndarray, fixed: np.ndarray, use: np.ndarray | None = No
     return out, float(np.sqrt(((out[at] - b) ** 2).sum(axis=1).mean()))
 
 
+def heavy_atoms(elements: Sequence[str]) -> np.ndarray | None:
+    """Places of all atoms but hydrogen, None if fewer than three are left."""
+    heavy = np.flatnonzero(np.array([e.upper() != "H" for e in elements]))
+    return heavy if len(heavy) >= 3 else None
+
+
+def superpose_all(moving: np.ndarray, fixed: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n, atoms, 3) structures at once, each as by ``superpose``, and the fits' RMSD."""
+    at = np.arange(len(fixed)) if use is None else use
+    a, b = moving[:, at], fixed[at]
+    ca, cb = a.mean(axis=1, keepdims=True), b.mean(axis=0)
+    u, _, vt = np.linalg.svd((a - ca).transpose(0, 2, 1) @ (b - cb))
+    sign = np.sign(np.linalg.det(u @ vt))
+    u[:, :, 2] *= np.where(sign == 0, 1.0, sign)[:, None]
+    out = (moving - ca) @ (u @ vt) + cb
+    return out, np.sqrt(((out[:, at] - b) ** 2).sum(axis=2).mean(axis=1))
+
+
 def align(frames: DataFrame, coords: str, reference: DataFrame, elements: Sequence[str] | None = None, heavy_only: bool = True) -> DataFrame:
     """frames with ``aligned`` coordinates and ``rmsd``, on the one structure of ``reference``.
 
@@ -79,10 +97,7 @@ def align(frames: DataFrame, coords: str, reference: DataFrame, elements: Sequen
     if row is None:
         raise ValueError("no reference structure")
     fixed = np.asarray(row[0], float).reshape(-1, 3)
-    use = None
-    if elements is not None and heavy_only:
-        heavy = np.flatnonzero(np.array([e.upper() != "H" for e in elements]))
-        use = heavy if len(heavy) >= 3 else None
+    use = heavy_atoms(elements) if elements is not None and heavy_only else None
     at = frames.columns.index(coords)
     schema = T.StructType([*frames.schema.fields, T.StructField("aligned", T.ArrayType(T.DoubleType())), T.StructField("rmsd", T.DoubleType())])
 

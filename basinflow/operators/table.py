@@ -26,6 +26,8 @@ CORE = T.StructType(
         T.StructField("global_frame_index", T.LongType()),
     ]
 )
+#: Low bits of ``monotonically_increasing_id`` that hold a row's place in its partition.
+_PLACE_BITS = 33
 #: Columns a coordinate table may end with.
 OPTIONAL = {"energy": T.FloatType(), "step_number": T.LongType()}
 
@@ -48,21 +50,22 @@ def validated(frames: DataFrame, floats: Sequence[str] = ()) -> DataFrame:
 def number_rows(frames: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """frames numbered from 0 in an order, without one task sorting them all.
 
-    Rows are range-partitioned and sorted; each partition's rows are numbered after the
-    rows of those before it. Only a count for each partition meets in one place. The
-    order must be unique for the numbers to be the same on every run.
+    Rows are range-partitioned and sorted, their one shuffle; a row's id holds its
+    partition and its place there, and each partition is numbered after those before it.
+    Only a count for each partition meets in one place. The order must be unique for the
+    numbers to be the same on every run.
     """
     spark = frames.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frames.repartitionByRange(n, *order)
+    ranged = frames.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the range bounds come from samples: the assignment is written once, then both steps read it
-    placed = ranged.withColumn("_p", F.spark_partition_id())
-    placed = written(placed, "rows")
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    placed = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("_id", _PLACE_BITS).alias("_p")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     # as many rows as there are partitions
-    return local.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_p", "_i", "_start")
+    local = placed.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return local.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND((1 << _PLACE_BITS) - 1)).drop("_p", "_id", "_start")
 
 
 def concatenated(tables: Sequence[DataFrame]) -> DataFrame:
@@ -71,8 +74,9 @@ def concatenated(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def sample_exact(frames: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows (all, if fewer), the same for a seed whatever the partitioning."""
-    return frames.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows (all, if fewer), the same for a seed whatever the partitioning: those whose key has the smallest digests."""
+    drawn = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    return frames.orderBy(drawn, *key).limit(n)
 
 
 def records(frames: DataFrame, name: str) -> DataFrame:

@@ -7,8 +7,9 @@ included. Matrices become wide only where a sink asks for it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import energy
@@ -20,40 +21,75 @@ from .grouping import join_groups
 CHUNK_FRAMES = 1_000_000
 
 
+def _pair_rows(frames: DataFrame, state: str, order: str, group: Sequence[str], lag: int, bridge_noise: bool, chunk_frames: int) -> DataFrame:
+    """(group..., chunk, src, dst, at, later): the pairs inside chunks, and half pairs of frames at chunk ends.
+
+    One window over the frames gives all of them. ``at`` is null in a whole pair; in a
+    half pair it is the place of the later frame, counted from the chunk's first, and
+    ``later`` tells whether the half is that frame. Each frame has one row that isn't
+    ``later``.
+    """
+    if lag < 1:
+        raise ValueError(f"lag must be at least 1; got {lag}")
+    rows = frames.select(*group, F.col(state).cast("string").alias("_s"), F.col(order).cast("long").alias("_o"))
+    if bridge_noise:
+        rows = rows.where(is_state(F.col("_s")))
+    rows = rows.withColumn("chunk", F.floor(F.col("_o") / F.lit(chunk_frames)).cast("long"))
+    w = Window.partitionBy(*group, "chunk").orderBy("_o")
+    counted = F.count(F.lit(1)).over(Window.partitionBy(*group, "chunk"))
+    placed = rows.withColumns({"_i": F.row_number().over(w), "_d": F.lead("_s", lag).over(w), "_n": counted})
+    s, i, none = F.col("_s"), F.col("_i"), F.lit(None)
+
+    def row(src: Column, dst: Column, at: Column, later: bool) -> Column:
+        return F.struct(src.cast("string").alias("src"), dst.cast("string").alias("dst"), at.cast("long").alias("at"), F.lit(later).alias("later"))
+
+    first = F.when(i > F.col("_n") - lag, row(s, none, i + lag, False)).otherwise(row(s, F.col("_d"), none, False))
+    every = F.when(i <= lag, F.array(first, row(none, s, i, True))).otherwise(F.array(first))
+    return placed.select(*group, "chunk", F.explode(every).alias("_p")).select(*group, "chunk", "_p.*")
+
+
+def _across(halves: DataFrame, sizes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group..., src, dst) of half pairs whose later frames are the same one.
+
+    ``sizes`` are the chunks' numbers of frames. States are wrapped, so that an unset one
+    differs from a half that is missing.
+    """
+    before = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = join_groups(halves, starts, group, ("chunk",)).withColumn("_key", F.col("_start") + F.col("at"))
+    sides = [F.max(F.when(F.col("later") == late, F.struct(c))).alias(c) for c, late in (("src", False), ("dst", True))]
+    met = placed.groupBy(*group, "_key").agg(*sides).where("src is not null and dst is not null")
+    return met.select(*group, "src.src", "dst.dst")
+
+
 def lag_pairs(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """(group..., src, dst): each frame's state and that of the frame ``lag`` later in its group.
 
     With ``bridge_noise`` noise and unset frames are taken out first, so the states on
     either side meet; without it pairs are made on all frames and those that touch noise
     are dropped. ``order`` is an integer unique within a group. A group is ordered in
-    chunks of its order, so a long trajectory is many tasks; pairs across chunks come
-    from a join of the few frames at the chunks' ends on their place in the group.
+    chunks of its order, so a long trajectory is many tasks; pairs across chunks are made
+    of the few frames at the chunks' ends, by their place in the group.
     """
-    if lag < 1:
-        raise ValueError(f"lag must be at least 1; got {lag}")
-    rows = frames.select(*group, F.col(state).alias("_s"), F.col(order).cast("long").alias("_o"))
-    if bridge_noise:
-        rows = rows.where(is_state(F.col("_s")))
-    rows = rows.withColumn("_c", F.floor(F.col("_o") / F.lit(chunk_frames)).cast("long"))
-    w = Window.partitionBy(*group, "_c").orderBy("_o")
-    whole = Window.partitionBy(*group, "_c")
-    placed = rows.withColumn("_i", F.row_number().over(w)).withColumn("_d", F.lead("_s", lag).over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
-    inner = placed.where(F.col("_i") <= F.col("_n") - lag).select(*group, F.col("_s").alias("src"), F.col("_d").alias("dst"))
-    # chunks, a row each, in order: how many frames of the group lie before
-    sizes = placed.where("_i = 1").select(*group, "_c", "_n")
-    before = Window.partitionBy(*group).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*group, "_c", "_start")
-    ends = placed.where((F.col("_i") > F.col("_n") - lag) | (F.col("_i") <= lag)).select(*group, "_c", "_s", "_i", "_n")
-    ends = join_groups(ends, starts, group, ("_c",)).withColumn("_at", F.col("_start") + F.col("_i"))
-    left = ends.where(F.col("_i") > F.col("_n") - lag).select(*group, F.col("_s").alias("src"), (F.col("_at") + lag).alias("_at"))
-    right = ends.where(F.col("_i") <= lag).select(*group, F.col("_s").alias("dst"), "_at")
-    pairs = inner.unionByName(join_groups(left, right, group, ("_at",)).select(*group, "src", "dst"))
-    return pairs if bridge_noise else pairs.where(is_state(F.col("src")) & is_state(F.col("dst")))
+    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames)
+    sizes = rows.where("not later").groupBy(*group, "chunk").agg(F.count(F.lit(1)).alias("n"))
+    across = _across(rows.where("at is not null"), sizes, group)
+    pairs = rows.where("at is null").select(*group, "src", "dst").unionByName(across)
+    return pairs.where(is_state(F.col("src")) & is_state(F.col("dst")))
 
 
 def counts(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
-    """(group..., src, dst, count) of the pairs that occur."""
-    return lag_pairs(frames, state, order, group, lag=lag, bridge_noise=bridge_noise, chunk_frames=chunk_frames).groupBy(*group, "src", "dst").agg(F.count(F.lit(1)).alias("count"))
+    """(group..., src, dst, count) of the pairs that occur.
+
+    Frames are read by one window: pairs are counted, and half pairs kept, in one
+    aggregate that is written, a few rows for each group and chunk.
+    """
+    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames)
+    small = written(rows.groupBy(*group, "chunk", "src", "dst", "at", "later").agg(F.count(F.lit(1)).alias("count")), "pairs")
+    sizes = small.where("not later").groupBy(*group, "chunk").agg(F.sum("count").alias("n"))
+    across = _across(small.where("at is not null"), sizes, group).withColumn("count", F.lit(1).cast("long"))
+    every = small.where("at is null").select(*group, "src", "dst", "count").unionByName(across)
+    return every.where(is_state(F.col("src")) & is_state(F.col("dst"))).groupBy(*group, "src", "dst").agg(F.sum("count").alias("count"))
 
 
 def matrix_labels(counts_: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -136,6 +172,20 @@ def averages(frames: DataFrame, matrix: DataFrame, group: Sequence[str], member:
     return out
 
 
+def aggregate(matrices: Sequence[DataFrame], *, temperature: float | None = None, model: str = "eyring", **barrier_options) -> DataFrame:
+    """Mean of a list of matrices (src, dst, count, and probability and rate if they have them) over all their labels.
+
+    Each matrix is a member as in ``averages``; an empty list is an error, one matrix
+    alone gives its own values.
+    """
+    if not matrices:
+        raise ValueError("there are no matrices to average")
+    values = [c for c in ("count", "probability", "rate") if all(c in m.columns for m in matrices)]
+    every = reduce(DataFrame.unionByName, [m.select("src", "dst", *values).withColumn("_member", F.lit(i)) for i, m in enumerate(matrices)])
+    members = every.sparkSession.range(len(matrices)).select(F.col("id").cast("int").alias("_member"))
+    return averages(members, every, ["_member"], "_member", temperature=temperature, model=model, **barrier_options)
+
+
 def wide(matrix: DataFrame, group: Sequence[str], value: str, labels: Sequence[str]) -> DataFrame:
     """One row for each source state, one column for each destination in ``labels``."""
     return matrix.groupBy(*group, "src").pivot("dst", list(labels)).agg(F.first(value))

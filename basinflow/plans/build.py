@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import bonds, coordinates, dbscan, grid_states, table, transitions
+from ..session import written
 from ..sources import h5, xyz
 from ..sources.files import discover
 from . import manifest
 from .config import Input, Pair, Run, clustering_of
 
-VERSION = 1
+VERSION = 2
 
 
 def _ids(spark: SparkSession, files: Sequence[str], source: Input) -> list[tuple[str, str, str | None]]:
@@ -30,59 +32,88 @@ def _ids(spark: SparkSession, files: Sequence[str], source: Input) -> list[tuple
     return [(f, *found[f]) for f in files]
 
 
-def _trajectory(spark: SparkSession, run: Run, trajectory: str, members: Sequence[tuple[str, str | None]]) -> DataFrame:
-    """Coordinates of one trajectory's frames, cut where a bond breaks; positions stay behind."""
-    source, files = run.input, [f for f, _ in members]
+@dataclass(frozen=True)
+class Part:
+    """A trajectory's rows of the coordinate table in the cache."""
+
+    trajectory: str
+    members: tuple[tuple[str, str | None], ...]
+    rank: int
+    name: str
+    wanted: Mapping[str, Any]
+
+
+def _parts(spark: SparkSession, run: Run) -> list[Part]:
+    """The trajectories of a run's files, with what each one's rows depend on."""
+    source = run.input
+    groups: dict[str, list[tuple[str, str | None]]] = {}
+    for f, trajectory, bead in _ids(spark, discover(source.pattern, source.format), source):
+        groups.setdefault(trajectory, []).append((f, bead))
+    settings = {
+        "version": VERSION, "format": source.format, "positions": source.positions, "range": [source.start, source.end], "cutoff": source.bond_cutoff,
+        "dofs": [[d.name, d.type, d.atoms, d.domain] for d in run.dofs],
+    }
+    out = []
+    for rank, (trajectory, members) in enumerate(groups.items()):
+        wanted = manifest.fingerprint([f for f, _ in members], **settings, id=trajectory, beads=[b for _, b in members], rank=rank)
+        out.append(Part(trajectory, tuple(members), rank, manifest.part_name(trajectory), wanted))
+    return out
+
+
+def _coordinates(spark: SparkSession, run: Run, parts: Sequence[Part]) -> DataFrame:
+    """Coordinates of the parts' frames, cut where a bond breaks; positions stay behind.
+
+    All files are indexed and read together: tasks are runs of frames, whatever files
+    and trajectories they are of.
+    """
+    source = run.input
+    files = [f for p in parts for f, _ in p.members]
     specs = {d.name: (d.type, d.atoms or ()) for d in run.dofs}
+    rows = [(f, i, b, p.trajectory, p.rank, p.name) for p in parts for i, (f, b) in enumerate(p.members)]
+    # a row for each file; the join's side is chosen by its size
+    listed = spark.createDataFrame(rows, "source_file string, file_rank int, bead_id string, trajectory_id string, trajectory_rank int, part string")
     if source.format == "hdf5":
         frames = h5.read_runs(spark, files, source.positions or "bead", source.start, source.end)
-        frames = frames.withColumn("comment_line", F.lit(""))
-        order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "source_file string, file_rank int")
-        frames = frames.drop("elements")
+        frames = frames.withColumn("comment_line", F.lit("")).drop("elements", "trajectory_id")
+        listed = listed.drop("bead_id")
     else:
-        index = xyz.cached_index(spark, files, os.path.join(source.index_dir or source.cache_dir, "index", manifest.part_name(trajectory)))
+        index = xyz.cached_index(spark, files, os.path.join(source.index_dir or source.cache_dir, "index"))
         index = bonds.frame_range(index, "frame_number", source.start, source.end)
-        frames = xyz.read_frames(index)
-        order = spark.createDataFrame([(f, i, b) for i, (f, b) in enumerate(members)], "source_file string, file_rank int, bead_id string")
+        frames = xyz.read_frames(index, with_elements=False)
         frames = frames.withColumn("step_number", labels.comment_step(F.col("comment_line"))).withColumn("energy", F.lit(None).cast("float")).withColumn("comment_line", F.lit(""))
         if source.bond_cutoff is not None:
-            broken = None
-            for f in files:
-                first = index.where(F.col("source_file") == f).orderBy("frame_number").limit(1).select("byte_offset").first()
-                if first is None:
-                    continue
-                _, _, elements, positions = xyz.frame_at(f, first[0])
-                mine = (F.col("source_file") == f) & bonds.broken("coords", bonds.bond_pairs(elements, positions.tolist()), source.bond_cutoff)
-                broken = mine if broken is None else broken | mine
-            if broken is not None:
-                frames = bonds.cut_at_break(frames.withColumn("_t", F.lit(0)), broken, "frame_number", ["source_file"], ["_t"]).drop("_t")
-        frames = frames.drop("elements")
-    # one row for each file
-    out = coordinates.add_coordinates(frames, "coords", specs).join(F.broadcast(order), "source_file")
-    return out.withColumn("trajectory_id", F.lit(trajectory)).withColumn("local_frame_index", F.col("frame_number"))
+            first = index.groupBy("source_file").agg(F.min(F.struct("frame_number", "byte_offset")).alias("f")).select("source_file", "f.*")
+            reference = bonds.reference_bonds(xyz.read_frames(first), ["source_file"], "elements", "coords")
+            frames = frames.join(reference, "source_file", "left").withColumn("_broken", bonds.broken_by("coords", "bonds", source.bond_cutoff)).drop("bonds")
+    out = coordinates.add_coordinates(frames, "coords", specs).join(listed, "source_file").withColumn("local_frame_index", F.col("frame_number"))
+    if source.bond_cutoff is not None and "_broken" in out.columns:
+        # written without positions: the cut reads the frames twice
+        out = written(out, "uncut")
+        out = bonds.cut_at_break(out.withColumnRenamed("_broken", "_gone"), F.col("_gone"), "frame_number", ["source_file"], ["trajectory_id"]).drop("_gone")
+    return out
 
 
 def coordinate_table(spark: SparkSession, run: Run) -> tuple[DataFrame, list[str]]:
     """The coordinate table, and the trajectories that had to be built.
 
-    Trajectories whose files and settings are unchanged come from the cache.
+    Trajectories whose files and settings are unchanged come from the cache; all others
+    are built by one job, which writes a folder for each.
     """
-    source = run.input
-    files = discover(source.pattern, source.format)
-    groups: dict[str, list[tuple[str, str | None]]] = {}
-    for f, trajectory, bead in _ids(spark, files, source):
-        groups.setdefault(trajectory, []).append((f, bead))
-    settings = {"version": VERSION, "format": source.format, "positions": source.positions, "dofs": [[d.name, d.type, d.atoms, d.domain] for d in run.dofs], "range": [source.start, source.end], "cutoff": source.bond_cutoff}
-    folders, built = [], []
-    for rank, (trajectory, members) in enumerate(groups.items()):
-        folder = os.path.join(source.cache_dir, "trajectories", manifest.part_name(trajectory))
-        wanted = manifest.fingerprint([f for f, _ in members], **settings, id=trajectory, beads=[b for _, b in members], rank=rank)
-        if not manifest.is_current(folder, wanted):
-            os.makedirs(folder, exist_ok=True)
-            manifest.write_part(_trajectory(spark, run, trajectory, members).withColumn("trajectory_rank", F.lit(rank)), folder, wanted)
-            built.append(trajectory)
-        folders.append(folder)
-    frames = manifest.read_parts(spark, folders)
+    parts = _parts(spark, run)
+    root = os.path.join(run.input.cache_dir, "trajectories")
+    stale = [p for p in parts if not manifest.is_current(os.path.join(root, "manifests", p.name), p.wanted)]
+    if stale:
+        for p in stale:
+            manifest.forget(os.path.join(root, "manifests", p.name), os.path.join(root, "rows", f"part={p.name}"))
+        _coordinates(spark, run, stale).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(os.path.join(root, "rows"))
+        for p in stale:
+            manifest.confirm(os.path.join(root, "manifests", p.name), p.wanted)
+    # a trajectory whose frames are all cut has no folder
+    folders = [f for p in parts if os.path.isdir(f := os.path.join(root, "rows", f"part={p.name}"))]
+    if folders:
+        frames = spark.read.option("basePath", os.path.join(root, "rows")).parquet(*folders).drop("part")
+    else:
+        frames = spark.createDataFrame([], _coordinates(spark, run, parts).drop("part").schema)
     frames = frames.withColumn("_bead", F.coalesce("bead_id", F.lit("")))
     frames = table.number_rows(frames, ["trajectory_rank", "file_rank", "_bead", "frame_number"], "frame_id").drop("_bead", "trajectory_rank", "file_rank")
     frames = coordinates.add_shifted(frames.withColumn("global_frame_index", F.col("frame_id")), run.shifts)
@@ -90,7 +121,12 @@ def coordinate_table(spark: SparkSession, run: Run) -> tuple[DataFrame, list[str
     names = [d.name for d in run.dofs]
     shifted = [c for c in frames.columns if c.endswith("_shifted")]
     core = [f.name for f in table.CORE]
-    return table.validated(frames.select(*core, *names, *tail, *shifted), names), built
+    return table.validated(frames.select(*core, *names, *tail, *shifted), names), [p.trajectory for p in stale]
+
+
+def table_key(spark: SparkSession, run: Run) -> str:
+    """What a run's coordinate table depends on, as a digest: results made of it are kept under that."""
+    return manifest.digest([p.wanted for p in _parts(spark, run)] + [dict(run.shifts)])
 
 
 def overlay_table(spark: SparkSession, run: Run, entry: Mapping[str, Any]) -> DataFrame:
@@ -145,3 +181,23 @@ def analyse_transitions(frames: DataFrame, pair: Pair, settings: Mapping[str, An
     if not average_beads or "bead_id" not in group:
         return matrix, None
     return matrix, transitions.averages(frames, matrix, group, "bead_id", temperature=temperature, **barrier)
+
+
+def transitions_of(spark: SparkSession, run: Run, pair: Pair, frames: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, bool]:
+    """A pair's matrices and bead averages, and whether they are kept ones.
+
+    They are kept in the cache by the table's key, the pair, the settings of its states
+    and of the transitions, and made anew if any of them changes.
+    """
+    group = transition_group(frames)
+    wanted = json.loads(json.dumps({"table": key, "pair": asdict(pair), "states": clustering_of(run.clustering, pair), "transitions": dict(run.transitions), "group": group}, sort_keys=True, default=str))
+    root = os.path.join(run.input.cache_dir, "transitions", manifest.part_name(pair.name))
+    folders = {k: os.path.join(root, k) for k in ("matrix", "average")[: 2 if "bead_id" in group else 1]}
+    kept = {k: manifest.read_matrices(spark, f, wanted) for k, f in folders.items()}
+    if all(m is not None for m in kept.values()):
+        return kept["matrix"], kept.get("average"), True
+    found = dict(zip(("matrix", "average"), analyse_transitions(frames, pair, run.transitions)))
+    for k, f in folders.items():
+        manifest.write_matrices(found[k], f, wanted)
+    kept = {k: manifest.read_matrices(spark, f, wanted) for k, f in folders.items()}
+    return kept["matrix"], kept.get("average"), False

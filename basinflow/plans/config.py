@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -131,18 +131,44 @@ def _two(values: Sequence, what: str) -> tuple[float, float]:
     return a, b
 
 
+def _atoms(value: Sequence) -> tuple[int, ...]:
+    return tuple(map(int, value))
+
+
+_NEEDED = object()
+#: Fields of a coordinate: how a value is read, and what stands for one that isn't set.
+_DOF_FIELDS: dict[str, tuple[Callable[[Any], Any], Any]] = {
+    "name": (str, _NEEDED),
+    "type": (str, _NEEDED),
+    "domain": (lambda v: _two(v, "the range"), _NEEDED),
+    "label": (str, None),
+    "enabled": (bool, True),
+    "atoms": (_atoms, None),
+    "convention": (str, "signed"),
+}
+
+
+def _read_fields(raw: Any, fields: Mapping[str, tuple[Callable[[Any], Any], Any]], what: str) -> dict[str, Any]:
+    """The fields' values in a mapping, each read and checked."""
+    if not isinstance(raw, Mapping):
+        raise ValueError(f"{what}: a mapping is expected, not {raw!r}")
+    found: dict[str, Any] = {}
+    for key, (read, default) in fields.items():
+        value = raw.get(key)
+        if value is None and default is _NEEDED:
+            raise ValueError(f"{what}: {key} is missing")
+        try:
+            found[key] = default if value is None else read(value)
+        except (TypeError, ValueError) as why:
+            raise ValueError(f"{what}: {key} can't be {value!r}: {why}") from why
+    return found
+
+
 def dofs_of(config: Mapping[str, Any], include_disabled: bool = False) -> tuple[Dof, ...]:
     """Coordinates of a config; each needs a name, a type and a domain."""
-    out = []
-    for i, raw in enumerate(config.get("dof") or []):
-        if not isinstance(raw, Mapping):
-            raise ValueError(f"dof entry {i} must be a mapping")
-        name, kind = str(raw["name"]), str(raw["type"])
-        if raw.get("domain") is None:
-            raise ValueError(f"dof {name!r} needs a domain")
-        atoms = tuple(int(a) for a in raw["atoms"]) if raw.get("atoms") is not None else None
-        out.append(Dof(name, kind, str(raw.get("label", name)), _two(raw["domain"], f"dof {name!r}: domain"), bool(raw.get("enabled", True)), atoms, str(raw.get("convention", "signed"))))
-    return tuple(d for d in out if d.enabled or include_disabled)
+    read = [_read_fields(raw, _DOF_FIELDS, f"dof {i + 1}") for i, raw in enumerate(config.get("dof") or [])]
+    every = [Dof(**f | {"label": f["label"] if f["label"] is not None else f["name"]}) for f in read]
+    return tuple(every) if include_disabled else tuple(d for d in every if d.enabled)
 
 
 def shifts_of(config: Mapping[str, Any]) -> dict[str, float]:

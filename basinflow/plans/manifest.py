@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -38,14 +39,32 @@ def is_current(folder: str, wanted: Mapping[str, Any]) -> bool:
     return read_manifest(folder) == wanted
 
 
+def digest(value: Any) -> str:
+    """Digest of a JSON value."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def forget(folder: str, *rows: str) -> None:
+    """Removes a manifest first, then the rows it was of."""
+    path = os.path.join(folder, "manifest.json")
+    if os.path.exists(path):
+        os.remove(path)
+    for r in rows:
+        shutil.rmtree(r, ignore_errors=True)
+
+
+def confirm(folder: str, wanted: Mapping[str, Any]) -> None:
+    """Writes a manifest, after what it is of."""
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
+        json.dump(wanted, f, sort_keys=True)
+
+
 def write_part(df: DataFrame, folder: str, wanted: Mapping[str, Any]) -> None:
     """Writes a part, its manifest last: an interrupted write leaves a part that isn't current."""
-    manifest = os.path.join(folder, "manifest.json")
-    if os.path.exists(manifest):
-        os.remove(manifest)
+    forget(folder)
     df.write.mode("overwrite").parquet(os.path.join(folder, "rows"))
-    with open(manifest, "w", encoding="utf-8") as f:
-        json.dump(wanted, f, sort_keys=True)
+    confirm(folder, wanted)
 
 
 def read_parts(spark: SparkSession, folders: Sequence[str]) -> DataFrame:

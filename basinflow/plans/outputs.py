@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import binning
-from ..operators import density, overlay
+from ..operators import density, overlay, structures
 from ..sinks import page, payload, png
 from ..sources import h5, xyz
 from .config import Pair, Run, clustering_of
@@ -67,7 +69,7 @@ def write_density_picture(frames: DataFrame, pair: Pair, path: str, group: Seque
     counts = grid_of(density.cells(frames, pair.x_feature, pair.y_feature, xe, ye), pair.bins, pair.bins)
     (x0, x1), (y0, y1) = pair.x_range, pair.y_range
     block = overlay_block(frames, pair, group)
-    centres = [((c["x"] - x0) / (x1 - x0), (c["y"] - y0) / (y1 - y0), c["state"]) for c in (block["groups"][0]["centres"] if block and block["groups"] else [])]
+    centres = [((c["x"] - x0) / (x1 - x0), (c["y"] - y0) / (y1 - y0), c["state"], block["labels"][c["state"]]) for c in (block["groups"][0]["centres"] if block and block["groups"] else [])]
     dots = [(*d, i) for i, p in enumerate(points) if {pair.x_feature, pair.y_feature} <= set(p.columns) for d in overlay_dots(p, pair)]
     png.write_png(path, png.density_picture(counts, pair.log_scale, centres, dots))
 
@@ -94,41 +96,86 @@ def write_transition_picture(matrix: DataFrame, average: DataFrame | None, group
     values = [c for c in ("count", "probability", "rate", "barrier") if c in use.columns]
     use = use.persist()
     try:
-        png.write_png(path, png.matrix_picture([square(use, keys, v)[1] for v in values]))
+        panels = [square(use, keys, v) for v in values]
     finally:
         use.unpersist()
+    png.write_png(path, png.matrix_picture([m for _, m in panels], values, panels[0][0]))
+
+
+#: A representative's fields that its record takes if the table has them.
+_RECORD = ("frame_id", "trajectory_id", "bead_id", "frame_number", "step_number", "energy")
+
+
+def _records(rows: Sequence[Row], pair: Pair) -> list[dict[str, Any]]:
+    """A record of each representative: bin, frame, the values of both axes and, of shifted ones, the unshifted values."""
+    out = []
+    for r in rows:
+        f = r.asDict()
+        record = {"xi": f["xi"], "yi": f["yi"], **{k: f.get(k) for k in _RECORD}}
+        for axis, name, feature in (("x", pair.x, pair.x_feature), ("y", pair.y, pair.y_feature)):
+            record[axis] = float(f[feature])
+            if feature != name:
+                record[f"raw_{axis}"] = f.get(name)
+        record["source_file"] = None if f.get("source_file") is None else page.private_path(f["source_file"], os.getcwd())
+        out.append({k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in record.items()})
+    return out
+
+
+def read_structures(chosen: DataFrame, rows: Sequence[Row]) -> dict[str, tuple[str, list[str], np.ndarray]]:
+    """Structures of representatives by bin, each from its file: text by byte offset, HDF5 runs by number and bead."""
+    seekable = chosen.where("source_file is not null and byte_offset >= 0")
+    read = xyz.read_frames(seekable.select("source_file", "frame_number", "byte_offset"), uniform=False)
+    joined = seekable.select("xi", "yi", "source_file", "byte_offset").join(read, ["source_file", "byte_offset"])
+    found = {(r[0], r[1]): (r[2], r[3], r[4]) for r in joined.select("xi", "yi", "comment_line", "elements", "coords").collect()}
+    # frames of HDF5 runs have no comment
+    binary = [r for r in rows if r["byte_offset"] == h5.NO_OFFSET and r["source_file"] is not None]
+    if binary:
+        got = {(r[0], r[1], r[2]): r for r in h5.read_frames(chosen.where((F.col("byte_offset") == h5.NO_OFFSET) & F.col("source_file").isNotNull())).collect()}
+        for r in binary:
+            *_, elements, coords = got[r["source_file"], r["frame_number"], r["bead_id"]]
+            found[r["xi"], r["yi"]] = "", elements, coords
+    cells = list(found)
+    return {f"{cells[i][0]}_{cells[i][1]}": (found[cells[i]][0], list(found[cells[i]][1]), np.array(found[cells[i]][2], float).reshape(-1, 3)) for i in payload.winding(cells)}
+
+
+def structure_block(found: Mapping[str, tuple[str, list[str], np.ndarray]], reference: str | None) -> tuple[dict[str, Any] | None, dict[str, str] | None]:
+    """Structures laid on the reference's heavy atoms, packed; or as xyz texts, unmoved, where elements differ."""
+    if not found:
+        return None, None
+    elements = next(iter(found.values()))[1]
+    if reference not in found or any(e != elements for _, e, _ in found.values()):
+        return None, {k: payload.xyz_text(*s) for k, s in found.items()}
+    stacked = np.stack([x for *_, x in found.values()])
+    fixed = found[reference][2] - found[reference][2].mean(axis=0)
+    moved, _ = structures.superpose_all(stacked, fixed, structures.heavy_atoms(elements))
+    laid = {k: (c, e, x) for (k, (c, e, _)), x in zip(found.items(), moved)}
+    return payload.encode_structures(laid, payload.fitting_step(moved)), None
 
 
 def write_page(frames: DataFrame, pair: Pair, run: Run, path: str, pages: Sequence[tuple[str, str, str]] = (), with_structures: bool = True) -> None:
-    """Page of a pair's map: a representative frame and its structure for each occupied bin, and the states."""
+    """Page of a pair's map: a representative frame and its structure for each occupied bin, and the states.
+
+    The structures lie on that of the most populated bin, the first one in order on ties.
+    """
     xe, ye = edges_of(pair)
-    cells = density.cells(frames, pair.x_feature, pair.y_feature, xe, ye)
-    meta = ["source_file", "trajectory_id", "bead_id", "frame_number", "byte_offset", "atom_count"]
-    chosen = density.representatives(frames, pair.x_feature, pair.y_feature, xe, ye, ["frame_id"], keep=meta).persist()
+    counts = grid_of(density.cells(frames, pair.x_feature, pair.y_feature, xe, ye), pair.bins, pair.bins)
+    meta = ["source_file", "trajectory_id", "bead_id", "frame_number", "byte_offset", "atom_count", "step_number", "energy", pair.x, pair.y]
+    keep = [c for c in dict.fromkeys(meta) if c in frames.columns and c not in (pair.x_feature, pair.y_feature)]
+    chosen = density.representatives(frames, pair.x_feature, pair.y_feature, xe, ye, ["frame_id"], keep=keep).persist()
     try:
         rows = chosen.orderBy("xi", "yi").collect()
-        info = {f"{r['xi']}_{r['yi']}": {"frame_id": r["frame_id"], "trajectory_id": r["trajectory_id"], "bead_id": r["bead_id"], "frame_number": r["frame_number"], "source_file": None if r["source_file"] is None else page.private_path(r["source_file"], os.getcwd())} for r in rows}
-        structures = None
-        if with_structures:
-            seekable = chosen.where("source_file is not null and byte_offset >= 0")
-            read = xyz.read_frames(seekable.select("source_file", "frame_number", "byte_offset"), uniform=False)
-            joined = seekable.select("xi", "yi", "source_file", "byte_offset").join(read, ["source_file", "byte_offset"]).select("xi", "yi", "comment_line", "elements", "coords").orderBy("xi", "yi").collect()
-            # frames of HDF5 runs are named by their number and bead, and have no comment
-            numbered = chosen.where((F.col("byte_offset") == h5.NO_OFFSET) & F.col("source_file").isNotNull())
-            if any(r["byte_offset"] == h5.NO_OFFSET and r["source_file"] is not None for r in rows):
-                got = {(r[0], r[1], r[2]): r for r in h5.read_frames(numbered).collect()}
-                for r in rows:
-                    if r["byte_offset"] == h5.NO_OFFSET and r["source_file"] is not None:
-                        *_, elements, coords = got[r["source_file"], r["frame_number"], r["bead_id"]]
-                        joined.append((r["xi"], r["yi"], "", elements, coords))
-            structures = {f"{r[0]}_{r[1]}": payload.xyz_text(r[2], r[3], np.array(r[4]).reshape(-1, 3)) for r in sorted(joined, key=lambda r: (r[0], r[1]))}
+        found = read_structures(chosen, rows) if with_structures and {"source_file", "byte_offset"} <= set(chosen.columns) else {}
     finally:
         chosen.unpersist()
+    top = max(rows, key=lambda r: counts[r["xi"], r["yi"]], default=None)
+    reference = None if top is None else f"{top['xi']}_{top['yi']}"
+    packed, texts = structure_block(found, reference)
     _, _, group = clustering_of(run.clustering, pair) if run.clustering else ("", {}, [])
     interactive = run.plots.get("interactive") or {}
     data = page.page_data(
-        grid_of(cells, pair.bins, pair.bins), pair.x_range, pair.y_range, pair.title, (pair.x_label, pair.y_label), frames=info, xyz=structures, states=overlay_block(frames, pair, group),
-        pages=page.navigation(pages, pair.name) if pages else None, mode=str(interactive.get("scale_mode", "log")), temperature=interactive.get("temperature", run.transitions.get("temperature")), most_pins=int(interactive.get("max_pinned", 15)),
+        counts, pair.x_range, pair.y_range, pair.title, (pair.x_label, pair.y_label), frames=_records(rows, pair), structures=packed, xyz=texts,
+        states=overlay_block(frames, pair, group), pages=page.navigation(pages, pair.name) if pages else None, mode=str(interactive.get("scale_mode", "log")),
+        temperature=interactive.get("temperature", run.transitions.get("temperature")), most_pins=int(interactive.get("max_pinned", 15)), periodic=pair.periodic,
+        axis_atoms={a: atoms for a, atoms in (("x", pair.x_atoms), ("y", pair.y_atoms)) if atoms}, reference=reference if packed else None,
     )
     page.write(path, data)
-

@@ -62,3 +62,53 @@ def dihedral(vector: str, atoms: Sequence[int]) -> str:
     n1, n2 = cross(b1, b2), cross(b2, b3)
     # atan2(|b2| b1 . (b2 x b3), (b1 x b2) . (b2 x b3)) is the same angle without normalising
     return f"-degrees(atan2(sqrt({dot(b2, b2)}) * {dot(b1, n2)}, {dot(n1, n2)}))"
+
+
+def eigenvalues(a: str, b: str, c: str, d: str, e: str, f: str, source: str, keep: str) -> str:
+    """SELECT of ``keep`` and the eigenvalues l1 >= l2 >= l3 of the symmetric matrix (a, d, e; d, b, f; e, f, c) of each row, in closed form."""
+    return f"""SELECT {keep}, q + 2 * p * cos(t) AS l1, 3 * q - (q + 2 * p * cos(t)) - (q + 2 * p * cos(t + 2 * pi() / 3)) AS l2, q + 2 * p * cos(t + 2 * pi() / 3) AS l3 FROM (
+SELECT *, acos(greatest(-1.0, least(1.0, ((({a} - q) * (({b} - q) * ({c} - q) - {f} * {f}) - {d} * ({d} * ({c} - q) - {f} * {e}) + {e} * ({d} * {f} - ({b} - q) * {e})) / (p * p * p)) / 2))) / 3 AS t FROM (
+SELECT *, sqrt((({a} - q) ** 2 + ({b} - q) ** 2 + ({c} - q) ** 2 + 2 * ({d} * {d} + {e} * {e} + {f} * {f})) / 6) AS p FROM (
+SELECT *, ({a} + {b} + {c}) / 3 AS q FROM ({source}))))"""
+
+
+def best_plane(source: str, key: str, vector: str, atoms: Sequence[int]) -> str:
+    """SELECT of key and the unit normal (x, y, z) of some atoms' best-fit plane, to the side of the first three."""
+    at = lambda i, k: f"{vector}[{3 * i + k + 1}]::DOUBLE"
+    mean = [f"(({' + '.join(at(i, k) for i in atoms)}) / {len(atoms)})" for k in range(3)]
+    part = lambda k, m: " + ".join(f"({at(i, k)} - m{k}) * ({at(i, m)} - m{m})" for i in atoms)
+    turned = [[f"({at(j, k)} - {at(atoms[0], k)})" for k in range(3)] for j in atoms[1:3]]
+    cross = lambda u, v: [f"({u[1]} * {v[2]} - {u[2]} * {v[1]})", f"({u[2]} * {v[0]} - {u[0]} * {v[2]})", f"({u[0]} * {v[1]} - {u[1]} * {v[0]})"]
+    side = cross(*turned)
+    means = f"SELECT *, {', '.join(f'{m} AS m{k}' for k, m in enumerate(mean))} FROM ({source})"
+    scatter = f"SELECT {key}, {', '.join(f'{x} AS s{k}' for k, x in enumerate(side))}, {part(0, 0)} AS a, {part(1, 1)} AS b, {part(2, 2)} AS c, {part(0, 1)} AS d, {part(0, 2)} AS e, {part(1, 2)} AS f FROM ({means})"
+    solved = eigenvalues("a", "b", "c", "d", "e", "f", scatter, f"{key}, s0, s1, s2, a, b, c, d, e, f")
+    rows = [["(a - l3)", "d", "e"], ["d", "(b - l3)", "f"], ["e", "f", "(c - l3)"]]
+    picks = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    sizes = [" + ".join(f"{x} * {x}" for x in p) for p in picks]
+    found = f"SELECT *, {', '.join(f'{z} AS z{k}' for k, z in enumerate(sizes))} FROM ({solved})"
+    chosen = [f"CASE WHEN z0 >= z1 AND z0 >= z2 THEN {picks[0][k]} WHEN z1 >= z2 THEN {picks[1][k]} ELSE {picks[2][k]} END AS v{k}" for k in range(3)]
+    vector_of = f"SELECT {key}, s0, s1, s2, {', '.join(chosen)} FROM ({found})"
+    unit = ", ".join(f"v{k} * CASE WHEN v0 * s0 + v1 * s1 + v2 * s2 < 0 THEN -1 ELSE 1 END / sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS {n}" for k, n in enumerate("xyz"))
+    return f"SELECT {key}, {unit} FROM ({vector_of})"
+
+
+def least_rmsd(source: str, key: str, vector: str, atoms: int) -> str:
+    """SELECT of key and the least root mean square distance of each structure, moved and turned, from that of the smallest key.
+
+    With H the scatter between two centred structures and s its singular values, that
+    is sqrt((|A|^2 + |B|^2 - 2 (s1 + s2 +- s3)) / n), minus if det H is negative.
+    """
+    at = lambda v, i, k: f"{v}[{3 * i + k + 1}]::DOUBLE"
+    n = range(atoms)
+    mean = lambda v, k: f"({' + '.join(at(v, i, k) for i in n)}) / {atoms}"
+    both = f"SELECT {key}, {vector} AS u, (SELECT {vector} FROM ({source}) ORDER BY {key} LIMIT 1) AS w FROM ({source})"
+    means = f"SELECT *, {', '.join(f'{mean(v, k)} AS {v}{k}' for v in 'uw' for k in range(3))} FROM ({both})"
+    h = {(j, k): " + ".join(f"({at('u', i, j)} - u{j}) * ({at('w', i, k)} - w{k})" for i in n) for j in range(3) for k in range(3)}
+    size = lambda v: " + ".join(f"({at(v, i, k)} - {v}{k}) ** 2" for i in n for k in range(3))
+    scatter = f"SELECT {key}, {size('u')} AS nu, {size('w')} AS nw, {', '.join(f'{x} AS h{j}{k}' for (j, k), x in h.items())} FROM ({means})"
+    gram = lambda j, k: f"(h0{j} * h0{k} + h1{j} * h1{k} + h2{j} * h2{k})"
+    det = "h00 * (h11 * h22 - h12 * h21) - h01 * (h10 * h22 - h12 * h20) + h02 * (h10 * h21 - h11 * h20)"
+    solved = eigenvalues(gram(0, 0), gram(1, 1), gram(2, 2), gram(0, 1), gram(0, 2), gram(1, 2), scatter, f"{key}, nu, nw, {det} AS det")
+    sum_ = "sqrt(greatest(l1, 0)) + sqrt(greatest(l2, 0)) + sign(det) * sqrt(greatest(l3, 0))"
+    return f"SELECT {key}, sqrt(greatest(0, (nu + nw - 2 * ({sum_})) / {atoms})) AS rmsd FROM ({solved})"

@@ -9,44 +9,10 @@ from typing import Any
 
 import numpy as np
 
-from ..functions import energy
-from . import payload
-
-_TEMPLATE = """<!DOCTYPE html>
-<html lang="en"><head><meta charset="utf-8"><title>@TITLE@</title><style>
-body{font:14px sans-serif;margin:1em;color:#222;background:#fff}canvas{border:1px solid #999;image-rendering:pixelated;cursor:crosshair}
-#side{display:inline-block;vertical-align:top;margin-left:1em;max-width:28em}.card{border:1px solid #bbb;padding:.4em;margin:.3em 0;white-space:pre-wrap}
-</style></head><body><h1>@TITLE@</h1><nav id="nav"></nav>
-<p><label>Scale <select id="mode"><option value="log">log10(count + 1)</option><option value="count">count</option><option value="energy">free energy</option></select></label>
-<label>Unit <select id="unit"></select></label> <label>T/K <input id="kelvin" size="5"></label> <label><input type="checkbox" id="states"> states</label> <select id="group"></select></p>
-<canvas id="map" width="600" height="600"></canvas><div id="side"><div id="hover"></div><div id="pins"></div></div>
-<script id="data" type="application/json">@DATA@</script>
-<script>
-"use strict";
-const d=JSON.parse(document.getElementById("data").textContent),$=i=>document.getElementById(i),g=d.grid,nx=g.nx,ny=g.ny;
-const raw=Uint8Array.from(atob(d.counts.data),c=>c.charCodeAt(0)),view=new DataView(raw.buffer),wide=d.counts.type==="<u4";
-const count=(x,y)=>{const i=x*ny+y;return wide?view.getUint32(4*i,true):view.getUint16(2*i,true)};
-let top=0;for(let x=0;x<nx;x++)for(let y=0;y<ny;y++)top=Math.max(top,count(x,y));
-const kT=()=>{const u=d.units.find(u=>u.key===$("unit").value),t=parseFloat($("kelvin").value);return u.k===null?1:u.k*t};
-const value=(x,y)=>{const c=count(x,y);if(!c)return null;const m=$("mode").value;return m==="log"?Math.log10(c+1):m==="count"?c:kT()*Math.log(top/c)};
-const stops=[[38,20,72],[43,79,129],[31,140,140],[96,194,98],[248,230,60]],tints=["#d62728","#1f77b4","#ff7f0e","#9467bd","#17becf","#e377c2","#8c564b","#bcbd22"];
-const tint=t=>{t*=4;const i=Math.min(3,Math.floor(t)),f=t-i;return"rgb("+stops[i].map((a,k)=>Math.round(a+f*(stops[i+1][k]-a))).join()+")"};
-const ctx=$("map").getContext("2d"),w=600/nx,h=600/ny;
-function draw(){ctx.clearRect(0,0,600,600);let lo=Infinity,hi=-Infinity;for(let x=0;x<nx;x++)for(let y=0;y<ny;y++){const v=value(x,y);if(v!==null&&isFinite(v)){lo=Math.min(lo,v);hi=Math.max(hi,v)}}
-for(let x=0;x<nx;x++)for(let y=0;y<ny;y++){const v=value(x,y);if(v===null||!isFinite(v))continue;ctx.fillStyle=tint((v-lo)/((hi-lo)||1));ctx.fillRect(x*w,600-(y+1)*h,w+.5,h+.5)}
-const s=d.states&&d.states.groups[$("group").value||0];if($("states").checked&&s){ctx.globalAlpha=.45;s.bins.forEach((b,i)=>{ctx.fillStyle=tints[s.states[i]%8];ctx.fillRect((b%nx)*w,600-(Math.floor(b/nx)+1)*h,w+.5,h+.5)});ctx.globalAlpha=1;
-s.centres.forEach(c=>{ctx.fillStyle="#000";ctx.fillText(d.states.labels[c.state],(c.x-g.x0)/(g.x1-g.x0)*600,600-(c.y-g.y0)/(g.y1-g.y0)*600)})}}
-const bin=e=>{const r=$("map").getBoundingClientRect();return[Math.min(nx-1,Math.max(0,Math.floor((e.clientX-r.left)/600*nx))),Math.min(ny-1,Math.max(0,Math.floor((600-(e.clientY-r.top))/600*ny)))]};
-const text=(x,y)=>{const v=value(x,y),m=(d.frames||{})[x+"_"+y];return d.labels.x+": "+(g.x0+(x+.5)*(g.x1-g.x0)/nx).toFixed(2)+"\\n"+d.labels.y+": "+(g.y0+(y+.5)*(g.y1-g.y0)/ny).toFixed(2)+"\\nframes: "+count(x,y)+(v===null?"":"\\nvalue: "+v.toFixed(4))+(m?"\\n"+Object.entries(m).map(e=>e.join(": ")).join("\\n"):"")};
-$("map").onmousemove=e=>{const[x,y]=bin(e);$("hover").textContent=text(x,y)};
-$("map").onclick=e=>{const[x,y]=bin(e);if(!count(x,y))return;const c=document.createElement("div");c.className="card";c.textContent=text(x,y);const s=(d.xyz||{})[x+"_"+y];
-if(s){const a=document.createElement("a");a.textContent="\\nstructure";a.download=x+"_"+y+".xyz";a.href="data:text/plain,"+encodeURIComponent(s);c.append(a)}c.ondblclick=()=>c.remove();const p=$("pins");p.prepend(c);while(p.children.length>d.settings.most_pins)p.lastChild.remove()};
-d.units.forEach(u=>$("unit").add(new Option(u.key,u.key)));$("kelvin").value=d.settings.temperature===null?"":d.settings.temperature;$("mode").value=d.settings.mode;
-(d.states?d.states.groups:[]).forEach((s,i)=>$("group").add(new Option(s.name,i)));$("states").disabled=!d.states;
-(d.pages||[]).forEach(p=>{const a=document.createElement(p.current?"b":"a");a.textContent=p.title+" ";if(!p.current)a.href=p.file;$("nav").append(a)});
-["mode","unit","kelvin","states","group"].forEach(i=>$(i).onchange=draw);draw();
-</script></body></html>
-"""
+from ..functions import binning, energy
+from ..operators import bonds
+from . import palette, payload
+from .template import PAGE
 
 
 def navigation(pages: Sequence[tuple[str, str, str]], current: str) -> list[dict[str, Any]]:
@@ -68,26 +34,45 @@ def private_path(path: str, base: str) -> str:
     return os.path.basename(path) if rel.startswith("..") or os.path.isabs(rel) else rel
 
 
+def pin_columns(records: Sequence[Mapping[str, Any]], labels: tuple[str, str]) -> list[dict[str, str]]:
+    """Columns of pinned frames: the records' fields but their bins, if any record has a value; axes by their labels."""
+    names = {"x": labels[0], "y": labels[1], "raw_x": f"{labels[0]} (unshifted)", "raw_y": f"{labels[1]} (unshifted)"}
+    fields = [k for k in (records[0] if records else {}) if k not in ("xi", "yi")]
+    return [{"key": k, "label": names.get(k, k.replace("_", " "))} for k in fields if any(r[k] is not None for r in records)]
+
+
 def page_data(
     counts: np.ndarray, x_range: tuple[float, float], y_range: tuple[float, float], title: str, labels: tuple[str, str], *,
-    frames: Mapping[str, Mapping[str, Any]] | None = None, xyz: Mapping[str, str] | None = None, states: Mapping[str, Any] | None = None,
+    frames: Sequence[Mapping[str, Any]] = (), structures: Mapping[str, Any] | None = None, xyz: Mapping[str, str] | None = None, states: Mapping[str, Any] | None = None,
     pages: Sequence[Mapping[str, Any]] | None = None, mode: str = "log", temperature: float | None = None, most_pins: int = 15,
+    periodic: bool = False, axis_atoms: Mapping[str, Sequence[int]] | None = None, reference: str | None = None,
 ) -> dict[str, Any]:
-    """What a page shows, ready for JSON."""
+    """What a page shows, ready for JSON.
+
+    ``frames`` are records with xi, yi, x and y of each occupied bin's representative;
+    ``structures`` is their packed block, or ``xyz`` their texts where elements differ.
+    ``reference`` names the structure that the others are laid on.
+    """
     if mode not in ("log", "count", "energy"):
         raise ValueError(f"unknown scale mode {mode!r}")
     units = [{"key": "kT", "k": None}, *({"key": u, "k": k} for u, k in energy.BOLTZMANN.items())]
+    background = palette.WHITE
+    colours = palette.categories(len(states["labels"]) if states else 1)
     return {
-        "version": 1, "title": title, "labels": {"x": labels[0], "y": labels[1]},
-        "grid": {"nx": counts.shape[0], "ny": counts.shape[1], "x0": x_range[0], "x1": x_range[1], "y0": y_range[0], "y1": y_range[1]},
-        "counts": payload.encode_grid(counts), "units": units, "frames": frames, "xyz": xyz, "states": states, "pages": list(pages or []),
+        "version": 2, "title": title, "labels": {"x": labels[0], "y": labels[1]}, "periodic": periodic,
+        "grid": {"nx": counts.shape[0], "ny": counts.shape[1], "xe": binning.linear_edges(*x_range, counts.shape[0]), "ye": binning.linear_edges(*y_range, counts.shape[1])},
+        "ticks": {"x": palette.ticks(*x_range, periodic), "y": palette.ticks(*y_range, periodic)},
+        "colours": {"scale": palette.trimmed(palette.SCALE, background), "states": [{"fill": palette.css(c), "text": palette.css(palette.legible(c))} for c in colours]},
+        "counts": payload.encode_grid(counts), "units": units, "frames": payload.encode_columns(frames) if frames else None, "columns": pin_columns(frames, labels),
+        "structures": structures, "xyz": xyz, "reference": reference, "states": states, "pages": list(pages or []),
+        "axis_atoms": {k: list(v) for k, v in (axis_atoms or {}).items()}, "radii": bonds.COVALENT_RADII | {"": bonds.OTHER_RADIUS, "tolerance": bonds.BOND_TOLERANCE},
         "settings": {"mode": mode, "temperature": temperature, "most_pins": most_pins},
     }
 
 
 def render(data: Mapping[str, Any]) -> str:
     """The page's text; data can't close its script element."""
-    return _TEMPLATE.replace("@TITLE@", html.escape(str(data["title"]))).replace("@DATA@", payload.canonical(data).replace("<", "\\u003c"))
+    return PAGE.replace("@TITLE@", html.escape(str(data["title"]))).replace("@DATA@", payload.canonical(data).replace("<", "\\u003c"))
 
 
 def write(path: str, data: Mapping[str, Any]) -> None:

@@ -105,9 +105,3 @@ def coordinate_columns(frames: DataFrame) -> list[str]:
     """Names of the value columns of a table: neither core, optional nor state columns."""
     known = {f.name for f in CORE} | set(OPTIONAL)
     return [c for c in frames.columns if c not in known and not c.startswith("state_")]
-
-
-def null_missing(frames: DataFrame) -> DataFrame:
-    """NaN in value columns as null, the one form of a missing value inside the engine."""
-    kinds = dict(frames.dtypes)
-    return frames.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in frames.columns if kinds[c] in ("float", "double")})

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +45,13 @@ def scan(stream: io.BufferedIOBase, name: str) -> Iterator[tuple[int, int, int,
             raise ValueError(f"{name}: no atom count at byte {at}: {line[:60]!r}") from None
         if atoms < 0:
             raise ValueError(f"{name}: negative atom count at byte {at}")
-        size, comment = len(line), stream.readline()
+        comment = stream.readline()
         if not comment:
             raise ValueError(f"{name}: the file ends inside frame {number}")
-        size += len(comment)
-        for _ in range(atoms):
-            row = stream.readline()
-            if not row:
-                raise ValueError(f"{name}: the file ends inside frame {number}")
-            size += len(row)
+        rows = list(islice(stream, atoms))
+        if len(rows) < atoms:
+            raise ValueError(f"{name}: the file ends inside frame {number}")
+        size = len(line) + len(comment) + sum(map(len, rows))
         yield number, at, atoms, comment.decode().rstrip("\r\n")
         number, at = number + 1, at + size
 
@@ -66,9 +66,13 @@ def parse_frame(stream: io.BufferedIOBase, name: str, dtype: type = np.float32)
     except ValueError:
         raise ValueError(f"{name}: no atom count: {line[:60]!r}") from None
     comment = stream.readline().decode().rstrip("\r\n")
+    rows = list(islice(stream, atoms))
+    fast = _atoms_at_once(rows, atoms)
+    if fast is not None:
+        return atoms, comment, fast[0], fast[1].astype(dtype)
     elements, positions = [], np.empty((atoms, 3), dtype)
     for i in range(atoms):
-        fields = stream.readline().split()
+        fields = rows[i].split() if i < len(rows) else []
         if len(fields) < 4:
             raise ValueError(f"{name}: atom line {i + 1} has fewer than 4 fields: {fields!r}")
         elements.append(fields[0].decode())
@@ -79,6 +83,33 @@ def parse_frame(stream: io.BufferedIOBase, name: str, dtype: type = np.float32)
     return atoms, comment, elements, positions
 
 
+#: Stands between two atoms' fields when all are split at once; no field is one of these.
+_MARK = b"\0"
+
+
+def _atoms_at_once(rows: list[bytes], atoms: int) -> tuple[list[str], np.ndarray] | None:
+    """Elements and positions of atom lines that all have as many fields; None if they haven't, or one is no number."""
+    if len(rows) < atoms or not atoms:
+        return None
+    fields = b" \0 ".join(rows).split()
+    width = (len(fields) + 1) // atoms
+    if width < 5 or width * atoms != len(fields) + 1 or fields[width - 1 :: width].count(_MARK) != atoms - 1:
+        return None
+    positions = np.empty((atoms, 3))
+    try:
+        for k in range(3):
+            positions[:, k] = list(map(float, fields[k + 1 :: width]))
+    except ValueError:
+        return None
+    return _decoded(b" ".join(fields[::width])), positions
+
+
+@lru_cache(maxsize=256)
+def _decoded(elements: bytes) -> list[str]:
+    """Names of a structure's elements; structures of a file mostly have the same, so they share the list."""
+    return elements.decode().split(" ")
+
+
 def index_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Index of all frames of the files, a task for each file."""
     ship_package(spark)
@@ -135,11 +166,12 @@ def cached_index(spark: SparkSession, files: Sequence[str], folder: str) -> Data
     return table.join(current, "source_file").where((F.col("size") == F.col("file_size")) & (F.abs(F.col("mtime") - F.col("file_mtime")) < 1e-3)).drop("size", "mtime")
 
 
-def read_frames(index: DataFrame, run_frames: int = RUN_FRAMES, uniform: bool = True) -> DataFrame:
+def read_frames(index: DataFrame, run_frames: int = RUN_FRAMES, uniform: bool = True, with_elements: bool = True) -> DataFrame:
     """Frames of index rows (source_file, frame_number, byte_offset), read by offset.
 
     Rows are dealt in runs of neighbouring frames; in a run, frames are read in file
-    order. With ``uniform`` frames of a file must have one atom count.
+    order. With ``uniform`` frames of a file must have one atom count. Elements are a
+    column only if they are asked for.
     """
     ship_package(index.sparkSession)
     run_of = F.floor(F.col("frame_number") / run_frames)
@@ -162,19 +194,38 @@ def read_frames(index: DataFrame, run_frames: int = RUN_FRAMES, uniform: bool =
                 expected = atoms
                 rows.append((name, number, offset, atoms, comment, elements, positions.ravel()))
                 if len(rows) == 1000:
-                    yield _frame_batch(rows)
+                    yield _frame_batch(rows, with_elements)
                     rows = []
-            yield _frame_batch(rows)
+            yield _frame_batch(rows, with_elements)
         if stream is not None:
             stream.close()
 
-    return dealt.mapInArrow(run, FRAME_SCHEMA)
+    return dealt.mapInArrow(run, FRAME_SCHEMA if with_elements else FRAME_SCHEMA.replace("elements array<string>, ", ""))
 
 
-def _frame_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _frame_batch(rows: list[tuple], with_elements: bool = True) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * 7
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float32())]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in FRAME_SCHEMA.split(", ")])
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in columns[6]])]).astype(np.int32)
+    flat = np.concatenate(columns[6]).astype(np.float32) if rows else np.zeros(0, np.float32)
+    arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+    if with_elements:
+        arrays.append(_element_lists(columns[5]))
+    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+    return pa.record_batch(arrays, names=_frame_names(with_elements))
+
+
+def _frame_names(with_elements: bool) -> list[str]:
+    return [n for n in (c.split()[0] for c in FRAME_SCHEMA.split(", ")) if with_elements or n != "elements"]
+
+
+def _element_lists(lists: Sequence[list[str]]) -> pa.Array:
+    """Element lists as one array; neighbours that share a list share its place."""
+    if lists and all(e is lists[0] for e in lists):
+        n = len(lists[0])
+        flat = pa.array(lists[0], pa.string()).take(pa.array(np.tile(np.arange(n), len(lists))))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * n), flat)
+    return pa.array(lists, pa.list_(pa.string()))
 
 
 def frame(index: DataFrame, source_file: str, number: int) -> tuple[int, str, list[str], np.ndarray]:

@@ -1,6 +1,8 @@
 import importlib.util
 import json
 import os
+import shutil
+import subprocess
 
 import numpy as np
 import pytest
@@ -8,9 +10,9 @@ from pyspark.sql import functions as F
 
 from basinflow import cli
 from basinflow.functions import labels
-from basinflow.operators import bonds, table
-from basinflow.plans import build, config, manifest, outputs
-from basinflow.sinks import page, payload, png
+from basinflow.operators import bonds, structures, table
+from basinflow.plans import build, config, manifest, outputs, timing
+from basinflow.sinks import page, palette, payload, png, template
 from basinflow.sources import h5, tables, xyz
 from basinflow.sources.files import discover
 
@@ -237,8 +239,23 @@ def test_command_line(spark, tmp_path, scheme):
     assert any("frames" in s for s in said) and (tmp_path / "out" / "coordinates.csv").exists()
     text = (plots / "density_pp.html").read_text()
     data = json.loads(text.split('<script id="data" type="application/json">')[1].split("</script>")[0])
-    assert payload.decode_grid(data["counts"]).sum() == 30 and len(data["xyz"]) == len(data["frames"])
-    assert [p["current"] for p in data["pages"]] == [True, False]
+    assert payload.decode_grid(data["counts"]).sum() == 30 and data["xyz"] is None
+    records, found = payload.decode_columns(data["frames"]), payload.decode_structures(data["structures"])
+    assert {f"{r['xi']}_{r['yi']}" for r in records} == set(found) and len(records) == len(found)
+    assert all(r["x"] is not None and r["raw_x"] is not None and r["step_number"] == 10 * r["frame_number"] and r["source_file"] == "a.xyz" for r in records)
+    assert {c["key"] for c in data["columns"]} >= {"frame_id", "step_number", "x", "y", "raw_x"} and not {"energy", "bead_id"} & {c["key"] for c in data["columns"]}
+    assert [p["current"] for p in data["pages"]] == [True, False] and data["axis_atoms"] == {"x": [0, 1, 2, 3], "y": [4, 5, 6, 7]} and data["periodic"]
+    # structures lie on the reference: the same shape as in the file, up to the step
+    given = {r["xi"] * 1000 + r["yi"]: helix(30)[r["frame_number"]] for r in records}
+    for r in records:
+        x = found[f"{r['xi']}_{r['yi']}"][2]
+        inside = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+        assert np.allclose(inside(x), inside(given[r["xi"] * 1000 + r["yi"]]), atol=4e-3)
+    ref = found[data["reference"]][2]
+    assert np.allclose(ref.mean(axis=0), 0, atol=1e-3) and all(np.sqrt(((s[2] - ref) ** 2).sum(axis=1).mean()) < 0.15 for s in found.values())
+    again: list = []
+    cli.execute(spark, "compute-transitions", run, say=again.append)
+    assert sum(s.endswith(", kept") for s in again) == 2 and any(s.startswith("transitions: ") for s in again)
 
 
 def test_every_overlay_point_is_drawn(spark, tmp_path, monkeypatch):
@@ -258,7 +275,7 @@ def test_every_overlay_point_is_drawn(spark, tmp_path, monkeypatch):
     assert png.picture_size(pair.bins, pair.bins) == (w, h)
     for x, y, k in ((0.1, 0.2, 0), (0.9, 0.8, 0), (0.3, 0.4, 1)):
         cx, cy = int(x * (w - 1)), int((1 - y) * (h - 1))
-        assert any((seen[0][b, a] == png._OVERLAY_COLOURS[k]).all() for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1))
+        assert any((seen[0][b, a] == png.OVERLAY_COLOURS[k]).all() for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1))
     assert 20 <= (seen[0] != seen[1]).any(axis=2).sum() <= 27
 
 
@@ -317,15 +334,16 @@ def test_page_of_hdf5_frames_holds_structures(spark, tmp_path, write_h5, monkeyp
     frames = spark.createDataFrame(rows, f"frame_id long, source_file string, trajectory_id string, bead_id string, frame_number long, byte_offset long, atom_count long, {pair.x_feature} double, {pair.y_feature} double")
     seen = []
     monkeypatch.setattr(page, "write", lambda path, data: seen.append(data))
-    made = page.page_data
-    monkeypatch.setattr(page, "page_data", lambda *a, **k: seen.append(k["xyz"]) or made(*a, **k))
     outputs.write_page(frames, pair, run, "")
     want = [beads[3, 1], beads[0, 0], beads[4].mean(axis=0)]
-    assert list(seen[0]) == ["0_0", "1_0", "2_0"]
-    for text, x in zip(seen[0].values(), want):
-        lines = text.splitlines()
-        assert lines[:2] == ["3", ""] and [v.split()[0] for v in lines[2:]] == ["C", "O", "H"]
-        assert np.allclose([[float(c) for c in v.split()[1:]] for v in lines[2:]], x, atol=1e-4)
+    found = payload.decode_structures(seen[0]["structures"])
+    assert list(found) == ["0_0", "1_0", "2_0"] and seen[0]["reference"] == "0_0"
+    sides = lambda p: np.linalg.norm(p - np.roll(p, 1, axis=0), axis=1)
+    for (comment, elements, got), x in zip(found.values(), want):
+        assert comment == "" and elements == ["C", "O", "H"] and np.allclose(sides(got), sides(x), atol=4e-3)
+    # elements that differ: texts, as in the files
+    mixed = {"0_0": ("", ["C"], np.ones((1, 3))), "0_1": ("", ["O"], np.ones((1, 3)))}
+    assert outputs.structure_block(mixed, "0_0") == (None, {k: payload.xyz_text(*s) for k, s in mixed.items()}) and outputs.structure_block({}, None) == (None, None)
     with pytest.raises(Exception, match="frame 9, bead_01"):
         h5.read_frames(frames.limit(1).withColumn("frame_number", F.lit(9))).collect()
     with pytest.raises(Exception, match="3 atoms, 4 in the table"):
@@ -377,9 +395,9 @@ def test_column_and_grid_codecs():
 
 
 def test_page_is_deterministic_and_safe(tmp_path):
-    data = page.page_data(np.array([[1, 0], [2, 3]]), (0, 1), (0, 1), "</script><b>", ("x", "y"), frames={"0_0": {"f": "</script>"}})
+    data = page.page_data(np.array([[1, 0], [2, 3]]), (0, 1), (0, 1), "</script><b>", ("x", "y"), frames=[{"xi": 0, "yi": 0, "x": 0.1, "y": 0.2, "f": "</script>"}])
     text = page.render(data)
-    assert text == page.render(data) and text.count("</script>") == 2
+    assert text == page.render(data) and text.count("</script>") == 3
     with pytest.raises(ValueError):
         page.navigation([("a", "A", "a.html"), ("a", "A", "b.html")], "a")
     with pytest.raises(ValueError):
@@ -444,3 +462,127 @@ def test_npz_converter(spark, tmp_path):
     for bad in ({"stride": 0}, {"sha256": "0"}):
         with pytest.raises(ValueError):
             npz_to_xyz(source, target, **bad)
+
+
+def structures_of(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return {f"{i // 5}_{i % 5}": (f"c{i}", ["C", "O", "H"], rng.uniform(-5, 5, (3, 3))) for i in range(n)}
+
+
+@pytest.mark.skipif(shutil.which("node") is None, reason="needs a JavaScript engine")
+def test_the_pages_decoders_equal_ours(tmp_path):
+    given = structures_of(23)
+    rows = [{"xi": i, "yi": 0, "x": 10.0 * i, "y": 350.0 if i == 2 else 0.0, "name": "ab"[i % 2], "gone": None} for i in range(4)]
+    counts = np.array([[1, 70_000], [2, 0]])
+    edges = [0.0, 0.02, 0.04, 0.06, 0.08, 0.1]
+    values = [0.0, 0.02, 0.0199, 0.06, 0.1, 0.11, -0.1, 0.08]
+    ask = {"s": payload.encode_structures(given, 0.01), "c": payload.encode_columns(rows), "g": payload.encode_grid(counts), "edges": edges, "values": values, "xyz": payload.xyz_text(*given["1_1"])}
+    script = template.CODEC + """
+    (async () => {
+      const a = JSON.parse(require("fs").readFileSync(process.argv[2], "utf8"));
+      const s = await decodeStructures(a.s), rows = await decodeColumns(a.c), count = decodeGrid(a.g);
+      const link = await pinsToLink(["0_0", "11_7"]);
+      process.stdout.write(JSON.stringify({
+        s: [...s].map(([k, v]) => [k, v.comment, v.elements, [...v.x]]), rows, counts: [[count(0, 0), count(0, 1)], [count(1, 0), count(1, 1)]],
+        bins: a.values.map((v) => binOf(v, a.edges)), near: [nearest(rows, 11, 0, 1, 1, false).xi, nearest(rows, 20, -8, 1, 1, true).xi, nearest([], 0, 0, 1, 1, true)],
+        link, pins: await pinsFromLink(link), bad: await pinsFromLink("zz"), xyz: writeXyz(parseXyz(a.xyz)),
+      }));
+    })();
+    """
+    (tmp_path / "t.js").write_text(script)
+    (tmp_path / "a.json").write_text(json.dumps(ask))
+    got = json.loads(subprocess.run(["node", str(tmp_path / "t.js"), str(tmp_path / "a.json")], capture_output=True, text=True, check=True, timeout=60).stdout)
+    for (key, comment, elements, x), (k, (c, e, y)) in zip(got["s"], given.items()):
+        assert (key, comment, elements) == (k, c, e) and np.allclose(np.reshape(x, (3, 3)), y, atol=0.005 + 1e-9)
+    assert got["rows"] == rows and got["counts"] == counts.tolist()
+    assert got["bins"] == [0, 1, 0, 3, 4, -1, -1, 4] and got["near"] == [1, 2, None]
+    assert got["pins"] == ["0_0", "11_7"] and got["bad"] == [] and got["xyz"] == ask["xyz"] and not set("+/=") & set(got["link"])
+    view = template.PAGE.split("<script>")[1].split("</script>")[0]
+    (tmp_path / "v.js").write_text(template.CODEC + view.replace('"use strict";', ""))
+    subprocess.run(["node", "--check", str(tmp_path / "v.js")], check=True, timeout=60)
+
+
+def test_colours_and_ticks():
+    assert palette.contrast(palette.WHITE, (0, 0, 0)) == pytest.approx(21.0) and palette.contrast((9, 9, 9), (9, 9, 9)) == 1.0
+    many = palette.categories(12)
+    assert len(set(many)) == 12 and all(palette.contrast(palette.legible(c), c) >= 4.5 for c in many)
+    scale = palette.trimmed(palette.SCALE, palette.WHITE)
+    assert len(scale) == len(palette.SCALE) and scale[0] == palette.SCALE[0] and all(palette.contrast(c, palette.WHITE) >= 1.2 for c in scale)
+    assert palette.trimmed([palette.WHITE, palette.WHITE], palette.WHITE) == [palette.WHITE, palette.WHITE]
+    assert palette.ticks(-180, 180, True) == [45.0 * k for k in range(-4, 5)]
+    assert palette.ticks(0, 0.1, False) == [0.0, 0.02, 0.04, 0.06, 0.08, 0.1] and palette.css((255, 0, 16)) == "#ff0010"
+
+
+def test_pictures_in_memory_and_labels():
+    counts = np.array([[0, 5], [1, 0]])
+    data = png.density_png(counts, centres=[(0.5, 0.5, 1, "12")])
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and data == png.encode(png.density_picture(counts, centres=[(0.5, 0.5, 1, "12")])) != png.density_png(counts)
+    m = np.array([[0.5, np.nan], [0.25, 1e-7]])
+    plain, labelled = png.matrix_picture([m]), png.matrix_picture([m, m], ["count", "rate"], ["0", "state b"])
+    assert labelled.shape[0] > plain.shape[0] and labelled.shape[1] > 2 * plain.shape[1]
+    big = np.eye(11)
+    assert (png.matrix_picture([big], labels=[str(i) for i in range(11)])[18 : 18 + 11 * 22, -11 * 22 - 12 :].reshape(-1, 3) != 0).any()
+    assert (png.text_mask("1A?").sum() > 0) and png.text_mask("").shape == (10, 0)
+    small = np.full((4, 4, 3), 255, np.uint8)
+    png.draw_text(small, -3, -3, "88")
+    png.draw_text(small, 3, 3, "88")
+    assert (small != 255).any()
+
+
+def test_stage_timer():
+    timer = timing.StageTimer()
+    with timer.stage("a", items=10):
+        pass
+    with pytest.raises(KeyError), timer.stage("b"):
+        raise KeyError
+    with timer.stage("a"):
+        pass
+    assert timer.calls == {"a": 2, "b": 1} and timer.items == {"a": 10, "b": 0} and timer.total == sum(timer.seconds.values())
+    assert len(timer.report()) == 2 and any("us each of 10" in line for line in timer.report())
+
+
+def test_discovery_by_uri(tmp_path):
+    for name in ("a/x.xyz", "a/b/y.xyz", "a/b/z.txt", "c/w.xyz"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("0\n\n")
+    root = f"file://{tmp_path}"
+    assert discover(f"{root}/**/*.xyz") == [f"{root}/a/b/y.xyz", f"{root}/a/x.xyz", f"{root}/c/w.xyz"]
+    assert discover(f"{root}/a/*.xyz") == [f"{root}/a/x.xyz"] and discover(f"{root}/c/w.xyz") == [f"{root}/c/w.xyz"]
+    assert discover(f"{root}/a/b/?.txt") == [f"{root}/a/b/z.txt"]
+    with pytest.raises(FileNotFoundError):
+        discover(f"{root}/nothing/*.xyz")
+
+
+def test_atom_lines_of_any_width(tmp_path):
+    import io
+
+    good = b"2\nc\nC 1 2 3\nHe  4.5\t-5 6e1\n"
+    wide = b"2\nc\nC 1 2 3 0.1 F\nHe 4.5 -5 6e1 0.2 T\n"
+    mixed = b"2\nc\nC 1 2 3\nHe 4.5 -5 6e1 extra more\n"
+    uneven = b"3\nc\nC 1 2 3 4\nC 1 2 3\nC 1 2 3 4 5 6\n"
+    for data in (good, wide, mixed):
+        atoms, comment, elements, x = xyz.parse_frame(io.BytesIO(data), "f")
+        assert (atoms, comment, elements, x.tolist()) == (2, "c", ["C", "He"], [[1, 2, 3], [4.5, -5, 60]]) and x.dtype == np.float32
+    assert xyz.parse_frame(io.BytesIO(uneven), "f")[3].tolist() == [[1, 2, 3]] * 3
+    assert xyz.parse_frame(io.BytesIO(b"0\n\n"), "f")[2:][0] == []
+    for bad, what in ((b"2\nc\nC 1 2 3\nC 1 2\n", "line 2 has fewer"), (b"1\nc\nC 1 x 3\n", "no numbers"), (b"2\nc\nC 1 2 3\n", "line 2 has fewer")):
+        with pytest.raises(ValueError, match=what):
+            xyz.parse_frame(io.BytesIO(bad), "f")
+
+
+def test_structures_laid_on_a_reference_at_once():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(7, 5, 3))
+    got, rmsd = structures.superpose_all(x, x[3], np.array([0, 1, 2, 4]))
+    for i in range(7):
+        one, r = structures.superpose(x[i], x[3], np.array([0, 1, 2, 4]))
+        assert np.allclose(got[i], one) and np.isclose(rmsd[i], r)
+
+
+def test_a_run_whose_frames_are_all_cut(spark, tmp_path):
+    x = helix(3)
+    write_xyz(tmp_path / "a.xyz", x)
+    run = config.parse(full(tmp_path, str(tmp_path / "*.xyz"), bond_break={"enabled": True, "cutoff": 0.1}))
+    frames, built = build.coordinate_table(spark, run)
+    assert frames.count() == 0 and len(built) == 1 and "phi_shifted" in frames.columns and build.coordinate_table(spark, run)[1] == []
+    assert build.table_key(spark, run) == build.table_key(spark, run)

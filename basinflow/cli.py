@@ -42,7 +42,7 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
     timer = StageTimer()
     with timer.stage("coordinate table"):
         frames, built = build.coordinate_table(spark, run)
-        frames = frames.persist()
+        frames = table_ = frames.persist()
         number = frames.count()
     timer.count("coordinate table", number)
     say(f"coordinate table: {number} frames, built {len(built)} trajectories, {timer.total:.1f} s")
@@ -66,7 +66,8 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
         if command in ("plot-densities", "extract-coordinates"):
             return timer
         if run.clustering:
-            frames = build.assign_all_states(frames, run)
+            # every picture, matrix and page reads the states
+            frames = build.assign_all_states(frames, run).persist()
         elif command != "build-interactive":
             raise ValueError("the config has no clustering section")
         if every or command == "cluster-states":
@@ -94,6 +95,7 @@ def execute(spark: SparkSession, command: str, run: config.Run, skip_transitions
                 say(f"wrote {path}")
         return timer
     finally:
+        table_.unpersist()
         frames.unpersist()
         for line in timer.report():
             say(line)

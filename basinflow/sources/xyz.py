@@ -9,6 +9,7 @@ file is many tasks, and a frame range reads only its own bytes.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
@@ -27,6 +28,8 @@ INDEX_SCHEMA = "source_file string, file_size long, file_mtime double, frame_num
 FRAME_SCHEMA = "source_file string, frame_number long, byte_offset long, atom_count int, comment_line string, elements array<string>, coords array<float>"
 #: Frames that one read covers at most.
 RUN_FRAMES = 4096
+#: Runs that a task reads, on average, where there are many.
+RUNS_OF_TASK = 16
 
 
 def scan(stream: io.BufferedIOBase, name: str) -> Iterator[tuple[int, int, int, str]]:
@@ -175,7 +178,11 @@ def read_frames(index: DataFrame, run_frames: int = RUN_FRAMES, uniform: bool =
     """
     ship_package(index.sparkSession)
     run_of = F.floor(F.col("frame_number") / run_frames)
-    dealt = index.select("source_file", "frame_number", "byte_offset").repartition(F.col("source_file"), run_of).sortWithinPartitions("source_file", "byte_offset")
+    # index rows are small, frames are not: the number of tasks follows the frames, and is given, so that small partitions aren't put together
+    least = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = math.ceil(index.count() / run_frames)
+    tasks = max(1, min(runs, max(least, math.ceil(runs / RUNS_OF_TASK))))
+    dealt = index.select("source_file", "frame_number", "byte_offset").repartition(tasks, F.col("source_file"), run_of).sortWithinPartitions("source_file", "byte_offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, stream, expected = None, None, None

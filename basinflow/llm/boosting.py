@@ -20,6 +20,7 @@ class Boosting:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
         q = self._binned(x)
+        columns = np.ascontiguousarray(q.T)
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
         z = np.full(len(y), self.start)
@@ -34,10 +35,12 @@ class Boosting:
                     rows = np.flatnonzero(at == node)
                     if len(rows) >= 10:
                         best = 1e-4
-                        gs, hs = g[rows].sum(), h[rows].sum()
-                        for j in range(q.shape[1]):
-                            gl = np.cumsum(np.bincount(q[rows, j], g[rows], self.bins + 1))[:-1]
-                            hl = np.cumsum(np.bincount(q[rows, j], h[rows], self.bins + 1))[:-1]
+                        gr, hr = g[rows], h[rows]
+                        gs, hs = gr.sum(), hr.sum()
+                        for j, column in enumerate(columns):
+                            binned = column[rows]
+                            gl = np.cumsum(np.bincount(binned, gr, self.bins + 1))[:-1]
+                            hl = np.cumsum(np.bincount(binned, hr, self.bins + 1))[:-1]
                             gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
                             k = int(gain.argmax())
                             if gain[k] > best:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, near_dup, oracles, packing, pii, quality, topk, toxicity, url_rules, warc
+from . import decontam, langid, near_dup, oracles, packing, pii, quality, topk, toxicity, url_rules, warc, whitening
 from .common import read
 
 
@@ -83,9 +83,17 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "page_score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every usable vector, a row for each."""
+    rows, model, error = whitening.whiten(read(spark, sf_dir, "embeddings"), "embedding", most=8, scale=1024.0, offset=100_000)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained[:8]]).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.moments.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened", F.get(explained, "i").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {f.__name__: f for f in (op1_block_top_k, op2_warc, op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination, op10_co_training)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_warc, op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination, op10_co_training, op11_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, near_dup, oracles, packing, pii, quality, topk, toxicity, url_rules, warc, whitening
+from . import decontam, langid, near_dup, oracles, packing, pii, quality, repeats, topk, toxicity, url_rules, warc, whitening
 from .common import read
 
 
@@ -91,9 +91,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.moments.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened", F.get(explained, "i").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
+def op12_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the 50-byte strings that a document of a smaller id has."""
+    found = repeats.find_repeats(read(spark, sf_dir, "documents"), span=50)
+    left = F.octet_length("kept").cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
-    return {f.__name__: f for f in (op1_block_top_k, op2_warc, op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination, op10_co_training, op11_whitening)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_warc, op3_private_data, op4_hyperminhash, op5_compression_language, op6_best_fit_packing, op7_url_rules, op8_toxicity, op9_decontamination, op10_co_training, op11_whitening, op12_run_length_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -104,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_hyperminhash": oracles.NEAR_DUPLICATES,
         "op7_url_rules": oracles.URL_RULES,
         "op9_decontamination": oracles.DECONTAMINATION,
+        "op12_run_length_repeats": oracles.REPEATS,
     }

@@ -48,3 +48,17 @@ n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
 k AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared FROM k JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
+
+#: Windows of 50 bytes are 100 digits.
+REPEATS = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM t WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+q AS (SELECT w.doc_id, p, lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS before FROM w JOIN f USING (s) WHERE low < w.doc_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM q),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n, NULL FROM t),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS z FROM e),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a, b NULLS LAST) AS kept, coalesce(sum(b - a), 0) AS gone, count(b) AS spans FROM c JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, gone::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k JOIN t USING (doc_id)
+"""

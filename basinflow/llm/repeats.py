@@ -5,13 +5,16 @@ the least hash is its key (ties: the first), so equal windows have equal keys at
 places. Documents are dealt to parts of some megabytes and written once, bucketed by
 part; keys are dealt to buckets by their hash. Parts ask buckets two things:
 
-1. which of their keys stand in other documents too; the answer is a bit a key;
+1. which of their keys stand in other documents too; the answer is a number a key;
 2. of the strings around those keys, which windows begin in a document of a smaller id.
    Equal strings of a part ask once. A bucket puts the strings of all parts into
    run-length Burrows-Wheeler indexes and streams them against these.
 
-So a passage that fills a third of all documents reaches its bucket once a part, and no
-task holds more than a part, or a bucket's questions.
+So a passage that fills a third of all documents reaches its bucket once a part. The
+strings at its ends differ from document to document, though, under one key. Around a
+key of very many documents parts therefore ask for every window by itself, dealt by the
+window's own hash: equal ones ask once a part, and different ones go to different
+buckets. No task holds more than a part, or a bucket's questions.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ KEY = 20
 PART_BYTES = 16 << 20
 #: Files of parts at most; beyond, a file has several parts.
 MOST_FILES = 50_000
+#: Documents that make a key a common one.
+COMMON = 1 << 14
 #: Strings that go into one index.
 INDEX_STRINGS = 1 << 14
 _SLICE = 1 << 19
@@ -111,6 +117,16 @@ def _rows_as_values(rows: np.ndarray) -> np.ndarray:
     return rows.view(np.dtype((np.void, rows.shape[1]))).ravel()
 
 
+def _window_hashes(windows: np.ndarray) -> np.ndarray:
+    """48-bit hash of each row of bytes."""
+    words = np.zeros((len(windows), -(-windows.shape[1] // 8) * 8), np.uint8)
+    words[:, : windows.shape[1]] = windows
+    h = np.zeros(len(windows), np.uint64)
+    for word in words.view("<u8").T:
+        h = mix(h * _C[0] + word * _C[1] + _C[2])
+    return h & _MASK
+
+
 def _group(*columns: np.ndarray) -> np.ndarray:
     """Number of each row's group of equal values in all columns."""
     _, out = np.unique(columns[0], return_inverse=True)
@@ -185,6 +201,37 @@ def seen_before(strings: np.ndarray, group: np.ndarray, docs: np.ndarray, span:
 # ------------------------------------------------------------------ parts and buckets
 
 
+#: What a bucket says of a key: it stands in other documents too, or in very many. Answers to questions have numbers of their own.
+REPEATED, EVERYWHERE = 1, 2
+KEYS, STRINGS, WINDOWS = 1, 2, 3
+
+
+@dataclass(frozen=True)
+class Questions:
+    """Places that ask, the question of each, and of each question its string, hash, bucket and smallest document."""
+
+    kind: int
+    places: np.ndarray
+    row: np.ndarray
+    asked: np.ndarray
+    strings: np.ndarray
+    hashes: np.ndarray
+    bucket: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, kind: int, places: np.ndarray, row: np.ndarray, strings: np.ndarray, hashes: np.ndarray, bucket: np.ndarray, ids: np.ndarray) -> Questions:
+        """One question for each different string."""
+        _, name = np.unique(_rows_as_values(strings), return_inverse=True)
+        order = np.lexsort((ids[row], name, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = name[order][1:] != name[order][:-1]
+        asked = np.empty(len(order), np.int64)
+        asked[order] = np.cumsum(new) - 1
+        first = order[new]
+        return cls(kind, places, row, asked, strings[first], hashes[first], bucket[first], ids[row[first]])
+
+
 class Part:
     """A part's documents, and the keys it asks for, by bucket and hash; without buckets, the documents alone."""
 
@@ -196,7 +243,7 @@ class Part:
         off = np.frombuffer(off, np.int64, len(body) + 1, body.offset * 8)
         self.offsets = off - off[0]
         self.data = np.frombuffer(data, np.uint8, int(off[-1] - off[0]), int(off[0])) if data is not None else np.zeros(0, np.uint8)
-        self.span, self.key = span, key
+        self.span, self.key, self.buckets = span, key, buckets
         if not buckets:
             return
         places, hashes = keys_of(self.data, self.offsets, span, key)
@@ -210,9 +257,10 @@ class Part:
         new[1:] = self.hashes[1:] != self.hashes[:-1]
         self.number = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
-        several = np.zeros(len(self.first), bool)
-        several[self.number[1:][~new[1:] & (self.row[1:] != self.row[:-1])]] = True
-        self.several = several
+        # documents of each key; a part tells up to 255
+        another = new.copy()
+        another[1:] |= self.row[1:] != self.row[:-1]
+        self.documents = np.bincount(self.number, weights=another, minlength=len(self.first)).clip(0, 255).astype(np.uint8)
 
     def by_bucket(self, of: np.ndarray) -> Iterator[tuple[int, slice]]:
         """(bucket, places) of ascending bucket numbers."""
@@ -220,31 +268,27 @@ class Part:
         for a, b in zip(edges[:-1], edges[1:]):
             yield int(of[a]), slice(int(a), int(b))
 
-    def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Of the part's distinct keys, those that buckets have seen in more than one place."""
-        out = np.zeros(len(self.first), bool)
-        for bucket, at in self.by_bucket(self.bucket[self.first]):
-            if bucket in answers:
-                out[at] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=at.stop - at.start)
-        return out
-
-    def questions(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places of repeated keys and the question each asks; of each question its string, hash, bucket and smallest document.
+    def questions(self, answers: dict[int, bytes]) -> list[Questions]:
+        """What the part asks: strings around its repeated keys, and the windows around its common ones.
 
-        Questions are in order of bucket, then string: both passes over a part number them alike.
+        Questions are in order of bucket, then string: every pass over a part numbers them alike.
         """
-        at = np.flatnonzero(self.repeated(answers)[self.number])
+        code = np.zeros(len(self.first), np.uint8)
+        for bucket, at in self.by_bucket(self.bucket[self.first]):
+            if bucket in answers:
+                code[at] = np.frombuffer(answers[bucket], np.uint8)
+        code = code[self.number]
+        at = np.flatnonzero(code == REPEATED)
         strings = strings_around(self.data, self.offsets, self.places[at], self.span, self.key)
-        values = _rows_as_values(strings)
-        _, name = np.unique(values, return_inverse=True)
-        ids = self.ids[self.row[at]]
-        order = np.lexsort((ids, name, self.bucket[at]))
-        new = np.ones(len(order), bool)
-        new[1:] = name[order][1:] != name[order][:-1]
-        asked = np.empty(len(order), np.int64)
-        asked[order] = np.cumsum(new) - 1
-        first = order[new]
-        return at, asked, strings[first], self.hashes[at][first], self.bucket[at][first], ids[first]
+        asked = Questions.of(STRINGS, self.places[at], self.row[at], strings, self.hashes[at], self.bucket[at], self.ids)
+        at = np.flatnonzero(code == EVERYWHERE)
+        begin = (self.places[at, None] - np.arange(self.span - self.key + 1)).ravel()
+        row = np.repeat(self.row[at], self.span - self.key + 1)
+        begin = np.unique(begin[(begin >= self.offsets[row]) & (begin + self.span <= self.offsets[row + 1])])
+        row = np.searchsorted(self.offsets, begin, side="right") - 1
+        windows = np.lib.stride_tricks.sliding_window_view(self.data, self.span)[begin] if len(begin) else np.zeros((0, self.span), np.uint8)
+        hashes = _window_hashes(windows)
+        return [asked, Questions.of(WINDOWS, begin, row, windows, hashes, (hashes % np.uint64(self.buckets)).astype(np.int64), self.ids)]
 
 
 def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
@@ -253,8 +297,8 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
 
 
 ANSWER = "part int, bucket int, kind int, bits binary"
-ASKED = "part int, bucket int, hashes binary, several binary"
-QUESTION = "part int, bucket int, hashes binary, strings binary, docs binary"
+ASKED = "part int, bucket int, hashes binary, documents binary"
+QUESTION = "part int, bucket int, kind int, hashes binary, strings binary, docs binary"
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -264,18 +308,18 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _cut(bits: np.ndarray, table: pa.Table, sizes: list[int], kind: int, pack: bool) -> pa.Table:
-    """The bits of a bucket's rows, dealt back to their parts; rows without a set bit are left out."""
+def _cut(found: np.ndarray, table: pa.Table, sizes: list[int], kind: int) -> pa.Table:
+    """The numbers found for a bucket's rows, dealt back to their parts; rows without any are left out."""
     rows, at = [], 0
     for part, bucket, n in zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), sizes):
-        own = bits[at : at + n]
+        own = found[at : at + n]
         at += n
         if own.any():
-            rows.append((part, bucket, kind, (np.packbits(own) if pack else own.astype("<u4")).tobytes()))
+            rows.append((part, bucket, kind, own.tobytes()))
     return _table(ANSWER, rows)
 
 
-def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", span: int = SPAN, key: int = KEY, part_bytes: int = PART_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", span: int = SPAN, key: int = KEY, part_bytes: int = PART_BYTES, common: int = COMMON) -> DataFrame:
     """(id, n_bytes, spans, kept) of every row: byte ranges that repeat a document of a smaller id, and the bytes left.
 
     A byte is in ``spans`` (array of start, end; end excluded, touching ranges joined) if a
@@ -304,15 +348,15 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def ask(t: pa.Table) -> pa.Table:
         p, part = Part(t, parts, span, key), t.column("part")[0].as_py()
         hashes, buckets = p.hashes[p.first], p.bucket[p.first]
-        return _table(ASKED, [(part, b, _pack(hashes[at]), np.packbits(p.several[at]).tobytes()) for b, at in p.by_bucket(buckets)])
+        return _table(ASKED, [(part, b, _pack(hashes[at]), p.documents[at].tobytes()) for b, at in p.by_bucket(buckets)])
 
     def tell(t: pa.Table) -> pa.Table:
         blocks = [_unpack(b) for b in t.column("hashes").to_pylist()]
-        hashes = np.concatenate(blocks)
-        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(b)) for b, m in zip(blocks, t.column("several").to_pylist())])
-        _, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        repeated = (count > 1) | (np.bincount(number, weights=several) > 0)
-        return _cut(repeated[number], t, [len(b) for b in blocks], 1, True)
+        documents = np.frombuffer(b"".join(t.column("documents").to_pylist()), np.uint8)
+        _, number = np.unique(np.concatenate(blocks), return_inverse=True)
+        count = np.bincount(number, weights=documents)
+        code = np.where(count >= common, EVERYWHERE, np.where(count > 1, REPEATED, 0)).astype(np.uint8)
+        return _cut(code[number], t, [len(b) for b in blocks], KEYS)
 
     told = scratch.keep(grouped.applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(tell, ANSWER), "repeated")
 
@@ -320,19 +364,21 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         if not t.num_rows or not answers.num_rows:
             return _table(QUESTION, [])
         p, part = Part(t, parts, span, key), t.column("part")[0].as_py()
-        _, _, strings, hashes, buckets, ids = p.questions(_answers(answers, 1))
-        return _table(QUESTION, [(part, b, _pack(hashes[at]), strings[at].tobytes(), ids[at].astype("<i8").tobytes()) for b, at in p.by_bucket(buckets)])
+        asked = p.questions(_answers(answers, KEYS))
+        return _table(QUESTION, [(part, b, q.kind, _pack(q.hashes[at]), q.strings[at].tobytes(), q.ids[at].astype("<i8").tobytes()) for q in asked for b, at in p.by_bucket(q.bucket)])
 
     def answer(t: pa.Table) -> pa.Table:
-        blocks = t.column("strings").to_pylist()
-        strings = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 2 * span - key)
-        ids = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
+        kind = t.column("kind")[0].as_py()
+        docs = t.column("docs").to_pylist()
+        sizes = [len(d) // 8 for d in docs]
+        ids = np.frombuffer(b"".join(docs), "<i8")
+        strings = np.frombuffer(b"".join(t.column("strings").to_pylist()), np.uint8).reshape(len(ids), -1)
         hashes = _unpack(b"".join(t.column("hashes").to_pylist()))
         _, group = np.unique(hashes, return_inverse=True)
-        return _cut(seen_before(strings, group, ids, span), t, [len(b) // (2 * span - key) for b in blocks], 2, False)
+        return _cut(seen_before(strings, group, ids, span).astype("<u4"), t, sizes, kind)
 
     asked = grouped.cogroup(told.groupBy("part")).applyInArrow(inquire, QUESTION)
-    answered = scratch.keep(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "answers")
+    answered = scratch.keep(asked.groupBy("bucket", "kind").applyInArrow(answer, ANSWER), "answers")
 
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         p = Part(t, parts if answers.num_rows else 0, span, key) if t.num_rows else None
@@ -349,19 +395,18 @@ def _removed(p: Part | None, t: pa.Table, answers: pa.Table) -> pa.Table:
         empty = pa.array([], pa.int64())
         return pa.table({"id": empty, "n_bytes": empty, "spans": pa.array([], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))), "kept": pa.array([], pa.binary())})
     starts = np.zeros(len(p.data), bool)
-    bits = _answers(answers, 2)
-    if bits:
-        at, asked, _, _, buckets, ids = p.questions(_answers(answers, 1))
-        found = np.zeros(len(ids), np.uint32)
-        for bucket, own in p.by_bucket(buckets):
+    for q in p.questions(_answers(answers, KEYS)) if answers.num_rows else []:
+        bits = _answers(answers, q.kind)
+        found = np.zeros(len(q.ids), np.uint32)
+        for bucket, own in p.by_bucket(q.bucket):
             if bucket in bits:
                 found[own] = np.frombuffer(bits[bucket], "<u4")
         # of a part's equal strings, those of the smallest document have asked for all
-        windows = p.span - p.key + 1
-        of = np.where(p.ids[p.row[at]] > ids[asked], np.uint32((1 << windows) - 1), found[asked])
-        low, high = p.offsets[p.row[at]], p.offsets[p.row[at] + 1]
+        windows, back = (1, 0) if q.kind == WINDOWS else (p.span - p.key + 1, p.span - p.key)
+        of = np.where(p.ids[q.row] > q.ids[q.asked], np.uint32((1 << windows) - 1), found[q.asked])
+        low, high = p.offsets[q.row], p.offsets[q.row + 1]
         for w in range(windows):
-            begin = p.places[at] - (p.span - p.key) + w
+            begin = q.places - back + w
             starts[begin[((of >> np.uint32(w)) & np.uint32(1)).astype(bool) & (begin >= low) & (begin + p.span <= high)]] = True
     begin = np.flatnonzero(starts)
     row = np.searchsorted(p.offsets, begin, side="right") - 1

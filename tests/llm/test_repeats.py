@@ -40,11 +40,11 @@ def corpus(seed, n, letters="abé語"):
     return out
 
 
-@pytest.mark.parametrize("span, key, seed", [(50, 20, 1), (24, 8, 2), (40, 12, 3)])
-def test_against_brute_force(spark, span, key, seed):
+@pytest.mark.parametrize("span, key, seed, common", [(50, 20, 1, 1 << 14), (24, 8, 2, 4), (40, 12, 3, 2), (50, 20, 5, 12)])
+def test_against_brute_force(spark, span, key, seed, common):
     rows = corpus(seed, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = found(repeats.find_repeats(docs, span=span, key=key, part_bytes=2_000))
+    got = found(repeats.find_repeats(docs, span=span, key=key, part_bytes=2_000, common=common))
     want = brute(rows, span)
     assert got == want and any(r[2] for r in want)
 

@@ -36,7 +36,7 @@ from .run_index import PAD, RunIndex
 SPAN = 50
 KEY = 20
 #: Bytes of text of a part, on average.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Files of parts at most; beyond, a file has several parts.
 MOST_FILES = 50_000
 #: Documents that make a key a common one.
@@ -415,12 +415,13 @@ def _removed(p: Part | None, t: pa.Table, answers: pa.Table) -> pa.Table:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(begin)) - 1 if len(begin) else first
     begin, end, row = begin[first], begin[last] + p.span, row[first]
-    change = np.zeros(len(p.data) + 1, np.int32)
-    np.add.at(change, begin, 1)
-    np.add.at(change, end, -1)
-    stays = np.cumsum(change[:-1]) == 0
-    left = np.concatenate([[0], np.cumsum(stays)])[p.offsets]
+    change = np.zeros(len(p.data) + 1, np.int8)
+    change[begin] += 1
+    change[end] -= 1
+    stays = np.cumsum(change[:-1], dtype=np.int8) == 0
+    gone = np.bincount(row, weights=end - begin, minlength=len(p.offsets) - 1).astype(np.int64)
+    left = np.concatenate([[0], np.cumsum(np.diff(p.offsets) - gone)])
     spans = pa.StructArray.from_arrays([pa.array(begin - p.offsets[row]), pa.array(end - p.offsets[row])], ["start", "end"])
     edges = np.searchsorted(row, np.arange(len(p.offsets))).astype(np.int32)
-    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p.offsets) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(p.data[stays].tobytes())])
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p.offsets) - 1, [None, pa.py_buffer(left), pa.py_buffer(p.data[stays])])
     return pa.table({"id": t.column("id"), "n_bytes": pa.array(np.diff(p.offsets)), "spans": pa.ListArray.from_arrays(pa.array(edges), spans), "kept": kept.cast(pa.binary())})

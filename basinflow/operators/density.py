@@ -54,8 +54,8 @@ def free_energy(cells_: DataFrame, unit: str = "kT", temperature: float | None =
     return joined.withColumn("free_energy", energy.free_energy(F.col("count"), F.col("largest"), unit, temperature)).drop("largest")
 
 
-def representatives(frames: DataFrame, x: str, y: str, x_edges: Edges, y_edges: Edges, order: Sequence[str], group: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
-    """Of each occupied bin the frame nearest to its centre, the earliest by ``order`` on ties.
+def representatives(frames: DataFrame, x: str, y: str, x_edges: Edges, y_edges: Edges, order: Sequence[str], group: Sequence[str] = (), keep: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Of each occupied bin the frame nearest to its centre, the earliest by ``order`` on ties; and its frames, if ``count`` names a column for them.
 
     An arg-min aggregate over structs: each task reduces its rows to one per bin before
     the shuffle, so a crowded bin costs no more than an empty one. Its buffer is a struct,
@@ -65,8 +65,8 @@ def representatives(frames: DataFrame, x: str, y: str, x_edges: Edges, y_edges:
     columns = list(dict.fromkeys((*order, x, y, *keep)))
     b = binned(frames.select(*dict.fromkeys((*group, *columns))), x, y, x_edges, y_edges)
     dx, dy = F.col(x).cast("double") - binning.bin_centre(F.col("xi"), x_edges), F.col(y).cast("double") - binning.bin_centre(F.col("yi"), y_edges)
-    out = b.groupBy(*group, "xi", "yi").agg(F.min(F.struct((dx * dx + dy * dy).alias("_d"), *columns)).alias("_best"))
-    return out.select(*group, "xi", "yi", F.col("_best._d").alias("distance2"), *[F.col(f"_best.{c}").alias(c) for c in columns])
+    out = b.groupBy(*group, "xi", "yi").agg(F.min(F.struct((dx * dx + dy * dy).alias("_d"), *columns)).alias("_best"), *[F.count(F.lit(1)).alias(c) for c in [count] if c])
+    return out.select(*group, "xi", "yi", *[c for c in [count] if c], F.col("_best._d").alias("distance2"), *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 
 def nearest_frame(frames: DataFrame, x: str, y: str, at: tuple[float, float], order: Sequence[str]) -> DataFrame:

@@ -71,15 +71,22 @@ def labelled_cells(
     The frames are aggregated to cells first; a group's cells, at most those of the grid,
     then meet in one task.
     """
-    ship_package(frames.sparkSession)
     x_edges, y_edges = binning.stepped_edges(*x_domain, step), binning.stepped_edges(*y_domain, step)
-    nx, ny = len(x_edges) - 1, len(y_edges) - 1
     vx, vy = F.col(x).try_cast("double"), F.col(y).try_cast("double")
     rows = frames.select(*group, vx.alias("_x"), vy.alias("_y")).where(~binning.missing(F.col("_x")) & ~binning.missing(F.col("_y")))
     counted = rows.withColumn("xi", binning.bin_index(F.col("_x"), x_edges)).withColumn("yi", binning.bin_index(F.col("_y"), y_edges))
+    # cells off the grid stay until they are labelled: they count as valid frames of their group
     per_cell = counted.groupBy(*group, "xi", "yi").agg(F.count(F.lit(1)).alias("count"))
+    return label_cells(per_cell, len(x_edges) - 1, len(y_edges) - 1, min_count, group, periodic)
 
-    fields = [frames.schema[c] for c in group] + [T.StructField("xi", T.IntegerType()), T.StructField("yi", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("component", T.LongType())]
+
+def label_cells(per_cell: DataFrame, nx: int, ny: int, min_count: int, group: Sequence[str] = (), periodic: bool = False) -> DataFrame:
+    """(group..., xi, yi, count, component) of counted cells, those with min_count frames or more.
+
+    A group's cells meet in one task; those with a negative index are off the grid.
+    """
+    ship_package(per_cell.sparkSession)
+    fields = [per_cell.schema[c] for c in group] + [T.StructField("xi", T.IntegerType()), T.StructField("yi", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("component", T.LongType())]
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
         # a group of fewer than two valid frames has no states
@@ -91,7 +98,6 @@ def labelled_cells(
     if not group:
         per_cell = per_cell.withColumn("_all", F.lit(0))
     keys = list(group) or ["_all"]
-    # cells off the grid stay until here: they count as valid frames of their group
     return per_cell.groupBy(*keys).applyInPandas(lambda part: label(part)[[f.name for f in fields]], T.StructType(fields))
 
 

@@ -78,18 +78,33 @@ def lag_pairs(frames: DataFrame, state: str, order: str, group: Sequence[str], *
     return pairs.where(is_state(F.col("src")) & is_state(F.col("dst")))
 
 
+def summaries(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+    """(group..., chunk, src, dst, at, later, count): what each chunk of a group's order has to tell of its transitions.
+
+    Pairs inside the chunk are counted; the frames at its ends, ``lag`` on either side, are
+    half pairs. A chunk's summary depends on its own frames alone, and ``merged`` joins
+    those of any set of chunks, so frames that are added cost their own chunks only.
+    """
+    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames)
+    return rows.groupBy(*group, "chunk", "src", "dst", "at", "later").agg(F.count(F.lit(1)).alias("count"))
+
+
+def merged(summaries_: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group..., src, dst, count) of the pairs in the chunks and across their ends, in the order of chunks."""
+    sizes = summaries_.where("not later").groupBy(*group, "chunk").agg(F.sum("count").alias("n"))
+    across = _across(summaries_.where("at is not null"), sizes, group).withColumn("count", F.lit(1).cast("long"))
+    every = summaries_.where("at is null").select(*group, "src", "dst", "count").unionByName(across)
+    return every.where(is_state(F.col("src")) & is_state(F.col("dst"))).groupBy(*group, "src", "dst").agg(F.sum("count").alias("count"))
+
+
 def counts(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
     """(group..., src, dst, count) of the pairs that occur.
 
     Frames are read by one window: pairs are counted, and half pairs kept, in one
     aggregate that is written, a few rows for each group and chunk.
     """
-    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames)
-    small = written(rows.groupBy(*group, "chunk", "src", "dst", "at", "later").agg(F.count(F.lit(1)).alias("count")), "pairs")
-    sizes = small.where("not later").groupBy(*group, "chunk").agg(F.sum("count").alias("n"))
-    across = _across(small.where("at is not null"), sizes, group).withColumn("count", F.lit(1).cast("long"))
-    every = small.where("at is null").select(*group, "src", "dst", "count").unionByName(across)
-    return every.where(is_state(F.col("src")) & is_state(F.col("dst"))).groupBy(*group, "src", "dst").agg(F.sum("count").alias("count"))
+    small = written(summaries(frames, state, order, group, lag=lag, bridge_noise=bridge_noise, chunk_frames=chunk_frames), "pairs")
+    return merged(small, group)
 
 
 def matrix_labels(counts_: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -135,7 +150,12 @@ def analyse(frames: DataFrame, state: str, order: str, group: Sequence[str], *,
     the joins that make matrices of them.
     """
     found = written(counts(frames, state, order, group, lag=lag, bridge_noise=bridge_noise), "counts")
-    out = probabilities(dense_counts(found, group), group)
+    return matrices(found, group, lag=lag, dt=dt, temperature=temperature, model=model, **barrier_options)
+
+
+def matrices(counts_: DataFrame, group: Sequence[str], *, lag: int = 1, dt: float | None = None, temperature: float | None = None, model: str = "eyring", **barrier_options) -> DataFrame:
+    """Dense matrices of counted pairs: counts, probabilities and, with a time step and a temperature, rates and barriers."""
+    out = probabilities(dense_counts(counts_, group), group)
     if dt is not None:
         out = rates(out, dt, lag)
         if temperature is not None:

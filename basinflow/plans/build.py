@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,69 +15,63 @@ from ..functions import labels
 from ..operators import bonds, coordinates, dbscan, grid_states, table, transitions
 from ..session import written
 from ..sources import h5, xyz
-from ..sources.files import discover
+from ..sources.files import discover, stamps
 from . import manifest
 from .config import Input, Pair, Run, clustering_of
 
-VERSION = 2
+VERSION = 3
 
 
-def _ids(spark: SparkSession, files: Sequence[str], source: Input) -> list[tuple[str, str, str | None]]:
-    """(file, trajectory, bead) of each file."""
-    if source.format == "hdf5":
-        return [(f, os.path.basename(h5.run_folder(f)), None) for f in files]
-    p = F.col("p")
-    rows = spark.createDataFrame([(f,) for f in files], "p string").select("p", labels.trajectory_id(p, source.trajectory_pattern), labels.bead_id(p, source.bead_pattern)).collect()
-    found = {r[0]: (r[1], r[2]) for r in rows}
-    return [(f, *found[f]) for f in files]
-
-
-@dataclass(frozen=True)
-class Part:
-    """A trajectory's rows of the coordinate table in the cache."""
+def _settings(run: Run) -> str:
+    """What, beside its files, a trajectory's rows depend on, as a digest."""
+    source = run.input
+    return manifest.digest(
+        {
+            "version": VERSION, "format": source.format, "positions": source.positions, "range": [source.start, source.end], "cutoff": source.bond_cutoff,
+            "dofs": [[d.name, d.type, d.atoms, d.domain] for d in run.dofs],
+        }
+    )
 
-    trajectory: str
-    members: tuple[tuple[str, str | None], ...]
-    rank: int
-    name: str
-    wanted: Mapping[str, Any]
 
+def _members(spark: SparkSession, run: Run) -> DataFrame:
+    """(source_file, trajectory_id, bead_id, file_rank, trajectory_rank, part, digest) of every file of a run.
 
-def _parts(spark: SparkSession, run: Run) -> list[Part]:
-    """The trajectories of a run's files, with what each one's rows depend on."""
+    Trajectories are ranked by their first file, files by their place in their trajectory.
+    The digest covers a trajectory's files, with sizes and times, beads and settings.
+    """
     source = run.input
-    groups: dict[str, list[tuple[str, str | None]]] = {}
-    for f, trajectory, bead in _ids(spark, discover(source.pattern, source.format), source):
-        groups.setdefault(trajectory, []).append((f, bead))
-    settings = {
-        "version": VERSION, "format": source.format, "positions": source.positions, "range": [source.start, source.end], "cutoff": source.bond_cutoff,
-        "dofs": [[d.name, d.type, d.atoms, d.domain] for d in run.dofs],
-    }
-    out = []
-    for rank, (trajectory, members) in enumerate(groups.items()):
-        wanted = manifest.fingerprint([f for f, _ in members], **settings, id=trajectory, beads=[b for _, b in members], rank=rank)
-        out.append(Part(trajectory, tuple(members), rank, manifest.part_name(trajectory), wanted))
-    return out
+    files = discover(source.pattern, source.format)
+    path = F.col("source_file")
+    if source.format == "hdf5":
+        ids = stamps(spark, files).join(spark.createDataFrame([(f, os.path.basename(h5.run_folder(f))) for f in files], "source_file string, trajectory_id string"), "source_file").withColumn("bead_id", F.lit(None).cast("string"))
+    else:
+        ids = stamps(spark, files).withColumns({"trajectory_id": labels.trajectory_id(path, source.trajectory_pattern), "bead_id": labels.bead_id(path, source.bead_pattern)})
+    ids = written(ids, "files")
+    member = F.struct("place", "source_file", "size", F.round(F.col("mtime") * 1000).cast("long").alias("at"), "bead_id")
+    key = F.coalesce("trajectory_id", F.lit(""))
+    parts = ids.groupBy("trajectory_id").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min("place").alias("trajectory_rank"))
+    facts = F.concat_ws("\n", F.lit(_settings(run)), key, F.to_json(F.transform("m", lambda f: f.dropFields("place")), {"ignoreNullFields": "false"}))
+    each = parts.select("trajectory_id", "trajectory_rank", manifest.part_names(key).alias("part"), F.sha2(facts, 256).alias("digest"), F.posexplode("m").alias("file_rank", "f"))
+    return each.select("f.source_file", "trajectory_id", "f.bead_id", "file_rank", "trajectory_rank", "part", "digest")
 
 
-def _coordinates(spark: SparkSession, run: Run, parts: Sequence[Part]) -> DataFrame:
-    """Coordinates of the parts' frames, cut where a bond breaks; positions stay behind.
+def _coordinates(spark: SparkSession, run: Run, members: DataFrame) -> DataFrame:
+    """Coordinates of the members' frames, cut where a bond breaks; positions stay behind.
 
     All files are indexed and read together: tasks are runs of frames, whatever files
     and trajectories they are of.
     """
     source = run.input
-    files = [f for p in parts for f, _ in p.members]
-    specs = {d.name: (d.type, d.atoms or ()) for d in run.dofs}
-    rows = [(f, i, b, p.trajectory, p.rank, p.name) for p in parts for i, (f, b) in enumerate(p.members)]
+    files = [r[0] for r in members.select("source_file").collect()]
     # a row for each file; the join's side is chosen by its size
-    listed = spark.createDataFrame(rows, "source_file string, file_rank int, bead_id string, trajectory_id string, trajectory_rank int, part string")
+    listed = members.drop("trajectory_rank", "digest")
+    specs = {d.name: (d.type, d.atoms or ()) for d in run.dofs}
     if source.format == "hdf5":
         frames = h5.read_runs(spark, files, source.positions or "bead", source.start, source.end)
         frames = frames.withColumn("comment_line", F.lit("")).drop("elements", "trajectory_id")
         listed = listed.drop("bead_id")
     else:
-        index = xyz.cached_index(spark, files, os.path.join(source.index_dir or source.cache_dir, "index"))
+        index = xyz.cached_index(spark, files, f"{source.index_dir or source.cache_dir}/index")
         index = bonds.frame_range(index, "frame_number", source.start, source.end)
         frames = xyz.read_frames(index, with_elements=False)
         frames = frames.withColumn("step_number", labels.comment_step(F.col("comment_line"))).withColumn("energy", F.lit(None).cast("float")).withColumn("comment_line", F.lit(""))
@@ -99,21 +93,14 @@ def coordinate_table(spark: SparkSession, run: Run) -> tuple[DataFrame, list[str
     Trajectories whose files and settings are unchanged come from the cache; all others
     are built by one job, which writes a folder for each.
     """
-    parts = _parts(spark, run)
-    root = os.path.join(run.input.cache_dir, "trajectories")
-    stale = [p for p in parts if not manifest.is_current(os.path.join(root, "manifests", p.name), p.wanted)]
-    if stale:
-        for p in stale:
-            manifest.forget(os.path.join(root, "manifests", p.name), os.path.join(root, "rows", f"part={p.name}"))
-        _coordinates(spark, run, stale).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(os.path.join(root, "rows"))
-        for p in stale:
-            manifest.confirm(os.path.join(root, "manifests", p.name), p.wanted)
-    # a trajectory whose frames are all cut has no folder
-    folders = [f for p in parts if os.path.isdir(f := os.path.join(root, "rows", f"part={p.name}"))]
-    if folders:
-        frames = spark.read.option("basePath", os.path.join(root, "rows")).parquet(*folders).drop("part")
-    else:
-        frames = spark.createDataFrame([], _coordinates(spark, run, parts).drop("part").schema)
+    members = written(_members(spark, run), "members")
+    wanted = members.select("part", "digest", "trajectory_rank", "trajectory_id").distinct()
+    store = manifest.Store(spark, f"{run.input.cache_dir}/trajectories")
+    stale = written(store.missing(wanted), "stale")
+    built = [r[0] for r in stale.orderBy("trajectory_rank").select("trajectory_id").collect()]
+    if built:
+        store.write(_coordinates(spark, run, members.join(stale.select("part"), "part", "left_semi")), stale)
+    frames = store.read(wanted.drop("trajectory_id"))
     frames = frames.withColumn("_bead", F.coalesce("bead_id", F.lit("")))
     frames = table.number_rows(frames, ["trajectory_rank", "file_rank", "_bead", "frame_number"], "frame_id").drop("_bead", "trajectory_rank", "file_rank")
     frames = coordinates.add_shifted(frames.withColumn("global_frame_index", F.col("frame_id")), run.shifts)
@@ -121,18 +108,22 @@ def coordinate_table(spark: SparkSession, run: Run) -> tuple[DataFrame, list[str
     names = [d.name for d in run.dofs]
     shifted = [c for c in frames.columns if c.endswith("_shifted")]
     core = [f.name for f in table.CORE]
-    return table.validated(frames.select(*core, *names, *tail, *shifted), names), [p.trajectory for p in stale]
+    return table.validated(frames.select(*core, *names, *tail, *shifted), names), built
 
 
 def table_key(spark: SparkSession, run: Run) -> str:
     """What a run's coordinate table depends on, as a digest: results made of it are kept under that."""
-    return manifest.digest([p.wanted for p in _parts(spark, run)] + [dict(run.shifts)])
+    parts = _members(spark, run).select("trajectory_rank", "part", "digest").distinct()
+    # an order-free sum of hashes: no list of all parts is made
+    h = F.xxhash64("trajectory_rank", "part", "digest")
+    found = parts.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first()
+    return manifest.digest([list(found), dict(run.shifts)])
 
 
 def overlay_table(spark: SparkSession, run: Run, entry: Mapping[str, Any]) -> DataFrame:
     """Coordinate table of a second data set, all its frames, grouped by folder; sampled to ``max_points`` if set."""
     label = str(entry.get("label", entry["path"]))
-    source = Input(str(entry["path"]), bond_cutoff=run.input.bond_cutoff, cache_dir=os.path.join(run.run_dir, "overlays", manifest.part_name(label)))
+    source = Input(str(entry["path"]), bond_cutoff=run.input.bond_cutoff, cache_dir=f"{run.run_dir}/overlays/{manifest.part_name(label)}")
     frames, _ = coordinate_table(spark, replace(run, input=source, pairs=(), overlays=()))
     most = entry.get("max_points")
     return frames if most is None else table.sample_exact(frames, int(most), ["frame_id"])
@@ -191,13 +182,14 @@ def transitions_of(spark: SparkSession, run: Run, pair: Pair, frames: DataFrame,
     """
     group = transition_group(frames)
     wanted = json.loads(json.dumps({"table": key, "pair": asdict(pair), "states": clustering_of(run.clustering, pair), "transitions": dict(run.transitions), "group": group}, sort_keys=True, default=str))
-    root = os.path.join(run.input.cache_dir, "transitions", manifest.part_name(pair.name))
-    folders = {k: os.path.join(root, k) for k in ("matrix", "average")[: 2 if "bead_id" in group else 1]}
-    kept = {k: manifest.read_matrices(spark, f, wanted) for k, f in folders.items()}
-    if all(m is not None for m in kept.values()):
-        return kept["matrix"], kept.get("average"), True
-    found = dict(zip(("matrix", "average"), analyse_transitions(frames, pair, run.transitions)))
-    for k, f in folders.items():
-        manifest.write_matrices(found[k], f, wanted)
-    kept = {k: manifest.read_matrices(spark, f, wanted) for k, f in folders.items()}
-    return kept["matrix"], kept.get("average"), False
+    store = manifest.Store(spark, f"{run.input.cache_dir}/transitions")
+    made: dict[str, DataFrame | None] = {}
+
+    def make(kind: str) -> DataFrame:
+        if not made:
+            made.update(zip(("matrix", "average"), analyse_transitions(frames, pair, run.transitions)))
+        return made[kind]
+
+    kinds = ("matrix", "average")[: 2 if "bead_id" in group else 1]
+    found = {k: manifest.kept(store, f"{pair.name} {k}", wanted, lambda k=k: make(k)) for k in kinds}
+    return found["matrix"][0], found["average"][0] if "average" in found else None, all(old for _, old in found.values())

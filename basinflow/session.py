@@ -59,6 +59,21 @@ def work_dir(spark: SparkSession) -> str:
     return _WORK_DIRS[app]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or URI exists, in whatever store Spark reaches it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def shared_path(spark: SparkSession, path: str) -> str:
+    """The path, if the driver and all executors can share it; on a cluster one that names no store but the local disk is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    if scheme == "file" and "://" not in path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} is a folder of each machine's own; name its store, or file:// if all machines mount it")
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared work folder and read again.
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import glob
 import os
 import re
+from collections.abc import Iterator, Sequence
 from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
 #: Suffixes that mark a file of a format; other files count only if no file has one.
 SUFFIXES = {"xyz": (".xyz",), "hdf5": (".h5", ".hdf5")}
 #: Suffixes of sidecar files, never input.
@@ -66,3 +70,18 @@ def stamp(path: str) -> tuple[int, float]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     return int(info.size), info.mtime.timestamp() if info.mtime else 0.0
+
+
+def stamps(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """(place, source_file, size, mtime) of the files, in their order; executors ask the store."""
+    from ..session import ship_package
+
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, mtime = zip(*map(stamp, batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.record_batch([*batch.columns, pa.array(size, pa.int64()), pa.array(mtime, pa.float64())], names=["place", "source_file", "size", "mtime"])
+
+    names = spark.createDataFrame(list(enumerate(files)), "place long, source_file string")
+    return names.mapInArrow(run, "place long, source_file string, size long, mtime double")

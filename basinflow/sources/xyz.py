@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import labels
-from ..session import ship_package
-from .files import discover, open_binary, stamp
+from ..session import path_exists, ship_package, shared_path
+from .files import discover, open_binary, stamp, stamps
 
 INDEX_SCHEMA = "source_file string, file_size long, file_mtime double, frame_number long, byte_offset long, atom_count int, comment_line string"
 FRAME_SCHEMA = "source_file string, frame_number long, byte_offset long, atom_count int, comment_line string, elements array<string>, coords array<float>"
@@ -146,27 +146,25 @@ def cached_index(spark: SparkSession, files: Sequence[str], folder: str) -> Data
 
     A kept file is one of the same path, size and time of change (to a millisecond).
     """
-    now = spark.createDataFrame([(f, *stamp(f)) for f in files], "source_file string, size long, mtime double")
-    try:
-        kept = spark.read.schema(INDEX_SCHEMA).parquet(folder)
-        kept.limit(1).collect()
-    except Exception as e:  # noqa: BLE001  no table yet, or one that can't be read: scan all
-        if "PATH_NOT_FOUND" not in str(e) and "FAILED_READ_FILE" not in str(e) and "CANNOT_READ_FILE" not in str(e):
-            raise
-        kept = None
+    folder = shared_path(spark, folder)
+    now = stamps(spark, files).drop("place")
+    same = (F.col("size") == F.col("file_size")) & (F.abs(F.col("mtime") - F.col("file_mtime")) < 1e-3)
+    kept = spark.read.schema(INDEX_SCHEMA).parquet(folder) if path_exists(spark, folder) else None
     if kept is None:
         stale = list(files)
     else:
         known = kept.select("source_file", "file_size", "file_mtime").distinct()
-        fresh = now.join(known, "source_file").where((F.col("size") == F.col("file_size")) & (F.abs(F.col("mtime") - F.col("file_mtime")) < 1e-3))
-        good = {r[0] for r in fresh.select("source_file").collect()}
-        stale = [f for f in files if f not in good]
+        try:
+            stale = [r[0] for r in now.join(known, (known["source_file"] == now["source_file"]) & same, "left_anti").select("source_file").collect()]
+        except Exception as e:  # noqa: BLE001  a table that can't be read: scan all
+            if "FAILED_READ_FILE" not in str(e) and "CANNOT_READ_FILE" not in str(e):
+                raise
+            kept, stale = None, list(files)
     if stale:
         index_files(spark, stale).write.mode("append" if kept is not None else "overwrite").parquet(folder)
     spark.catalog.refreshByPath(folder)
     table = spark.read.schema(INDEX_SCHEMA).parquet(folder)
-    current = now.select("source_file", "size", "mtime")
-    return table.join(current, "source_file").where((F.col("size") == F.col("file_size")) & (F.abs(F.col("mtime") - F.col("file_mtime")) < 1e-3)).drop("size", "mtime")
+    return table.join(now, "source_file").where(same).drop("size", "mtime")
 
 
 def read_frames(index: DataFrame, run_frames: int = RUN_FRAMES, uniform: bool = True, with_elements: bool = True) -> DataFrame:

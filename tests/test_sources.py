@@ -414,19 +414,70 @@ def test_png(tmp_path):
     assert png.matrix_picture([np.eye(3), np.full((3, 3), np.nan)]).shape[2] == 3
 
 
-def test_manifest(spark, tmp_path):
-    f = tmp_path / "in"
-    f.write_text("x")
-    wanted = manifest.fingerprint([str(f)], a=(1, 2))
-    folder = str(tmp_path / "part")
-    os.makedirs(folder)
-    assert not manifest.is_current(folder, wanted)
-    manifest.write_matrices(spark.range(3), folder, wanted)
-    assert manifest.read_matrices(spark, folder, wanted).count() == 3
-    assert manifest.read_matrices(spark, folder, manifest.fingerprint([str(f)], a=(1, 3))) is None
-    (tmp_path / "part" / "manifest.json").write_text("{")
-    assert not manifest.is_current(folder, wanted)
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_store_commits(spark, tmp_path, scheme):
+    store = manifest.Store(spark, f"{scheme}{tmp_path}/cache")
+    parts = lambda *p: spark.createDataFrame(list(p), "part string, digest string")
+    rows = lambda *r: spark.createDataFrame(list(r), "part string, v long")
+    one, two = ("a", "1"), ("b", "1")
+    assert {r.part for r in store.missing(parts(one, two)).collect()} == {"a", "b"}
+    store.write(rows(("a", 1), ("a", 2)), parts(one, two))
+    # a part without rows is committed too
+    assert store.missing(parts(one, two)).isEmpty() and sorted(r.v for r in store.read(parts(one, two)).collect()) == [1, 2]
+    assert store.read(parts(two)).columns == ["v"] and store.read(parts(two)).isEmpty()
+    # rows that no commit names aren't read
+    rows(("a", 9)).write.partitionBy("part").parquet(f"{scheme}{tmp_path}/cache/rows/version=lost")
+    assert [r.v for r in store.read(parts(one)).orderBy("v").collect()] == [1, 2]
+    store.write(rows(("a", 7)), parts(("a", "2")))
+    assert [r.part for r in store.missing(parts(one, two)).collect()] == ["a"] and [r.v for r in store.read(parts(("a", "2"))).collect()] == [7]
+    with pytest.raises(FileNotFoundError, match="'a'"):
+        store.read(parts(one))
+    for folder in (tmp_path / "cache" / "rows").glob("version=*/part=a"):
+        shutil.rmtree(folder)
+    assert [r.part for r in store.missing(parts(("a", "2"), two)).collect()] == ["a"]
+    with pytest.raises(FileNotFoundError, match="'a'"):
+        store.read(parts(("a", "2")))
+
+
+def test_kept_tables(spark, tmp_path):
+    store = manifest.Store(spark, f"file://{tmp_path}/cache")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert manifest.kept(store, "x", {"a": (1, 2)}, make)[0].count() == 3
+    found, old = manifest.kept(store, "x", {"a": (1, 2)}, make)
+    assert old and found.count() == 3 and len(made) == 1
+    assert not manifest.kept(store, "x", {"a": (1, 3)}, make)[1] and not manifest.kept(store, "y", {"a": (1, 3)}, make)[1]
     assert manifest.part_name("a/b") != manifest.part_name("a_b")
+    names = ["a/b", "x" * 99, "ü"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", manifest.part_names(F.col("n"))).collect()
+    assert all(r[1] == manifest.part_name(r[0]) for r in got)
+
+
+def test_cache_by_uri_equals_a_local_one(spark, tmp_path):
+    for k in range(3):
+        write_xyz(tmp_path / f"t{k}" / "x.xyz", helix(6 + k)) if (tmp_path / f"t{k}").mkdir() is None else None
+    cfg = full(tmp_path, str(tmp_path / "t*" / "*.xyz"))
+    found = []
+    for cache in (f"{tmp_path}/local", f"file://{tmp_path}/uri"):
+        run = config.parse(cfg | {"cache": {"trajectory_cache_dir": cache}})
+        first, built = build.coordinate_table(spark, run)
+        assert len(built) == 3 and build.coordinate_table(spark, run)[1] == []
+        found.append(sorted(map(tuple, first.collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 6 + 7 + 8
+    # a folder that has gone is made again, and only that
+    gone = next((tmp_path / "uri" / "trajectories" / "rows").glob("version=*/part=t1-*"))
+    shutil.rmtree(gone)
+    again, built = build.coordinate_table(spark, run)
+    assert built == ["t1"] and sorted(map(tuple, again.collect()), key=repr) == found[0]
+    # a trajectory that comes before the others leaves their rows alone
+    (tmp_path / "t").mkdir()
+    write_xyz(tmp_path / "t" / "x.xyz", helix(2))
+    more, built = build.coordinate_table(spark, run)
+    assert built == ["t"] and [r.trajectory_id for r in more.orderBy("frame_id").limit(3).collect()] == ["t", "t", "t0"]
 
 
 def test_hdf5_names():

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basinflow.session import ship_package
+
 from . import hashing
 from .common import Scratch
 from .sampling import bounded_by_class
@@ -31,6 +33,8 @@ WIDTH = 8
 FILTER_WIDTHS = (1, 2, 3)
 FILTERS = 12
 DECISION = 0.7
+#: Rows that the common threshold counts like, beside those of a language.
+SHRINK = 15
 #: Training texts a bucket must occur in to have an embedding.
 LEAST_TEXTS = 3
 _LANG_BUCKETS = 1 << 13
@@ -257,8 +261,9 @@ def fit_model(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | Non
     common = _best_threshold(z[used], labels[used])
     for k in range(len(names)):
         own = used & (g == k)
-        few = min((labels[own] == 1).sum(), (labels[own] == 0).sum()) < 15
-        t = common if few else _best_threshold(z[own], labels[own])
+        # the fewer rows of a class a language has, the more of the common threshold it keeps
+        few = int(min((labels[own] == 1).sum(), (labels[own] == 0).sum()))
+        t = (few * _best_threshold(z[own], labels[own]) + SHRINK * common) / (few + SHRINK) if few else common
         spread = np.abs(z[used] - t).mean() or 1.0
         model.thresholds[k], model.slopes[k] = t, 3.0 / spread
     return model
@@ -309,6 +314,8 @@ def fit(
     lacks a class.
     """
     spark = docs.sparkSession
+    # also ships the package, which the functions below need on the workers
+    scratch = Scratch(spark, "toxicity")
     marks = labels.select(labels[label_id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)")
     if exclude_fold:
         marks = marks.where(F.crc32(F.col("id").cast("string")) % exclude_fold[0] != exclude_fold[1])
@@ -321,7 +328,6 @@ def fit(
     words = drawn.mapInArrow(_words_of(most_words), "id long, words binary, lang string, label int").where("words is not null")
     # one row of an id, however many there are
     one = words.groupBy("id").agg(F.min(F.struct("words", "lang", "label")).alias("r")).select("id", "r.*")
-    scratch = Scratch(spark, "toxicity")
     one = scratch.keep(one, "words")
     size = one.agg(F.sum(F.length("words"))).first()[0] or 0
     share = F.pmod(F.xxhash64("id", F.lit(19)), F.lit(1 << 30)) / float(1 << 30)
@@ -346,6 +352,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     A text without words has the score of the output layer's bias alone; without a
     model every score is 0. Ids are passed through, null and repeated ones as well.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +364,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = DECISION) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below the threshold."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

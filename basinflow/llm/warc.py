@@ -5,7 +5,9 @@ size under the shared folder. A task's archives count only once its manifest row
 committed, so a lost or repeated task leaves no record twice. The reader checks every
 record (member, version line, lengths, digests). After a failed check it searches for the
 nearest valid member or version line, goes on from there, and logs the bytes between as a
-quarantined gap. Archives are read in blocks: memory follows the largest payload that is
+quarantined gap; a search takes time in proportion to the bytes. Headers of members are
+covered by the member's checksum; those of records that aren't in a member have no check
+of their own, so a changed header value there goes unseen. Archives are read in blocks: memory follows the largest payload that is
 asked for, not an archive or what a member inflates to.
 """
 
@@ -15,8 +17,10 @@ import hashlib
 import io
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -209,17 +213,44 @@ class _Cursor:
             if looked > most or self.done or self.fill(looked + max(STEP, looked)) == looked:
                 return None
 
-    def next_line(self, at: int) -> int:
-        """Position, from one on, of what looks like a version line; -1 if there is none."""
-        self.skip_to(at)
-        tail = b""
-        while part := self.take(BLOCK):
-            text = tail + part
-            place = text.find(_LINE)
-            if place >= 0:
-                return self.at - len(text) + place
-            tail = text[1 - len(_LINE) :]
-        return -1
+
+def _length(value: str) -> int:
+    """A length as headers give it, ASCII digits alone; -1 if it is none that a store could hold."""
+    return int(value) if value.isascii() and value.isdigit() and len(value) <= 18 else -1
+
+
+def version_lines(source: _Plain | _Inflated, at: int) -> Iterator[tuple[int, int]]:
+    """(place, end) of records that may begin in a source whose first byte is at ``at``, in order; one pass.
+
+    A place has a version line that lines with a colon follow up to an empty one, among
+    them a length. Of the version lines before one empty line the first and the last count.
+    """
+    held, base, looked, more = bytearray(), at, 0, True
+    while more:
+        part = source.more()
+        held += part
+        more = bool(part)
+        while (stop := held.find(_BREAK, looked)) >= 0:
+            if (first := held.find(_LINE, 0, stop)) >= 0:
+                lines = bytes(held[first:stop]).split(b"\r\n")
+                starts = list(accumulate((len(x) + 2 for x in lines), initial=base + first))
+                low = len(lines) - 1
+                while low > 0 and b":" in lines[low]:
+                    low -= 1
+                named = [i for i in range(low + 1, len(lines)) if lines[i].partition(b":")[0].strip().lower() == b"content-length"]
+                size = _length(lines[named[-1]].partition(b":")[2].strip().decode("latin-1")) if named else -1
+                places = [starts[i] + lines[i].find(_LINE) for i in range(low, named[-1]) if _LINE in lines[i]] if size >= 0 else []
+                end = base + stop + len(_BREAK) + size
+                yield from ((x, end) for x in dict.fromkeys(places[:1] + places[-1:]))
+            # the line break may also begin the next header's empty line
+            base += stop + 2
+            del held[: stop + 2]
+            looked = 2
+        looked = max(0, len(held) - len(_BREAK) + 1)
+        if len(held) > 2 * MOST_HEADER:
+            base += len(held) - MOST_HEADER
+            del held[: len(held) - MOST_HEADER]
+            looked = max(0, len(held) - len(_BREAK) + 1)
 
 
 def _headers(raw: bytes) -> dict[str, str] | str:
@@ -230,7 +261,7 @@ def _headers(raw: bytes) -> dict[str, str] | str:
         if not colon:
             return "bad header line"
         out[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    return out if out.get("content-length", "").isdigit() else "bad length"
+    return out if _length(out.get("content-length", "")) >= 0 else "bad length"
 
 
 def parse(cursor: _Cursor, with_payload: bool = True, left: Callable[[int], str] | None = None) -> Found | str:
@@ -279,7 +310,7 @@ def parse(cursor: _Cursor, with_payload: bool = True, left: Callable[[int], str]
         return "block digest differs"
     if headers.get("warc-type") == "revisit":
         found = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        n = int(found[0]) if found and found[0].isdigit() else 0
+        n = max(0, _length(found[0].decode("latin-1"))) if found else 0
     elif headers.get("warc-payload-digest", "").startswith("sha256:") and payload.hexdigest() != headers["warc-payload-digest"][7:]:
         return "payload digest differs"
     return Found(headers, b"".join(kept) if with_payload else None, n, start, cursor.at)
@@ -296,28 +327,40 @@ def _member_end(archive: Archive, at: int) -> int:
     return source.end
 
 
+def _possible(archive: Archive, at: int) -> list[int]:
+    """Places in a member's content where a record may begin whose block ends as its length says; two passes, whatever the content."""
+    found = sorted(((end, place) for place, end in version_lines(_Inflated(archive, at), 0)))
+    cursor, out = _Cursor(_Inflated(archive, at)), []
+    for end, place in found:
+        cursor.skip_to(end)
+        if cursor.fill(len(_BREAK)) >= len(_BREAK) and cursor.held.startswith(_BREAK):
+            out.append(place)
+    return sorted(out)
+
+
 def _inside(archive: Archive, at: int, end: int, with_payload: bool) -> Iterator[Found | Gap]:
     """Records of a valid member, salvaged at its version lines; a gap for all that is wrong inside.
 
     Positions inside a member have no byte of the archive: its bytes are the places of its
-    records and its gap. After a failed check the content is inflated anew.
+    records and its gap. After a failed check the places where records may begin are
+    looked up once; content is inflated anew only to go back to one of them.
     """
-    place, why, any_bytes = 0, "", False
-    while place >= 0:
-        cursor = _Cursor(_Inflated(archive, at))
-        cursor.skip_to(place)
-        while cursor.fill(1):
-            any_bytes = True
-            place = cursor.at
-            got = parse(cursor, with_payload)
-            if isinstance(got, str):
-                why = why or got
-                place = _Cursor(_Inflated(archive, at)).next_line(place + 1)
-                break
+    cursor, why, any_bytes, ahead = _Cursor(_Inflated(archive, at)), "", False, None
+    while cursor.fill(1):
+        any_bytes, place = True, cursor.at
+        got = parse(cursor, with_payload)
+        if not isinstance(got, str):
             got.start, got.end = at, end
             yield got
-        else:
+            continue
+        why = why or got
+        ahead = _possible(archive, at) if ahead is None else ahead
+        i = bisect_right(ahead, place)
+        if i == len(ahead):
             break
+        if ahead[i] < cursor.at:
+            cursor = _Cursor(_Inflated(archive, at))
+        cursor.skip_to(ahead[i])
     if why or not any_bytes:
         yield Gap(at, end, why or "member without content")
 
@@ -330,7 +373,7 @@ def scan(archive: Archive, with_payload: bool = True) -> Iterator[Found | Gap]:
     member is inflated once to check it and once to read it, so of either no more than a
     block is held, besides the header and payload of one record.
     """
-    ahead = {_MEMBER: -1, _LINE: -1}
+    member_at, line_at, lines = -1, -1, None
 
     def whole(p: int) -> tuple[Iterator[Found | Gap], int, str]:
         """Records at a position and their end, -1 if nothing there is valid."""
@@ -349,11 +392,15 @@ def scan(archive: Archive, with_payload: bool = True) -> Iterator[Found | Gap]:
         return iter((got,)), got.end, ""
 
     def following(p: int) -> int:
-        """Nearest place behind a position that looks like a member or a version line."""
-        for sign, place in ahead.items():
-            if place <= p:
-                ahead[sign] = archive.find(sign, p + 1)
-        return min(ahead.values())
+        """Nearest place behind a position that looks like a member or a record."""
+        nonlocal member_at, line_at, lines
+        if member_at <= p:
+            member_at = archive.find(_MEMBER, p + 1)
+        if lines is None:
+            lines = version_lines(_Plain(archive, p + 1), p + 1)
+        while line_at <= p:
+            line_at = next(lines, (archive.size, 0))[0]
+        return min(member_at, line_at)
 
     at = 0
     while at < archive.size:
@@ -458,10 +505,9 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True, complete: b
 
 
 def _number(text: str | None) -> int | None:
-    try:
-        return int(text) if text is not None else None
-    except ValueError:
-        return None
+    """The 64-bit number that a header has; None if it has none."""
+    plain = text is not None and len(text) <= 20 and text.isascii() and text.removeprefix("-").isdigit()
+    return n if plain and -(1 << 63) <= (n := int(text)) < 1 << 63 else None
 
 
 def _rows(path: str, found: list[Found], gaps: list[Gap], with_payload: bool) -> pa.RecordBatch:

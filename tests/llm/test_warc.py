@@ -2,8 +2,10 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import tracemalloc
 
+import numpy as np
 import pytest
 
 from basinflow.llm import warc
@@ -236,3 +238,39 @@ def test_query_fails_if_a_record_is_lost(spark, pages, tmp_path, monkeypatch):
 
 def test_empty_table(pages):
     assert warc.archive_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("length", ["²", "٣", "9" * 5000, "-1", "1e3", "", " ", "0x10", "18446744073709551616"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_lengths_that_are_no_plain_number(length, packed):
+    good = [warc.record(i, "http://a/", b"p" * 20, "0" * 64, None).replace(b"sha256:" + b"0" * 64, b"none") for i in range(3)]
+    bad = good[1].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: " + length.encode() + b"\r\nX: ", 1)
+    data = good[0] + bad + good[2]
+    records, gaps = warc.salvage(warc.member(data) if packed else data)
+    assert [r.headers["x-page-id"] for r in records] == ["0", "2"] and gaps
+
+
+def test_random_damage_never_raises():
+    rng = np.random.default_rng(11)
+    records = [warc.record(i, f"http://a/{i}", bytes(rng.integers(0, 256, 50, dtype=np.uint8)), "0" * 64, None if i % 3 else 0) for i in range(6)]
+    signs = [b"WARC/", b"\r\n", b"\r\n\r\n", b"Content-Length: \xc2\xb2\r\n", b"\x1f\x8b\x08", b":", b"\xff", b"Content-Length: 99999999999999999999\r\n\r\n"]
+    for form in (b"".join(records), b"".join(map(warc.member, records)), warc.member(b"".join(records))):
+        for _ in range(300):
+            data = bytearray(form)
+            for _ in range(rng.integers(1, 5)):
+                at = int(rng.integers(len(data)))
+                data[at : at + int(rng.integers(0, 40))] = signs[rng.integers(len(signs))]
+            found, gaps = warc.salvage(bytes(data))
+            assert len(found) <= 6 and (gaps or len(found) == 6 or len(data) < len(form))
+
+
+@pytest.mark.parametrize("unit", [b"WARC/ ", b"WARC/\r\n", b"WARC/:\r\n", b"WARC/:\r\n\r\n", b"WARC/1.1\r\nContent-Length: 7\r\n\r\n"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage_takes_time_in_proportion(unit, packed):
+    """20 MB of what looks like version lines, whole headers among them, and a record behind."""
+    good = warc.record(1, "http://a/", b"p" * 200, "0" * 64, None).replace(b"sha256:" + b"0" * 64, b"none")
+    data = unit * (20_000_000 // len(unit)) + b"\r\n\r\n" + good
+    began = time.perf_counter()
+    records, _ = warc.salvage(warc.member(data, 1) if packed else data)
+    assert [r.headers.get("x-page-id") for r in records] == ["1"]
+    assert time.perf_counter() - began < 60

@@ -1,7 +1,7 @@
 """Multi-frame xyz text files.
 
-A file is indexed in one streaming pass: a row for each frame with its byte offset. The
-index is small, can be kept as a Parquet table, and is what ranges, cuts and seeks are
+A file is indexed in splits that each find their first frame: a row for each frame with
+its byte offset. The index is small, can be kept as a Parquet table, and is what ranges, cuts and seeks are
 planned on. Frames are then read by offset in runs of consecutive frames, so one long
 file is many tasks, and a frame range reads only its own bytes.
 """
@@ -16,32 +16,40 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import labels
-from ..session import path_exists, ship_package, shared_path
+from ..session import path_exists, ship_package, shared_path, written
 from .files import discover, open_binary, stamp, stamps
 
 INDEX_SCHEMA = "source_file string, file_size long, file_mtime double, frame_number long, byte_offset long, atom_count int, comment_line string"
 FRAME_SCHEMA = "source_file string, frame_number long, byte_offset long, atom_count int, comment_line string, elements array<string>, coords array<float>"
 #: Frames that one read covers at most.
 RUN_FRAMES = 4096
+#: Bytes of a file that one task indexes.
+SPLIT_BYTES = 64 << 20
 #: Runs that a task reads, on average, where there are many.
 RUNS_OF_TASK = 16
 
 
-def scan(stream: io.BufferedIOBase, name: str) -> Iterator[tuple[int, int, int, str]]:
-    """(frame number, byte offset, atom count, comment) of every frame; blank lines between frames are skipped."""
-    number, at = 0, 0
+def scan(stream: io.BufferedIOBase, name: str, at: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, int, str, int]]:
+    """(number, byte offset, atom count, comment, offset behind it) of every frame from the stream's place on.
+
+    The stream is at byte ``at``, between frames; frames that begin at ``stop`` or later
+    are left. Blank lines between frames are skipped, and belong to the frame before.
+    """
+    number, frame = 0, None
     while True:
         line = stream.readline()
-        if not line:
-            return
-        if not line.strip():
+        if line and not line.strip():
             at += len(line)
             continue
+        if frame is not None:
+            yield *frame, at
+        if not line or (stop is not None and at >= stop):
+            return
         try:
             atoms = int(line)
         except ValueError:
@@ -54,9 +62,42 @@ def scan(stream: io.BufferedIOBase, name: str) -> Iterator[tuple[int, int, int,
         rows = list(islice(stream, atoms))
         if len(rows) < atoms:
             raise ValueError(f"{name}: the file ends inside frame {number}")
-        size = len(line) + len(comment) + sum(map(len, rows))
-        yield number, at, atoms, comment.decode().rstrip("\r\n")
-        number, at = number + 1, at + size
+        frame = (number, at, atoms, comment.decode().rstrip("\r\n"))
+        number, at = number + 1, at + len(line) + len(comment) + sum(map(len, rows))
+
+
+def _is_atom(line: bytes) -> bool:
+    fields = line.split()
+    try:
+        return len(fields) >= 4 and all(map(math.isfinite, map(float, fields[1:4])))
+    except ValueError:
+        return False
+
+
+def likely_head(stream: io.BufferedIOBase, start: int, stop: int) -> int:
+    """Offset in [start, stop) of what looks like a frame's first line, -1 if nothing does.
+
+    A count, a line, as many atoms, and a count again or the file's end. A comment that is
+    a number can look so too: whoever asks checks the answer against the frames before.
+    """
+    stream.seek(max(0, start - 1))
+    at = max(0, start - 1)
+    if start:
+        at += len(stream.readline())
+    while at < stop:
+        line = stream.readline()
+        if not line:
+            return -1
+        following = at + len(line)
+        if line.strip().isdigit():
+            stream.readline()
+            rows = list(islice(stream, int(line)))
+            behind = next((x for x in stream if x.strip()), b"0")
+            if len(rows) == int(line) and all(map(_is_atom, rows)) and behind.strip().isdigit():
+                return at
+            stream.seek(following)
+        at = following
+    return -1
 
 
 def parse_frame(stream: io.BufferedIOBase, name: str, dtype: type = np.float32) -> tuple[int, str, list[str], np.ndarray]:
@@ -113,32 +154,79 @@ def _decoded(elements: bytes) -> list[str]:
     return elements.decode().split(" ")
 
 
-def index_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """Index of all frames of the files, a task for each file."""
+_PARTS = f"{INDEX_SCHEMA}, split long, place long, behind long"
+
+
+def _scan_splits(spark: SparkSession, splits: DataFrame, guess: bool) -> DataFrame:
+    """Index rows of the frames that begin in splits (source_file, size, mtime, split, start, stop), numbered in their split.
+
+    With ``guess`` a split's first frame is looked for, and a split in which that fails has
+    no rows; else it begins at ``start``, and what can't be read is an error.
+    """
     ship_package(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                size, mtime = stamp(path)
-                with open_binary(path) as raw:
-                    rows: list[tuple] = []
-                    for row in scan(io.BufferedReader(raw, 1 << 20), path):
-                        rows.append(row)
-                        if len(rows) == 10_000:
-                            yield _index_batch(path, size, mtime, rows)
-                            rows = []
-                    yield _index_batch(path, size, mtime, rows)
-
-    names = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path")
-    return names.mapInArrow(run, INDEX_SCHEMA)
-
-
-def _index_batch(path: str, size: int, mtime: float, rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 4
+            for path, size, mtime, split, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                rows: list[tuple] = []
+                try:
+                    with open_binary(path) as raw:
+                        stream = io.BufferedReader(raw, 1 << 20)
+                        head = likely_head(stream, start, stop) if guess and start else start
+                        if head >= 0:
+                            stream.seek(head)
+                            for row in scan(stream, path, head, stop):
+                                rows.append(row)
+                                if len(rows) == 10_000:
+                                    yield _index_batch(path, size, mtime, split, rows)
+                                    rows = []
+                except ValueError:
+                    if not guess:
+                        raise
+                yield _index_batch(path, size, mtime, split, rows)
+
+    spread = splits.select("source_file", "size", "mtime", "split", "start", "stop").repartition(max(1, splits.count()), "source_file", "split")
+    return spread.mapInArrow(run, _PARTS)
+
+
+def index_files(spark: SparkSession, files: Sequence[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Index of all frames of the files; a task reads ``split_bytes`` of one, and the frame that begins last in them.
+
+    Every split looks for its first frame itself. Then the splits are held against each
+    other: a split is right if its first frame begins where the frames before it end.
+    The splits that aren't, be it that a comment looked like a frame, are read again from
+    there, until all are right; so the result is that of one pass from the first byte.
+    """
+    wide = stamps(spark, files).select("source_file", "size", "mtime", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes))).alias("split", "start"))
+    splits = written(wide.select("source_file", "size", "mtime", F.col("split").cast("long").alias("split"), F.col("start").cast("long").alias("start"), (F.col("start") + split_bytes).cast("long").alias("stop"), F.when(F.col("split") == 0, F.lit(0)).cast("long").alias("read_from")), "splits")
+    found = written(_scan_splits(spark, splits, True), "index")
+    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        heads = found.groupBy("source_file", "split").agg(F.min("byte_offset").alias("head"), F.max("behind").alias("behind"), F.count(F.lit(1)).alias("frames"))
+        every = splits.join(heads, ["source_file", "split"], "left")
+        # where a split's first frame begins, if those before are right; it may lie behind the split
+        due = every.withColumn("due", F.coalesce(F.max("behind").over(before), F.lit(0))).withColumn("first_number", F.coalesce(F.sum("frames").over(before), F.lit(0)))
+        # one that was read from where it is due has what there is, be it nothing
+        unread = ~F.col("read_from").eqNullSafe(F.col("due"))
+        wrong = unread & F.when(F.col("head").isNull(), F.col("due") < F.least("stop", "size")).otherwise(F.col("head") != F.col("due"))
+        checked = written(due.withColumn("wrong", wrong), "splits")
+        # the first split that is wrong is read from where it is due; those behind it are judged again
+        again = checked.where("wrong").withColumn("n", F.row_number().over(Window.partitionBy("source_file").orderBy("split"))).where("n = 1").withColumn("start", F.col("due"))
+        if again.isEmpty():
+            numbered = found.join(checked.select("source_file", "split", "first_number"), ["source_file", "split"])
+            return numbered.withColumn("frame_number", F.col("first_number") + F.col("place")).select(*[f.split()[0] for f in INDEX_SCHEMA.split(", ")])
+        anew = _scan_splits(spark, again, False)
+        now = again.select("source_file", "split", F.col("due").alias("now"))
+        splits = written(checked.join(now, ["source_file", "split"], "left").withColumn("read_from", F.coalesce("now", "read_from")).select(*splits.columns), "splits")
+        found = written(found.join(again.select("source_file", "split"), ["source_file", "split"], "left_anti").select(*anew.columns).unionByName(anew), "index")
+
+
+def _index_batch(path: str, size: int, mtime: float, split: int, rows: list[tuple]) -> pa.RecordBatch:
+    place, offset, atoms, comment, behind = zip(*rows) if rows else [()] * 5
     n = len(rows)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
-    return pa.record_batch([pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), pa.array([mtime] * n, pa.float64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
+    same = [pa.array([v] * n, t) for v, t in ((path, pa.string()), (size, pa.int64()), (mtime, pa.float64()))]
+    places = pa.array(place, pa.int64())
+    return pa.record_batch([*same, places, pa.array(offset, pa.int64()), pa.array(atoms, pa.int32()), pa.array(comment, pa.string()), pa.array([split] * n, pa.int64()), places, pa.array(behind, pa.int64())], names=[c.split()[0] for c in _PARTS.split(", ")])
 
 
 def cached_index(spark: SparkSession, files: Sequence[str], folder: str) -> DataFrame:

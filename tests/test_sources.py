@@ -637,3 +637,34 @@ def test_a_run_whose_frames_are_all_cut(spark, tmp_path):
     frames, built = build.coordinate_table(spark, run)
     assert frames.count() == 0 and len(built) == 1 and "phi_shifted" in frames.columns and build.coordinate_table(spark, run)[1] == []
     assert build.table_key(spark, run) == build.table_key(spark, run)
+
+
+@pytest.mark.parametrize("split", [90, 400])
+def test_split_index_equals_one_pass(spark, tmp_path, split):
+    """Also with blank lines, comments that look like counts, frames without atoms and ones longer than splits."""
+    rng = np.random.default_rng(split)
+    paths = []
+    for k in range(3):
+        out = []
+        for i in range(split // 20):
+            n = int(rng.choice([0, 1, 3, 4, 40])) if k else 4
+            # a comment that counts the atoms behind the first: such a frame hides a likely one
+            comment = ("3" if n == 4 else str(max(0, n - 1))) if rng.random() < 0.3 else f"# Step: {i}"
+            atoms = [f"{rng.choice(['C', '12', 'H'])} {i} {j} 3" for j in range(n)]
+            out += [str(n), comment, *atoms, *[""] * int(rng.integers(3) * (k > 0))]
+        path = tmp_path / f"f{k}.xyz"
+        path.write_text(("\n\n" if k == 2 else "") + "\n".join(out) + "\n" * (k < 2))
+        paths.append(str(path))
+    (tmp_path / "none.xyz").write_text("\n")
+    got = xyz.index_files(spark, [*paths, str(tmp_path / "none.xyz")], split).select("source_file", "frame_number", "byte_offset", "atom_count", "comment_line").collect()
+    want = []
+    for p in paths:
+        with open(p, "rb") as f:
+            want += [(p, *row[:4]) for row in xyz.scan(f, p)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_split_index_reports_damage(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("1\nc\nC 1 2 3\nx\nc\nC 1 2 3\n1\nc\nC 1 2 3\n")
+    with pytest.raises(Exception, match="no atom count at byte 12"):
+        xyz.index_files(spark, [str(tmp_path / "a.xyz")], 10).collect()

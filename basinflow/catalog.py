@@ -224,17 +224,20 @@ def best_fit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("frame_number", *[F.round(F.get("normal", F.lit(k)), 5).alias(a) for k, a in enumerate(("nx", "ny", "nz"))])
 
 
-@query()
-def kabsch_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _structures(spark, sf_dir)
-    reference = frames.orderBy("frame_number").limit(1)
-    return structures.align(frames, "coords", reference).select("frame_number", "aligned", "rmsd")
+    return structures.align(frames, "coords", frames.orderBy("frame_number").limit(1))
+
+
+@query(f"""SELECT frame_number, atom, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM ({S.laid_on_first(f'SELECT vec_id AS frame_number, e FROM ({_STRUCTURE})', 'frame_number', 'e', 21)})""")
+def kabsch_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = bonds.atom_rows(_aligned(spark, sf_dir), ["frame_number"], "aligned")
+    return atoms.select("frame_number", "atom", *[(F.round(a, 4) + 0.0).alias(a) for a in "xyz"])
 
 
 @query(f"SELECT frame_number, round(rmsd, 5) AS rmsd FROM ({S.least_rmsd(f'SELECT vec_id AS frame_number, e FROM ({_STRUCTURE})', 'frame_number', 'e', 21)})")
 def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = kabsch_align(spark, sf_dir)
-    return aligned.select("frame_number", F.round("rmsd", 5).alias("rmsd"))
+    return _aligned(spark, sf_dir).select("frame_number", F.round("rmsd", 5).alias("rmsd"))
 
 
 # exact angles: whole degrees derived from keys

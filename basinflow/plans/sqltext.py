@@ -112,3 +112,51 @@ def least_rmsd(source: str, key: str, vector: str, atoms: int) -> str:
     solved = eigenvalues(gram(0, 0), gram(1, 1), gram(2, 2), gram(0, 1), gram(0, 2), gram(1, 2), scatter, f"{key}, nu, nw, {det} AS det")
     sum_ = "sqrt(greatest(l1, 0)) + sqrt(greatest(l2, 0)) + sign(det) * sqrt(greatest(l3, 0))"
     return f"SELECT {key}, sqrt(greatest(0, (nu + nw - 2 * ({sum_})) / {atoms})) AS rmsd FROM ({solved})"
+
+
+def laid_on_first(source: str, key: str, vector: str, atoms: int) -> str:
+    """SELECT of key, atom, x, y and z: each structure moved and turned onto that of the smallest key.
+
+    The quaternion of the best turn solves (N - v) q = 0, with N Horn's 4x4 matrix and v
+    its largest eigenvalue s1 + s2 +- s3; it is the largest column of that matrix's adjugate.
+    """
+    at = lambda v, i, k: f"{v}[{3 * i + k + 1}]::DOUBLE"
+    n = range(atoms)
+    mean = lambda v, k: f"({' + '.join(at(v, i, k) for i in n)}) / {atoms}"
+    both = f"SELECT {key}, {vector} AS u, (SELECT {vector} FROM ({source}) ORDER BY {key} LIMIT 1) AS w FROM ({source})"
+    means = f"SELECT *, {', '.join(f'{mean(v, k)} AS {v}{k}' for v in 'uw' for k in range(3))} FROM ({both})"
+    h = {(j, k): " + ".join(f"({at('u', i, j)} - u{j}) * ({at('w', i, k)} - w{k})" for i in n) for j in range(3) for k in range(3)}
+    keep = f"{key}, u, u0, u1, u2, w0, w1, w2"
+    scatter = f"SELECT {keep}, {', '.join(f'{x} AS h{j}{k}' for (j, k), x in h.items())} FROM ({means})"
+    gram = lambda j, k: f"(h0{j} * h0{k} + h1{j} * h1{k} + h2{j} * h2{k})"
+    hs = ", ".join(f"h{j}{k}" for j in range(3) for k in range(3))
+    det = "h00 * (h11 * h22 - h12 * h21) - h01 * (h10 * h22 - h12 * h20) + h02 * (h10 * h21 - h11 * h20)"
+    solved = eigenvalues(gram(0, 0), gram(1, 1), gram(2, 2), gram(0, 1), gram(0, 2), gram(1, 2), scatter, f"{keep}, {hs}, {det} AS det")
+    top = f"SELECT *, sqrt(greatest(l1, 0)) + sqrt(greatest(l2, 0)) + sign(det) * sqrt(greatest(l3, 0)) AS v FROM ({solved})"
+    horn = {
+        (0, 0): "h00 + h11 + h22", (0, 1): "h12 - h21", (0, 2): "h20 - h02", (0, 3): "h01 - h10",
+        (1, 1): "h00 - h11 - h22", (1, 2): "h01 + h10", (1, 3): "h20 + h02",
+        (2, 2): "h11 - h00 - h22", (2, 3): "h12 + h21", (3, 3): "h22 - h00 - h11",
+    }
+    entries = f"SELECT *, {', '.join(f'{x}' + (' - v' if i == j else '') + f' AS n{i}{j}' for (i, j), x in horn.items())} FROM ({top})"
+    m = lambda i, j: f"n{min(i, j)}{max(i, j)}"
+
+    def minor(i: int, j: int) -> str:
+        a, b = [r for r in range(4) if r != i], [c for c in range(4) if c != j]
+        two = lambda p, q: f"({m(a[1], p)} * {m(a[2], q)} - {m(a[1], q)} * {m(a[2], p)})"
+        sign = "-" if (i + j) % 2 else ""
+        return f"{sign}({m(a[0], b[0])} * {two(b[1], b[2])} - {m(a[0], b[1])} * {two(b[0], b[2])} + {m(a[0], b[2])} * {two(b[0], b[1])})"
+
+    adjugate = f"SELECT {keep}, {', '.join(f'{minor(i, j)} AS c{i}{j}' for i in range(4) for j in range(4))} FROM ({entries})"
+    best = "greatest(" + ", ".join(f"abs(c{i}{i})" for i in range(4)) + ")"
+    column = [f"CASE {' '.join(f'WHEN abs(c{j}{j}) = {best} THEN c{i}{j}' for j in range(4))} END AS p{i}" for i in range(4)]
+    picked = f"SELECT {keep}, {', '.join(column)} FROM ({adjugate})"
+    unit = f"SELECT {keep}, {', '.join(f'p{i} / sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3) AS q{i}' for i in range(4))} FROM ({picked})"
+    turn = [
+        ["q0*q0 + q1*q1 - q2*q2 - q3*q3", "2 * (q1*q2 - q0*q3)", "2 * (q1*q3 + q0*q2)"],
+        ["2 * (q1*q2 + q0*q3)", "q0*q0 - q1*q1 + q2*q2 - q3*q3", "2 * (q2*q3 - q0*q1)"],
+        ["2 * (q1*q3 - q0*q2)", "2 * (q2*q3 + q0*q1)", "q0*q0 - q1*q1 - q2*q2 + q3*q3"],
+    ]
+    part = lambda k: f"(u[3 * a.i + {k + 1}]::DOUBLE - u{k})"
+    places = ", ".join(f"{' + '.join(f'({turn[j][k]}) * {part(k)}' for k in range(3))} + w{j} AS {c}" for j, c in enumerate("xyz"))
+    return f"SELECT {key}, a.i::INT AS atom, {places} FROM ({unit}) CROSS JOIN range({atoms}) a(i)"

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -110,9 +112,67 @@ def test_superpose_recovers_a_motion(seed):
     assert rmsd < 1e-8 and np.allclose(back, x)
 
 
+def brute_normal(p):
+    """By singular values; None for points on a line."""
+    c = p - p.mean(axis=0)
+    _, s, v = np.linalg.svd(c, full_matrices=False)
+    if s[1] < 1e-10 or s[1] < 1e-8 * s[0]:
+        return None
+    for i, j, k in itertools.combinations(range(len(p)), 3):
+        side = np.cross(p[j] - p[i], p[k] - p[i])
+        if np.linalg.norm(side) > 1e-10:
+            return -v[2] if v[2] @ side < 0 else v[2]
+
+
+def odd_structures():
+    """(n, 7, 3) structures: any, alike, flat, on a line, on a point, mirrored, nearly flat, nearly on a line."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 7, 3))
+    x[1:4] = x[0] + np.arange(3)[:, None, None]
+    x[4, :, 2] = 0
+    x[5] = np.outer(np.arange(7), [1, 2, 3])
+    x[6] = 2
+    x[7] = -x[0]
+    x[8:20, :, 2] *= 1e-5
+    x[20:30, :, 1:] *= 1e-6
+    x[30, 1] = x[30, 0]
+    return x
+
+
+def test_planes_equal_singular_values(spark):
+    x = odd_structures()
+    df = spark.createDataFrame([(i, v.ravel().tolist()) for i, v in enumerate(x)] + [(90, None), (91, [float("nan")] * 21), (92, [1.0, None] + [3.0] * 19)], "i long, coords array<double>")
+    atoms = (0, 1, 3, 5, 6)
+    got = {r.i: r.n for r in structures.plane_normals(df, "coords", atoms, "n", "null").collect()}
+    for i, v in enumerate(x):
+        want = brute_normal(v[list(atoms)])
+        assert (want is None) == (got[i] is None)
+        assert want is None or np.allclose(got[i], want, atol=1e-8)
+    assert got[5] is None and got[6] is None and got[90] is None and got[91] is None and got[92] is None
+    plan = structures.plane_normals(df, "coords", atoms, "n")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    with pytest.raises(Exception, match="collinear"):
+        structures.plane_normals(df.where("i = 5"), "coords", atoms, "n").collect()
+    with pytest.raises(Exception, match="lacks atom 7"):
+        structures.plane_normals(df.where("i = 0"), "coords", (0, 1, 7), "n").collect()
+
+
+def test_alignment_equals_singular_values(spark):
+    x = odd_structures()
+    df = spark.createDataFrame([(i, v.ravel().tolist()) for i, v in enumerate(x)] + [(90, None), (91, [float("nan")] * 21)], "i long, coords array<double>")
+    for elements, use in ((None, None), (list("CHCCOCH"), np.array([0, 2, 3, 4, 5]))):
+        got = {r.i: r for r in structures.align(df, "coords", df.where("i = 0"), elements).collect()}
+        for i, v in enumerate(x):
+            want, rmsd = structures.superpose(v, x[0], use)
+            assert abs(got[i].rmsd - rmsd) < 1e-8
+            # a turn about a line, or of a point, is free
+            assert i in (5, 6) or 20 <= i < 30 or np.allclose(got[i].aligned, want.ravel(), atol=1e-7)
+        assert got[90].aligned is None and got[91].aligned is None and got[91].rmsd is None
+    plan = structures.align(df, "coords", df.where("i = 0"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_planes_and_alignment(spark):
-    assert np.allclose(structures.plane_normal(np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0]], float)), [0, 0, 1])
-    assert np.isnan(structures.plane_normal(np.array([[0, 0, 0], [1, 0, 0], [2, 0, 0]], float))).all()
     x = np.random.default_rng(0).normal(size=(5, 3))
     turned = x @ np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]]) + 3
     df = spark.createDataFrame([(0, x.ravel().tolist()), (1, turned.ravel().tolist()), (2, None)], "i long, coords array<double>")

@@ -1,14 +1,21 @@
-"""Density clustering as joins of neighbouring buckets.
+"""Density clustering by cells.
 
-Points are bucketed at least eps wide on each axis, so a point's neighbours lie in its
-own and the adjacent buckets. Crowded buckets are dealt to several tasks by salting one
-side. Clusters are components of core points; labels propagate in written rounds.
+Equal points are one position with a weight. Positions fall into cells so small that all
+points of a cell are neighbours, so a cell of ``min_samples`` points is all core points
+and needs no comparison, and the core points of a cell are always one cluster. What is
+left to compare: the few points of thin cells with those of the cells around them, and
+whether two cells have core points within eps of each other. The latter is asked of
+their bounding boxes first, then of smaller and smaller parts, and of the points only
+where parts are neither surely near nor surely apart. Clusters are components of the
+graph of cells. No list of neighbouring points is ever made.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,20 +23,144 @@ from pyspark.sql import functions as F
 from ..functions import binning
 from ..functions.labels import NOISE
 from ..session import written
-from .grouping import same_group
 
-#: Tasks that the points of one bucket are dealt to.
-SALTS = 8
+#: Halvings of a cell's side from one round of comparing parts to the next, and the rounds.
+_HALVINGS, _ROUNDS = 2, 3
+#: Share by which bounds are kept away from eps, and a cell's side below the largest one: far above rounding errors.
+_MARGIN = 1e-9
+_SIDES = ("x0", "x1", "y0", "y1")
 
 
-def _buckets(v: Column, eps: float, periodic: bool) -> tuple[Column, Column]:
-    """A value's own bucket, and the buckets its neighbours can be in."""
-    if not periodic:
-        own = F.floor(v / F.lit(eps)).cast("long")
-        return own, F.sequence(own - 1, own + 1)
-    n = max(1, math.floor(360.0 / eps))
-    own = F.least(F.floor(F.pmod(v + 180.0, F.lit(360.0)) / F.lit(360.0 / n)).cast("long"), F.lit(n - 1).cast("long"))
-    return own, F.array_distinct(F.transform(F.sequence(own - 1, own + 1), lambda b: F.pmod(b, F.lit(n).cast("long"))))
+@dataclass(frozen=True)
+class _Metric:
+    """Distances of points, bounds for boxes, and cells all of whose points are neighbours."""
+
+    eps: float
+    periodic: bool
+
+    @property
+    def limit(self) -> float:
+        """Largest squared distance of neighbours."""
+        return 2.0 - 2.0 * math.cos(math.radians(self.eps)) if self.periodic else self.eps * self.eps
+
+    @property
+    def cells(self) -> int:
+        """Cells around a periodic axis."""
+        side = math.degrees(math.acos((1.0 + math.cos(math.radians(self.eps))) / 2.0))
+        return max(1, math.ceil(360.0 / (side * (1.0 - _MARGIN))))
+
+    def place(self, v: Column) -> Column:
+        """Position on an axis in cells; its floor is the cell."""
+        if not self.periodic:
+            return v / F.lit(self.eps / math.sqrt(2.0) * (1.0 - _MARGIN))
+        return F.least(F.pmod(v + 180.0, F.lit(360.0)) / F.lit(360.0 / self.cells), F.lit(math.nextafter(self.cells, 0.0)))
+
+    def around(self, cell: Column) -> Column:
+        """Cells on an axis that neighbours of a cell's points can be in."""
+        if not self.periodic:
+            return F.sequence(cell - 2, cell + 2)
+        reach = min(self.cells, math.floor(self.eps * self.cells / 360.0 * (1.0 + _MARGIN)) + 1)
+        return F.array_distinct(F.transform(F.sequence(cell - reach, cell + reach), lambda c: F.pmod(c, F.lit(self.cells).cast("long"))))
+
+    def apart(self, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        """Squared distance of two points."""
+        if not self.periodic:
+            return (ax - bx) ** 2 + (ay - by) ** 2
+        chord = lambda p, q: (F.cos(F.radians(p)) - F.cos(F.radians(q))) ** 2 + (F.sin(F.radians(p)) - F.sin(F.radians(q))) ** 2
+        return chord(ax, bx) + chord(ay, by)
+
+    def bounds(self, a: str, b: str) -> tuple[Column, Column]:
+        """Least and largest squared distance of two boxes, struct columns of ``_SIDES``."""
+        low, high = F.lit(0.0), F.lit(0.0)
+        for axis in "xy":
+            # differences of the boxes' values run from first to last
+            first, last = F.col(f"{b}.{axis}0") - F.col(f"{a}.{axis}1"), F.col(f"{b}.{axis}1") - F.col(f"{a}.{axis}0")
+            if self.periodic:
+                circular = lambda d: F.abs(F.pmod(d + 180.0, F.lit(360.0)) - 180.0)
+                meets = lambda turn: F.floor((last - turn) / 360.0) >= F.ceil((first - turn) / 360.0)  # noqa: E731, B023
+                near = F.when(meets(0.0), 0.0).otherwise(F.least(circular(first), circular(last)))
+                far = F.when(meets(180.0), 180.0).otherwise(F.greatest(circular(first), circular(last)))
+                square = lambda d: 2.0 - 2.0 * F.cos(F.radians(d))
+            else:
+                near = F.greatest(first, -last, F.lit(0.0))
+                far = F.greatest(F.abs(first), F.abs(last))
+                square = lambda d: d * d
+            low, high = low + square(near), high + square(far)
+        return low, high
+
+
+def _boxes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., box): bounding boxes."""
+    sides = [F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")]
+    return points.groupBy(*keys).agg(*sides).select(*keys, F.struct(*_SIDES).alias("box"))
+
+
+def _asking(points: DataFrame, metric: _Metric, columns: Sequence[Column | str]) -> DataFrame:
+    """Some columns of points, once for each cell around them: _g, cx, cy."""
+    rows = points.select("_g", *columns, metric.around(F.col("cx")).alias("_xs"), metric.around(F.col("cy")).alias("_ys"))
+    return rows.withColumn("cx", F.explode("_xs")).withColumn("cy", F.explode("_ys")).drop("_xs", "_ys")
+
+
+def _cell_links(cores: DataFrame, metric: _Metric) -> DataFrame:
+    """(a, b), a < b: cells with core points within eps of each other.
+
+    ``cores`` are core positions (_g, cx, cy, ux, uy, _x, _y, cell).
+    """
+    part = lambda halvings: [F.floor(F.col(u) * float(2**halvings)).cast("long") for u in ("ux", "uy")]
+
+    def judged(pairs: DataFrame, halvings: int) -> DataFrame:
+        """Pairs of boxes with ``near``: surely, surely not, or null."""
+        low, high = metric.bounds("abox", "bbox")
+        sure = F.when(high <= metric.limit * (1.0 - _MARGIN), True).when(low > metric.limit * (1.0 + _MARGIN), False)
+        kept = pairs.withColumn("near", sure).where(F.coalesce("near", F.lit(True)))
+        return written(kept.select("a", "b", "apart", "bpart", "near"), f"dbscan-parts{halvings}")
+
+    def parts(halvings: int) -> DataFrame:
+        """Boxes of the cells' parts after some halvings, with the part each was a round before."""
+        own, before = part(halvings), part(max(0, halvings - _HALVINGS))
+        rows = cores.select("cell", "_x", "_y", F.struct(*[c.alias(n) for c, n in zip(own, "xy")]).alias("part"), F.struct(*[c.alias(n) for c, n in zip(before, "xy")]).alias("up"))
+        return _boxes(rows, ["cell", "up", "part"])
+
+    whole = _boxes(cores.withColumn("part", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))), ["_g", "cx", "cy", "cell", "part"])
+    left = _asking(whole, metric, [F.col("cell").alias("a"), F.col("part").alias("apart"), F.col("box").alias("abox")])
+    right = whole.select("_g", "cx", "cy", F.col("cell").alias("b"), F.col("part").alias("bpart"), F.col("box").alias("bbox"))
+    open_ = judged(left.join(right, ["_g", "cx", "cy"]).where("a < b"), 0)
+    found = [open_.where("near").select("a", "b")]
+    for turn in range(1, _ROUNDS):
+        known = found[-1].distinct()
+        left_over = open_.where("near IS NULL").join(known, ["a", "b"], "left_anti").drop("near")
+        p = parts(turn * _HALVINGS)
+        one = p.select(F.col("cell").alias("a"), F.col("up").alias("apart"), F.col("part").alias("anew"), F.col("box").alias("abox"))
+        two = p.select(F.col("cell").alias("b"), F.col("up").alias("bpart"), F.col("part").alias("bnew"), F.col("box").alias("bbox"))
+        finer = left_over.join(one, ["a", "apart"]).join(two, ["b", "bpart"])
+        open_ = judged(finer.select("a", "b", F.col("anew").alias("apart"), F.col("bnew").alias("bpart"), "abox", "bbox"), turn * _HALVINGS)
+        found.append(open_.where("near").select("a", "b"))
+    # what stays open is settled by the points of those parts
+    known = reduce(DataFrame.union, found).distinct()
+    left_over = open_.where("near IS NULL").join(known, ["a", "b"], "left_anti").drop("near")
+    last = part((_ROUNDS - 1) * _HALVINGS)
+    points = cores.select("cell", F.struct(*[c.alias(n) for c, n in zip(last, "xy")]).alias("part"), "_x", "_y")
+    one = points.select(F.col("cell").alias("a"), F.col("part").alias("apart"), F.col("_x").alias("ax"), F.col("_y").alias("ay"))
+    two = points.select(F.col("cell").alias("b"), F.col("part").alias("bpart"), F.col("_x").alias("bx"), F.col("_y").alias("by"))
+    near = metric.apart(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.lit(metric.limit)
+    rest = left_over.join(one, ["a", "apart"]).join(two, ["b", "bpart"]).where(near).select("a", "b")
+    return written(known.union(rest).distinct(), "dbscan-links")
+
+
+def _components(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(cell, root): the smallest cell that each is linked with."""
+    both = links.union(links.select("b", "a"))
+    labels = written(cells.select("cell", F.col("cell").alias("root")), "dbscan-labels")
+    while True:
+        # the smallest label among neighbours, then that label's own label: paths halve every round
+        spread = both.join(labels.select(F.col("cell").alias("b"), "root"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("root").alias("new"))
+        nxt = labels.join(spread, "cell", "left").select("cell", F.least("root", "new").alias("root"))
+        jump = nxt.join(nxt.select(F.col("cell").alias("root"), F.col("root").alias("far")), "root").select("cell", F.least("root", "far").alias("root"))
+        jumped = written(jump, "dbscan-labels")
+        changed = jumped.join(labels.withColumnRenamed("root", "old"), "cell").where("root <> old").limit(1).count()
+        labels = jumped
+        if not changed:
+            return labels
 
 
 def dbscan_states(
@@ -44,55 +175,42 @@ def dbscan_states(
     a core neighbour, else noise. With ``periodic`` both axes are angles, embedded as
     (cos, sin), and eps becomes the chord of eps degrees; eps must then be below 180.
     Frames with a missing value, and groups with fewer than two valid ones, are noise.
-    The work grows with the number of neighbour pairs: ``max_points`` refuses more input.
+    Comparisons grow with the points of thin cells times ``min_samples``, not with the
+    pairs of neighbours; ``max_points`` refuses more input.
     """
     if not eps > 0 or (periodic and eps >= 180):
         raise ValueError(f"eps must be positive, below 180 degrees on periodic axes; got {eps}")
-    vx, vy = F.col(x).try_cast("double"), F.col(y).try_cast("double")
-    every = frames.select(*group, F.col(key).alias("_k"), vx.alias("_x"), vy.alias("_y"))
+    metric = _Metric(float(eps), periodic)
+    g = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]) if group else F.struct(F.lit(0).alias("g0"))
+    # adding zero makes a negative zero a positive one, as grouping and joins have it
+    every = frames.select(F.col(key).alias("_k"), g.alias("_g"), *[(F.col(v).try_cast("double") + 0.0).alias(n) for v, n in ((x, "_x"), (y, "_y"))])
     valid = every.where(binning.finite(F.col("_x")) & binning.finite(F.col("_y")))
-    sizes = valid.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
-    points = written(valid.join(sizes, same_group(valid, sizes, group), "left_semi"), "dbscan-points")
-    if max_points is not None and points.count() > max_points:
+    merged = valid.groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("w"), F.min("_k").alias("first"))
+    placed = merged.withColumns({"ux": metric.place(F.col("_x")), "uy": metric.place(F.col("_y"))})
+    positions = written(placed.withColumns({"cx": F.floor("ux").cast("long"), "cy": F.floor("uy").cast("long")}), "dbscan-positions")
+    if max_points is not None and (positions.agg(F.sum("w")).first()[0] or 0) > max_points:
         raise ValueError(f"density clustering of more than {max_points} points; use grid states")
-    bx, nx = _buckets(F.col("_x"), eps, periodic)
-    by, ny = _buckets(F.col("_y"), eps, periodic)
-    left = points.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_k").alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay"), F.explode(nx).alias("bx"), ny.alias("bys"))
-    left = left.withColumn("by", F.explode("bys")).drop("bys").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    right = points.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(group)], F.col("_k").alias("b"), F.col("_x").alias("cx"), F.col("_y").alias("cy"), bx.alias("bx"), by.alias("by"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    right = right.withColumn("salt", F.col("salt").cast("bigint"))
-    cond = (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & (left["salt"] == right["salt"])
-    for i in range(len(group)):
-        cond = cond & left[f"_g{i}"].eqNullSafe(right[f"_h{i}"])
-    if periodic:
-        chord = lambda p, q: (F.cos(F.radians(p)) - F.cos(F.radians(q))) ** 2 + (F.sin(F.radians(p)) - F.sin(F.radians(q))) ** 2
-        limit = 2.0 - 2.0 * math.cos(math.radians(eps))
-        d2 = chord(F.col("ax"), F.col("cx")) + chord(F.col("ay"), F.col("cy"))
-    else:
-        limit = eps * eps
-        d2 = (F.col("ax") - F.col("cx")) ** 2 + (F.col("ay") - F.col("cy")) ** 2
-    near = written(left.join(right, cond).where(d2 <= F.lit(limit)).select("a", "b"), "dbscan-near")
-    cores = written(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("a"), "dbscan-cores")
-    links = written(near.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").select("a", "b"), "dbscan-links")
-    labels = written(cores.select("a", F.col("a").alias("low")), "dbscan-labels")
-    while True:
-        # the smallest label among neighbours, then that label's own label: paths halve every round
-        spread = links.join(labels.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("new"))
-        nxt = labels.join(spread, "a").select("a", F.least("low", "new").alias("low"))
-        jump = nxt.join(nxt.select(F.col("a").alias("low"), F.col("low").alias("far")), "low").select("a", F.least("low", "far").alias("low"))
-        jumped = written(jump, "dbscan-labels")
-        changed = jumped.join(labels.withColumnRenamed("low", "old"), "a").where("low <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
-    member = near.join(labels.select(F.col("a").alias("b"), "low"), "b").select("a", "low")
-    own = labels.select("a", "low")
-    border = member.join(cores, "a", "left_anti")
-    found = own.union(border)
-    with_group = found.join(points.select(*group, F.col("_k").alias("a")), "a")
-    roots = labels.select("low").distinct().join(points.select(*group, F.col("_k").alias("low")), "low")
+    enough = positions.groupBy("_g").agg(F.sum("w").alias("n")).where("n >= 2").select("_g")
+    full = positions.groupBy("_g", "cx", "cy").agg(F.sum("w").alias("n"))
+    marked = written(positions.join(enough, ["_g"]).join(full, ["_g", "cx", "cy"]).withColumn("dense", F.col("n") >= min_samples).drop("n"), "dbscan-marked")
+    thin = marked.where("NOT dense")
+    asking = _asking(thin, metric, [F.col("first").alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay")])
+    near = metric.apart(F.col("ax"), F.col("ay"), F.col("_x"), F.col("_y")) <= F.lit(metric.limit)
+    others = marked.select("_g", "cx", "cy", "_x", "_y", "w")
+    counted = asking.join(others, ["_g", "cx", "cy"]).where(near).groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples)
+    more = thin.join(counted.select(F.col("a").alias("first")), "first", "left_semi")
+    core = marked.where("dense").unionByName(more.select(*marked.columns))
+    # a cell is named by its first core point
+    named = core.groupBy("_g", "cx", "cy").agg(F.min("first").alias("cell"))
+    cores = written(core.join(named, ["_g", "cx", "cy"]), "dbscan-cores")
+    roots = _components(cores.select("cell").distinct(), _cell_links(cores, metric))
     # cluster numbers by first core point, within each group; few rows: one for each cluster
-    number = roots.withColumn("cluster", F.row_number().over(Window.partitionBy(*group).orderBy("low")) - 1).select("low", "cluster")
-    best = with_group.join(number, "low").groupBy("a").agg(F.min("cluster").alias("cluster"))
-    out = every.select(F.col("_k").alias(key)).join(best.select(F.col("a").alias(key), F.col("cluster").cast("string").alias(state)), key, "left")
-    return out.select(key, F.coalesce(state, F.lit(NOISE)).alias(state))
+    heads = roots.select("root").distinct().join(cores.select("_g", F.col("first").alias("root")), "root")
+    number = heads.withColumn("cluster", F.row_number().over(Window.partitionBy("_g").orderBy("root")) - 1).select("root", "cluster")
+    clusters = roots.join(number, "root").select("cell", "cluster")
+    own = written(cores.join(clusters, "cell").select("_g", "cx", "cy", "_x", "_y", "first", "cluster"), "dbscan-clusters")
+    border = _asking(thin.join(own.select("first"), "first", "left_anti"), metric, ["first", F.col("_x").alias("ax"), F.col("_y").alias("ay")])
+    taken = border.join(own.drop("first"), ["_g", "cx", "cy"]).where(near).groupBy("_g", F.col("ax").alias("_x"), F.col("ay").alias("_y")).agg(F.min("cluster").alias("cluster"))
+    labelled = own.select("_g", "_x", "_y", "cluster").unionByName(taken)
+    out = every.join(labelled, ["_g", "_x", "_y"], "left")
+    return out.select(F.col("_k").alias(key), F.coalesce(F.col("cluster").cast("string"), F.lit(NOISE)).alias(state))

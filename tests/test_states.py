@@ -125,6 +125,34 @@ def test_dbscan_equals_brute_force(spark, periodic):
     assert db(spark, p, 20.0, 4, periodic=periodic) == brute(p, 20.0, 4, periodic)
 
 
+@pytest.mark.parametrize("periodic", [False, True])
+@pytest.mark.parametrize("eps, least", [(6.0, 12), (20.0, 3), (95.0, 40), (170.0, 5)])
+def test_dbscan_of_crowded_cells_equals_brute_force(spark, periodic, eps, least):
+    """Blobs denser than a cell, repeated points, rings a little within and beyond eps, points at eps itself."""
+    rng = np.random.default_rng(3)
+    turn = rng.uniform(0, 2 * np.pi, 60)
+    ring = np.stack([np.cos(turn), np.sin(turn)], 1)
+    p = np.concatenate([
+        rng.normal(0, 1.0, (80, 2)) + [-150, 100],
+        rng.normal(0, 1.0, (80, 2)) + [-150 + eps * 1.05, 100],
+        np.repeat([[40.0, -60.0]], 50, axis=0),
+        ring * eps * 0.999 + [40.0, -60.0],
+        np.array([[40.0 + eps, -60.0], [40.0, -60.0 - eps]]),
+        rng.uniform(-180, 180, (60, 2)),
+        np.round(rng.uniform(-20, 20, (80, 2)) / 6) * 6,
+    ])
+    p = (p + 180) % 360 - 180
+    assert db(spark, p, eps, least, periodic=periodic) == brute(p, eps, least, periodic)
+
+
+def test_dbscan_of_missing_values_and_of_nothing(spark):
+    p = np.array([[0.0, 0.0], [-0.0, 0.0], [np.nan, 0.0], [np.inf, 1.0], [0.1, 0.0]])
+    assert db(spark, p, 1.0, 3) == ["0", "0", "noise", "noise", "0"]
+    assert db(spark, p, 1.0, 3, group=["g"], g=[None, None, None, "a", None]) == ["0", "0", "noise", "noise", "0"]
+    empty = df(spark, p[:, 0], p[:, 1]).where("k < 0")
+    assert not dbscan.dbscan_states(empty, "x", "y", "k", "s", eps=1.0, min_samples=2).collect()
+
+
 def test_dbscan_seam_groups_and_checks(spark):
     rng = np.random.default_rng(1)
     p = np.concatenate([np.stack([rng.normal(-179, 0.3, 10), np.zeros(10)], 1), np.stack([rng.normal(179, 0.3, 10), np.zeros(10)], 1)])

@@ -146,6 +146,19 @@ def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.nearest_frame(_read(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", (20.4, 0.052), _ORDER).select(*_ORDER, "l_quantity", "l_discount")
 
 
+@query("""SELECT s_suppkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, round(d, 6) AS distance2 FROM (
+SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS nth FROM (
+SELECT s_suppkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, (x - px) * (x - px) + (y - py) * (y - py) AS d
+FROM (SELECT s_suppkey, s_acctbal::DOUBLE / 100 AS px, s_nationkey * 2.5::DOUBLE AS py FROM supplier)
+CROSS JOIN (SELECT *, l_extendedprice::DOUBLE / 1000 AS x, l_quantity::DOUBLE AS y FROM lineitem))) WHERE nth = 1""")
+def nearest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame nearest to each of many pins."""
+    frames = _read(spark, sf_dir, "lineitem").select(*_ORDER, (F.col("l_extendedprice").cast("double") / 1000).alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    pins = _read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal").cast("double") / 100).alias("px"), (F.col("s_nationkey") * 2.5).alias("py"))
+    found = density.nearest_frames(frames, "x", "y", pins, "px", "py", _ORDER)
+    return found.select("s_suppkey", *_ORDER, F.round("distance2", 6).alias("distance2"))
+
+
 # ---------------------------------------------------------------- coordinates of structures
 
 _STRUCTURE = ("SELECT vec_id, label, embedding AS e FROM embeddings")
@@ -312,6 +325,29 @@ def bond_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bonds.bond_graph(_structures(spark, sf_dir), ["frame_number"], "coords", _REACH).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""SELECT p.vec_id AS frame_number, p.i::INT AS i, q.i::INT AS j, round(sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)), 6) AS distance
+FROM ({_ATOMS}) p JOIN ({_ATOMS}) q ON p.vec_id = q.vec_id AND p.i < q.i
+WHERE sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)) < {_REACH}""")
+def bond_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bond graph by cells, for structures of any size."""
+    atoms = bonds.atom_rows(_structures(spark, sf_dir), ["frame_number"], "coords")
+    return bonds.near_atoms(atoms, ["frame_number"], _REACH).withColumn("distance", F.round("distance", 6))
+
+
+_ELEMENTS = ("C", "H", "N", "Cl", "Xx")
+_RADII = "list_extract([" + ", ".join(S.number(bonds.COVALENT_RADII.get(e, bonds.OTHER_RADIUS)) for e in _ELEMENTS) + "], (i % 5)::INT + 1)"
+_SIZED = f"SELECT vec_id, i, 6 * x AS x, 6 * y AS y, 6 * z AS z, {_RADII} AS r FROM ({_ATOMS})"
+
+
+@query(f"""SELECT p.vec_id AS frame_number, p.i::INT AS i, q.i::INT AS j FROM ({_SIZED}) p JOIN ({_SIZED}) q ON p.vec_id = q.vec_id AND p.i < q.i
+WHERE sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)) < (p.r + q.r) * {S.number(bonds.BOND_TOLERANCE)}""")
+def bond_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds by covalent radii; the structures' atoms are given elements in turn."""
+    frames = _structures(spark, sf_dir).withColumn("coords", F.transform("coords", lambda v: v.cast("double") * 6))
+    elements = F.lit([_ELEMENTS[i % len(_ELEMENTS)] for i in range(21)])
+    return bonds.radii_bonds(frames.withColumn("elements", elements), ["frame_number"], "elements", "coords").drop("distance")
+
+
 _BONDS = [(0, 1), (2, 5), (7, 11)]
 _BROKEN = " OR ".join(f"({_sqlnorm(_minus(j, i))})::FLOAT > 0.62::FLOAT" for i, j in _BONDS)
 

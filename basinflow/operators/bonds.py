@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import product
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry
-from ..session import ship_package
 from .grouping import join_groups
 
 # Published covalent radii in angstrom by element, and the radius of any other.
@@ -22,18 +20,6 @@ OTHER_RADIUS = 0.77
 BOND_TOLERANCE = 1.1
 
 
-def bond_pairs(elements: Sequence[str], positions: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
-    """Bonded atom pairs of one structure: closer than the sum of radii, with a tolerance."""
-    radius = [COVALENT_RADII.get(e, OTHER_RADIUS) for e in elements]
-    out = []
-    for i in range(len(positions)):
-        for j in range(i + 1, len(positions)):
-            d = sum((a - b) ** 2 for a, b in zip(positions[i], positions[j])) ** 0.5
-            if d < (radius[i] + radius[j]) * BOND_TOLERANCE:
-                out.append((i, j))
-    return out
-
-
 def atom_rows(frames: DataFrame, keys: Sequence[str], coords: str) -> DataFrame:
     """(keys..., atom, x, y, z): one row for each atom of a frame."""
     n = F.floor(F.size(coords) / 3).cast("int")
@@ -68,22 +54,53 @@ def broken_by(coords: str, pairs: str, cutoff: float) -> Column:
     return F.coalesce(F.exists(F.col(pairs), lambda p: far(p).cast("float") > F.lit(cutoff).cast("float")), F.lit(False))
 
 
+def radius(element: Column) -> Column:
+    """Covalent radius of an element."""
+    table = F.create_map(*[F.lit(v) for pair in COVALENT_RADII.items() for v in pair])
+    return F.coalesce(F.element_at(table, element), F.lit(OTHER_RADIUS))
+
+
+def near_atoms(atoms: DataFrame, keys: Sequence[str], reach: float, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys..., i, j, distance, and i_c, j_c of carried columns) of the atoms of each frame closer than ``reach``, i < j.
+
+    ``atoms`` are rows (keys, atom, x, y, z). Atoms fall into cells as wide as the reach
+    and meet those of their own cell and of 13 of the 26 around it, so that each pair
+    meets once: for structures too large to make their pairs inside a row. Null keys are
+    frames of their own; atoms with a missing or non-finite coordinate have no bonds.
+    """
+    if not reach > 0:
+        raise ValueError(f"the reach must be positive; got {reach}")
+    cell = [F.floor(F.col(c) / F.lit(float(reach))).cast("long").alias(f"_{c}") for c in "xyz"]
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    rows = atoms.where(finite("x") & finite("y") & finite("z")).select(F.struct(F.lit(0).alias("_"), *keys).alias("_frame"), F.struct("atom", "x", "y", "z", *carry).alias("_a"), *cell)
+    ahead = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s)]) for s in ahead])
+    left = rows.withColumn("_s", F.explode(steps)).select("_frame", F.col("_a").alias("_p"), *[(F.col(f"_{c}") + F.col(f"_s.{c}")).alias(f"_{c}") for c in "xyz"], ((F.col("_s.x") == 0) & (F.col("_s.y") == 0) & (F.col("_s.z") == 0)).alias("_own"))
+    met = left.join(rows, ["_frame", "_x", "_y", "_z"]).where(~F.col("_own") | (F.col("_p.atom") < F.col("_a.atom")))
+    swap = F.col("_p.atom") < F.col("_a.atom")
+    met = met.select("_frame", F.when(swap, F.col("_p")).otherwise(F.col("_a")).alias("_p"), F.when(swap, F.col("_a")).otherwise(F.col("_p")).alias("_a"))
+    off = [F.col(f"_p.{c}") - F.col(f"_a.{c}") for c in "xyz"]
+    distance = F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
+    named = [F.col(f"_{side}.{c}").alias(f"{n}_{c}") for c in carry for side, n in (("p", "i"), ("a", "j"))]
+    out = met.select(*[F.col(f"_frame.{k}").alias(k) for k in keys], F.col("_p.atom").alias("i"), F.col("_a.atom").alias("j"), distance.alias("distance"), *named)
+    return out.where(F.col("distance") < float(reach))
+
+
+def radii_bonds(structures: DataFrame, keys: Sequence[str], elements: str, coords: str) -> DataFrame:
+    """(keys..., i, j, distance): atoms closer than the sum of their covalent radii, with a tolerance."""
+    n = F.floor(F.size(coords) / 3).cast("int")
+    rows = structures.select(*keys, F.col(elements).alias("_e"), F.col(coords).alias("_c"), F.explode(F.sequence(F.lit(0), n - 1)).alias("atom")).where(F.col("atom") >= 0)
+    atoms = rows.select(*keys, "atom", radius(F.get("_e", F.col("atom"))).alias("r"), *[F.get("_c", 3 * F.col("atom") + k).cast("double").alias(a) for k, a in enumerate("xyz")])
+    widest = 2 * max(OTHER_RADIUS, *COVALENT_RADII.values()) * BOND_TOLERANCE
+    met = near_atoms(atoms, keys, widest, ["r"])
+    return met.where(F.col("distance") < (F.col("i_r") + F.col("j_r")) * BOND_TOLERANCE).drop("i_r", "j_r")
+
+
 def reference_bonds(structures: DataFrame, keys: Sequence[str], elements: str, coords: str) -> DataFrame:
-    """(keys..., bonds array<struct<i, j>>) of structures, a row each: by covalent radii."""
-    ship_package(structures.sparkSession)
-    rows = structures.select(*keys, F.col(elements).alias("_e"), F.col(coords).cast("array<double>").alias("_x"))
-    schema = T.StructType([*rows.schema.fields[: len(keys)], T.StructField("bonds", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for e, x in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
-                pairs = bond_pairs(e, [x[k : k + 3] for k in range(0, len(x), 3)])
-                found.append([{"i": i, "j": j} for i, j in pairs])
-            kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-            yield pa.record_batch([*batch.columns[: len(keys)], pa.array(found, kind)], names=[*keys, "bonds"])
-
-    return rows.mapInArrow(run, schema)
+    """(keys..., bonds array<struct<i, j>>) of structures, a row each: by covalent radii; an empty array without bonds."""
+    found = radii_bonds(structures, keys, elements, coords).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("bonds"))
+    none = F.array().cast("array<struct<i: int, j: int>>")
+    return join_groups(structures.select(*keys), found, keys, how="left").withColumn("bonds", F.coalesce("bonds", none))
 
 
 def first_broken_frame(frames: DataFrame, coords: str, bonds: Sequence[tuple[int, int]], cutoff: float, frame: str, group: Sequence[str]) -> DataFrame:

@@ -121,3 +121,22 @@ def test_circular_centre(spark):
     edges = [-180.0, 180.0]
     assert abs(overlay.state_centres(df, "x", "y", "s", edges, edges, periodic=True).first().centre_x) == pytest.approx(180)
     assert overlay.state_centres(df, "x", "y", "s", edges, edges).first().centre_x == pytest.approx(0)
+
+
+@pytest.mark.parametrize("n, spread", [(0, 1.0), (1, 1.0), (3000, 1.0), (3000, 0.02)])
+def test_nearest_frames_equal_brute_force(spark, n, spread):
+    """Ties, repeated places, a crowd in one corner, pins far away, missing values."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, spread, (n - n // 2, 2)), np.round(rng.normal(5, 2, (n // 2, 2)))])
+    odd = [(n, float("nan"), 0.0), (n + 1, None, 0.0), (n + 2, float("inf"), 1.0)]
+    frames = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + odd, "k long, x double, y double")
+    q = np.concatenate([rng.normal(2, 4, (40, 2)), [[1e6, -1e6], [4.5, 4.5], [4.5, 4.5], [5, 5]]])
+    pins = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(q)] + [(99, None, 1.0)], "pin long, px double, py double")
+    got = {r.pin: (r.k, r.distance2) for r in density.nearest_frames(frames, "x", "y", pins, "px", "py", ["k"]).collect()}
+    if not n:
+        assert not got
+        return
+    d = ((q[:, None] - p[None]) ** 2).sum(axis=2)
+    assert got == {i: (int(v.argmin()), float(v.min())) for i, v in enumerate(d)}
+    with pytest.raises(ValueError):
+        density.nearest_frames(frames, "x", "y", pins.withColumn("k", pins["pin"]), "px", "py", ["k"])

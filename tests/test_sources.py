@@ -142,8 +142,27 @@ def test_table_round_trip(spark, tmp_path, suffix):
         table.validated(df.drop("atom_count"))
 
 
+def test_bonds_by_cells_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = {k: rng.uniform(-3, 3, (40, 3)) for k in ("a", None)} | {"one": np.zeros((1, 3)), "same": np.zeros((3, 3)), "odd": np.array([[0, 0, 0], [np.nan, 0, 0], [0.5, 0, np.inf], [0.5, 0, 0]])}
+    x["a"] = np.round(x["a"] * 2) / 2
+    e = {k: [("C", "H", "Xx", "I")[i % 4] for i in range(len(v))] for k, v in x.items()}
+    df = spark.createDataFrame([(k, e[k], v.ravel().tolist()) for k, v in x.items()] + [("none", [], []), ("null", None, None)], "k string, e array<string>, c array<double>")
+    far = {k: np.linalg.norm(v[:, None] - v[None], axis=2) for k, v in x.items()}
+    pairs = lambda ok: sorted(((k, i, j) for k, d in far.items() for i in range(len(d)) for j in range(i + 1, len(d)) if ok(k, i, j, d[i, j])), key=str)
+    got = bonds.near_atoms(bonds.atom_rows(df, ["k"], "c"), ["k"], 1.5).collect()
+    assert sorted(((r.k, r.i, r.j) for r in got), key=str) == pairs(lambda k, i, j, d: d < 1.5)
+    r = lambda k, i: bonds.COVALENT_RADII.get(e[k][i], bonds.OTHER_RADIUS)
+    want = pairs(lambda k, i, j, d: d < (r(k, i) + r(k, j)) * bonds.BOND_TOLERANCE)
+    found = {row.k: [(b.i, b.j) for b in row.bonds] for row in bonds.reference_bonds(df, ["k"], "e", "c").collect()}
+    assert found == {k: sorted((i, j) for w, i, j in want if w == k) for k in [*x, "none", "null"]}
+    with pytest.raises(ValueError):
+        bonds.near_atoms(bonds.atom_rows(df, ["k"], "c"), ["k"], 0.0)
+
+
 def test_bonds(spark):
-    assert bonds.bond_pairs(["C", "C", "H"], [[0, 0, 0], [1.4, 0, 0], [5, 0, 0]]) == [(0, 1)]
+    pair = spark.createDataFrame([(["C", "C", "H"], [0.0, 0.0, 0.0, 1.4, 0.0, 0.0, 5.0, 0.0, 0.0])], "e array<string>, c array<double>").withColumn("k", F.lit(1))
+    assert [tuple(b) for b in bonds.reference_bonds(pair, ["k"], "e", "c").first().bonds] == [(0, 1)]
     frames = spark.createDataFrame([(b, i, [0.0, 0.0, 0.0, 1.4 if i < k else 5.0, 0.0, 0.0]) for b, k in (("x", 5), ("y", 8)) for i in range(10)], "bead_id string, f long, coords array<double>").withColumn("t", F.lit(0))
     first = {r.bead_id: r.first_broken for r in bonds.first_broken_frame(frames, "coords", [(0, 1)], 2.0, "f", ["bead_id"]).collect()}
     assert first == {"x": 5, "y": 8}

@@ -62,12 +62,16 @@ class _Metric:
         reach = min(self.cells, math.floor(self.eps * self.cells / 360.0 * (1.0 + _MARGIN)) + 1)
         return F.array_distinct(F.transform(F.sequence(cell - reach, cell + reach), lambda c: F.pmod(c, F.lit(self.cells).cast("long"))))
 
-    def apart(self, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-        """Squared distance of two points."""
+    def spread(self) -> Column:
+        """Coordinates _x and _y as an array of those whose differences make the distance."""
         if not self.periodic:
-            return (ax - bx) ** 2 + (ay - by) ** 2
-        chord = lambda p, q: (F.cos(F.radians(p)) - F.cos(F.radians(q))) ** 2 + (F.sin(F.radians(p)) - F.sin(F.radians(q))) ** 2
-        return chord(ax, bx) + chord(ay, by)
+            return F.array("_x", "_y")
+        return F.array(*[f(F.radians(c)) for c in ("_x", "_y") for f in (F.cos, F.sin)])
+
+    def apart(self, a: str, b: str) -> Column:
+        """Squared distance of two points, given as by ``spread``."""
+        square = lambda k: (F.get(a, F.lit(k)) - F.get(b, F.lit(k))) ** 2
+        return (square(0) + square(1)) + (square(2) + square(3)) if self.periodic else square(0) + square(1)
 
     def bounds(self, a: str, b: str) -> tuple[Column, Column]:
         """Least and largest squared distance of two boxes, struct columns of ``_SIDES``."""
@@ -139,10 +143,10 @@ def _cell_links(cores: DataFrame, metric: _Metric) -> DataFrame:
     known = reduce(DataFrame.union, found).distinct()
     left_over = open_.where("near IS NULL").join(known, ["a", "b"], "left_anti").drop("near")
     last = part((_ROUNDS - 1) * _HALVINGS)
-    points = cores.select("cell", F.struct(*[c.alias(n) for c, n in zip(last, "xy")]).alias("part"), "_x", "_y")
-    one = points.select(F.col("cell").alias("a"), F.col("part").alias("apart"), F.col("_x").alias("ax"), F.col("_y").alias("ay"))
-    two = points.select(F.col("cell").alias("b"), F.col("part").alias("bpart"), F.col("_x").alias("bx"), F.col("_y").alias("by"))
-    near = metric.apart(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.lit(metric.limit)
+    points = cores.select("cell", F.struct(*[c.alias(n) for c, n in zip(last, "xy")]).alias("part"), "_e")
+    one = points.select(F.col("cell").alias("a"), F.col("part").alias("apart"), F.col("_e").alias("ae"))
+    two = points.select(F.col("cell").alias("b"), F.col("part").alias("bpart"), F.col("_e").alias("be"))
+    near = metric.apart("ae", "be") <= F.lit(metric.limit)
     rest = left_over.join(one, ["a", "apart"]).join(two, ["b", "bpart"]).where(near).select("a", "b")
     return written(known.union(rest).distinct(), "dbscan-links")
 
@@ -186,7 +190,7 @@ def dbscan_states(
     every = frames.select(F.col(key).alias("_k"), g.alias("_g"), *[(F.col(v).try_cast("double") + 0.0).alias(n) for v, n in ((x, "_x"), (y, "_y"))])
     valid = every.where(binning.finite(F.col("_x")) & binning.finite(F.col("_y")))
     merged = valid.groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("w"), F.min("_k").alias("first"))
-    placed = merged.withColumns({"ux": metric.place(F.col("_x")), "uy": metric.place(F.col("_y"))})
+    placed = merged.withColumns({"ux": metric.place(F.col("_x")), "uy": metric.place(F.col("_y")), "_e": metric.spread()})
     positions = written(placed.withColumns({"cx": F.floor("ux").cast("long"), "cy": F.floor("uy").cast("long")}), "dbscan-positions")
     if max_points is not None and (positions.agg(F.sum("w")).first()[0] or 0) > max_points:
         raise ValueError(f"density clustering of more than {max_points} points; use grid states")
@@ -194,9 +198,9 @@ def dbscan_states(
     full = positions.groupBy("_g", "cx", "cy").agg(F.sum("w").alias("n"))
     marked = written(positions.join(enough, ["_g"]).join(full, ["_g", "cx", "cy"]).withColumn("dense", F.col("n") >= min_samples).drop("n"), "dbscan-marked")
     thin = marked.where("NOT dense")
-    asking = _asking(thin, metric, [F.col("first").alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay")])
-    near = metric.apart(F.col("ax"), F.col("ay"), F.col("_x"), F.col("_y")) <= F.lit(metric.limit)
-    others = marked.select("_g", "cx", "cy", "_x", "_y", "w")
+    asking = _asking(thin, metric, [F.col("first").alias("a"), F.col("_e").alias("ae")])
+    near = metric.apart("ae", "_e") <= F.lit(metric.limit)
+    others = marked.select("_g", "cx", "cy", "_e", "w")
     counted = asking.join(others, ["_g", "cx", "cy"]).where(near).groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples)
     more = thin.join(counted.select(F.col("a").alias("first")), "first", "left_semi")
     core = marked.where("dense").unionByName(more.select(*marked.columns))
@@ -208,9 +212,9 @@ def dbscan_states(
     heads = roots.select("root").distinct().join(cores.select("_g", F.col("first").alias("root")), "root")
     number = heads.withColumn("cluster", F.row_number().over(Window.partitionBy("_g").orderBy("root")) - 1).select("root", "cluster")
     clusters = roots.join(number, "root").select("cell", "cluster")
-    own = written(cores.join(clusters, "cell").select("_g", "cx", "cy", "_x", "_y", "first", "cluster"), "dbscan-clusters")
-    border = _asking(thin.join(own.select("first"), "first", "left_anti"), metric, ["first", F.col("_x").alias("ax"), F.col("_y").alias("ay")])
-    taken = border.join(own.drop("first"), ["_g", "cx", "cy"]).where(near).groupBy("_g", F.col("ax").alias("_x"), F.col("ay").alias("_y")).agg(F.min("cluster").alias("cluster"))
+    own = written(cores.join(clusters, "cell").select("_g", "cx", "cy", "_x", "_y", "_e", "first", "cluster"), "dbscan-clusters")
+    border = _asking(thin.join(own.select("first"), "first", "left_anti"), metric, [F.col("_x").alias("ax"), F.col("_y").alias("ay"), F.col("_e").alias("ae")])
+    taken = border.join(own.select("_g", "cx", "cy", "_e", "cluster"), ["_g", "cx", "cy"]).where(near).groupBy("_g", F.col("ax").alias("_x"), F.col("ay").alias("_y")).agg(F.min("cluster").alias("cluster"))
     labelled = own.select("_g", "_x", "_y", "cluster").unionByName(taken)
     out = every.join(labelled, ["_g", "_x", "_y"], "left")
     return out.select(F.col("_k").alias(key), F.coalesce(F.col("cluster").cast("string"), F.lit(NOISE)).alias(state))

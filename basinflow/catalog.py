@@ -273,6 +273,13 @@ def coordinate_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.groupBy(F.col("x").cast("float").alias("x"), "x_shifted", "y_shifted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT {S.wrap(f'({_AX} * 3)::DOUBLE')}::FLOAT AS phi, ({_AY})::DOUBLE AS d, count(*) AS n FROM lineitem GROUP BY ALL")
+def table_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ready-made table: its dihedrals wrapped, in single precision; other columns as they are."""
+    ready = _angles(spark, sf_dir).select((F.col("x") * 3).alias("phi"), F.col("y").alias("d"))
+    return coordinates.normalised(ready, ["phi", "absent"], ["phi", "d"]).groupBy("phi", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str, steps: list[tuple[str, float]]) -> DataFrame:
     return coordinates.transform_pair(_angles(spark, sf_dir), "x", "y", steps).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 

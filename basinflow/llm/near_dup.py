@@ -45,6 +45,8 @@ MANTISSA_BITS = 10
 ROUNDS = 2
 #: Members of one side of a tile, on average.
 TILE = 128
+#: Bytes of text of one side of a tile of full sets, on average.
+TILE_BYTES = TILE * 3072
 
 _MULTIPLIERS = hashing.constants(REGISTERS, 0x1234567)
 _BAND_MULTIPLIERS = hashing.constants(ROWS, 0x7654321)
@@ -153,27 +155,6 @@ def _features(n: int, rule: hashing.WordRule):
     return run
 
 
-def _confirm(n: int, rule: hashing.WordRule, percent: int):
-    """Batches of (a, b, text of a, text of b) to the (a, b) that full sets link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            ok = np.zeros(len(batch), bool)
-            sets = zip(hashing.shingle_sets(batch.column(2), rule, n), hashing.shingle_sets(batch.column(3), rule, n))
-            for (r, x), (_, y) in sets:
-                if len(x) and len(y):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                    ok[r] = 100 * inter >= percent * (len(x) + len(y) - inter)
-            keep = np.flatnonzero(ok)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["u", "v"])
-
-    return run
-
-
 def _near_components(percent: int):
     """Tiles of members to (member, other component) where an estimate reaches the threshold less five deviations."""
     t = percent / 100
@@ -193,7 +174,7 @@ def _near_components(percent: int):
                     continue
                 differ = comp[a][:, None] != comp[b][None, :]
                 x, y = size[a][:, None], size[b][None, :]
-                differ &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+                differ &= (x == 0) | (y == 0) | (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
                 rows = np.flatnonzero(differ.any(axis=1))
                 if not len(rows):
                     continue
@@ -287,30 +268,59 @@ def near_duplicates(
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = scratch.keep(rows.join(shared, "key"), "buckets")
     # a bucket's pivot is its member that meets most others over all bands: the text that its copies stem from, mostly
-    # an id of several texts has no one size: a constant lets every comparison of sizes pass
-    sizes = reps.groupBy("id").agg((F.lit(512).cast("long") if repeated else F.max("n")).alias("n"), F.sum("n").alias("mass"))
+    # an id whose texts differ in size has no one size: 0 passes every comparison of sizes
+    sizes = reps.groupBy("id").agg(F.when(F.min("n") == F.max("n"), F.max("n")).otherwise(0).alias("n"))
     hubs = scratch.keep(buckets.groupBy("id").agg(F.sum("size").alias("hub")).join(sizes, "id"), "hubs")
     found = buckets
-    buckets = scratch.keep(found.select("key", "id").join(hubs.drop("mass"), "id"), "members")
+    buckets = scratch.keep(found.select("key", "id").join(hubs, "id"), "members")
     scratch.drop(found)
     pivots = buckets.groupBy("key").agg(F.max(F.struct("hub", (-F.col("id")).alias("m"), "n")).alias("best"))
     pivots = scratch.keep(pivots.select("key", (-F.col("best.m")).alias("pivot"), F.col("best.hub").alias("pivot_hub"), F.col("best.n").alias("pivot_n")), "pivots")
 
     def fits(x: Column, y: Column) -> Column:
-        return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
+        return (x == 0) | (y == 0) | (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
+
+    def every(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    def block(n: str, seed: int, content: str) -> Column:
+        # texts of one id are dealt, too
+        return F.array(F.pmod(F.xxhash64("id", content, F.lit(seed)), F.col(n)).cast("int"))
 
     # the same join at every size: texts are dealt by id, once
-    texts = source.join(hubs.hint("merge"), "id").select("id", "text", "n")
-    texts = scratch.keep(texts.dropDuplicates(["id", "text"]) if repeated else texts, "texts")
+    texts = source.where("text is not null").join(hubs.select("id").hint("merge"), "id").select("id", "text")
+    texts = texts.dropDuplicates(["id", "text"]) if repeated else texts
+    texts = scratch.keep(texts.withColumn("bytes", F.greatest(F.octet_length("text"), F.lit(1))), "texts")
+
+    def linked(ask: DataFrame, have: DataFrame, name: str) -> DataFrame:
+        """(u, v): of every ``other``, the ids of ask that full sets link with ids of have; both are (id, other).
+
+        An other's texts are dealt to tiles of bounded bytes, so each text is sent once for a
+        tile of the other side, not once for each partner.
+        """
+
+        def tiles(side: DataFrame, n: str) -> DataFrame:
+            return side.join(texts.select("id", "bytes"), "id").groupBy("other").agg(F.ceil(F.sum("bytes") / TILE_BYTES).cast("int").alias(n))
+
+        plan = scratch.keep(tiles(have, "across").join(tiles(ask, "down"), "other"), f"{name}-plan")
+        wanted = ask.withColumn("side", F.lit(1)).union(have.withColumn("side", F.lit(0))).join(plan, "other")
+        at = wanted.join(texts.select("id", "text"), "id")
+        asks = F.col("side") == 1
+        at = at.withColumn("i", F.explode(F.when(asks, block("down", 3, "text")).otherwise(every("down"))))
+        at = at.withColumn("j", F.explode(F.when(asks, every("across")).otherwise(block("across", 4, "text"))))
+        groups = at.groupBy("other", "i", "j").agg(F.collect_list(F.struct("side", "id", "text")).alias("members")).select("members")
+        found = scratch.keep(groups.mapInArrow(_linked_members(shingle_words, rule, percent), "u long, v long"), name)
+        scratch.drop(plan)
+        return found
+
     first = (
         buckets.join(pivots, "key").where(F.col("id") != F.col("pivot")).where(fits(F.col("n"), F.col("pivot_n")))
         .groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.first("pivot_hub").alias("hub"))
         .groupBy("id").agg(F.max(F.struct("bands", "hub", "pivot")).alias("best"))
-        .select(F.col("id").alias("u"), F.col("best.pivot").alias("v"))
+        .select("id", F.col("best.pivot").alias("other"))
     )
-    a = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    b = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    links = scratch.keep(first.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle_words, rule, percent), "u long, v long"), "links")
+    first = scratch.keep(first, "first")
+    links = linked(first, first.select(F.col("other").alias("id"), "other").distinct(), "links")
     roots = scratch.keep(components(links.union(several), scratch), "roots")
 
     label = roots.select(F.col("node").alias("id"), "root")
@@ -322,35 +332,21 @@ def near_duplicates(
     mixed = scratch.keep(mixed, "mixed")
     at = marked.join(mixed, "key").join(reps.select("id", "sketch"), "id")
 
-    def block(n: str, seed: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
     def side(k: int, *fields: str) -> Column:
         return F.struct(F.lit(k).alias("side"), *fields).alias("m")
 
     grid = ["key", "i", "j"]
-    outside = at.where("comp <> main").withColumn("i", block("down", 1)).withColumn("j", every("across")).select(*grid, side(1, "id", "comp", "n", "sketch"))
-    inside = at.withColumn("j", block("across", 2)).withColumn("i", every("down")).select(*grid, side(0, "id", "comp", "n", "sketch"))
+    outside = at.where("comp <> main").withColumn("i", F.explode(block("down", 1, "sketch"))).withColumn("j", F.explode(every("across"))).select(*grid, side(1, "id", "comp", "n", "sketch"))
+    inside = at.withColumn("j", F.explode(block("across", 2, "sketch"))).withColumn("i", F.explode(every("down"))).select(*grid, side(0, "id", "comp", "n", "sketch"))
     tiles = outside.union(inside).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
     near = scratch.keep(tiles.mapInArrow(_near_components(percent), "id long, other long").distinct(), "near")
 
-    # those members against all texts of the other component, in blocks of bounded size on either side
-    weight = TILE * 512
-    comp_of = hubs.select("id", "mass").join(label, "id", "left").select("id", "mass", F.coalesce("root", "id").alias("other"))
-    wide = comp_of.groupBy("other").agg(F.ceil(F.sum("mass") / weight).cast("int").alias("across"))
-    tall = near.join(hubs.select("id", "mass"), "id").groupBy("other").agg(F.ceil(F.sum("mass") / weight).cast("int").alias("down"))
-    plan = scratch.keep(wide.join(tall, "other"), "plan")
-    grid = ["other", "i", "j"]
-    ask = near.join(plan, "other").withColumn("i", block("down", 3)).withColumn("j", every("across")).join(texts.select("id", "text"), "id").select(*grid, side(1, "id", "text"))
-    have = comp_of.select("id", "other").join(plan, "other").withColumn("j", block("across", 4)).withColumn("i", every("down")).join(texts.select("id", "text"), "id").select(*grid, side(0, "id", "text"))
-    groups = ask.union(have).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
-    more = scratch.keep(groups.mapInArrow(_linked_members(shingle_words, rule, percent), "u long, v long"), "more")
+    # those members against all texts of the other component
+    whole = hubs.select("id").join(label, "id", "left").select("id", F.coalesce("root", "id").alias("other"))
+    more = linked(near, whole.join(near.select("other").distinct(), "other", "left_semi").select("id", "other"), "more")
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), scratch)
 
-    scratch.drop(classes, classed, reps, hubs, buckets, texts, links, marked, mixed, near, plan, more)
+    scratch.drop(classes, classed, reps, hubs, buckets, texts, first, links, marked, mixed, near, more)
     labelled = member.select("row_id", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row_id", F.coalesce("root", "rep").alias("component_id"))
     named_rows = feats.where("row_id is not null").select("row_id", "n_shingles").join(labelled, "row_id", "left").select("row_id", "n_shingles", F.coalesce("component_id", "row_id").alias("component_id"))
     unnamed = feats.where("row_id is null").select("row_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))

@@ -72,6 +72,16 @@ def test_tiles_of_one_member_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, near_dup.near_duplicates(df, shingle_words=2, percent=70).collect()), key=str) == expected(rows, 2, 70)
 
 
+@pytest.mark.parametrize("ids", [None, 12])
+def test_texts_of_one_id_are_dealt_to_tiles(spark, monkeypatch, ids):
+    """Tiles of a few texts, also where most rows share one id."""
+    monkeypatch.setattr(near_dup, "TILE", 3)
+    monkeypatch.setattr(near_dup, "TILE_BYTES", 400)
+    rows = [(5 if k % 3 else i, t) for k, (i, t) in enumerate(corpus(17, 150, ids))] + [(800, "a b c d e f g h i j"), (801, "a b c d e f g h i j k"), (802, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.near_duplicates(df, shingle_words=2).collect()), key=str) == expected(rows, 2)
+
+
 def test_odd_rows_and_empty_table(spark, odd_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     got = near_dup.near_duplicates(odd_documents, shingle_words=2)

@@ -416,6 +416,12 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_states.labelled_cells(_angles(spark, sf_dir), "x", "y", step=30.0, min_count=420, x_domain=_DOMAIN, y_domain=_DOMAIN)
 
 
+@query(_grid_oracle(5.0, 7, True, _GROUP[:1], cells_only=True))
+def grid_cells_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a finer grid, labelled in tiles that are united over their borders."""
+    return grid_states.labelled_cells(_angles(spark, sf_dir), "x", "y", step=5.0, min_count=7, x_domain=_DOMAIN, y_domain=_DOMAIN, group=_GROUP[:1], periodic=True, tile=16)
+
+
 @query(_grid_oracle(30.0, 420, False))
 def grid_states_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir, 30.0, 420, False)

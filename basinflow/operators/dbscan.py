@@ -151,16 +151,16 @@ def _cell_links(cores: DataFrame, metric: _Metric) -> DataFrame:
     return written(known.union(rest).distinct(), "dbscan-links")
 
 
-def _components(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """(cell, root): the smallest cell that each is linked with."""
+def linked_roots(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(cell, root): the smallest cell that each is linked with; links are pairs (a, b) in any order."""
     both = links.union(links.select("b", "a"))
-    labels = written(cells.select("cell", F.col("cell").alias("root")), "dbscan-labels")
+    labels = written(cells.select("cell", F.col("cell").alias("root")), "labels")
     while True:
         # the smallest label among neighbours, then that label's own label: paths halve every round
         spread = both.join(labels.select(F.col("cell").alias("b"), "root"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("root").alias("new"))
         nxt = labels.join(spread, "cell", "left").select("cell", F.least("root", "new").alias("root"))
         jump = nxt.join(nxt.select(F.col("cell").alias("root"), F.col("root").alias("far")), "root").select("cell", F.least("root", "far").alias("root"))
-        jumped = written(jump, "dbscan-labels")
+        jumped = written(jump, "labels")
         changed = jumped.join(labels.withColumnRenamed("root", "old"), "cell").where("root <> old").limit(1).count()
         labels = jumped
         if not changed:
@@ -207,7 +207,7 @@ def dbscan_states(
     # a cell is named by its first core point
     named = core.groupBy("_g", "cx", "cy").agg(F.min("first").alias("cell"))
     cores = written(core.join(named, ["_g", "cx", "cy"]), "dbscan-cores")
-    roots = _components(cores.select("cell").distinct(), _cell_links(cores, metric))
+    roots = linked_roots(cores.select("cell").distinct(), _cell_links(cores, metric))
     # cluster numbers by first core point, within each group; few rows: one for each cluster
     heads = roots.select("root").distinct().join(cores.select("_g", F.col("first").alias("root")), "root")
     number = heads.withColumn("cluster", F.row_number().over(Window.partitionBy("_g").orderBy("root")) - 1).select("root", "cluster")

@@ -12,11 +12,15 @@ from pyspark.sql import types as T
 
 from ..functions import binning
 from ..functions.labels import NOISE
-from ..session import ship_package
+from ..session import ship_package, written
+from .dbscan import linked_roots
 from .grouping import join_groups
+from .table import number_rows
 
 #: Groups times cells up to which the labelled cells are broadcast.
 BROADCAST_CELLS = 200_000
+#: Cells of a grid up to which a group's cells are labelled in one task, and the side of the tiles of larger grids.
+CELLS_OF_TASK, TILE_SIDE = 1 << 22, 1024
 
 
 def component_ids(xi: np.ndarray, yi: np.ndarray, nx: int, ny: int, wrap_x: bool = False, wrap_y: bool = False) -> np.ndarray:
@@ -64,12 +68,11 @@ def component_ids(xi: np.ndarray, yi: np.ndarray, nx: int, ny: int, wrap_x: bool
 
 def labelled_cells(
     frames: DataFrame, x: str, y: str, *, step: float, min_count: int,
-    x_domain: tuple[float, float], y_domain: tuple[float, float], group: Sequence[str] = (), periodic: bool = False,
+    x_domain: tuple[float, float], y_domain: tuple[float, float], group: Sequence[str] = (), periodic: bool = False, tile: int | None = None,
 ) -> DataFrame:
     """(group..., xi, yi, count, component) of the cells with min_count frames or more.
 
-    The frames are aggregated to cells first; a group's cells, at most those of the grid,
-    then meet in one task.
+    The frames are aggregated to cells first, which are then labelled as by ``label_cells``.
     """
     x_edges, y_edges = binning.stepped_edges(*x_domain, step), binning.stepped_edges(*y_domain, step)
     vx, vy = F.col(x).try_cast("double"), F.col(y).try_cast("double")
@@ -77,15 +80,20 @@ def labelled_cells(
     counted = rows.withColumn("xi", binning.bin_index(F.col("_x"), x_edges)).withColumn("yi", binning.bin_index(F.col("_y"), y_edges))
     # cells off the grid stay until they are labelled: they count as valid frames of their group
     per_cell = counted.groupBy(*group, "xi", "yi").agg(F.count(F.lit(1)).alias("count"))
-    return label_cells(per_cell, len(x_edges) - 1, len(y_edges) - 1, min_count, group, periodic)
+    return label_cells(per_cell, len(x_edges) - 1, len(y_edges) - 1, min_count, group, periodic, tile)
 
 
-def label_cells(per_cell: DataFrame, nx: int, ny: int, min_count: int, group: Sequence[str] = (), periodic: bool = False) -> DataFrame:
+def label_cells(per_cell: DataFrame, nx: int, ny: int, min_count: int, group: Sequence[str] = (), periodic: bool = False, tile: int | None = None) -> DataFrame:
     """(group..., xi, yi, count, component) of counted cells, those with min_count frames or more.
 
-    A group's cells meet in one task; those with a negative index are off the grid.
+    Cells with a negative index are off the grid. A group's cells meet in one task while
+    the grid has at most ``CELLS_OF_TASK``. A larger one, or any if ``tile`` gives a side,
+    is labelled in square tiles, which are then united over their borders; the result is
+    the same.
     """
     ship_package(per_cell.sparkSession)
+    if tile is not None or nx * ny > CELLS_OF_TASK:
+        return _label_by_tiles(per_cell, nx, ny, min_count, group, periodic, tile or TILE_SIDE)
     fields = [per_cell.schema[c] for c in group] + [T.StructField("xi", T.IntegerType()), T.StructField("yi", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("component", T.LongType())]
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
@@ -101,6 +109,52 @@ def label_cells(per_cell: DataFrame, nx: int, ny: int, min_count: int, group: Se
     return per_cell.groupBy(*keys).applyInPandas(lambda part: label(part)[[f.name for f in fields]], T.StructType(fields))
 
 
+def _label_by_tiles(per_cell: DataFrame, nx: int, ny: int, min_count: int, group: Sequence[str], periodic: bool, tile: int) -> DataFrame:
+    """``label_cells`` in tiles: no task sees more than a tile's cells.
+
+    A part is what is connected inside a tile, named by its first cell. Cells on the last
+    row or column of a tile meet those behind them, also around a periodic edge, which
+    links parts; components of parts are then numbered by their first cell.
+    """
+    g = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]) if group else F.struct(F.lit(0).alias("g0"))
+    keys = [f"_k{i}" for i in range(len(group))]
+    counted = per_cell.select(g.alias("_g"), "xi", "yi", "count")
+    enough = counted.groupBy("_g").agg(F.sum("count").alias("_n")).where("_n >= 2").select("_g")
+    kept = counted.where((F.col("count") >= min_count) & (F.col("xi") >= 0) & (F.col("yi") >= 0)).join(enough, "_g", "left_semi")
+    plain = [F.col(f"_g.g{i}").alias(k) for i, k in enumerate(keys)]
+    tiled = kept.select(*plain, "xi", "yi", "count", F.floor(F.col("xi") / tile).alias("_tx"), F.floor(F.col("yi") / tile).alias("_ty"))
+    fields = [f for f in tiled.schema if f.name not in ("_tx", "_ty")] + [T.StructField("part", T.LongType())]
+
+    def label(cells: pd.DataFrame) -> pd.DataFrame:
+        xi, yi = cells["xi"].to_numpy(), cells["yi"].to_numpy()
+        number = component_ids(xi, yi, nx, ny)
+        first = np.full(number.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, number, xi.astype(np.int64) * ny + yi)
+        return cells.assign(part=first[number])[[f.name for f in fields]]
+
+    parts = tiled.groupBy(*keys, "_tx", "_ty").applyInPandas(label, T.StructType(fields))
+    own = F.struct(*[F.col(k).alias(f"g{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("g0"))
+    parts = written(parts.select(own.alias("_g"), "xi", "yi", "count", F.struct(own.alias("g"), "part").alias("cell")), "grid-parts")
+
+    def across(axis: str, n: int) -> DataFrame:
+        """Cells at the end of a tile, at the place of the cell behind them."""
+        behind = F.col(axis) + 1
+        last = (behind % tile == 0) & (behind < n)
+        if periodic:
+            # tiles may end before the grid does
+            last, behind = last | (behind == n), F.when(behind == n, 0).otherwise(behind)
+        return parts.where(last).select("_g", *[behind.cast("int").alias(c) if c == axis else F.col(c) for c in ("xi", "yi")], F.col("cell").alias("a"))
+
+    met = across("xi", nx).union(across("yi", ny)).join(parts.select("_g", "xi", "yi", F.col("cell").alias("b")), ["_g", "xi", "yi"])
+    links = written(met.where("a <> b").select("a", "b").distinct(), "grid-links")
+    roots = linked_roots(parts.select("cell").distinct(), links)
+    firsts = number_rows(roots.select("root").distinct().select("root.g", "root.part", "root"), ["g", "part"], "n")
+    start = firsts.groupBy("g").agg(F.min("n").alias("_start"))
+    number = firsts.join(start, "g").select("root", (F.col("n") - F.col("_start")).alias("component"))
+    out = parts.join(roots.join(number, "root").select("cell", "component"), "cell")
+    return out.select(*[F.col(f"_g.g{i}").alias(c) for i, c in enumerate(group)], "xi", "yi", "count", "component")
+
+
 def assign_grid_states(
     frames: DataFrame, x: str, y: str, state: str, *, step: float, min_count: int,
     x_domain: tuple[float, float], y_domain: tuple[float, float], group: Sequence[str] = (), periodic: bool = False, groups_at_most: int = 1,

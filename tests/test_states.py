@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from basinflow.operators import dbscan, grid_states
@@ -163,3 +164,31 @@ def test_dbscan_seam_groups_and_checks(spark):
         db(spark, p, 180.0, 3, periodic=True)
     with pytest.raises(ValueError):
         db(spark, p, 5.0, 3, max_points=4)
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_tiles_label_as_one_task(spark, periodic):
+    """Groups (one of them null, one of a single frame), tiles that don't divide the grid, cells off the grid."""
+    rng = np.random.default_rng(4)
+    rows = [(g, int(x), int(y), int(rng.integers(1, 5))) for g in ("a", None) for x in range(-1, 23) for y in range(-1, 19) if rng.random() < 0.75]
+    df = spark.createDataFrame([*rows, ("one", 3, 3, 1)], "g string, xi int, yi int, count long")
+    want = grid_states.label_cells(df, 23, 19, 2, ["g"], periodic)
+    got = grid_states.label_cells(df, 23, 19, 2, ["g"], periodic, tile=4)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert len({r.component for r in want.collect()}) > 3
+    empty = df.where("g = 'none'")
+    assert grid_states.label_cells(empty, 23, 19, 2, ["g"], periodic, tile=4).collect() == []
+
+
+def test_a_large_grid_is_labelled_in_tiles(spark):
+    n = 20_000
+    rng = np.random.default_rng(8)
+    # lines of 4 000 cells along both axes cross many tiles, one another, and the periodic edges
+    along, fixed = (rng.integers(0, n, (60, 1)) + np.arange(4_000)) % n, np.broadcast_to(rng.integers(0, n, (60, 1)), (60, 4_000))
+    turned = np.arange(60)[:, None] % 2 == 0
+    key = np.unique(np.where(turned, along * n + fixed, fixed * n + along))
+    cells = pd.DataFrame({"xi": (key // n).astype(np.int32), "yi": (key % n).astype(np.int32), "count": 1})
+    got = grid_states.label_cells(spark.createDataFrame(cells, "xi int, yi int, count long"), n, n, 1, periodic=True).toPandas().sort_values(["xi", "yi"])
+    want = grid_states.component_ids(cells["xi"].to_numpy(), cells["yi"].to_numpy(), n, n, True, True)
+    assert got["component"].tolist() == want.tolist()

@@ -162,6 +162,22 @@ def _ridge_logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1.0, start: np.
     return w
 
 
+def _combination(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Weights of the text view's and the page view's calibrated logits, none below 0, and of the offset.
+
+    By default the text view's answer stands: what is learnt is the change to it. A view
+    that would count against its own answer gets no weight, and the rest are learnt anew.
+    """
+    start, used = np.array([1.0, 0.0, 0.0]), [0, 1, 2]
+    while True:
+        w = np.zeros(3)
+        w[used] = _ridge_logistic(z[:, used], t, start=start[used])
+        against = [k for k in used[:-1] if w[k] < 0]
+        if not against:
+            return w
+        used.remove(min(against, key=lambda k: w[k]))
+
+
 def co_train(x: np.ndarray, y: np.ndarray, labels: np.ndarray, pool_x: np.ndarray, pool_y: np.ndarray, rounds: int = 4, share: float = 0.05, confident: float = 0.99, seed: int = 3) -> Model | None:
     """Trains both views on labelled rows, exchanging confident pseudo-labels on the pool.
 
@@ -208,8 +224,7 @@ def co_train(x: np.ndarray, y: np.ndarray, labels: np.ndarray, pool_x: np.ndarra
         on = has[use]
         b = _logit(models[1].predict(y[use][on]))
         model.calibration[1] = curve(models[1], 1)
-        # by default the text view's answer stands: what is learnt is the change to it
-        model.weights = _ridge_logistic(np.stack([*model.calibrated(a[on], b), np.ones(len(b))], 1), t[on], start=np.array([1.0, 0.0, 0.0]))
+        model.weights = _combination(np.stack([*model.calibrated(a[on], b), np.ones(len(b))], 1), t[on])
     return model
 
 

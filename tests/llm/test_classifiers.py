@@ -272,3 +272,14 @@ def test_text_features_of_a_row_do_not_depend_on_its_group(spark, monkeypatch):
     single = np.concatenate([quality.text_features(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(whole, single) and not whole[1].any()
     assert hashing.GROUP_BYTES == 1 << 18
+
+
+def test_a_view_that_counts_against_itself_gets_no_weight():
+    rng = np.random.default_rng(5)
+    t = (rng.random(400) < 0.5).astype(float)
+    good, offset = (2 * t - 1) * 3 + rng.normal(size=400), np.ones(400)
+    both = quality._combination(np.stack([good, (2 * t - 1) + rng.normal(size=400), offset], 1), t)
+    assert both[0] > 0 and both[1] > 0
+    against = quality._combination(np.stack([good, (1 - 2 * t) * 2 + rng.normal(size=400), offset], 1), t)
+    alone = quality._ridge_logistic(np.stack([good, offset], 1), t, start=np.array([1.0, 0.0]))
+    assert against[1] == 0 and np.allclose(against[[0, 2]], alone)

@@ -17,8 +17,9 @@ being its member that meets most others. Links that full sets confirm join
 components. Buckets whose members are then all in one component are done; in the
 others, members outside of the bucket's largest component meet all members in tiles
 of bounded size, where the collision-corrected Jaccard estimate of the sketches drops
-pairs clearly below the threshold. What is left, a member and another component near
-it, is decided on the full sets of all that component's texts.
+pairs clearly below the threshold. A pair is told once, by the first band that it
+shares and towards the larger component. What is left, a member and another component
+near it, is decided on the full sets of all that component's texts.
 
 At a Jaccard similarity of 0.8, BANDS bands of ROWS registers miss a pair with
 probability (1 - 0.8**5)**40 = 1.3e-7; the estimate drops a pair at the threshold
@@ -156,7 +157,11 @@ def _features(n: int, rule: hashing.WordRule):
 
 
 def _near_components(percent: int):
-    """Tiles of members to (member, other component) where an estimate reaches the threshold less five deviations."""
+    """Tiles of members to (member, other component) where an estimate reaches the threshold less five deviations.
+
+    Similar texts share many buckets: the one of their first common band tells of them. Of
+    two that are both outside of its largest component, that of the smaller component does.
+    """
     t = percent / 100
     least = t - 5 * np.sqrt(t * (1 - t) / REGISTERS)
     collisions = collision_rate()
@@ -164,10 +169,10 @@ def _near_components(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
-            for members in batch.column(0):
+            for key, members in zip(np.asarray(batch.column(0)), batch.column(1)):
                 m = members.values
                 side = np.asarray(m.field("side"))
-                ids, comp, size = (np.asarray(m.field(k)) for k in ("id", "comp", "n"))
+                ids, comp, rank, size = (np.asarray(m.field(k)) for k in ("id", "comp", "rank", "n"))
                 regs = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
                 a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
                 if not len(a) or not len(b):
@@ -175,11 +180,19 @@ def _near_components(percent: int):
                 differ = comp[a][:, None] != comp[b][None, :]
                 x, y = size[a][:, None], size[b][None, :]
                 differ &= (x == 0) | (y == 0) | (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                p, q = rank[a][:, None], rank[b][None, :]
+                differ &= (q > p) | ((q == p) & (comp[b][None, :] < comp[a][:, None]))
                 rows = np.flatnonzero(differ.any(axis=1))
                 if not len(rows):
                     continue
                 near = (estimate(regs[a[rows]], regs[b], collisions) >= least) & differ[rows]
                 i, j = np.nonzero(near)
+                bands = band_keys(regs).view(np.int64)
+                u, v = bands[a[rows[i]]], bands[b[j]]
+                # texts of an id of several may be here without a common band
+                here = (u == v).argmax(axis=1)
+                told = (u[np.arange(len(i)), here] == key) | ~(u == v).any(axis=1)
+                i, j = i[told], j[told]
                 found.append(np.unique(np.stack([ids[a[rows[i]]], comp[b[j]]], 1), axis=0))
             out = np.unique(np.concatenate(found), axis=0)
             yield pa.record_batch([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["id", "other"])
@@ -324,7 +337,8 @@ def near_duplicates(
     roots = scratch.keep(components(links.union(several), scratch), "roots")
 
     label = roots.select(F.col("node").alias("id"), "root")
-    marked = scratch.keep(buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp")), "marked")
+    ranked = label.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("rank")), "root")
+    marked = scratch.keep(buckets.join(ranked, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp"), F.coalesce("rank", F.lit(0)).alias("rank")), "marked")
     scratch.drop(pivots)
     parts = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -336,9 +350,11 @@ def near_duplicates(
         return F.struct(F.lit(k).alias("side"), *fields).alias("m")
 
     grid = ["key", "i", "j"]
-    outside = at.where("comp <> main").withColumn("i", F.explode(block("down", 1, "sketch"))).withColumn("j", F.explode(every("across"))).select(*grid, side(1, "id", "comp", "n", "sketch"))
-    inside = at.withColumn("j", F.explode(block("across", 2, "sketch"))).withColumn("i", F.explode(every("down"))).select(*grid, side(0, "id", "comp", "n", "sketch"))
-    tiles = outside.union(inside).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("members")
+    # a bucket's largest component asks nothing there, so it outranks all others
+    at = at.withColumn("rank", F.when(F.col("comp") == F.col("main"), F.lit((1 << 63) - 1)).otherwise(F.col("rank")))
+    outside = at.where("comp <> main").withColumn("i", F.explode(block("down", 1, "sketch"))).withColumn("j", F.explode(every("across"))).select(*grid, side(1, "id", "comp", "rank", "n", "sketch"))
+    inside = at.withColumn("j", F.explode(block("across", 2, "sketch"))).withColumn("i", F.explode(every("down"))).select(*grid, side(0, "id", "comp", "rank", "n", "sketch"))
+    tiles = outside.union(inside).groupBy(*grid).agg(F.collect_list("m").alias("members")).select("key", "members")
     near = scratch.keep(tiles.mapInArrow(_near_components(percent), "id long, other long").distinct(), "near")
 
     # those members against all texts of the other component

@@ -72,6 +72,33 @@ def test_tiles_of_one_member_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, near_dup.near_duplicates(df, shingle_words=2, percent=70).collect()), key=str) == expected(rows, 2, 70)
 
 
+def test_a_pair_below_the_threshold_is_told_once(spark, monkeypatch, tmp_path):
+    """Texts alike but not linked share many bands: a row for each pair at most, not one for each band and direction."""
+    made, told = near_dup._near_components, str(tmp_path / "told")
+
+    def counted(percent):
+        run = made(percent)
+
+        def wrapped(batches):
+            for batch in run(batches):
+                with open(told, "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return wrapped
+
+    monkeypatch.setattr(near_dup, "_near_components", counted)
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, base + "".join(f" x{i}_{j}" for j in range(18))) for i in range(70)]
+    # a component of several texts outside of most buckets' largest one
+    rows += [(100 + i, f"{rows[7][1]} y{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.near_duplicates(df, shingle_words=2).collect()), key=str) == expected(rows, 2)
+    with open(told) as f:
+        assert 1000 < sum(map(int, f)) <= len(rows) * (len(rows) - 1) // 2
+
+
 @pytest.mark.parametrize("ids", [None, 12])
 def test_texts_of_one_id_are_dealt_to_tiles(spark, monkeypatch, ids):
     """Tiles of a few texts, also where most rows share one id."""

@@ -21,7 +21,7 @@ from .grouping import join_groups
 CHUNK_FRAMES = 1_000_000
 
 
-def _pair_rows(frames: DataFrame, state: str, order: str, group: Sequence[str], lag: int, bridge_noise: bool, chunk_frames: int) -> DataFrame:
+def _pair_rows(frames: DataFrame, state: str, order: str, group: Sequence[str], lag: int, bridge_noise: bool, chunk_frames: int, chunk: str | None = None) -> DataFrame:
     """(group..., chunk, src, dst, at, later): the pairs inside chunks, and half pairs of frames at chunk ends.
 
     One window over the frames gives all of them. ``at`` is null in a whole pair; in a
@@ -31,10 +31,10 @@ def _pair_rows(frames: DataFrame, state: str, order: str, group: Sequence[str],
     """
     if lag < 1:
         raise ValueError(f"lag must be at least 1; got {lag}")
-    rows = frames.select(*group, F.col(state).cast("string").alias("_s"), F.col(order).cast("long").alias("_o"))
+    cut = F.floor(F.col(order).cast("long") / F.lit(chunk_frames)).cast("long") if chunk is None else F.col(chunk)
+    rows = frames.select(*group, F.col(state).cast("string").alias("_s"), F.col(order).cast("long").alias("_o"), cut.alias("chunk"))
     if bridge_noise:
         rows = rows.where(is_state(F.col("_s")))
-    rows = rows.withColumn("chunk", F.floor(F.col("_o") / F.lit(chunk_frames)).cast("long"))
     w = Window.partitionBy(*group, "chunk").orderBy("_o")
     counted = F.count(F.lit(1)).over(Window.partitionBy(*group, "chunk"))
     placed = rows.withColumns({"_i": F.row_number().over(w), "_d": F.lead("_s", lag).over(w), "_n": counted})
@@ -78,14 +78,16 @@ def lag_pairs(frames: DataFrame, state: str, order: str, group: Sequence[str], *
     return pairs.where(is_state(F.col("src")) & is_state(F.col("dst")))
 
 
-def summaries(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+def summaries(frames: DataFrame, state: str, order: str, group: Sequence[str], *, lag: int = 1, bridge_noise: bool = True, chunk_frames: int = CHUNK_FRAMES, chunk: str | None = None) -> DataFrame:
     """(group..., chunk, src, dst, at, later, count): what each chunk of a group's order has to tell of its transitions.
 
     Pairs inside the chunk are counted; the frames at its ends, ``lag`` on either side, are
     half pairs. A chunk's summary depends on its own frames alone, and ``merged`` joins
     those of any set of chunks, so frames that are added cost their own chunks only.
+    ``chunk`` names a column that has the chunks already: frames that lie by group and
+    chunk are then not moved again.
     """
-    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames)
+    rows = _pair_rows(frames, state, order, group, lag, bridge_noise, chunk_frames, chunk)
     return rows.groupBy(*group, "chunk", "src", "dst", "at", "later").agg(F.count(F.lit(1)).alias("count"))
 
 

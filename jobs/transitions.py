@@ -8,12 +8,14 @@ mark), and leaves
 
 - ``target/frames/batch=B/chunk=C``: the frames it has taken, their group, order and state alone,
 - ``target/summaries/chunk=C``: of each chunk of the order, counted pairs and the frames at its ends,
-- ``target/matrix``: counts, probabilities and rates of every group, by the partition column.
+- ``target/counts``: the pairs of every group, counted over all chunks,
+- ``target/matrix``: counts, probabilities and rates of every group, by the partition column,
+- ``target/current``: the config that the matrix was made with; empty while summaries are newer.
 
 Files may come in any order. Only chunks that a batch has frames of are summarised anew,
 by dynamic partition overwrite; matrices are merged from the summaries, which are a few
-rows for each group and chunk. A batch that is run again after a failure writes the same
-folders again. A frame that is delivered twice counts once; of two states the smaller stays.
+rows for each group and chunk, if summaries have changed since the last one was made. A
+batch that is run again after a failure writes the same folders again. A frame that is delivered twice counts once; of two states the smaller stays.
 
 Config: ``format`` and ``schema`` of the source (without a schema, that of the present
 files), ``group`` (name to SQL expression), ``order`` (an SQL expression, an integer),
@@ -23,10 +25,11 @@ files), ``group`` (name to SQL expression), ``order`` (an SQL expression, an int
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +53,10 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, config:
     schema = config.get("schema") or spark.read.format(form).load(source).schema
     lag, bridge = int(config.get("lag", 1)), bool(config.get("bridge_noise", True))
     log = {"read": 0, "summaries": 0, "matrix": 0}
+    settings = json.dumps(dict(config), sort_keys=True)
+
+    def mark(text: str) -> None:
+        spark.range(1).select(F.lit(text).alias("settings")).write.mode("overwrite").parquet(f"{target}/current")
 
     def take(batch: DataFrame, number: int) -> None:
         here = batch.sparkSession
@@ -66,9 +73,13 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, config:
         frames = here.read.schema(f"batch long, {narrow}").parquet(f"{target}/frames")
         # the range prunes folders, the semi-join leaves the chunks that have new frames
         touched = frames.where(F.col("chunk").between(low, high)).join(new.select("chunk").distinct(), "chunk", "left_semi")
-        once = touched.groupBy(*group, "frame_order").agg(F.min("state").alias("state"))
-        made = transitions.summaries(once, "state", "frame_order", group, lag=lag, bridge_noise=bridge, chunk_frames=int(config["chunk_frames"]))
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{target}/summaries")
+        # one exchange and one sort serve this and the summary: the least state of a frame stays
+        before = F.lag("frame_order").over(Window.partitionBy(*group, "chunk").orderBy("frame_order", F.asc_nulls_last("state")))
+        once = touched.withColumn("_before", before).where("_before is null or _before <> frame_order").drop("_before")
+        made = transitions.summaries(once, "state", "frame_order", group, lag=lag, bridge_noise=bridge, chunk="chunk")
+        mark("")
+        # one file for a chunk, not one for each task and chunk
+        made.hint("rebalance", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{target}/summaries")
         wrote = here.read.schema(kept).parquet(f"{target}/summaries").where(F.col("chunk").between(low, high)).count()
         log["summaries"] += wrote
         LOG.info("batch %d: %d rows read; chunks %d to %d have %d summary rows now", number, read, low, high, wrote)
@@ -77,17 +88,25 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, config:
     kept = f"{columns}, src string, dst string, at long, later boolean, count long, chunk long"
     # the folder exists from the first run on, whatever that finds
     spark.createDataFrame([], kept).write.mode("append").partitionBy("chunk").parquet(f"{target}/summaries")
+    spark.createDataFrame([], "settings string").write.mode("append").parquet(f"{target}/current")
     reader = spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", int(config.get("files_per_batch", 1000)))
     writer = reader.load(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
 
-    temperature = config.get("temperature")
-    every = spark.read.schema(kept).parquet(f"{target}/summaries")
-    matrix = transitions.matrices(transitions.merged(every, group), group, lag=lag, dt=config.get("dt"), temperature=temperature)
-    by = config["partition_by"]
-    matrix.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{target}/matrix")
-    log["matrix"] = spark.read.schema(matrix.schema).parquet(f"{target}/matrix").count()
-    LOG.info("%d rows read from %s, %d matrix rows written to %s/matrix", log["read"], source, log["matrix"], target)
+    made_with = spark.read.schema("settings string").parquet(f"{target}/current").first()
+    if made_with is None or made_with[0] != settings:
+        temperature = config.get("temperature")
+        every = spark.read.schema(kept).parquet(f"{target}/summaries")
+        merged = transitions.merged(every, group)
+        merged.write.mode("overwrite").parquet(f"{target}/counts")
+        # written, since the matrix reads the counts several times
+        counts = spark.read.schema(merged.schema).parquet(f"{target}/counts")
+        matrix = transitions.matrices(counts, group, lag=lag, dt=config.get("dt"), temperature=temperature)
+        by = config["partition_by"]
+        matrix.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{target}/matrix")
+        mark(settings)
+    log["matrix"] = spark.read.schema(f"{columns}, src string, dst string").parquet(f"{target}/matrix").count()
+    LOG.info("%d rows read from %s, %s/matrix has %d rows", log["read"], source, target, log["matrix"])
     return log
 
 

@@ -79,6 +79,52 @@ def test_a_run_after_a_failure_gives_the_same(spark, tmp_path, monkeypatch):
     assert matrix(spark, target) == whole(spark, rows)
 
 
+def test_a_chunk_is_one_file_and_the_matrix_is_made_when_summaries_change(spark, tmp_path, monkeypatch):
+    """As many tasks as on larger input; files must not be their product with chunks."""
+    source, target, marks = (f"{tmp_path}/{n}" for n in ("in", "out", "marks"))
+    put(spark, source, frames(range(0, 45), [f"r{i}" for i in range(8)]))
+    set_ = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        transitions.run(spark, source, target, marks, CONFIG)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {c: sum(f.endswith(".parquet") for f in os.listdir(f"{target}/summaries/{c}")) for c in os.listdir(f"{target}/summaries") if c.startswith("chunk=")} == {f"chunk={c}": 1 for c in range(5)}
+
+    def made():
+        return {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{target}/matrix") for f in names if f.startswith("part-")}
+
+    before = made()
+    rows = spark.read.parquet(f"{target}/matrix").count()
+    assert transitions.run(spark, source, target, marks, CONFIG) == {"read": 0, "summaries": 0, "matrix": rows} and made() == before
+    # other settings of the matrix make it anew, and so does a run after one that lost it
+    transitions.run(spark, source, target, marks, {**CONFIG, "dt": 0.25})
+    assert made().keys().isdisjoint(before)
+    put(spark, source, more := frames(range(40, 60), ["r0"]))
+
+    def broken(*a, **k):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(operators, "matrices", broken)
+        with pytest.raises(Exception, match="lost"):
+            transitions.run(spark, source, target, marks, CONFIG)
+    assert transitions.run(spark, source, target, marks, CONFIG)["read"] == 0
+    assert matrix(spark, target) == whole(spark, frames(range(0, 45), [f"r{i}" for i in range(8)]) + more)
+
+
+def test_of_two_states_of_a_frame_the_smaller_stays(spark, tmp_path):
+    source, target, marks = (f"{tmp_path}/{n}" for n in ("in", "out", "marks"))
+    rows = [("a", 0, s, str(s % 3), "x") for s in range(25)]
+    put(spark, source, rows + [("a", 0, 4, None, "x"), ("a", 0, 5, "9", "y"), ("a", 0, 20, None, None)])
+    put(spark, source, [("a", 0, 5, "7", "z"), ("a", 0, 6, "0", "x")])
+    transitions.run(spark, source, target, marks, CONFIG)
+    assert matrix(spark, target) == whole(spark, rows)
+
+
 def test_transitions_of_nothing_and_of_odd_rows(spark, tmp_path):
     source, target, marks = (f"{tmp_path}/{n}" for n in ("in", "out", "marks"))
     spark.createDataFrame([], SCHEMA).write.parquet(source)

@@ -160,8 +160,9 @@ _PARTS = f"{INDEX_SCHEMA}, split long, place long, behind long"
 def _scan_splits(spark: SparkSession, splits: DataFrame, guess: bool) -> DataFrame:
     """Index rows of the frames that begin in splits (source_file, size, mtime, split, start, stop), numbered in their split.
 
-    With ``guess`` a split's first frame is looked for, and a split in which that fails has
-    no rows; else it begins at ``start``, and what can't be read is an error.
+    With ``guess`` a split's first frame is looked for, but for a file's first split; one
+    that can't be read from there has a row at byte -1, so that it is read again. Else a
+    split begins at ``start``, and what can't be read is an error.
     """
     ship_package(spark)
 
@@ -181,8 +182,9 @@ def _scan_splits(spark: SparkSession, splits: DataFrame, guess: bool) -> DataFra
                                     yield _index_batch(path, size, mtime, split, rows)
                                     rows = []
                 except ValueError:
-                    if not guess:
+                    if not guess or not start:
                         raise
+                    rows = [(0, -1, 0, "", 0)]
                 yield _index_batch(path, size, mtime, split, rows)
 
     spread = splits.select("source_file", "size", "mtime", "split", "start", "stop").repartition(max(1, splits.count()), "source_file", "split")

@@ -75,6 +75,14 @@ def test_bad_files_are_errors(spark, tmp_path, text, what):
         xyz.read_frames(xyz.index_files(spark, [str(path)])).collect()
 
 
+@pytest.mark.parametrize("tail, what", [("x\nc\n", "atom count"), ("2\nc\nC 0 0 0\n", "ends inside")])
+def test_a_bad_end_of_a_later_split_is_an_error(spark, tmp_path, tail, what):
+    path = tmp_path / "bad.xyz"
+    path.write_text("1\nc\nC 0 0 0\n" * 6 + tail)
+    with pytest.raises(Exception, match=what):
+        xyz.index_files(spark, [str(path)], split_bytes=40).collect()
+
+
 def test_blank_lines_between_frames(spark, tmp_path):
     path = tmp_path / "a.xyz"
     path.write_text("1\nc\nC 0 0 0\n\n\n1\nd\nC 1 1 1\n\n")
